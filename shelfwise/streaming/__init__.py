@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference is a batch pipeline: it has no streams, watermarks, windows or state, so
+nothing is built here. Every operator is a plain DataFrame function, so it can be applied to
+each micro-batch of a ``foreachBatch`` sink if the facts ever arrive as a stream.
+"""

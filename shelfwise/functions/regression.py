@@ -16,16 +16,18 @@ from shelfwise.functions.distributions import t_pvalue
 MOMENTS = ("_n", "_ax", "_ay", "_sxx", "_syy", "_sxy")
 
 
-def ols_moments(y: str | Column, x: str | Column) -> list[Column]:
-    """Aggregate expressions for the sufficient statistics of ``y ~ x``."""
-    return [
-        F.regr_count(y, x).alias("_n"),
-        F.regr_avgx(y, x).alias("_ax"),
-        F.regr_avgy(y, x).alias("_ay"),
-        F.regr_sxx(y, x).alias("_sxx"),
-        F.regr_syy(y, x).alias("_syy"),
-        F.regr_sxy(y, x).alias("_sxy"),
-    ]
+def ols_moments(y: str | Column, x: str | Column, prefix: str = "") -> list[Column]:
+    """Aggregate expressions for the sufficient statistics of ``y ~ x``.
+
+    ``prefix`` namespaces the outputs when several fits share one aggregation; read them back
+    with :func:`unprefixed` before using the closed forms below.
+    """
+    exprs = (F.regr_count, F.regr_avgx, F.regr_avgy, F.regr_sxx, F.regr_syy, F.regr_sxy)
+    return [fn(y, x).alias(prefix + name) for fn, name in zip(exprs, MOMENTS)]
+
+
+def unprefixed(prefix: str) -> list[Column]:
+    return [F.col(prefix + name).alias(name) for name in MOMENTS]
 
 
 def slope() -> Column:

@@ -56,6 +56,25 @@ def _customer_lines(star: Star, *cols) -> DataFrame:
     return star.sales.select("customer_id", *cols).join(customers_named(star), "customer_id")
 
 
+def customer_profile(star: Star, customer_key: str = "full_name") -> DataFrame:
+    """One aggregation per customer feeding analyses 1, 5 and 9.
+
+    Invoice count, quantity mean/sd, and the co-moments of two fits (line value ~ quantity,
+    line value ~ invoice day) -- one shuffle of partial aggregates for all three analyses.
+    Columns that a caller does not select are pruned by Catalyst.
+    """
+    lines = _customer_lines(
+        star, "quantity", line_value().alias("_v"), epoch_days("date").alias("_t")
+    )
+    return lines.groupBy(*customer_grain(customer_key)).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.avg("quantity").alias("average_quantity"),
+        F.stddev_samp("quantity").alias("std_dev_quantity"),
+        *ols.ols_moments("_v", F.col("quantity").cast("double"), prefix="_s"),
+        *ols.ols_moments("_v", "_t", prefix="_g"),
+    )
+
+
 # 1
 def customer_purchase_stats(star: Star, customer_key: str = "full_name") -> DataFrame:
     """Per customer: invoice count, mean and sample sd of quantity
@@ -63,10 +82,11 @@ def customer_purchase_stats(star: Star, customer_key: str = "full_name") -> Data
 
     ``total_purchases`` counts invoices even when their quantity is NULL (R's ``n()``).
     """
-    return _customer_lines(star, "quantity").groupBy(*customer_grain(customer_key)).agg(
-        F.count(F.lit(1)).alias("total_purchases"),
-        F.avg("quantity").alias("average_quantity"),
-        F.stddev_samp("quantity").alias("std_dev_quantity"),
+    return customer_profile(star, customer_key).select(
+        *customer_grain(customer_key),
+        F.col("_rows").alias("total_purchases"),
+        "average_quantity",
+        "std_dev_quantity",
     )
 
 
@@ -164,22 +184,23 @@ def receipt_sales_ttest_ci(star: Star, conf_level: float = 0.95) -> DataFrame:
     )
 
 
-def _grouped_fit(star: Star, y, x, customer_key: str, min_rows: int) -> DataFrame:
-    grain = customer_grain(customer_key)
-    lines = _customer_lines(star, y.alias("_y"), x.alias("_x"))
-    return (
-        lines.groupBy(*grain)
-        .agg(F.count(F.lit(1)).alias("_rows"), *ols.ols_moments("_y", "_x"))
-        .filter(F.col("_rows") >= min_rows)
-    )
+def spending_fit(profile: DataFrame, grain: list[str], min_rows: int = 2) -> DataFrame:
+    """(grain..., intercept, slope) of line value ~ quantity from a :func:`customer_profile`."""
+    fits = profile.filter(F.col("_rows") >= min_rows).select(*grain, *ols.unprefixed("_s"))
+    return fits.select(*grain, ols.intercept().alias("intercept"), ols.slope().alias("slope"))
+
+
+def growth_fit(profile: DataFrame, grain: list[str], min_rows: int = 2) -> DataFrame:
+    """(grain..., growth_rate): slope of line value ~ invoice day from a :func:`customer_profile`."""
+    fits = profile.filter(F.col("_rows") >= min_rows).select(*grain, *ols.unprefixed("_g"))
+    return fits.select(*grain, ols.slope().alias("growth_rate"))
 
 
 # 5
 def customer_spending_reg(star: Star, customer_key: str = "full_name", min_rows: int = 2) -> DataFrame:
     """Per customer with at least ``min_rows`` invoices: OLS of line value on quantity
     -> (full_name, intercept, slope). Constant quantity: slope NULL, intercept = mean value."""
-    fits = _grouped_fit(star, line_value(), F.col("quantity").cast("double"), customer_key, min_rows)
-    return fits.select(*customer_grain(customer_key), ols.intercept().alias("intercept"), ols.slope().alias("slope"))
+    return spending_fit(customer_profile(star, customer_key), customer_grain(customer_key), min_rows)
 
 
 # 6
@@ -302,8 +323,7 @@ def high_volume_reg_residuals(star: Star, min_received: int = 500) -> DataFrame:
 def customer_sales_growth(star: Star, customer_key: str = "full_name", min_rows: int = 2) -> DataFrame:
     """Per customer with at least ``min_rows`` invoices: OLS slope of line value on the invoice
     date in days since 1970-01-01 -> (full_name, growth_rate). All on one day -> NULL."""
-    fits = _grouped_fit(star, line_value(), epoch_days("date"), customer_key, min_rows)
-    return fits.select(*customer_grain(customer_key), ols.slope().alias("growth_rate"))
+    return growth_fit(customer_profile(star, customer_key), customer_grain(customer_key), min_rows)
 
 
 def quantity_totals(star: Star) -> DataFrame:

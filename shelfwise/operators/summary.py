@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.quantiles import exact_median
+from shelfwise.functions import regression as ols
+from shelfwise.functions.columns import line_value, pearson
+from shelfwise.functions.quantiles import exact_quantiles
 from shelfwise.functions.rounding import round_value
 from shelfwise.operators import stats
+from shelfwise.operators.facts import customer_grain
 from shelfwise.sources.star import Star
 
 # Analysis labels of the consolidated table (fixed values).
@@ -29,7 +32,7 @@ QUANTITY_STATS = "QuantityStats"
 
 
 def _metric_rows(frame: DataFrame, analysis: str, metrics: list[tuple[str, Column]], order: int) -> DataFrame:
-    """Turn one row of ``frame`` into one (analysis, metric, value) row per metric."""
+    """Turn one row of ``frame`` into one (analysis, metric, value, _ord) row per metric."""
     structs = [
         F.struct(
             F.lit(name).alias("metric"),
@@ -43,67 +46,144 @@ def _metric_rows(frame: DataFrame, analysis: str, metrics: list[tuple[str, Colum
     )
 
 
-def _median_row(df: DataFrame, col: str, analysis: str, metric: str, order: int) -> DataFrame:
-    med = exact_median(df, col, name="_median")
-    return _metric_rows(med, analysis, [(metric, F.col("_median"))], order)
+def _long(frame: DataFrame, entries: list[tuple[str, str, Column]]) -> DataFrame:
+    """Per-group rows of ``frame`` -> (metric, how, value) rows, one per entry."""
+    structs = [
+        F.struct(F.lit(metric).alias("metric"), F.lit(how).alias("how"), value.cast("double").alias("value"))
+        for metric, how, value in entries
+    ]
+    return frame.select(F.explode(F.array(*structs)).alias("m")).select("m.*")
+
+
+# (metric, analysis, position) of the second-level metrics, in the reference's order (fixed values).
+GROUP_METRICS = [
+    ("mean_avg_quantity", CUSTOMER_PURCHASE_STATS, 100),
+    ("mean_purchases_per_customer", CUSTOMER_PURCHASE_STATS, 101),
+    ("median_margin_pct", PRODUCT_PROFIT_MARGINS, 200),
+    ("mean_margin_pct", PRODUCT_PROFIT_MARGINS, 201),
+    ("median_slope", CUSTOMER_SPENDING_REG, 600),
+    ("median_intercept", CUSTOMER_SPENDING_REG, 601),
+    ("mean_turnover_rate", INVENTORY_TURNOVER_STATS, 800),
+    ("mean_turnover_variance", INVENTORY_TURNOVER_STATS, 801),
+    ("median_growth_rate", CUSTOMER_SALES_GROWTH, 1100),
+    ("pct_positive_growth", CUSTOMER_SALES_GROWTH, 1101),
+]
+
+
+def _label(metric_col: str, pick: int) -> Column:
+    out = F.lit(None)
+    for entry in GROUP_METRICS:
+        out = F.when(F.col(metric_col) == entry[0], F.lit(entry[pick])).otherwise(out)
+    return out
 
 
 def statistical_summary(
     star: Star,
     customer_key: str = "full_name",
     min_received: int = 500,
+    min_rows: int = 2,
     digits: int | None = 4,
 ) -> DataFrame:
     """(analysis, metric, value) -- 21 fixed metrics plus one ``<rating>_mean_revenue`` per
     credit rating, in step order. ``digits`` rounds the value as it is recorded (4 in the
-    reference); ``None`` keeps full precision."""
-    cps = stats.customer_purchase_stats(star, customer_key)
-    ppm = stats.product_profit_margins(star)
-    sds = stats.shipment_delay_stats(star)
-    tt = stats.receipt_sales_ttest(star)
-    csr = stats.customer_spending_reg(star, customer_key)
-    its = stats.inventory_turnover_stats(star)
-    crs = stats.credit_rating_summaries(star)
-    hvr = stats.high_volume_reg(star, min_received)
-    csg = stats.customer_sales_growth(star, customer_key)
-    qs = stats.quantity_stats(star)
+    reference); ``None`` keeps full precision.
+
+    Plan shape: the per-group results (customers, product names) are stacked into one long
+    (metric, how, value) table; every mean is one grouped average over it and every median
+    one pass of the distributed exact quantile -- instead of one pipeline per metric.
+    """
+    grain = customer_grain(customer_key)
+    # One projection over one aggregate: every per-customer value comes from the same plan
+    # node, so it is computed once however many metrics read it.
+    enough = F.col("_rows") >= min_rows
+    spend = stats.customer_profile(star, customer_key).select(
+        *grain, "_rows", "average_quantity", *ols.unprefixed("_s"),
+        *[F.col("_g" + m) for m in ols.MOMENTS],
+    )
+    per_customer = spend.select(
+        *grain,
+        F.col("_rows").alias("total_purchases"),
+        "average_quantity",
+        F.when(enough, ols.slope()).alias("slope"),
+        F.when(enough, ols.intercept()).alias("intercept"),
+        enough.alias("_enough"),
+        *ols.unprefixed("_g"),
+    ).select(
+        "total_purchases", "average_quantity", "slope", "intercept",
+        F.when(F.col("_enough"), ols.slope()).alias("growth_rate"),
+    )
+    positive = F.when(F.col("growth_rate").isNotNull(), (F.col("growth_rate") > 0).cast("double") * 100)
+    margins = stats.product_profit_margins(star)
+    turnover = stats.inventory_turnover_stats(star)
+    long = (
+        _long(
+            per_customer,
+            [
+                ("mean_avg_quantity", "mean", F.col("average_quantity")),
+                ("mean_purchases_per_customer", "mean", F.col("total_purchases")),
+                ("median_slope", "median", F.col("slope")),
+                ("median_intercept", "median", F.col("intercept")),
+                ("median_growth_rate", "median", F.col("growth_rate")),
+                ("pct_positive_growth", "mean", positive),
+            ],
+        )
+        .unionByName(
+            _long(
+                margins,
+                [
+                    ("median_margin_pct", "median", F.col("profit_margin_pct")),
+                    ("mean_margin_pct", "mean", F.col("profit_margin_pct")),
+                ],
+            )
+        )
+        .unionByName(
+            _long(
+                turnover,
+                [
+                    ("mean_turnover_rate", "mean", F.col("avg_turnover_rate")),
+                    ("mean_turnover_variance", "mean", F.col("turnover_variance")),
+                ],
+            )
+        )
+    )
+    means = long.filter(F.col("how") == "mean").groupBy("metric").agg(F.avg("value").alias("value"))
+    medians = exact_quantiles(long.filter(F.col("how") == "median"), "value", [0.5], by=["metric"], names=["value"])
+    # A median over no values still reports a row (NULL), as R's median(numeric(0)) gives NA.
+    group_metrics = means.unionByName(medians.select("metric", "value"))
+    group_rows = group_metrics.select(
+        _label("metric", 1).alias("analysis"), "metric", "value", _label("metric", 2).alias("_ord")
+    )
 
-    positive = F.when(F.col("growth_rate").isNotNull(), (F.col("growth_rate") > 0).cast("double"))
+    delay = stats.shipment_delay_stats(star)
+    ttest = stats.receipt_sales_ttest(star)
+    hvr = stats.high_volume_reg(star, min_received)
+    totals = stats.quantity_totals(star)
+    qs = totals.agg(
+        pearson(F.col("total_sold").cast("double"), F.col("total_received").cast("double")).alias("c"),
+        F.avg("total_revenue").alias("m"),
+        F.var_samp("total_revenue").alias("v"),
+    )
+    credit = (
+        star.sales.select("customer_id", line_value().alias("revenue"))
+        .join(star.customers.select("customer_id", "credit_rating"), "customer_id")
+        .groupBy("credit_rating")
+        .agg(F.avg("revenue").alias("mean_revenue"))
+    )
     parts = [
+        group_rows,
         _metric_rows(
-            cps.agg(F.avg("average_quantity").alias("a"), F.avg("total_purchases").alias("b")),
-            CUSTOMER_PURCHASE_STATS,
-            [("mean_avg_quantity", F.col("a")), ("mean_purchases_per_customer", F.col("b"))],
-            1,
-        ),
-        _median_row(ppm, "profit_margin_pct", PRODUCT_PROFIT_MARGINS, "median_margin_pct", 2),
-        _metric_rows(
-            ppm.agg(F.avg("profit_margin_pct").alias("a")),
-            PRODUCT_PROFIT_MARGINS,
-            [("mean_margin_pct", F.col("a"))],
-            3,
-        ),
-        _metric_rows(
-            sds,
+            delay,
             SHIPMENT_DELAY_STATS,
             [("total_delayed_shipments", F.col("total_delays")), ("average_delay_days", F.col("average_delay_days"))],
             4,
         ),
         _metric_rows(
-            tt,
+            ttest,
             RECEIPT_SALES_DIFF,
             [("t_statistic", F.col("t_statistic")), ("p_value", F.col("p_value")), ("mean_diff", F.col("mean_diff"))],
             5,
         ),
-        _median_row(csr, "slope", CUSTOMER_SPENDING_REG, "median_slope", 6),
-        _median_row(csr, "intercept", CUSTOMER_SPENDING_REG, "median_intercept", 7),
-        _metric_rows(
-            its.agg(F.avg("avg_turnover_rate").alias("a"), F.avg("turnover_variance").alias("b")),
-            INVENTORY_TURNOVER_STATS,
-            [("mean_turnover_rate", F.col("a")), ("mean_turnover_variance", F.col("b"))],
-            8,
-        ),
-        crs.select(
+        credit.select(
             F.lit(CREDIT_RATING_SUMMARIES).alias("analysis"),
             F.concat(F.col("credit_rating"), F.lit("_mean_revenue")).alias("metric"),
             F.col("mean_revenue").cast("double").alias("value"),
@@ -116,21 +196,10 @@ def statistical_summary(
             [("r_squared", F.col("r_squared")), ("slope_total_received", F.col("slope")), ("p_value_slope", F.col("f_p_value"))],
             10,
         ),
-        _median_row(csg, "growth_rate", CUSTOMER_SALES_GROWTH, "median_growth_rate", 11),
-        _metric_rows(
-            csg.agg((F.avg(positive) * 100).alias("a")),
-            CUSTOMER_SALES_GROWTH,
-            [("pct_positive_growth", F.col("a"))],
-            12,
-        ),
         _metric_rows(
             qs,
             QUANTITY_STATS,
-            [
-                ("correlation_received_sold", F.col("correlation_received_sold")),
-                ("mean_revenue", F.col("mean_revenue")),
-                ("revenue_variance", F.col("revenue_variance")),
-            ],
+            [("correlation_received_sold", F.col("c")), ("mean_revenue", F.col("m")), ("revenue_variance", F.col("v"))],
             13,
         ),
     ]

@@ -61,6 +61,11 @@ def validate_row_counts(star: Star) -> DataFrame:
     return out
 
 
+def table_counts(star: Star) -> DataFrame:
+    """Row counts right after a load (the load step's report); same table as the check."""
+    return validate_row_counts(star)
+
+
 def validate_unshipped(star: Star) -> DataFrame:
     """(unshipped_sales): invoices with no shipment (the reference expects about 10 %)."""
     return _count(unshipped_sales(star), "unshipped_sales")

@@ -15,6 +15,7 @@ import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.operators.reports import REPORTS
@@ -64,6 +65,8 @@ def run_pipeline(
         t0 = time.perf_counter()
         try:
             df = OPERATORS[step](star, **(params or {}).get(step, {}))
+            if step == "validation_report":
+                df = df.withColumn("run_ts", F.current_timestamp())  # the validation log's run time
             write_result(df, out_dir, step, fmt=fmt)
             statuses.append(StepStatus(step, True, time.perf_counter() - t0))
         except Exception as exc:  # noqa: BLE001 - a failed step must not stop the run

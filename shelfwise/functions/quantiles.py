@@ -54,6 +54,11 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     ranged = hist.repartitionByRange(parts, *by, "_v").withColumn("_pid", F.spark_partition_id())
+    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        # Both branches below must see the same range partitioning. With exchange reuse off
+        # they would each sample their own range bounds, so pin the slices in the shared
+        # checkpoint folder instead (reliable checkpoint: survives executor loss).
+        ranged = ranged.checkpoint(eager=True)
 
     # Rank offset of each slice inside its group (small table: <= #groups + #partitions rows).
     slices = ranged.groupBy(*by, "_pid").agg(F.sum("_c").alias("_slice_n"))

@@ -46,17 +46,20 @@ def run_pipeline(
     land: bool = True,
     fmt: str = "csv",
     params: dict[str, dict] | None = None,
+    buckets: int | None = None,
 ) -> list[StepStatus]:
     """Run ``steps`` (default: all) over the star schema at ``source``; write each result to
     ``out_dir/<step>`` and a ``step_status`` table. Returns the per-step status list.
 
     Operators run with their own defaults (the reference's literals) unless ``params`` maps a
     step name to keyword overrides, e.g. ``{"recent_receipts": {"after": "2001-06-01"}}``.
+    ``buckets`` lands Sales_Invoices and Shipments co-bucketed on ``sales_id`` (see
+    :mod:`shelfwise.sources.landing`), removing the fact-fact shuffles of later steps.
     """
     star = load_star(spark, source)
     if land:
         base = os.path.join(checkpoint_dir(spark), "landed_star")
-        star = land_star(spark, star, base)
+        star = land_star(spark, star, base, buckets=buckets)
     statuses: list[StepStatus] = []
     for step in steps or DEFAULT_STEPS:
         if step not in OPERATORS:

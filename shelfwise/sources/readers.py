@@ -71,10 +71,17 @@ def read_csv_star(spark: SparkSession, csv_dir: str, mode: str = "strict") -> St
 
 
 def read_landed_star(spark: SparkSession, base: str) -> Star:
-    tables = {
-        name: read_parquet_table(spark, os.path.join(base, name), CONTRACTS[name])
-        for name in CONTRACTS
-    }
+    """Landed Parquet folders; a fact registered in the catalog as a bucketed table for this
+    location is read through the catalog, so its bucketing is visible to the planner."""
+    from shelfwise.sources.landing import bucketed_table_name  # landing imports this module
+
+    tables = {}
+    for name in CONTRACTS:
+        table = bucketed_table_name(base, name)
+        if spark.catalog.tableExists(table):
+            tables[name] = conform(spark.table(table), CONTRACTS[name])
+        else:
+            tables[name] = read_parquet_table(spark, os.path.join(base, name), CONTRACTS[name])
     return Star(
         tables["customers"],
         tables["products"],

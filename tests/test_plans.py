@@ -74,3 +74,24 @@ def test_fact_join_preaggregated(landed):
     # Shipments are collapsed per sale before meeting the invoices.
     text = plan_text(run("full_sales_summary", landed))
     assert "partial_count(1)" in text and "partial_sum(quantity_sold" in text
+
+
+def test_bucketed_landing_removes_fact_shuffles(spark, tmp_path_factory):
+    base = str(tmp_path_factory.mktemp("bucketed"))
+    src = star_from_tpch(spark, SF)
+    plain = land_star(spark, src, os.path.join(base, "plain"))
+    buck = land_star(spark, src, os.path.join(base, "buck"), buckets=4)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    saved = {k: spark.conf.get(k) for k in keys}
+    for k in keys:  # imitate data-sized dimensions: nothing fits a broadcast
+        spark.conf.set(k, "-1")
+    try:
+        for name in ("unshipped_sales", "validate_qty_match", "shipment_delays", "full_sales_summary"):
+            before = plan_text(run(name, plain)).split("\n\n")[0].count("Exchange")
+            after = plan_text(run(name, buck)).split("\n\n")[0].count("Exchange")
+            assert after < before, name
+            assert sorted(run(name, buck).collect()) == sorted(run(name, plain).collect())
+        assert plan_text(run("unshipped_sales", buck)).split("\n\n")[0].count("Exchange") == 0
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)

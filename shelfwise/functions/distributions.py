@@ -80,23 +80,29 @@ def t_two_sided_p(t, nu) -> np.ndarray:
     return regularized_beta(nu / 2.0, np.full_like(nu, 0.5), x)
 
 
-def t_critical(conf, nu, iterations: int = 200) -> np.ndarray:
-    """Two-sided critical value ``q`` with ``P(|T_nu| > q) = 1 - conf`` (bisection)."""
+def t_critical(conf, nu, tol: float = 1e-12, max_iter: int = 200) -> np.ndarray:
+    """Two-sided critical value ``q`` with ``P(|T_nu| > q) = 1 - conf`` (bisection).
+
+    The bracket starts at [0, 1] and doubles until it contains the root (t_{0.9995, 1} ~ 636);
+    bisection stops once the bracket is narrower than ``tol`` relative to its upper end.
+    """
     conf, nu = np.asarray(conf, dtype=float), np.asarray(nu, dtype=float)
     alpha = 1.0 - conf
-    lo, hi = np.zeros_like(nu), np.full_like(nu, 1.0)
-    # Grow the bracket until the tail at `hi` is below alpha (t_{0.9995, 1} ~ 636).
-    for _ in range(60):
-        grow = t_two_sided_p(hi, nu) > alpha
-        if not np.any(grow & np.isfinite(nu)):
+    ok = (nu > 0) & (alpha > 0) & (alpha < 1)
+    nu_, alpha_ = np.where(ok, nu, 1.0), np.where(ok, alpha, 0.5)
+    lo, hi = np.zeros_like(nu_), np.ones_like(nu_)
+    for _ in range(64):
+        grow = t_two_sided_p(hi, nu_) > alpha_
+        if not grow.any():
             break
         hi = np.where(grow, hi * 2.0, hi)
-    for _ in range(iterations):
+    for _ in range(max_iter):
+        if np.all(hi - lo <= tol * np.maximum(hi, 1.0)):
+            break
         mid = 0.5 * (lo + hi)
-        above = t_two_sided_p(mid, nu) > alpha
+        above = t_two_sided_p(mid, nu_) > alpha_
         lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
-    out = 0.5 * (lo + hi)
-    return np.where((nu > 0) & (alpha > 0) & (alpha < 1), out, np.nan)
+    return np.where(ok, 0.5 * (lo + hi), np.nan)
 
 
 def _to_series(values: np.ndarray, index) -> pd.Series:

@@ -13,9 +13,10 @@ third of a 100 TB table. This operator computes the same numbers with bounded pe
    values whose interval covers a requested rank survive (<= 2 per group and probability).
 5. Interpolate: ``q(p) = x[k] + (h - k) * (x[k+1] - x[k])`` with ``h = (n - 1) p``, ``k = floor(h)``.
 
-Both uses of the range exchange come from one plan, so Spark reuses one shuffle and
-``spark_partition_id()`` names the same slice in steps 3 and 4. NULL values are ignored
-(as ``na.rm=TRUE``); a group with no non-NULL value yields no row.
+The slice id (``spark_partition_id()`` after the range exchange) is evaluated once, before the
+per-slice window's shuffle; steps 3 and 4 both read that shuffle output, so they agree on slice
+ids however AQE coalesces partitions. NULL values are ignored (as ``na.rm=TRUE``); a group with
+no non-NULL value yields no row.
 """
 
 from __future__ import annotations
@@ -60,8 +61,23 @@ def exact_quantiles(
         # checkpoint folder instead (reliable checkpoint: survives executor loss).
         ranged = ranged.checkpoint(eager=True)
 
+    # Rank interval of every distinct value inside its slice, and the slice's total. The slice
+    # id is evaluated once, in the map stage feeding this window's shuffle; everything below
+    # reads those shuffled rows, so every consumer sees the same slice ids.
+    slice_w = Window.partitionBy(*by, "_pid")
+    local = ranged.select(
+        *by,
+        "_v",
+        "_c",
+        "_pid",
+        F.sum("_c")
+        .over(slice_w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        .alias("_cum"),
+        F.sum("_c").over(slice_w).alias("_slice_n"),
+    )
+
     # Rank offset of each slice inside its group (small table: <= #groups + #partitions rows).
-    slices = ranged.groupBy(*by, "_pid").agg(F.sum("_c").alias("_slice_n"))
+    slices = local.groupBy(*by, "_pid").agg(F.max("_slice_n").alias("_slice_n"))
     by_group = Window.partitionBy(*by) if by else Window.partitionBy()
     before = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select(
@@ -71,13 +87,6 @@ def exact_quantiles(
         F.sum("_slice_n").over(by_group).alias("_n"),
     )
 
-    # Rank interval [start, end) of every distinct value, computed inside its slice.
-    in_slice = (
-        Window.partitionBy(*by, "_pid")
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = ranged.withColumn("_cum", F.sum("_c").over(in_slice))
     located = local.join(offsets, [*by, "_pid"]).select(
         *by,
         "_v",

@@ -1,0 +1,129 @@
+"""Hot keys: one customer, product and sale carry a third of the rows. Joins are forced to
+sort-merge with AQE skew splitting on tiny partitions; results must equal a brute-force
+pandas computation of the same definitions."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import numpy as np
+import pandas as pd
+import pytest
+from conftest import make_star
+
+from shelfwise.operators import reports as R
+from shelfwise.operators import stats as S
+from shelfwise.operators import validation as V
+
+SKEW_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+}
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    saved = {k: spark.conf.get(k, None) for k in SKEW_CONF}
+    for k, v in SKEW_CONF.items():
+        spark.conf.set(k, v)
+    rng = np.random.default_rng(11)
+    ratings = ["Excellent", "Fair", "Good", "Poor"]
+    customers = [(i, f"F{i % 7}", f"L{i % 5}", "x", ratings[i % 4]) for i in range(40)]
+    products = [(p, f"P{p % 6}", 100 + p, 1.0 + p % 3, 5.0 + p % 4) for p in range(20)]
+    day0 = dt.date(2024, 1, 1)
+    sales = []
+    for s in range(3000):
+        hot = s % 3 == 0
+        c = 0 if hot else int(rng.integers(1, 40))
+        p = 0 if hot else int(rng.integers(1, 20))
+        sales.append((s, float(rng.integers(1, 50)), int(rng.integers(1, 9)),
+                      day0 + dt.timedelta(days=int(rng.integers(0, 30))), p, c))
+    shipments = []
+    sid = 0
+    for s in range(3000):
+        n = 1500 if s == 0 else int(rng.integers(0, 2))  # sale 0 holds a third of all shipments
+        for _ in range(n):
+            shipments.append((sid, s, day0 + dt.timedelta(days=int(rng.integers(0, 35))),
+                              int(rng.integers(1, 9)), 0 if s == 0 else int(rng.integers(0, 20))))
+            sid += 1
+    star = make_star(spark, customers, products, sales, shipments)
+    frames = {
+        "c": pd.DataFrame(customers, columns=["customer_id", "first_name", "last_name", "address", "credit_rating"]),
+        "p": pd.DataFrame(products, columns=["product_id", "product_name", "inventory_amount", "cost", "selling_price"]),
+        "s": pd.DataFrame(sales, columns=["sales_id", "unit_price", "quantity", "date", "product_id", "customer_id"]),
+        "h": pd.DataFrame(shipments, columns=["shipment_id", "sales_id", "date", "quantity_sold", "product_id"]),
+    }
+    frames["c"]["full_name"] = frames["c"]["first_name"] + " " + frames["c"]["last_name"]
+    yield star, frames
+    for k, v in saved.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
+def test_fact_fact_aggregates_under_skew(skewed):
+    star, f = skewed
+    sh = f["h"].merge(f["s"], on="sales_id", suffixes=("_h", "_s"))
+    assert V.validate_delayed(star).first()[0] == int((sh["date_h"] > sh["date_s"]).sum())
+    qm = V.validate_qty_match(star).first()
+    assert qm["matched_rows"] == int((sh["quantity_sold"] == sh["quantity"]).sum())
+    assert qm["mismatched_rows"] == int((sh["quantity_sold"] != sh["quantity"]).sum())
+    late = sh[sh["date_h"] > sh["date_s"]]
+    d = S.shipment_delay_stats(star).first()
+    mean = np.mean([(a - b).days for a, b in zip(late["date_h"], late["date_s"])])
+    assert d["total_delays"] == len(late) and d["average_delay_days"] == pytest.approx(mean)
+    assert R.shipment_delays(star).count() == len(late)
+    assert R.customer_shipments(star).count() == len(sh)
+
+
+def test_full_sales_summary_under_skew(skewed):
+    star, f = skewed
+    sh = f["h"].merge(f["s"], on="sales_id", suffixes=("_h", "_s"))
+    sh["v"] = sh["unit_price"] * sh["quantity"]
+    g = sh.groupby(["customer_id", "product_id_s"]).agg(q=("quantity_sold", "sum"), v=("v", "sum")).reset_index()
+    g = g.merge(f["c"], on="customer_id").merge(f["p"], left_on="product_id_s", right_on="product_id")
+    want = sorted((r.full_name, r.product_name, int(r.q), round(r.v, 6)) for r in g.itertuples())
+    got = sorted((r[0], r[1], r[2], round(r[3], 6)) for r in R.full_sales_summary(star).collect())
+    assert got == want
+
+
+def test_unshipped_and_credit_under_skew(skewed):
+    star, f = skewed
+    assert V.validate_unshipped(star).first()[0] == int((~f["s"]["sales_id"].isin(f["h"]["sales_id"])).sum())
+    sh = f["h"].merge(f["s"], on="sales_id").merge(f["c"], on="customer_id")
+    want = sh.groupby("credit_rating")["quantity_sold"].sum().to_dict()
+    got = {r[0]: r[1] for r in R.shipments_by_credit(star).collect()}
+    assert got == want
+
+
+def test_hot_customer_stats_and_quartiles(skewed):
+    star, f = skewed
+    s = f["s"].merge(f["c"], on="customer_id")
+    s["v"] = s["unit_price"] * s["quantity"]
+    got = {r["credit_rating"]: r for r in S.credit_rating_summaries(star).collect()}
+    for rating, grp in s.groupby("credit_rating"):
+        q = np.percentile(grp["v"], [50, 25, 75])
+        assert [got[rating]["median_revenue"], got[rating]["q1"], got[rating]["q3"]] == pytest.approx(list(q))
+        assert got[rating]["mean_revenue"] == pytest.approx(grp["v"].mean())
+    fits = {r["full_name"]: r for r in S.customer_spending_reg(star).collect()}
+    for name, grp in s.groupby("full_name"):
+        if len(grp) >= 2 and grp["quantity"].nunique() > 1:
+            b, a = np.polyfit(grp["quantity"].astype(float), grp["v"], 1)
+            assert fits[name]["slope"] == pytest.approx(b) and fits[name]["intercept"] == pytest.approx(a)
+
+
+def test_aqe_splits_the_hot_join(skewed):
+    import contextlib
+    import io
+
+    star, _ = skewed
+    df = R.customer_shipments(star, ordered=False)
+    df.collect()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    assert "SortMergeJoin(skew=true)" in buf.getvalue()

@@ -74,7 +74,8 @@ def run_pipeline(
             statuses.append(StepStatus(step, True, time.perf_counter() - t0))
         except Exception as exc:  # noqa: BLE001 - a failed step must not stop the run
             statuses.append(StepStatus(step, False, time.perf_counter() - t0, str(exc)[:500]))
-    status_df(spark, statuses).write.mode("overwrite").option("header", True).csv(
+    # One row per step: a bounded table, written as a single file.
+    status_df(spark, statuses).coalesce(1).write.mode("overwrite").option("header", True).csv(
         os.path.join(out_dir, "step_status")
     )
     return statuses

@@ -16,11 +16,6 @@ def line_value(price: str = "unit_price", qty: str = "quantity") -> Column:
     return F.col(price) * F.col(qty)
 
 
-def safe_div(num: Column, den: Column) -> Column:
-    """Division that yields NULL (not an ANSI error, not Inf/NaN) on a zero divisor."""
-    return F.try_divide(num, den)
-
-
 def days_between(end: str, start: str) -> Column:
     """Whole days from ``start`` to ``end`` as BIGINT."""
     return F.datediff(F.col(end), F.col(start)).cast("bigint")
@@ -31,10 +26,6 @@ def epoch_days(date_col: str) -> Column:
     return F.unix_date(F.col(date_col)).cast("double")
 
 
-def coalesce_zero(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0)).alias(name)
-
-
 def pearson(y: str | Column, x: str | Column) -> Column:
     """Pearson correlation over complete pairs; NULL (no ANSI error) when either side is constant."""
     return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))

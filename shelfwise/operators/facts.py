@@ -35,14 +35,6 @@ def products_named(star: Star, *extra: str) -> DataFrame:
     return star.products.select("product_id", "product_name", *extra)
 
 
-def sales_lines(star: Star, *extra: str) -> DataFrame:
-    """Sales with the ambiguous ``date`` renamed to ``sales_date``."""
-    cols = [F.col(c) for c in extra if c != "date"]
-    if "date" in extra:
-        cols.append(F.col("date").alias("sales_date"))
-    return star.sales.select("sales_id", *cols)
-
-
 def received_by_product(star: Star) -> DataFrame:
     return star.receipts.groupBy("product_id").agg(
         F.sum("quantity_received").alias("total_received")

@@ -77,3 +77,10 @@ def test_load_star_reads_csv_drop(spark, scratch):
     assert c["address"] == "1 Main St, NY"
     assert star.products.first()["inventory_amount"] == 100
     assert star.shipments.first()["quantity_sold"] == 3
+
+
+def test_table_counts_after_load(spark):
+    from shelfwise.operators.validation import table_counts
+
+    counts = {r["tbl"]: r["row_count"] for r in table_counts(star_from_tpch(spark, SF)).collect()}
+    assert counts["Sales_Invoices"] == 4599 and counts["Receipts"] == 1968

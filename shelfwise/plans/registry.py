@@ -27,15 +27,19 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {
     "statistical_summary": statistical_summary,
 }
 
-_STARS: dict[tuple[int, str], Star] = {}
+_STARS: dict[str, tuple[SparkSession, Star]] = {}
 
 
 def star_for(spark: SparkSession, path: str) -> Star:
-    """One lazy :class:`Star` per (session, path); resolving it only lists files."""
-    key = (id(spark), path)
-    if key not in _STARS:
-        _STARS[key] = load_star(spark, path)
-    return _STARS[key]
+    """One lazy :class:`Star` per path for the current session; resolving it only lists files.
+
+    The cache holds the session object it was built with and is rebuilt for any other
+    session, so a stopped-and-recreated session never receives stale DataFrames.
+    """
+    cached = _STARS.get(path)
+    if cached is None or cached[0] is not spark:
+        _STARS[path] = (spark, load_star(spark, path))
+    return _STARS[path][1]
 
 
 def run(name: str, star: Star, digits: int | None = 2, **overrides) -> DataFrame:

@@ -29,6 +29,44 @@ from shelfwise.sources.readers import load_star
 # Step order of a full run (validation, then the reports, then the analyses, then the summary).
 DEFAULT_STEPS = ["validation_report", *REPORTS, *STATS, "statistical_summary"]
 
+# Output names of the reference's runs, per step key (fixed values). Steps without an entry
+# keep their key as the output name.
+REFERENCE_OUTPUT_NAMES = {
+    "validation_report": "validation_log",
+    "customer_sales_summary": "CustomerSalesSummary",
+    "product_shipment_totals": "ProductShipmentTotals",
+    "matched_sales_shipments": "MatchedSalesShipments",
+    "good_credit_purchases": "GoodCreditPurchases",
+    "recent_receipts": "RecentReceipts",
+    "customer_shipments": "CustomerShipments",
+    "low_inventory_sales": "LowInventorySales",
+    "region_customer_receipts": "NYCustomerReceipts",
+    "unshipped_sales": "UnshippedSales",
+    "profitable_products": "ProfitableProducts",
+    "customer_purchase_patterns": "CustomerPurchasePatterns",
+    "receipts_vs_shipments": "ReceiptsVsShipments",
+    "top_customer_spending": "TopCustomerSpending",
+    "sales_with_receipts": "SalesWithReceipts",
+    "shipments_by_credit": "ShipmentsByCredit",
+    "unsold_products": "UnsoldProducts",
+    "shipment_delays": "ShipmentDelays",
+    "high_value_receipts": "HighValueReceipts",
+    "low_stock_sales": "LowStockSales",
+    "full_sales_summary": "FullSalesSummary",
+    "customer_purchase_stats": "CustomerPurchaseStats",
+    "product_profit_margins": "ProductProfitMargins",
+    "shipment_delay_stats": "ShipmentDelayStats",
+    "receipt_sales_diff": "ReceiptSalesDiff_Summary",
+    "receipt_sales_ttest": "ReceiptSalesDiff_ttest",
+    "customer_spending_reg": "CustomerSpendingReg",
+    "inventory_turnover_stats": "InventoryTurnoverStats",
+    "credit_rating_summaries": "CreditRatingSummaries",
+    "high_volume_reg": "HighVolumeReg",
+    "customer_sales_growth": "CustomerSalesGrowth",
+    "quantity_stats": "QuantityStats",
+    "statistical_summary": "statistical_summary",
+}
+
 
 @dataclass
 class StepStatus:
@@ -47,6 +85,7 @@ def run_pipeline(
     fmt: str = "csv",
     params: dict[str, dict] | None = None,
     buckets: int | None = None,
+    output_names: str = "keys",
 ) -> list[StepStatus]:
     """Run ``steps`` (default: all) over the star schema at ``source``; write each result to
     ``out_dir/<step>`` and a ``step_status`` table. Returns the per-step status list.
@@ -55,7 +94,11 @@ def run_pipeline(
     step name to keyword overrides, e.g. ``{"recent_receipts": {"after": "2001-06-01"}}``.
     ``buckets`` lands Sales_Invoices and Shipments co-bucketed on ``sales_id`` (see
     :mod:`shelfwise.sources.landing`), removing the fact-fact shuffles of later steps.
+    ``output_names="reference"`` writes each result under the reference's output name
+    (:data:`REFERENCE_OUTPUT_NAMES`) instead of the step key.
     """
+    if output_names not in ("keys", "reference"):
+        raise ValueError(f"output_names must be 'keys' or 'reference', got {output_names!r}")
     star = load_star(spark, source)
     if land:
         base = os.path.join(checkpoint_dir(spark), "landed_star")
@@ -70,7 +113,8 @@ def run_pipeline(
             df = OPERATORS[step](star, **(params or {}).get(step, {}))
             if step == "validation_report":
                 df = df.withColumn("run_ts", F.current_timestamp())  # the validation log's run time
-            write_result(df, out_dir, step, fmt=fmt)
+            name = REFERENCE_OUTPUT_NAMES.get(step, step) if output_names == "reference" else step
+            write_result(df, out_dir, name, fmt=fmt)
             statuses.append(StepStatus(step, True, time.perf_counter() - t0))
         except Exception as exc:  # noqa: BLE001 - a failed step must not stop the run
             statuses.append(StepStatus(step, False, time.perf_counter() - t0, str(exc)[:500]))

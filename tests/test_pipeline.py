@@ -25,3 +25,12 @@ def test_pipeline_isolates_failures_and_writes(spark, scratch):
         lines += open(f).read().splitlines()
     assert lines[0] == "full_name,total_spent" and len([x for x in lines if x != lines[0]]) == 5
     assert glob.glob(os.path.join(out, "step_status", "part-*.csv"))
+
+
+def test_pipeline_reference_output_names(spark, scratch):
+    out = os.path.join(scratch, "ref")
+    statuses = run_pipeline(spark, SF, out, steps=["validation_report", "region_customer_receipts"],
+                            land=False, output_names="reference")
+    assert all(s.ok for s in statuses)
+    assert os.path.isdir(os.path.join(out, "validation_log"))
+    assert os.path.isdir(os.path.join(out, "NYCustomerReceipts"))

@@ -30,6 +30,59 @@ def unprefixed(prefix: str) -> list[Column]:
     return [F.col(prefix + name).alias(name) for name in MOMENTS]
 
 
+POWER_SUMS = ("k", "x", "y", "xx", "yy", "xy")
+
+# Relative size below which a centred sum of squares counts as exactly zero (constant input).
+CONSTANT_TOL = 1e-12
+
+
+def power_sums(y: Column, x: Column, prefix: str) -> list[Column]:
+    """Mergeable sums over complete (x, y) pairs: count, Σx, Σy, Σx², Σy², Σxy.
+
+    Unlike co-moments these can be summed across any partition of the rows (for example
+    per customer id first, then per customer name), so a fact table can be pre-aggregated on
+    its join key *before* the join. Re-centre with :func:`moments_from_power_sums`.
+    """
+    both = y.isNotNull() & x.isNotNull()
+    xs, ys = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return [
+        F.count(xs).alias(prefix + "k"),
+        F.sum(xs).alias(prefix + "x"),
+        F.sum(ys).alias(prefix + "y"),
+        F.sum(xs * xs).alias(prefix + "xx"),
+        F.sum(ys * ys).alias(prefix + "yy"),
+        F.sum(xs * ys).alias(prefix + "xy"),
+    ]
+
+
+def merge_power_sums(prefix: str) -> list[Column]:
+    return [F.sum(prefix + name).alias(prefix + name) for name in POWER_SUMS]
+
+
+def moments_from_power_sums(src: str, dst: str) -> list[Column]:
+    """Co-moment columns ``dst + (_n, _ax, _ay, _sxx, _syy, _sxy)`` from ``src`` power sums.
+
+    Centred sums of squares within ``CONSTANT_TOL`` of zero relative to the raw sum are set
+    to exactly 0, so a constant regressor gives a NULL slope as with ``regr_slope``.
+    """
+    k, x, y = src + "k", src + "x", src + "y"
+    n = F.when(F.col(k) > 0, F.col(k))
+
+    def sq(raw_name: str, a: str) -> Column:
+        raw = F.col(raw_name) - F.try_divide(F.col(a) * F.col(a), n)
+        tiny = raw <= F.lit(CONSTANT_TOL) * F.abs(F.col(raw_name))
+        return F.when(tiny, F.lit(0.0)).otherwise(raw)
+
+    return [
+        F.col(k).alias(dst + "_n"),
+        F.try_divide(F.col(x), n).alias(dst + "_ax"),
+        F.try_divide(F.col(y), n).alias(dst + "_ay"),
+        sq(src + "xx", x).alias(dst + "_sxx"),
+        sq(src + "yy", y).alias(dst + "_syy"),
+        (F.col(src + "xy") - F.try_divide(F.col(x) * F.col(y), n)).alias(dst + "_sxy"),
+    ]
+
+
 def slope() -> Column:
     """NULL when x is constant (R reports NA for the aliased coefficient)."""
     return F.try_divide(F.col("_sxy"), F.col("_sxx"))

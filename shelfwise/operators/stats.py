@@ -59,19 +59,41 @@ def _customer_lines(star: Star, *cols) -> DataFrame:
 def customer_profile(star: Star, customer_key: str = "full_name") -> DataFrame:
     """One aggregation per customer feeding analyses 1, 5 and 9.
 
-    Invoice count, quantity mean/sd, and the co-moments of two fits (line value ~ quantity,
-    line value ~ invoice day) -- one shuffle of partial aggregates for all three analyses.
-    Columns that a caller does not select are pruned by Catalyst.
+    Invoices are first reduced **per customer id** to mergeable power sums (row count, Σq,
+    Σq², and Σx, Σy, Σx², Σy², Σxy of two fits: line value ~ quantity, line value ~ invoice
+    day). Only those partials cross the shuffle into the customer join -- one row per
+    customer per task instead of every invoice, and a hot customer is combined map-side. The
+    partials are summed per name, then re-centred into mean / sd / co-moments.
     """
-    lines = _customer_lines(
-        star, "quantity", line_value().alias("_v"), epoch_days("date").alias("_t")
-    )
-    return lines.groupBy(*customer_grain(customer_key)).agg(
+    q = F.col("quantity").cast("double")
+    per_customer = star.sales.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.avg("quantity").alias("average_quantity"),
-        F.stddev_samp("quantity").alias("std_dev_quantity"),
-        *ols.ols_moments("_v", F.col("quantity").cast("double"), prefix="_s"),
-        *ols.ols_moments("_v", "_t", prefix="_g"),
+        F.count(q).alias("_qk"),
+        F.sum(q).alias("_qs"),
+        F.sum(q * q).alias("_qss"),
+        *ols.power_sums(line_value(), q, "_sp"),
+        *ols.power_sums(line_value(), epoch_days("date"), "_gp"),
+    )
+    sums = [c for c in per_customer.columns if c != "customer_id"]
+    grouped = (
+        customers_named(star)
+        .join(per_customer, "customer_id")
+        .groupBy(*customer_grain(customer_key))
+        .agg(*[F.sum(c).alias(c) for c in sums])
+    )
+    qk = F.when(F.col("_qk") > 0, F.col("_qk"))
+    raw_ss = F.col("_qss") - F.try_divide(F.col("_qs") * F.col("_qs"), qk)
+    var_q = F.when(
+        F.col("_qk") >= 2,
+        F.greatest(raw_ss, F.lit(0.0)) / (F.col("_qk") - 1),
+    )
+    return grouped.select(
+        *customer_grain(customer_key),
+        F.col("_rows").cast("bigint").alias("_rows"),
+        F.try_divide(F.col("_qs"), qk).alias("average_quantity"),
+        F.sqrt(var_q).alias("std_dev_quantity"),
+        *ols.moments_from_power_sums("_sp", "_s"),
+        *ols.moments_from_power_sums("_gp", "_g"),
     )
 
 
@@ -206,14 +228,34 @@ def customer_spending_reg(star: Star, customer_key: str = "full_name", min_rows:
 # 6
 def inventory_turnover_stats(star: Star) -> DataFrame:
     """Per product name: mean and sample variance of quantity_sold / inventory_amount per
-    shipment -> (product_name, avg_turnover_rate, turnover_variance). Zero inventory -> NULL rate."""
-    rates = (
-        star.shipments.select("product_id", "quantity_sold")
-        .join(products_named(star, "inventory_amount"), "product_id")
-        .select("product_name", F.try_divide(F.col("quantity_sold"), F.col("inventory_amount")).alias("r"))
+    shipment -> (product_name, avg_turnover_rate, turnover_variance). Zero inventory -> NULL rate.
+
+    The inventory is constant per product, so shipments are reduced per product id to
+    (count, Σq, Σq²) before the product join; the rate sums follow by dividing by the
+    inventory (and its square), and are summed per name.
+    """
+    q = F.col("quantity_sold").cast("double")
+    per_product = star.shipments.groupBy("product_id").agg(
+        F.count(q).alias("k"), F.sum(q).alias("s"), F.sum(q * q).alias("ss")
+    )
+    inv = F.when(F.col("inventory_amount") != 0, F.col("inventory_amount").cast("double"))
+    rates = products_named(star, "inventory_amount").join(per_product, "product_id").select(
+        "product_name",
+        F.when(inv.isNotNull(), F.col("k")).otherwise(F.lit(0)).alias("k"),
+        (F.col("s") / inv).alias("s"),
+        (F.col("ss") / (inv * inv)).alias("ss"),
     )
-    return rates.groupBy("product_name").agg(
-        F.avg("r").alias("avg_turnover_rate"), F.var_samp("r").alias("turnover_variance")
+    g = rates.groupBy("product_name").agg(
+        F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("ss").alias("ss")
+    )
+    k = F.when(F.col("k") > 0, F.col("k"))
+    raw = F.col("ss") - F.try_divide(F.col("s") * F.col("s"), k)
+    return g.select(
+        "product_name",
+        F.try_divide(F.col("s"), k).alias("avg_turnover_rate"),
+        F.when(F.col("k") >= 2, F.greatest(raw, F.lit(0.0)) / (F.col("k") - 1)).alias(
+            "turnover_variance"
+        ),
     )
 
 

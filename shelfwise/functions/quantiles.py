@@ -38,8 +38,13 @@ def exact_quantiles(
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
     num_partitions: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """One row per group: ``by`` columns, ``n`` (non-NULL count) and one column per prob."""
+    """One row per group: ``by`` columns, ``n`` (non-NULL count) and one column per prob.
+
+    ``weight`` names an integer multiplicity column: a row then stands for that many copies
+    of its value, so callers can pre-aggregate duplicates (e.g. per customer) before a join.
+    """
     by = list(by)
     probs = [float(p) for p in probs]
     if any(p < 0 or p > 1 for p in probs):
@@ -48,11 +53,12 @@ def exact_quantiles(
     spark = df.sparkSession
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    mult = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     hist = (
-        df.select(*by, F.col(value).cast("double").alias("_v"))
-        .where(F.col("_v").isNotNull())
+        df.select(*by, F.col(value).cast("double").alias("_v"), mult.alias("_w"))
+        .where(F.col("_v").isNotNull() & (F.col("_w") > 0))
         .groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.sum("_w").alias("_c"))
     )
     ranged = hist.repartitionByRange(parts, *by, "_v").withColumn("_pid", F.spark_partition_id())
     if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":

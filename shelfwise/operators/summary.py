@@ -163,11 +163,13 @@ def statistical_summary(
         F.avg("total_revenue").alias("m"),
         F.var_samp("total_revenue").alias("v"),
     )
+    per_customer_value = star.sales.groupBy("customer_id").agg(
+        F.sum(line_value()).alias("v"), F.count(line_value()).alias("k")
+    )
     credit = (
-        star.sales.select("customer_id", line_value().alias("revenue"))
-        .join(star.customers.select("customer_id", "credit_rating"), "customer_id")
+        per_customer_value.join(star.customers.select("customer_id", "credit_rating"), "customer_id")
         .groupBy("credit_rating")
-        .agg(F.avg("revenue").alias("mean_revenue"))
+        .agg(F.try_divide(F.sum("v"), F.sum("k")).alias("mean_revenue"))
     )
     parts = [
         group_rows,

@@ -71,3 +71,17 @@ def test_rounding_modes(spark):
     assert sorted(r["v"] for r in z.collect()) == [2.0, 4.0]
     noisy = spark.createDataFrame([(38633.274999999998,), (1.005,)], "v double")
     assert sorted(r["v"] for r in round_numeric(noisy, 2).collect()) == [1.01, 38633.28]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(-20, 20), st.integers(0, 5)), min_size=1, max_size=30))
+def test_weights_equal_repetition(spark, pairs):
+    weighted = spark.createDataFrame([(float(v), w) for v, w in pairs], "v double, w long")
+    expanded = [float(v) for v, w in pairs for _ in range(w)]
+    got = exact_quantiles(weighted, "v", PROBS, weight="w").first()
+    if not expanded:
+        assert got["n"] is None
+        return
+    want = np.percentile(np.array(expanded), [p * 100 for p in PROBS], method="linear")
+    assert got["n"] == len(expanded)
+    assert [got[c] for c in got.asDict() if c.startswith("q")] == pytest.approx(list(want))

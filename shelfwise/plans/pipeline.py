@@ -135,3 +135,39 @@ def status_df(spark: SparkSession, statuses: list[StepStatus]) -> DataFrame:
         ]
     )
     return spark.createDataFrame([(s.step, s.ok, s.seconds, s.error) for s in statuses], schema)
+
+
+def main(argv: list[str] | None = None) -> int:
+    """``python -m shelfwise.plans.pipeline SOURCE OUT [--buckets N] [--reference-names]``
+    (or ``spark-submit --py-files shelfwise.zip shelfwise/plans/pipeline.py ...``)."""
+    import argparse
+
+    from shelfwise.session import build_session
+
+    ap = argparse.ArgumentParser(description="Run the retail analytics batch job.")
+    ap.add_argument("source", help="landed star, CSV drop, or TPC-H tables")
+    ap.add_argument("out", help="output folder (one sub-folder per step)")
+    ap.add_argument("--steps", nargs="*", help="subset of steps (default: all)")
+    ap.add_argument("--buckets", type=int, default=None, help="co-bucket invoices and shipments")
+    ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
+    ap.add_argument("--reference-names", action="store_true", help="reference output names")
+    ap.add_argument("--no-land", action="store_true", help="read the source directly")
+    args = ap.parse_args(argv)
+    spark = build_session()
+    statuses = run_pipeline(
+        spark,
+        args.source,
+        args.out,
+        steps=args.steps,
+        land=not args.no_land,
+        fmt=args.format,
+        buckets=args.buckets,
+        output_names="reference" if args.reference_names else "keys",
+    )
+    failed = [s.step for s in statuses if not s.ok]
+    print(f"{len(statuses) - len(failed)} steps ok, failed: {failed}")
+    return 1 if failed else 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

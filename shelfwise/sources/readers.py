@@ -92,7 +92,14 @@ def read_landed_star(spark: SparkSession, base: str) -> Star:
 
 
 def _readable(spark: SparkSession, reader: str, path: str) -> bool:
-    """Whether ``path`` resolves for the given reader (a file listing, no data scan)."""
+    """Whether ``path`` exists for the given reader.
+
+    Local paths are checked on the filesystem; URIs (s3a://, hdfs://, ...) by letting Spark
+    resolve them (a file listing, no data scan).
+    """
+    if "://" not in path or path.startswith("file:"):
+        local = path[len("file:"):] if path.startswith("file:") else path
+        return os.path.exists(local)
     try:
         getattr(spark.read.option("header", True), reader)(path)
     except Exception:  # noqa: BLE001 - Spark raises AnalysisException[PATH_NOT_FOUND]

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfwise.functions.distributions import t_pvalue
 
 MOMENTS = ("_n", "_ax", "_ay", "_sxx", "_syy", "_sxy")
 
@@ -55,10 +54,6 @@ def power_sums(y: Column, x: Column, prefix: str) -> list[Column]:
     ]
 
 
-def merge_power_sums(prefix: str) -> list[Column]:
-    return [F.sum(prefix + name).alias(prefix + name) for name in POWER_SUMS]
-
-
 def moments_from_power_sums(src: str, dst: str) -> list[Column]:
     """Co-moment columns ``dst + (_n, _ax, _ay, _sxx, _syy, _sxy)`` from ``src`` power sums.
 
@@ -148,7 +143,3 @@ def fit_columns() -> list[Column]:
         residual_df().cast("bigint").alias("df_residual"),
         f_statistic().alias("f_statistic"),
     ]
-
-
-def coefficient_p(estimate: Column, std_error: Column) -> Column:
-    return t_pvalue(F.try_divide(estimate, std_error), residual_df())

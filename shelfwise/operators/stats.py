@@ -51,11 +51,6 @@ def join_on_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_rk_{k}" for k in keys])
 
 
-def _customer_lines(star: Star, *cols) -> DataFrame:
-    """Invoice-derived columns joined to customer names (inner, as the reference's USING join)."""
-    return star.sales.select("customer_id", *cols).join(customers_named(star), "customer_id")
-
-
 def customer_profile(star: Star, customer_key: str = "full_name") -> DataFrame:
     """One aggregation per customer feeding analyses 1, 5 and 9.
 

@@ -15,7 +15,13 @@ from shelfwise.functions.columns import line_value, pearson
 from shelfwise.functions.quantiles import exact_quantiles
 from shelfwise.functions.rounding import round_value
 from shelfwise.operators import stats
-from shelfwise.operators.facts import customer_grain
+from shelfwise.functions.distributions import t_pvalue
+from shelfwise.operators.facts import (
+    customer_grain,
+    product_balance,
+    received_by_product,
+    shipped_by_product,
+)
 from shelfwise.sources.star import Star
 
 # Analysis labels of the consolidated table (fixed values).
@@ -33,17 +39,21 @@ QUANTITY_STATS = "QuantityStats"
 
 def _metric_rows(frame: DataFrame, analysis: str, metrics: list[tuple[str, Column]], order: int) -> DataFrame:
     """Turn one row of ``frame`` into one (analysis, metric, value, _ord) row per metric."""
+    return _labelled_rows(frame, [(analysis, name, value, order * 100 + i) for i, (name, value) in enumerate(metrics)])
+
+
+def _labelled_rows(frame: DataFrame, entries: list[tuple[str, str, Column, int]]) -> DataFrame:
+    """One row of ``frame`` -> one (analysis, metric, value, _ord) row per entry."""
     structs = [
         F.struct(
-            F.lit(name).alias("metric"),
+            F.lit(analysis).alias("analysis"),
+            F.lit(metric).alias("metric"),
             value.cast("double").alias("value"),
-            F.lit(order * 100 + i).alias("_ord"),
+            F.lit(order).alias("_ord"),
         )
-        for i, (name, value) in enumerate(metrics)
+        for analysis, metric, value, order in entries
     ]
-    return frame.select(F.explode(F.array(*structs)).alias("m")).select(
-        F.lit(analysis).alias("analysis"), "m.metric", "m.value", "m._ord"
-    )
+    return frame.select(F.explode(F.array(*structs)).alias("m")).select("m.*")
 
 
 def _long(frame: DataFrame, entries: list[tuple[str, str, Column]]) -> DataFrame:
@@ -77,6 +87,45 @@ def _label(metric_col: str, pick: int) -> Column:
     return out
 
 
+def _product_metrics(star: Star, min_received: int) -> DataFrame:
+    """One row with every product-level metric of the summary, from ONE per-product table and
+    ONE aggregation: the paired t-test (received vs invoiced units), the high-volume fit
+    (shipped ~ received over products with more than ``min_received`` received, as masked
+    co-moments) and the received/shipped correlation with revenue mean and variance."""
+    sales_by_product = star.sales.groupBy("product_id").agg(
+        F.sum("quantity").alias("total_sold"), F.sum(line_value()).alias("total_revenue")
+    )
+    totals = product_balance(
+        star, received_by_product(star), shipped_by_product(star, "total_shipped"), sales_by_product
+    )
+    received = F.col("total_received").cast("double")
+    shipped = F.col("total_shipped").cast("double")
+    d = (F.col("total_received") - F.col("total_sold")).cast("double")
+    high = F.col("total_received") > min_received
+    row = totals.agg(
+        F.count(d).alias("n"),
+        F.avg(d).alias("mean_diff"),
+        F.stddev_samp(d).alias("sd"),
+        *ols.ols_moments(F.when(high, shipped), F.when(high, received)),
+        pearson(shipped, received).alias("c"),
+        F.avg("total_revenue").alias("m"),
+        F.var_samp("total_revenue").alias("v"),
+    )
+    t = F.try_divide(F.col("mean_diff"), F.try_divide(F.col("sd"), F.sqrt(F.col("n"))))
+    slope_t = F.try_divide(ols.slope(), ols.se_slope())
+    return row.select(
+        t.alias("t_statistic"),
+        t_pvalue(t, F.col("n") - 1).alias("p_value"),
+        "mean_diff",
+        ols.r_squared().alias("r_squared"),
+        ols.slope().alias("slope"),
+        t_pvalue(slope_t, ols.residual_df()).alias("p_value_slope"),
+        "c",
+        "m",
+        "v",
+    )
+
+
 def statistical_summary(
     star: Star,
     customer_key: str = "full_name",
@@ -155,14 +204,7 @@ def statistical_summary(
     )
 
     delay = stats.shipment_delay_stats(star)
-    ttest = stats.receipt_sales_ttest(star)
-    hvr = stats.high_volume_reg(star, min_received)
-    totals = stats.quantity_totals(star)
-    qs = totals.agg(
-        pearson(F.col("total_sold").cast("double"), F.col("total_received").cast("double")).alias("c"),
-        F.avg("total_revenue").alias("m"),
-        F.var_samp("total_revenue").alias("v"),
-    )
+    product_row = _product_metrics(star, min_received)
     per_customer_value = star.sales.groupBy("customer_id").agg(
         F.sum(line_value()).alias("v"), F.count(line_value()).alias("k")
     )
@@ -179,11 +221,19 @@ def statistical_summary(
             [("total_delayed_shipments", F.col("total_delays")), ("average_delay_days", F.col("average_delay_days"))],
             4,
         ),
-        _metric_rows(
-            ttest,
-            RECEIPT_SALES_DIFF,
-            [("t_statistic", F.col("t_statistic")), ("p_value", F.col("p_value")), ("mean_diff", F.col("mean_diff"))],
-            5,
+        _labelled_rows(
+            product_row,
+            [
+                (RECEIPT_SALES_DIFF, "t_statistic", F.col("t_statistic"), 500),
+                (RECEIPT_SALES_DIFF, "p_value", F.col("p_value"), 501),
+                (RECEIPT_SALES_DIFF, "mean_diff", F.col("mean_diff"), 502),
+                (HIGH_VOLUME_REG, "r_squared", F.col("r_squared"), 1000),
+                (HIGH_VOLUME_REG, "slope_total_received", F.col("slope"), 1001),
+                (HIGH_VOLUME_REG, "p_value_slope", F.col("p_value_slope"), 1002),
+                (QUANTITY_STATS, "correlation_received_sold", F.col("c"), 1300),
+                (QUANTITY_STATS, "mean_revenue", F.col("m"), 1301),
+                (QUANTITY_STATS, "revenue_variance", F.col("v"), 1302),
+            ],
         ),
         credit.select(
             F.lit(CREDIT_RATING_SUMMARIES).alias("analysis"),
@@ -192,18 +242,6 @@ def statistical_summary(
             F.lit(900).alias("_ord"),
             F.col("credit_rating").alias("_sub"),
         ),
-        _metric_rows(
-            hvr,
-            HIGH_VOLUME_REG,
-            [("r_squared", F.col("r_squared")), ("slope_total_received", F.col("slope")), ("p_value_slope", F.col("f_p_value"))],
-            10,
-        ),
-        _metric_rows(
-            qs,
-            QUANTITY_STATS,
-            [("correlation_received_sold", F.col("c")), ("mean_revenue", F.col("m")), ("revenue_variance", F.col("v"))],
-            13,
-        ),
     ]
     out = None
     for part in parts:

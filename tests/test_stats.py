@@ -144,3 +144,20 @@ def test_high_volume_regression_closed_form(spark):
     assert res["residual_min"] == pytest.approx(resid.min())
     assert res["residual_median"] == pytest.approx(np.percentile(resid, 50))
     assert res["residual_max"] == pytest.approx(resid.max())
+
+
+def test_customer_id_grain_keeps_namesakes_apart(spark):
+    from shelfwise.operators.summary import statistical_summary
+
+    customers = [(1, "Sam", "Lee", "x", "Good"), (2, "Sam", "Lee", "y", "Good")]
+    sales = [(1, 2.0, 1, d("2024-01-01"), 10, 1), (2, 2.0, 3, d("2024-01-02"), 10, 1),
+             (3, 1.0, 5, d("2024-01-01"), 10, 2), (4, 1.0, 9, d("2024-01-04"), 10, 2)]
+    star = make_star(spark, customers, P, sales)
+    by_id = {r["customer_id"]: r for r in S.customer_purchase_stats(star, customer_key="customer_id").collect()}
+    assert by_id[1]["average_quantity"] == 2.0 and by_id[2]["average_quantity"] == 7.0
+    fits = {r["customer_id"]: r for r in S.customer_spending_reg(star, customer_key="customer_id").collect()}
+    assert fits[1]["slope"] == pytest.approx(2.0) and fits[2]["slope"] == pytest.approx(1.0)
+    by_name = rows(S.customer_purchase_stats(star), "full_name", "total_purchases")
+    assert by_name == [("Sam Lee", 4)]
+    summ = {r["metric"]: r["value"] for r in statistical_summary(star, customer_key="customer_id").collect()}
+    assert summ["mean_purchases_per_customer"] == 2.0 and summ["median_slope"] == 1.5

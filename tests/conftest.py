@@ -18,10 +18,16 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", app_name="shelfwise-tests", shuffle_partitions=4)
+    scratch = tempfile.mkdtemp(prefix="shelfwise-tests-")
+    s = build_session(
+        "local[4]",
+        app_name="shelfwise-tests",
+        shuffle_partitions=4,
+        extra={"spark.sql.warehouse.dir": os.path.join(scratch, "warehouse")},
+    )
     s.sparkContext.setLogLevel("ERROR")
     # Tests have no cluster-provided shared folder: install a scratch one only because it is unset.
-    checkpoint_dir(s, fallback=tempfile.mkdtemp(prefix="shelfwise-ckpt-"))
+    checkpoint_dir(s, fallback=os.path.join(scratch, "checkpoint"))
     yield s
     s.stop()
 

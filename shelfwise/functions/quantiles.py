@@ -93,7 +93,14 @@ def exact_quantiles(
         F.sum("_slice_n").over(by_group).alias("_n"),
     )
 
-    located = local.join(offsets, [*by, "_pid"]).select(
+    # Group keys match NULL-safely: a NULL group is a group (as GROUP BY and R's group_by).
+    offsets = offsets.select(
+        *[F.col(k).alias(f"_o_{k}") for k in by], F.col("_pid").alias("_o_pid"), "_off", "_n"
+    )
+    cond = F.col("_pid") == F.col("_o_pid")
+    for k in by:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
+    located = local.join(offsets, cond).select(
         *by,
         "_v",
         "_n",

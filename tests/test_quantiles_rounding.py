@@ -85,3 +85,9 @@ def test_weights_equal_repetition(spark, pairs):
     want = np.percentile(np.array(expanded), [p * 100 for p in PROBS], method="linear")
     assert got["n"] == len(expanded)
     assert [got[c] for c in got.asDict() if c.startswith("q")] == pytest.approx(list(want))
+
+
+def test_null_group_is_a_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", 7.0), ("a", None)], "g string, v double")
+    out = {r["g"]: (r["n"], r["med"]) for r in exact_quantiles(df, "v", [0.5], by=["g"], names=["med"]).collect()}
+    assert out == {None: (2, 2.0), "a": (2, 6.0)}

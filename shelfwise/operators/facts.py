@@ -36,21 +36,34 @@ def products_named(star: Star, *extra: str) -> DataFrame:
 
 
 def received_by_product(star: Star) -> DataFrame:
-    return star.receipts.groupBy("product_id").agg(
-        F.sum("quantity_received").alias("total_received")
+    return star.shared(
+        "received_by_product",
+        lambda: star.receipts.groupBy("product_id").agg(
+            F.sum("quantity_received").alias("total_received")
+        ),
     )
 
 
 def shipped_by_product(star: Star, name: str = "total_sold") -> DataFrame:
-    return star.shipments.groupBy("product_id").agg(F.sum("quantity_sold").alias(name))
+    shipped = star.shared(
+        "shipped_by_product",
+        lambda: star.shipments.groupBy("product_id").agg(F.sum("quantity_sold").alias("total_sold")),
+    )
+    return shipped if name == "total_sold" else shipped.withColumnRenamed("total_sold", name)
 
 
 def invoiced_by_product(star: Star) -> DataFrame:
-    return star.sales.groupBy("product_id").agg(F.sum("quantity").alias("total_sold"))
+    return star.shared(
+        "invoiced_by_product",
+        lambda: star.sales.groupBy("product_id").agg(F.sum("quantity").alias("total_sold")),
+    )
 
 
 def revenue_by_product(star: Star) -> DataFrame:
-    return star.sales.groupBy("product_id").agg(F.sum(line_value()).alias("total_revenue"))
+    return star.shared(
+        "revenue_by_product",
+        lambda: star.sales.groupBy("product_id").agg(F.sum(line_value()).alias("total_revenue")),
+    )
 
 
 def product_balance(star: Star, *per_product: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -77,10 +90,14 @@ def shipments_per_sale(star: Star, *keys: str) -> DataFrame:
     Joining invoices to this instead of to raw shipments gives the same sums and counts as the
     row-level join, while a sale with millions of shipments arrives as a handful of rows.
     """
-    ship = star.shipments.select(
-        "sales_id", "quantity_sold", F.col("date").alias("shipment_date")
-    )
-    return ship.groupBy("sales_id", *keys).agg(
-        F.count(F.lit(1)).alias("n_shipments"),
-        F.sum("quantity_sold").alias("quantity_shipped"),
-    )
+
+    def build() -> DataFrame:
+        ship = star.shipments.select(
+            "sales_id", "quantity_sold", F.col("date").alias("shipment_date")
+        )
+        return ship.groupBy("sales_id", *keys).agg(
+            F.count(F.lit(1)).alias("n_shipments"),
+            F.sum("quantity_sold").alias("quantity_shipped"),
+        )
+
+    return build() if keys else star.shared("shipments_per_sale", build)

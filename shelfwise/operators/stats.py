@@ -60,6 +60,10 @@ def customer_profile(star: Star, customer_key: str = "full_name") -> DataFrame:
     customer per task instead of every invoice, and a hot customer is combined map-side. The
     partials are summed per name, then re-centred into mean / sd / co-moments.
     """
+    return star.shared(f"customer_profile_{customer_key}", lambda: _customer_profile(star, customer_key))
+
+
+def _customer_profile(star: Star, customer_key: str) -> DataFrame:
     q = F.col("quantity").cast("double")
     per_customer = star.sales.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("_rows"),

@@ -18,8 +18,10 @@ from shelfwise.operators import stats
 from shelfwise.functions.distributions import t_pvalue
 from shelfwise.operators.facts import (
     customer_grain,
+    invoiced_by_product,
     product_balance,
     received_by_product,
+    revenue_by_product,
     shipped_by_product,
 )
 from shelfwise.sources.star import Star
@@ -92,11 +94,16 @@ def _product_metrics(star: Star, min_received: int) -> DataFrame:
     ONE aggregation: the paired t-test (received vs invoiced units), the high-volume fit
     (shipped ~ received over products with more than ``min_received`` received, as masked
     co-moments) and the received/shipped correlation with revenue mean and variance."""
-    sales_by_product = star.sales.groupBy("product_id").agg(
-        F.sum("quantity").alias("total_sold"), F.sum(line_value()).alias("total_revenue")
-    )
+    if "invoiced_by_product" in star.aggregates and "revenue_by_product" in star.aggregates:
+        sales_aggs = [invoiced_by_product(star), revenue_by_product(star)]
+    else:  # one pass over the invoices for both sums
+        sales_aggs = [
+            star.sales.groupBy("product_id").agg(
+                F.sum("quantity").alias("total_sold"), F.sum(line_value()).alias("total_revenue")
+            )
+        ]
     totals = product_balance(
-        star, received_by_product(star), shipped_by_product(star, "total_shipped"), sales_by_product
+        star, received_by_product(star), shipped_by_product(star, "total_shipped"), *sales_aggs
     )
     received = F.col("total_received").cast("double")
     shipped = F.col("total_shipped").cast("double")

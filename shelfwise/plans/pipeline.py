@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwise.operators import facts
 from shelfwise.operators.reports import REPORTS
-from shelfwise.operators.stats import STATS
+from shelfwise.operators.stats import STATS, customer_profile
 from shelfwise.plans.registry import OPERATORS
 from shelfwise.session import checkpoint_dir
 from shelfwise.sinks import write_result
 from shelfwise.sources.landing import land_star
 from shelfwise.sources.readers import load_star
+from shelfwise.sources.star import Star
 
 # Step order of a full run (validation, then the reports, then the analyses, then the summary).
 DEFAULT_STEPS = ["validation_report", *REPORTS, *STATS, "statistical_summary"]
@@ -76,6 +78,31 @@ class StepStatus:
     error: str | None = None
 
 
+def materialize_shared(spark: SparkSession, star: Star, base: str, customer_key: str = "full_name") -> Star:
+    """Write the aggregates most steps share once, under ``base``, and attach them to the star.
+
+    Per-product totals (received, shipped, invoiced, revenue), per-sale shipment counts and
+    the per-customer profile feed about twenty steps; materialised, the facts are read for
+    them once instead of once per step. They are small next to the facts (one row per
+    product, sale or customer) and live in the shared checkpoint folder, so a lost executor
+    re-reads them rather than recomputing.
+    """
+    builders = {
+        "received_by_product": lambda: facts.received_by_product(star),
+        "shipped_by_product": lambda: facts.shipped_by_product(star),
+        "invoiced_by_product": lambda: facts.invoiced_by_product(star),
+        "revenue_by_product": lambda: facts.revenue_by_product(star),
+        "shipments_per_sale": lambda: facts.shipments_per_sale(star),
+        f"customer_profile_{customer_key}": lambda: customer_profile(star, customer_key),
+    }
+    shared = {}
+    for name, build in builders.items():
+        path = os.path.join(base, name)
+        build().write.mode("overwrite").parquet(path)
+        shared[name] = spark.read.parquet(path)
+    return star.with_aggregates(**shared)
+
+
 def run_pipeline(
     spark: SparkSession,
     source: str,
@@ -86,6 +113,7 @@ def run_pipeline(
     params: dict[str, dict] | None = None,
     buckets: int | None = None,
     output_names: str = "keys",
+    share: bool = True,
 ) -> list[StepStatus]:
     """Run ``steps`` (default: all) over the star schema at ``source``; write each result to
     ``out_dir/<step>`` and a ``step_status`` table. Returns the per-step status list.
@@ -95,7 +123,8 @@ def run_pipeline(
     ``buckets`` lands Sales_Invoices and Shipments co-bucketed on ``sales_id`` (see
     :mod:`shelfwise.sources.landing`), removing the fact-fact shuffles of later steps.
     ``output_names="reference"`` writes each result under the reference's output name
-    (:data:`REFERENCE_OUTPUT_NAMES`) instead of the step key.
+    (:data:`REFERENCE_OUTPUT_NAMES`) instead of the step key. ``share`` materialises the
+    aggregates most steps have in common first (:func:`materialize_shared`).
     """
     if output_names not in ("keys", "reference"):
         raise ValueError(f"output_names must be 'keys' or 'reference', got {output_names!r}")
@@ -103,6 +132,8 @@ def run_pipeline(
     if land:
         base = os.path.join(checkpoint_dir(spark), "landed_star")
         star = land_star(spark, star, base, buckets=buckets)
+    if share:
+        star = materialize_shared(spark, star, os.path.join(checkpoint_dir(spark), "shared"))
     statuses: list[StepStatus] = []
     for step in steps or DEFAULT_STEPS:
         if step not in OPERATORS:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
+TABLE_NAMES = ("customers", "products", "sales_invoices", "shipments", "receipts")
+
 
 @dataclass(frozen=True)
 class Star:
@@ -13,6 +15,10 @@ class Star:
 
     Columns follow :mod:`shelfwise.sources.contracts`. The DataFrames are lazy; operators
     project only the columns they need, so Parquet scans read just those.
+
+    ``aggregates`` optionally carries materialised shared aggregates (per-product totals,
+    per-sale shipment counts, per-customer profiles) by name; operators use one when present
+    instead of re-reading the facts (see :func:`shelfwise.plans.pipeline.materialize_shared`).
     """
 
     customers: DataFrame
@@ -20,8 +26,18 @@ class Star:
     sales: DataFrame
     shipments: DataFrame
     receipts: DataFrame
+    aggregates: dict[str, DataFrame] = field(default_factory=dict, compare=False)
 
     def tables(self) -> dict[str, DataFrame]:
         """Contract name -> DataFrame, in the contract's order."""
-        names = ("customers", "products", "sales_invoices", "shipments", "receipts")
-        return dict(zip(names, (getattr(self, f.name) for f in fields(self))))
+        return dict(
+            zip(TABLE_NAMES, (self.customers, self.products, self.sales, self.shipments, self.receipts))
+        )
+
+    def with_aggregates(self, **aggregates: DataFrame) -> Star:
+        return replace(self, aggregates={**self.aggregates, **aggregates})
+
+    def shared(self, name: str, build) -> DataFrame:
+        """The materialised aggregate ``name`` if attached, else ``build()`` (lazy)."""
+        df = self.aggregates.get(name)
+        return df if df is not None else build()

@@ -34,3 +34,20 @@ def test_pipeline_reference_output_names(spark, scratch):
     assert all(s.ok for s in statuses)
     assert os.path.isdir(os.path.join(out, "validation_log"))
     assert os.path.isdir(os.path.join(out, "NYCustomerReceipts"))
+
+
+def test_shared_aggregates_give_identical_results(spark, scratch):
+    from shelfwise.plans.params import FIXTURE
+    from shelfwise.plans.pipeline import materialize_shared
+    from shelfwise.plans.registry import OPERATORS, run
+    from shelfwise.sources.tpch_fixture import star_from_tpch
+
+    star = star_from_tpch(spark, SF)
+    shared = materialize_shared(spark, star, os.path.join(scratch, "shared"))
+    assert set(shared.aggregates) >= {"received_by_product", "shipments_per_sale", "customer_profile_full_name"}
+    for name in ["receipts_vs_shipments", "full_sales_summary", "customer_spending_reg",
+                 "quantity_stats", "statistical_summary", "low_stock_sales", "validate_qty_match"]:
+        a = sorted(map(tuple, run(name, star).collect()), key=repr)
+        b = sorted(map(tuple, run(name, shared).collect()), key=repr)
+        assert a == b, name
+    assert set(FIXTURE) <= set(OPERATORS)

@@ -54,13 +54,16 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     there). Only when it is unset -- tests, a laptop -- is ``fallback`` installed. Raises when
     neither exists, rather than silently writing to a machine-local folder.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        sc = None
+    current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if not sc.getCheckpointDir():
+        if sc and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if fallback is None:
+    if fallback is None or sc is None:
         raise RuntimeError("spark.checkpoint.dir is not set; pass a shared folder as fallback")
     sc.setCheckpointDir(fallback)
     return sc.getCheckpointDir() or fallback

@@ -137,3 +137,29 @@ def exact_quantiles(
 
 def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median") -> DataFrame:
     return exact_quantiles(df, value, [0.5], by=by, names=[name]).drop("n")
+
+
+def quantiles(
+    df: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    names: Sequence[str] | None = None,
+    method: str = "exact",
+    accuracy: int = 100000,
+) -> DataFrame:
+    """``method="exact"``: :func:`exact_quantiles`. ``method="approx"``: one pass with
+    ``percentile_approx`` (bounded sketch per group; returns observed values, rank error at
+    most n/accuracy, no interpolation). Same output shape: ``by``, ``n``, one column per prob."""
+    if method == "exact":
+        return exact_quantiles(df, value, probs, by=by, names=names)
+    if method != "approx":
+        raise ValueError(f"unknown quantile method {method!r}")
+    names = list(names) if names is not None else [quantile_column_name(p) for p in probs]
+    v = F.col(value).cast("double")
+    agg = df.groupBy(*by).agg(
+        F.count(v).alias("n"), F.percentile_approx(v, [float(p) for p in probs], accuracy).alias("_q")
+    )
+    return agg.where(F.col("n") > 0).select(
+        *by, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)]
+    )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import regression as ols
 from shelfwise.functions.columns import epoch_days, line_value, pearson
 from shelfwise.functions.distributions import t_pvalue, t_quantile
-from shelfwise.functions.quantiles import exact_median, exact_quantiles
+from shelfwise.functions.quantiles import exact_quantiles, quantiles as quantiles_of
 from shelfwise.operators.facts import (
     customer_grain,
     customers_named,
@@ -352,7 +352,7 @@ def high_volume_reg_coefficients(star: Star, min_received: int = 500) -> DataFra
 
 
 # 8d
-def high_volume_reg_residuals(star: Star, min_received: int = 500) -> DataFrame:
+def high_volume_reg_residuals(star: Star, min_received: int = 500, quantiles: str = "exact") -> DataFrame:
     """Five-number summary of the fit's residuals (one row)
     -> (residual_min, residual_q1, residual_median, residual_q3, residual_max).
 
@@ -367,7 +367,8 @@ def high_volume_reg_residuals(star: Star, min_received: int = 500) -> DataFrame:
         (F.col("total_sold") - (fit.getField("a") + fit.getField("b") * F.col("total_received"))).alias("residual")
     )
     names = ["residual_min", "residual_q1", "residual_median", "residual_q3", "residual_max"]
-    return exact_quantiles(resid, "residual", [0.0, 0.25, 0.5, 0.75, 1.0], names=names).drop("n")
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    return quantiles_of(resid, "residual", probs, names=names, method=quantiles).drop("n")
 
 
 # 9
@@ -385,11 +386,15 @@ def quantity_totals(star: Star) -> DataFrame:
 
 
 # 10
-def quantity_stats(star: Star) -> DataFrame:
+def quantity_stats(star: Star, quantiles: str = "exact") -> DataFrame:
     """One row over per-product totals -> (correlation_received_sold, mean_received, mean_sold,
     mean_revenue, median_revenue, revenue_variance). A constant side gives a NULL correlation."""
     totals = quantity_totals(star)
-    median = exact_median(totals, "total_revenue", name="median_revenue").select("median_revenue").scalar()
+    median = (
+        quantiles_of(totals, "total_revenue", [0.5], names=["median_revenue"], method=quantiles)
+        .select("median_revenue")
+        .scalar()
+    )
     return totals.agg(
         pearson(F.col("total_sold").cast("double"), F.col("total_received").cast("double")).alias(
             "correlation_received_sold"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import regression as ols
 from shelfwise.functions.columns import line_value, pearson
-from shelfwise.functions.quantiles import exact_quantiles
+from shelfwise.functions.quantiles import quantiles as quantiles_of
 from shelfwise.functions.rounding import round_value
 from shelfwise.operators import stats
 from shelfwise.functions.distributions import t_pvalue
@@ -139,6 +139,7 @@ def statistical_summary(
     min_received: int = 500,
     min_rows: int = 2,
     digits: int | None = 4,
+    quantiles: str = "exact",
 ) -> DataFrame:
     """(analysis, metric, value) -- 21 fixed metrics plus one ``<rating>_mean_revenue`` per
     credit rating, in step order. ``digits`` rounds the value as it is recorded (4 in the
@@ -203,7 +204,9 @@ def statistical_summary(
         )
     )
     means = long.filter(F.col("how") == "mean").groupBy("metric").agg(F.avg("value").alias("value"))
-    medians = exact_quantiles(long.filter(F.col("how") == "median"), "value", [0.5], by=["metric"], names=["value"])
+    medians = quantiles_of(
+        long.filter(F.col("how") == "median"), "value", [0.5], by=["metric"], names=["value"], method=quantiles
+    )
     # A median over no values still reports a row (NULL), as R's median(numeric(0)) gives NA.
     group_metrics = means.unionByName(medians.select("metric", "value"))
     group_rows = group_metrics.select(

@@ -91,3 +91,15 @@ def test_null_group_is_a_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", 7.0), ("a", None)], "g string, v double")
     out = {r["g"]: (r["n"], r["med"]) for r in exact_quantiles(df, "v", [0.5], by=["g"], names=["med"]).collect()}
     assert out == {None: (2, 2.0), "a": (2, 6.0)}
+
+
+def test_approx_method_same_shape(spark):
+    from shelfwise.functions.quantiles import quantiles
+
+    df = spark.createDataFrame([(g, float(v)) for g in ("a", "b") for v in range(101)], "g string, v double")
+    exact = {r["g"]: r for r in quantiles(df, "v", [0.5, 0.9], by=["g"], names=["m", "p90"]).collect()}
+    approx = {r["g"]: r for r in quantiles(df, "v", [0.5, 0.9], by=["g"], names=["m", "p90"], method="approx").collect()}
+    assert set(exact) == set(approx) == {"a", "b"}
+    for g in exact:
+        assert exact[g]["n"] == approx[g]["n"] == 101
+        assert abs(exact[g]["m"] - approx[g]["m"]) <= 1 and abs(exact[g]["p90"] - approx[g]["p90"]) <= 1

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import exact_dedup, packing, token_output
+from shelfwise.llm import exact_dedup, packing, quality_rules, token_output, url_filters
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op8_url_filters": url_filters.op8_url_filters,
     "op9_packing": packing.op9_packing,
     "op10_token_output": token_output.op10_token_output,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_url_filters": url_filters.ORACLE_SQL,
 }

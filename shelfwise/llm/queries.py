@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import exact_dedup, packing, quality_rules, token_output, url_filters
+from shelfwise.llm import (
+    exact_dedup,
+    packing,
+    quality_rules,
+    simhash_dedup,
+    token_output,
+    toxicity,
+    url_filters,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_packing": packing.op9_packing,
     "op10_token_output": token_output.op10_token_output,

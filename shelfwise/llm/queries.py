@@ -6,6 +6,7 @@ from shelfwise.llm import (
     exact_dedup,
     packing,
     quality_rules,
+    secret_scans,
     simhash_dedup,
     token_output,
     toxicity,
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op7_secret_scans": secret_scans.op7_secret_scans,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_packing": packing.op9_packing,
     "op10_token_output": token_output.op10_token_output,

@@ -8,6 +8,7 @@ from shelfwise.llm import (
     quality_rules,
     secret_scans,
     simhash_dedup,
+    substring_dedup,
     token_output,
     toxicity,
     url_filters,
@@ -15,6 +16,7 @@ from shelfwise.llm import (
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
@@ -26,5 +28,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op2_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_url_filters": url_filters.ORACLE_SQL,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from shelfwise.llm import (
     exact_dedup,
     packing,
+    piece_nbest,
     quality_rules,
     secret_scans,
     simhash_dedup,
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_piece_nbest": piece_nbest.op6_piece_nbest,
     "op7_secret_scans": secret_scans.op7_secret_scans,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_packing": packing.op9_packing,

@@ -11,9 +11,10 @@ import os
 import re
 import unicodedata
 
-#: Chunks held per worker (about 200 bytes each). Beyond it the cache starts anew; only speed
-#: depends on it.
-CACHE_CHUNKS = 1_000_000
+from shelfwise.llm.common import Recent
+
+#: Chunks held per worker and generation (about 200 bytes each).
+CACHE_CHUNKS = 500_000
 
 ID_BYTES = 4
 _PUNCTUATION = ".,!?;:"
@@ -33,20 +34,6 @@ def _byte_alphabet() -> dict[int, str]:
 _ALPHABET = _byte_alphabet()
 
 
-class _Chunks(dict):
-    """chunk (UTF-8 bytes) -> its ids as bytes; learns a chunk when it is first asked for."""
-
-    def __init__(self, owner: ChunkEncoder, lead: str):
-        super().__init__()
-        self.owner, self.lead = owner, lead
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.owner.cache_chunks:
-            self.clear()
-        found = self[chunk] = self.owner.learn(self.lead + chunk.decode())
-        return found
-
-
 class ChunkEncoder:
     """``kind``: "word" (white space is dropped, so any ASCII white space is a cut) or "byte"
     (a space belongs to the chunk after it)."""
@@ -59,9 +46,10 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.kind = kind
-        self.cache_chunks = cache_chunks
-        self.chunks = _Chunks(self, "" if kind == "word" else " ")
-        self.cores: dict[str, bytes] = {}
+        lead = "" if kind == "word" else " "
+        self.chunks = Recent(lambda chunk: self.learn(lead + chunk.decode()), cache_chunks)
+        self.cores = Recent(self._letters, cache_chunks // 2)
+        self.punctuation = Recent(self.whole, cache_chunks // 8)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.packed = [i.to_bytes(ID_BYTES, "little") for i in range(size)]
 
@@ -82,21 +70,16 @@ class ChunkEncoder:
             ):
                 return self.whole(chunk)
             core = core.lower()
-        found = self.cores.get(core)
-        if found is None:
-            if len(self.cores) >= self.cache_chunks // 2:
-                self.cores.clear()
-            shown = core
-            if not letters.isascii() or letters is not core:
-                shown = "".join(map(_ALPHABET.__getitem__, core.encode()))
-            found = self.cores[core] = b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
+        found = self.cores[core]
         if len(core) == len(chunk):
             return found
-        rest = chunk[len(core) :]
-        tail = self.cores.get(rest)
-        if tail is None:
-            tail = self.cores[rest] = self.whole(rest)
-        return found + tail
+        return found + self.punctuation[chunk[len(core) :]]
+
+    def _letters(self, core: str) -> bytes:
+        shown = core
+        if core[:1] == " " or not core.isascii():
+            shown = "".join(map(_ALPHABET.__getitem__, core.encode()))
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text (null: none) as little-endian unsigned 32-bit integers."""

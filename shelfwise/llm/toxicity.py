@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import Recent
+
 MAX_POSITIVE = 5_000
 MAX_UNLABELLED = 20_000
 BUCKETS = 1 << 18
@@ -41,6 +43,7 @@ RATE = 0.15
 MIN_EXCESS = 4.0  # standard deviations
 MIN_SHARE = 0.02  # of the P documents
 FOLDS = 5
+CACHE_WORDS = 400_000
 
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _TO_SPACE = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
@@ -198,20 +201,17 @@ def fit_toxicity(
     return train(positive, unlabelled, n_positive / n)
 
 
-class _Weights(dict):
-    def __init__(self, weights: np.ndarray, most: int = 1_000_000):
-        super().__init__()
-        self.weights, self.most = weights, most
+def word_weights(weights: np.ndarray) -> Recent:
+    """word -> (bucket, weight), kept per worker."""
 
-    def __missing__(self, word: bytes) -> tuple[int, float]:
-        if len(self) >= self.most:
-            self.clear()
+    def weight(word: bytes) -> tuple[int, float]:
         bucket = zlib.crc32(word) % BUCKETS
-        found = self[word] = (bucket, float(self.weights[bucket]))
-        return found
+        return bucket, float(weights[bucket])
+
+    return Recent(weight, CACHE_WORDS)
 
 
-def score_text(text: str | None, weights: _Weights, bias: float) -> float:
+def score_text(text: str | None, weights: Recent, bias: float) -> float:
     found = {weights[w] for w in tokens_of(text)}
     return float(_sigmoid(np.float64(sum(sorted(x for _, x in found if x)) + bias)))
 
@@ -224,7 +224,7 @@ def score_documents(documents: DataFrame, weights: np.ndarray, bias: float) -> D
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.zeros(BUCKETS)
         full[at] = values
-        table = _Weights(full)
+        table = word_weights(full)
         for batch in batches:
             scores = [score_text(t.as_py(), table, bias) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(

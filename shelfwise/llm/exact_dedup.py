@@ -112,6 +112,17 @@ def exact_dedup(
     )
 
 
+def keep_first_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that exact_dedup keeps, one row each, with all their columns."""
+    key, digest = "__copy_key", "__copy_digest"
+    content = F.regexp_replace(text_or_empty(text_col), f"{SPACE_CLASS}+", "")
+    keyed = documents.withColumns({key: F.xxhash64(F.col(id_col).cast("long")), digest: sha256(content)})
+    stay = exact_dedup(documents, id_col=id_col, text_col=text_col).filter("kept")
+    stay = stay.select(F.xxhash64("doc_id").alias(key), F.col("text_sha256").alias(digest))
+    # The join leaves rows dealt by (key, digest), so rows that repeat meet without a shuffle.
+    return keyed.join(stay, [key, digest], "left_semi").dropDuplicates([key, digest]).drop(key, digest)
+
+
 ORACLE_SQL = r"""
 WITH normal AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_chars,

@@ -45,6 +45,8 @@ LENGTH_BANDS = (24, 32, 48, 96)
 _BASE64 = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
 _BASE32 = string.ascii_uppercase + "234567"
 ENCODINGS = {"hex": string.digits + "abcdef", "base32": _BASE32, "base64": _BASE64}
+#: Columns that find_secrets adds (TEXT only on the way).
+TEXT, BASE, RANDOM = "__secret_text", "__secret_base", "__secret_random"
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -203,16 +205,16 @@ def _shown(spans: Column) -> Column:
 
 
 def find_secrets(documents: DataFrame, text_col: str = "text", q: float = Q) -> DataFrame:
-    """``documents`` with two columns more, ``_base`` and ``_random``: arrays of spans (start, rank,
+    """``documents`` with two columns more, ``BASE`` and ``RANDOM``: arrays of spans (start, rank,
     end, kind, value) in code points, sorted by start, then kind."""
-    documents = documents.withColumn("_text", text_or_empty(text_col))
-    limits = clearing_limits(documents.select(F.col("_text").alias("full_text")), q)
-    text = F.col("_text")
+    documents = documents.withColumn(TEXT, text_or_empty(text_col))
+    limits = clearing_limits(documents.select(F.col(TEXT).alias("full_text")), q)
+    text = F.col(TEXT)
     assign = F.filter(_found(text, ASSIGN, "assign", 2), lambda x: F.length(x["value"]) >= ASSIGN_VALUE)
     access = F.filter(_found(text, ACCESS, "access"), lambda x: F.length(x["value"]) >= ACCESS_LENGTH)
     base = F.array_sort(F.concat(assign, access, _found(text, HEX, "hex")))
-    found = documents.withColumn("_base", base)
-    return found.withColumn("_random", _random_spans(text, limits, F.col("_base"))).drop("_text")
+    found = documents.withColumn(BASE, base)
+    return found.withColumn(RANDOM, _random_spans(text, limits, F.col(BASE))).drop(TEXT)
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -232,20 +234,33 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.aggregate(F.array_sort(spans), start, step, finish)
 
 
+def redact_secrets(documents: DataFrame, text_col: str = "text") -> DataFrame:
+    """The same rows and columns; every span of a text, base or random, becomes a mark, and
+    ``n_chars``, where there is such a column, follows."""
+    found = find_secrets(documents, text_col)
+    spans = F.concat(BASE, RANDOM)
+    text = F.when(F.size(spans) > 0, redacted(F.col(text_col), spans)).otherwise(F.col(text_col))
+    out = found.withColumn(text_col, text).drop(BASE, RANDOM)
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce(F.length(text_col), F.lit(0)).cast(kind))
+    return out.select(documents.columns)
+
+
 def secret_digests(documents: DataFrame) -> DataFrame:
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     found = find_secrets(chosen)
 
     def number(kind: str) -> Column:
-        return F.size(F.filter("_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter(BASE, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select(
         "doc_id",
         number("assign"),
         number("access"),
         number("hex"),
-        F.sha2(_shown(F.col("_base")), 256).alias("base_sha256"),
-        _shown(F.array_sort(F.concat("_base", "_random"))).alias("spans"),
+        F.sha2(_shown(F.col(BASE)), 256).alias("base_sha256"),
+        _shown(F.array_sort(F.concat(BASE, RANDOM))).alias("spans"),
     )
 
 

@@ -193,5 +193,17 @@ def simhash_components(
     )
 
 
+def keep_representatives(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with all its columns.
+    Rows without doc_id are left out only if their component has a document with one."""
+    found = simhash_components(documents, id_col=id_col, text_col=text_col)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.xxhash64("doc_id").alias("__stays"), F.col("doc_id").alias("__stays_id")
+    )
+    own = F.col(id_col).cast("long")
+    same = (F.xxhash64(own) == F.col("__stays")) & own.eqNullSafe(F.col("__stays_id"))
+    return documents.join(stay, same, "left_semi")
+
+
 def op4_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -235,6 +235,23 @@ def score_documents(documents: DataFrame, weights: np.ndarray, bias: float) -> D
     return chosen.mapInArrow(score, "doc_id long, score double")
 
 
+def drop_toxic(documents: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` that score below 0.5, with all their columns."""
+    weights, bias = fit_toxicity(documents, labels)
+    at = np.flatnonzero(weights)
+    values = weights[at]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = np.zeros(BUCKETS)
+        full[at] = values
+        table = word_weights(full)
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index(text_col))
+            yield batch.filter(pa.array([score_text(t.as_py(), table, bias) < 0.5 for t in texts], pa.bool_()))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     scored = score_documents(documents, *fit_toxicity(documents, labels))

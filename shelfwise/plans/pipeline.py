@@ -22,10 +22,10 @@ from shelfwise.operators import facts
 from shelfwise.operators.reports import REPORTS
 from shelfwise.operators.stats import STATS, customer_profile
 from shelfwise.plans.registry import OPERATORS
-from shelfwise.session import checkpoint_dir
+from shelfwise.session import fresh_path
 from shelfwise.sinks import write_result
-from shelfwise.sources.landing import land_star
-from shelfwise.sources.readers import load_star
+from shelfwise.sources.landing import land_star, source_bytes
+from shelfwise.sources.readers import find_layout, load_star, read_csv_star
 from shelfwise.sources.star import Star
 
 # Step order of a full run (validation, then the reports, then the analyses, then the summary).
@@ -78,29 +78,40 @@ class StepStatus:
     error: str | None = None
 
 
-def materialize_shared(spark: SparkSession, star: Star, base: str, customer_key: str = "full_name") -> Star:
+def materialize_shared(
+    spark: SparkSession,
+    star: Star,
+    base: str,
+    customer_key: str = "full_name",
+    failed: list[StepStatus] | None = None,
+) -> Star:
     """Write the aggregates most steps share once, under ``base``, and attach them to the star.
 
-    Per-product totals (received, shipped, invoiced, revenue), per-sale shipment counts and
-    the per-customer profile feed about twenty steps; materialised, the facts are read for
-    them once instead of once per step. They are small next to the facts (one row per
-    product, sale or customer) and live in the shared checkpoint folder, so a lost executor
-    re-reads them rather than recomputing.
+    Per-customer and per-product sales totals (one scan), per-product received and shipped units,
+    per-sale shipment counts and the per-customer profile feed about twenty steps. They are small
+    next to the facts (one row per product, sale or customer) and live in the shared checkpoint
+    folder, so a lost executor re-reads them rather than recomputing.
+
+    With ``failed``, an aggregate that fails is recorded there and left out: the steps that use it
+    then build it themselves, and only they can fail by it.
     """
     builders = {
-        "received_by_product": lambda: facts.received_by_product(star),
-        "shipped_by_product": lambda: facts.shipped_by_product(star),
-        "invoiced_by_product": lambda: facts.invoiced_by_product(star),
-        "revenue_by_product": lambda: facts.revenue_by_product(star),
-        "shipments_per_sale": lambda: facts.shipments_per_sale(star),
-        f"customer_profile_{customer_key}": lambda: customer_profile(star, customer_key),
+        "received_by_product": facts.received_by_product,
+        "sales_totals": facts.sales_totals,
+        "shipments_by_product": facts.shipments_by_product,
+        "shipments_per_sale": facts.shipments_per_sale,
+        f"customer_profile_{customer_key}": lambda star: customer_profile(star, customer_key),
     }
-    shared = {}
     for name, build in builders.items():
-        path = os.path.join(base, name)
-        build().write.mode("overwrite").parquet(path)
-        shared[name] = spark.read.parquet(path)
-    return star.with_aggregates(**shared)
+        path, t0 = os.path.join(base, name), time.perf_counter()
+        try:
+            build(star).write.mode("overwrite").parquet(path)
+            star = star.with_aggregates(**{name: spark.read.parquet(path)})
+        except Exception as exc:  # noqa: BLE001 - as for a step
+            if failed is None:
+                raise
+            failed.append(StepStatus(f"shared:{name}", False, time.perf_counter() - t0, str(exc)[:500]))
+    return star
 
 
 def run_pipeline(
@@ -114,6 +125,8 @@ def run_pipeline(
     buckets: int | None = None,
     output_names: str = "keys",
     share: bool = True,
+    layout: str | None = None,
+    quarantine: bool = False,
 ) -> list[StepStatus]:
     """Run ``steps`` (default: all) over the star schema at ``source``; write each result to
     ``out_dir/<step>`` and a ``step_status`` table. Returns the per-step status list.
@@ -124,17 +137,29 @@ def run_pipeline(
     :mod:`shelfwise.sources.landing`), removing the fact-fact shuffles of later steps.
     ``output_names="reference"`` writes each result under the reference's output name
     (:data:`REFERENCE_OUTPUT_NAMES`) instead of the step key. ``share`` materialises the
-    aggregates most steps have in common first (:func:`materialize_shared`).
+    aggregates most steps have in common first (:func:`materialize_shared`). ``layout`` names the
+    source's layout instead of looking for it; a source that is landed already is not landed again.
+    ``quarantine`` (CSV drop) writes malformed rows to ``out_dir/quarantine/<table>`` and goes on
+    with the others; without it they abort the run. Intermediates go to a new folder per run.
     """
     if output_names not in ("keys", "reference"):
         raise ValueError(f"output_names must be 'keys' or 'reference', got {output_names!r}")
-    star = load_star(spark, source)
-    if land:
-        base = os.path.join(checkpoint_dir(spark), "landed_star")
-        star = land_star(spark, star, base, buckets=buckets)
-    if share:
-        star = materialize_shared(spark, star, os.path.join(checkpoint_dir(spark), "shared"))
+    run_dir = fresh_path(spark, "run")
+    layout = layout or find_layout(spark, source)
+    if quarantine:
+        if layout != "csv":
+            raise ValueError(f"quarantine is for the CSV drop; {source!r} is {layout}")
+        star, bad = read_csv_star(spark, source, mode="quarantine")
+        for name, rows in bad.items():
+            rows.write.mode("overwrite").parquet(os.path.join(out_dir, "quarantine", name))
+    else:
+        star = load_star(spark, source, layout)
+    if land and layout != "landed":
+        base = os.path.join(run_dir, "landed_star")
+        star = land_star(spark, star, base, buckets=buckets, n_bytes=source_bytes(spark, source))
     statuses: list[StepStatus] = []
+    if share:
+        star = materialize_shared(spark, star, os.path.join(run_dir, "shared"), failed=statuses)
     for step in steps or DEFAULT_STEPS:
         if step not in OPERATORS:
             statuses.append(StepStatus(step, False, 0.0, "unknown step"))
@@ -182,6 +207,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--buckets", type=int, default=None, help="co-bucket invoices and shipments")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
     ap.add_argument("--reference-names", action="store_true", help="reference output names")
+    ap.add_argument("--quarantine", action="store_true", help="write malformed CSV rows aside and go on")
     ap.add_argument("--no-land", action="store_true", help="read the source directly")
     args = ap.parse_args(argv)
     spark = build_session()
@@ -194,6 +220,7 @@ def main(argv: list[str] | None = None) -> int:
         fmt=args.format,
         buckets=args.buckets,
         output_names="reference" if args.reference_names else "keys",
+        quarantine=args.quarantine,
     )
     failed = [s.step for s in statuses if not s.ok]
     print(f"{len(statuses) - len(failed)} steps ok, failed: {failed}")

@@ -98,18 +98,21 @@ def conform(df: DataFrame, contract: T.StructType, strict: bool = True) -> DataF
     )
 
 
-def quarantine(df: DataFrame, contract: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Split a raw (string-typed) source into (conforming rows, rows with a failed cast).
-
-    A row is bad when some field is non-NULL in the source but NULL after ``try_cast``.
-    Both outputs are lazy and computed from one scan each; nothing is dropped.
+def quarantine(
+    df: DataFrame, contract: T.StructType, corrupt: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Split a raw (string-typed) source into (conforming rows, bad rows).
+
+    A row is bad when some field is non-NULL in the source but NULL after ``try_cast``, or when
+    the reader marked it in the column ``corrupt``. Both outputs are lazy and computed from one
+    scan each; nothing is dropped.
     """
     by_lower = {c.lower(): c for c in df.columns}
-    raw = [F.col(f"`{by_lower[f.name.lower()]}`") for f in contract.fields]
-    typed = [r.try_cast(f.dataType) for r, f in zip(raw, contract.fields)]
-    failed = F.lit(False)
-    for r, t in zip(raw, typed):
-        failed = failed | (r.isNotNull() & t.isNull())
+    failed = F.lit(False) if corrupt is None else F.col(corrupt).isNotNull()
+    for field in contract.fields:
+        if field.name.lower() in by_lower:
+            value = F.col(f"`{by_lower[field.name.lower()]}`")
+            failed = failed | (value.isNotNull() & value.try_cast(field.dataType).isNull())
     flagged = df.withColumn("_cast_failed", failed)
     good = conform(flagged.filter(~F.col("_cast_failed")), contract, strict=False)
     bad = flagged.filter(F.col("_cast_failed")).drop("_cast_failed")

@@ -7,10 +7,13 @@ Layout
 * Facts are range-partitioned on (date, id) before writing: each file covers a narrow date
   span, so Parquet min/max statistics let ``date`` filters skip row groups, and a hot day is
   split across several files because the id continues the range key.
+* The number of files follows the size of the source (``FILE_BYTES`` each), not a session default.
 * With ``buckets=N``, Sales_Invoices and Shipments are instead written as catalog tables
-  bucketed and sorted by ``sales_id`` into the same N buckets. Every invoice-shipment join and
-  every per-sale aggregate then reads co-partitioned data: no shuffle of either fact table.
-  N should give bucket files of a few hundred MB at the target size.
+  bucketed and sorted by ``sales_id`` into the same N buckets, one file per bucket. Every
+  invoice-shipment join and every per-sale aggregate then reads co-partitioned data: no shuffle of
+  either fact table. N should give bucket files of a few hundred MB at the target size.
+* A bucket is read by one task and cannot be split, so a source in which one sale holds more than
+  ``HOT_SHARE`` of a bucket's fair share stays in the plain layout, where AQE splits it.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.sources.readers import read_landed_star
 from shelfwise.sources.star import Star
@@ -27,10 +31,12 @@ FACT_IDS = {"sales_invoices": "sales_id", "shipments": "shipment_id", "receipts"
 CO_BUCKETED = ("sales_invoices", "shipments")
 
 
-def land_table(df: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Overwrite ``path`` with ``df``; facts are range-clustered on (date, id) first."""
-    if partitions is not None:
-        df = df.repartitionByRange(partitions, *_cluster_keys(df))
+def land_table(df: DataFrame, path: str, partitions: int | None = None, cluster: bool = True) -> None:
+    """Overwrite ``path`` with ``df``; facts are range-clustered on (date, id) first, into
+    ``partitions`` files or as many as AQE makes of the data's size."""
+    if cluster:
+        keys = _cluster_keys(df)
+        df = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     df.write.mode("overwrite").parquet(path)
 
 
@@ -50,7 +56,8 @@ def bucketed_table_name(base: str, name: str) -> str:
 
 def land_bucketed(df: DataFrame, base: str, name: str, buckets: int) -> None:
     (
-        df.write.mode("overwrite")
+        df.repartition(buckets, "sales_id")  # one task, so one file, per bucket
+        .write.mode("overwrite")
         .bucketBy(buckets, "sales_id")
         .sortBy("sales_id")
         .option("path", os.path.join(base, name))
@@ -58,22 +65,51 @@ def land_bucketed(df: DataFrame, base: str, name: str, buckets: int) -> None:
     )
 
 
+FILE_BYTES = 256 << 20
+HOT_SHARE = 4.0
+
+
+def source_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under ``path``, from the file system's own summary."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(jvm_path).getLength()) if fs.exists(jvm_path) else 0
+
+
+def partitions_for(n_bytes: int) -> int:
+    return max(1, -(-n_bytes // FILE_BYTES))
+
+
+def has_hot_sale(star: Star, buckets: int) -> bool:
+    """Whether one sale outgrows its bucket: more than ``HOT_SHARE`` times the mean bucket."""
+    per_sale = star.shipments.groupBy("sales_id").agg(F.count(F.lit(1)).alias("n"))
+    most, total = per_sale.agg(F.max("n"), F.sum("n")).first()
+    return bool(total) and most > max(1, HOT_SHARE * total / buckets)
+
+
 def land_star(
     spark: SparkSession,
     star: Star,
     base: str,
     fact_partitions: int | None = None,
     buckets: int | None = None,
+    n_bytes: int | None = None,
 ) -> Star:
     """Write the five tables under ``base`` and return a :class:`Star` reading them back.
 
-    ``fact_partitions`` defaults to ``spark.sql.shuffle.partitions``. ``buckets`` turns on the
-    co-bucketed layout of Sales_Invoices and Shipments (needs a session catalog).
+    ``fact_partitions``: files per fact; else from ``n_bytes`` (size of the source), else left to
+    AQE. ``buckets`` turns on the co-bucketed layout of Sales_Invoices and Shipments (needs a
+    session catalog) unless a sale is too hot for it. Catalog entries of an earlier bucketed
+    landing at ``base`` are dropped first.
     """
-    n = fact_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = fact_partitions or (partitions_for(n_bytes) if n_bytes is not None else None)
+    if buckets and has_hot_sale(star, buckets):
+        buckets = None
+    for name in CO_BUCKETED:
+        spark.sql(f"DROP TABLE IF EXISTS {bucketed_table_name(base, name)}")
     for name, df in star.tables().items():
         if buckets and name in CO_BUCKETED:
             land_bucketed(df, base, name, buckets)
         else:
-            land_table(df, os.path.join(base, name), n if name in FACT_IDS else None)
+            land_table(df, os.path.join(base, name), n, cluster=name in FACT_IDS)
     return read_landed_star(spark, base)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -29,24 +30,36 @@ CSV_FILES = {
 }
 
 
+#: Holds the raw line of a row whose number of fields is not the header's.
+CORRUPT = "_corrupt_record"
+
+
 def read_csv_table(
     spark: SparkSession,
     path: str,
     contract: T.StructType,
     mode: str = "strict",
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
-    """Read a header CSV and map its columns to ``contract`` **by header name**.
+    """Read a header CSV (file or folder) and map its columns to ``contract`` **by header name**.
+
+    Every field is read as a string (no inference pass over the data), then cast by name. The
+    header of *every* file is held against the first one: a part file with other or swapped columns
+    is an error, never a shift of values.
 
-    Every field is read as a string (no inference pass over the data), then cast by name.
-    ``mode='strict'``: an unparseable value aborts the job (ANSI cast).
-    ``mode='quarantine'``: returns ``(good_rows, bad_rows)``; bad rows keep their raw strings.
+    ``mode='strict'``: a row with too few or too many fields, or a value that does not parse,
+    aborts the job. ``mode='quarantine'``: returns ``(good_rows, bad_rows)``; bad rows keep their
+    raw strings, and the whole line in ``_corrupt_record`` where the field count is wrong.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    if mode not in ("strict", "quarantine"):
+        raise ValueError(f"unknown mode {mode!r}")
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("columnPruning", False)
+    names = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
     if mode == "strict":
-        return conform(raw, contract, strict=True)
-    if mode == "quarantine":
-        return quarantine(raw, contract)
-    raise ValueError(f"unknown mode {mode!r}")
+        return conform(reader.schema(schema).option("mode", "FAILFAST").csv(path), contract, strict=True)
+    schema = schema.add(CORRUPT, T.StringType())
+    raw = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    return quarantine(raw.csv(path), contract, corrupt=CORRUPT)
 
 
 def read_parquet_table(spark: SparkSession, path: str, contract: T.StructType) -> DataFrame:
@@ -54,20 +67,18 @@ def read_parquet_table(spark: SparkSession, path: str, contract: T.StructType) -
     return conform(spark.read.parquet(path), contract)
 
 
-def read_csv_star(spark: SparkSession, csv_dir: str, mode: str = "strict") -> Star:
+def read_csv_star(
+    spark: SparkSession, csv_dir: str, mode: str = "strict"
+) -> Star | tuple[Star, dict[str, DataFrame]]:
+    """The CSV drop as a star; ``mode='quarantine'`` returns the bad rows per table with it."""
     tables = {
         name: read_csv_table(spark, os.path.join(csv_dir, CSV_FILES[name]), CONTRACTS[name], mode)
         for name in CONTRACTS
     }
-    if mode == "quarantine":
-        tables = {name: pair[0] for name, pair in tables.items()}
-    return Star(
-        tables["customers"],
-        tables["products"],
-        tables["sales_invoices"],
-        tables["shipments"],
-        tables["receipts"],
-    )
+    if mode == "strict":
+        return Star(*(tables[name] for name in CONTRACTS))
+    good = Star(*(tables[name][0] for name in CONTRACTS))
+    return good, {name: pair[1] for name, pair in tables.items()}
 
 
 def read_landed_star(spark: SparkSession, base: str) -> Star:
@@ -91,26 +102,36 @@ def read_landed_star(spark: SparkSession, base: str) -> Star:
     )
 
 
-def _readable(spark: SparkSession, reader: str, path: str) -> bool:
-    """Whether ``path`` exists for the given reader.
-
-    Local paths are checked on the filesystem; URIs (s3a://, hdfs://, ...) by letting Spark
-    resolve them (a file listing, no data scan).
-    """
-    if "://" not in path or path.startswith("file:"):
-        local = path[len("file:"):] if path.startswith("file:") else path
-        return os.path.exists(local)
+def _exists(spark: SparkSession, reader: str, path: str) -> bool:
+    """Whether Spark finds ``path`` (in its default file system if it has no scheme). Any other
+    failure, such as a missing permission, is the caller's to see."""
     try:
         getattr(spark.read.option("header", True), reader)(path)
-    except Exception:  # noqa: BLE001 - Spark raises AnalysisException[PATH_NOT_FOUND]
-        return False
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
     return True
 
 
-def load_star(spark: SparkSession, path: str) -> Star:
-    """Resolve ``path`` to a :class:`Star` (see module docstring). Lazy: no job is run."""
-    if _readable(spark, "parquet", os.path.join(path, "sales_invoices")):
+LAYOUTS = ("landed", "csv", "tpch")
+
+
+def find_layout(spark: SparkSession, path: str) -> str:
+    """Which of :data:`LAYOUTS` lies at ``path`` (a file listing and a footer or header at most)."""
+    if _exists(spark, "parquet", os.path.join(path, "sales_invoices")):
+        return "landed"
+    if _exists(spark, "csv", os.path.join(path, CSV_FILES["sales_invoices"])):
+        return "csv"
+    return "tpch"
+
+
+def load_star(spark: SparkSession, path: str, layout: str | None = None) -> Star:
+    """Resolve ``path`` to a :class:`Star` (see module docstring). Lazy: no job over data is run.
+    ``layout`` names the layout instead of looking for it."""
+    layout = layout or find_layout(spark, path)
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout must be one of {LAYOUTS}, got {layout!r}")
+    if layout == "landed":
         return read_landed_star(spark, path)
-    if _readable(spark, "csv", os.path.join(path, CSV_FILES["sales_invoices"])):
-        return read_csv_star(spark, path)
-    return star_from_tpch(spark, path)
+    return read_csv_star(spark, path) if layout == "csv" else star_from_tpch(spark, path)

@@ -30,6 +30,7 @@ from shelfwise.sources.star import Star
 # Fixed values of the fixture mapping (market segment -> credit rating; all others are "Good").
 SEGMENT_RATING = {"BUILDING": "Excellent", "AUTOMOBILE": "Fair", "MACHINERY": "Poor"}
 DEFAULT_RATING = "Good"
+UNSOLD_EVERY = 40
 
 
 def _line_key() -> F.Column:
@@ -56,10 +57,14 @@ def customers_from_tpch(customer: DataFrame, nation: DataFrame, region: DataFram
 
 
 def products_from_tpch(part: DataFrame) -> DataFrame:
+    """One product per part, and for every :data:`UNSOLD_EVERY`-th part one more that no line uses."""
     markup_pct = F.lit(50) + (F.col("p_size") % 10) * 6
-    out = part.select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("product_name"),
+    extra = F.col("p_partkey") % UNSOLD_EVERY == 0
+    out = part.withColumn(
+        "_unsold", F.explode(F.when(extra, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    ).select(
+        F.when(F.col("_unsold"), -1 - F.col("p_partkey")).otherwise(F.col("p_partkey")).alias("product_id"),
+        F.concat("p_name", F.when(F.col("_unsold"), " (unsold)").otherwise("")).alias("product_name"),
         (F.col("p_size") * 20).alias("inventory_amount"),
         F.round(F.col("p_retailprice") * markup_pct / 100, 2).alias("cost"),
         F.col("p_retailprice").alias("selling_price"),
@@ -68,6 +73,7 @@ def products_from_tpch(part: DataFrame) -> DataFrame:
 
 
 def sales_from_tpch(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
+    """One invoice per (order, line number): of several lines the first by part, quantity and price."""
     lines = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(
         part.select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey")
     )
@@ -75,20 +81,28 @@ def sales_from_tpch(lineitem: DataFrame, orders: DataFrame, part: DataFrame) ->
         orders.select("o_orderkey", "o_custkey", "o_orderdate"),
         F.col("l_orderkey") == F.col("o_orderkey"),
     )
-    out = joined.groupBy("l_orderkey", "l_linenumber").agg(
-        F.max("p_retailprice").alias("unit_price"),
-        F.max("l_quantity").cast("int").alias("quantity"),
-        F.max("o_orderdate").cast("date").alias("date"),
-        F.min("l_partkey").alias("product_id"),
-        F.max("o_custkey").alias("customer_id"),
+    line = F.struct("l_partkey", "l_quantity", "p_retailprice", "o_orderdate", "o_custkey")
+    out = joined.groupBy("l_orderkey", "l_linenumber").agg(F.min(line).alias("line"))
+    out = out.select(
+        _line_key().alias("sales_id"),
+        F.col("line.p_retailprice").alias("unit_price"),
+        F.col("line.l_quantity").cast("int").alias("quantity"),
+        F.col("line.o_orderdate").cast("date").alias("date"),
+        F.col("line.l_partkey").alias("product_id"),
+        F.col("line.o_custkey").alias("customer_id"),
     )
-    out = out.withColumn("sales_id", _line_key())
     return conform(out, SALES_INVOICES)
 
 
+def _event_id() -> F.Column:
+    """60 bits of a digest of the line's keys: no two lines of any size of input share it by rule."""
+    keys = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
+    return F.conv(F.substring(F.md5(keys), 1, 15), 16, 10).cast("long")
+
+
 def _line_events(lineitem: DataFrame, condition: F.Column, qty_name: str) -> DataFrame:
     return lineitem.filter(condition).select(
-        (_line_key() * 100000 + F.col("l_partkey")).alias("event_id"),
+        _event_id().alias("event_id"),
         _line_key().alias("sales_id"),
         F.col("l_shipdate").cast("date").alias("date"),
         F.col("l_quantity").cast("int").alias(qty_name),

@@ -51,3 +51,34 @@ def test_shared_aggregates_give_identical_results(spark, scratch):
         b = sorted(map(tuple, run(name, shared).collect()), key=repr)
         assert a == b, name
     assert set(FIXTURE) <= set(OPERATORS)
+
+
+def test_failing_shared_aggregate_fails_no_other_step(spark, scratch, monkeypatch):
+    from shelfwise.operators import facts
+
+    def broken(star):
+        raise RuntimeError("no shared totals")
+
+    monkeypatch.setattr(facts, "received_by_product", broken)
+    out = os.path.join(scratch, "out")
+    by = {s.step: s for s in run_pipeline(spark, SF, out, steps=["customer_sales_summary"], land=False)}
+    assert not by["shared:received_by_product"].ok and by["customer_sales_summary"].ok
+
+
+def test_quarantined_rows_are_written(spark, scratch):
+    heads = {
+        "Customers": "customer_id,first_name,last_name,address,credit_rating\n1,Sam,Lee,x,Good\n",
+        "Products": "product_id,product_name,cost,selling_price,inventory_amount\n10,widget,2.0,5.0,100\n10,short\n",
+        "Sales_Invoices": "sales_id,customer_id,product_id,unit_price,quantity,date\n1,1,10,5.0,3,2024-01-01\n2,1,10,5.0,x,2024-01-01\n",
+        "Shipments": "shipment_id,sales_id,product_id,quantity_sold,date\n1,1,10,3,2024-01-02\n",
+        "Receipts": "receipt_id,product_id,quantity_received,date\n1,10,7,2023-10-01\n",
+    }
+    src, out = os.path.join(scratch, "src"), os.path.join(scratch, "out")
+    os.makedirs(src)
+    for name, text in heads.items():
+        with open(os.path.join(src, f"{name}.csv"), "w") as fh:
+            fh.write(text)
+    statuses = run_pipeline(spark, src, out, steps=["validate_row_counts"], quarantine=True, share=False)
+    assert all(s.ok for s in statuses)
+    counts = {n: spark.read.parquet(os.path.join(out, "quarantine", n)).count() for n in ("products", "sales_invoices", "receipts")}
+    assert counts == {"products": 1, "sales_invoices": 1, "receipts": 0}

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import dataclasses
 import os
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import functions as F
 
 from shelfwise.sources.contracts import PRODUCTS, SALES_INVOICES, ContractError
-from shelfwise.sources.landing import land_star
+from shelfwise.sources.landing import bucketed_table_name, land_star, partitions_for, source_bytes
 from shelfwise.sources.readers import load_star, read_csv_table
 from shelfwise.sources.tpch_fixture import star_from_tpch
 
@@ -36,23 +38,73 @@ def test_missing_column_is_an_error(spark, scratch):
         read_csv_table(spark, path, PRODUCTS)
 
 
+INVOICES = "sales_id,customer_id,product_id,unit_price,quantity,date\n"
+
+
 def test_bad_cast_strict_fails_quarantine_keeps(spark, scratch):
     path = _write(os.path.join(scratch, "s.csv"),
-                  "sales_id,customer_id,product_id,unit_price,quantity,date\n"
-                  "1,1,1,2.5,3,2024-01-05\n2,1,1,2.5,x,2024-13-40\n")
-    with pytest.raises((PySparkException, AnalysisException, Exception)):
+                  INVOICES + "1,1,1,2.5,3,2024-01-05\n2,1,1,2.5,x,2024-13-40\n")
+    with pytest.raises(PySparkException) as e:
         read_csv_table(spark, path, SALES_INVOICES).collect()
+    assert e.value.getCondition() == "CAST_INVALID_INPUT"
     good, bad = read_csv_table(spark, path, SALES_INVOICES, mode="quarantine")
     assert [r["sales_id"] for r in good.collect()] == [1]
     assert [r["sales_id"] for r in bad.collect()] == ["2"]
 
 
+@pytest.mark.parametrize("line", ["2,1,1,2.5", "2,1,1,2.5,4,2024-01-06,extra"])
+def test_wrong_field_count_is_malformed(spark, scratch, line):
+    path = _write(os.path.join(scratch, "s.csv"), INVOICES + f"1,1,1,2.5,3,2024-01-05\n{line}\n")
+    with pytest.raises(Py4JJavaError) as e:
+        read_csv_table(spark, path, SALES_INVOICES).collect()
+    assert e.value.java_exception.getCondition() == "FAILED_READ_FILE.NO_HINT"
+    good, bad = read_csv_table(spark, path, SALES_INVOICES, mode="quarantine")
+    assert [r["sales_id"] for r in good.collect()] == [1]
+    assert [r["_corrupt_record"] for r in bad.collect()] == [line]
+
+
+@pytest.mark.parametrize("mode", ["strict", "quarantine"])
+def test_swapped_header_in_a_part_file_is_an_error(spark, scratch, mode):
+    _write(os.path.join(scratch, "a.csv"), "product_id,product_name,cost,selling_price,inventory_amount\n1,widget,4.5,9.5,250\n")
+    _write(os.path.join(scratch, "b.csv"), "product_id,product_name,inventory_amount,cost,selling_price\n2,gizmo,300,5.0,11\n")
+    with pytest.raises(Py4JJavaError) as e:
+        found = read_csv_table(spark, scratch, PRODUCTS, mode=mode)
+        (found if mode == "strict" else found[0]).collect()
+    assert e.value.java_exception.getCondition() == "FAILED_READ_FILE.NO_HINT"
+
+
+def test_relanding_without_buckets_replaces_the_bucketed_tables(spark, scratch):
+    star, base = star_from_tpch(spark, SF), os.path.join(scratch, "again")
+    land_star(spark, star, base, buckets=4)
+    files = [f for f in os.listdir(os.path.join(base, "shipments")) if f.endswith(".parquet")]
+    assert len(files) == 4
+    landed = land_star(spark, star, base)
+    assert landed.shipments.count() == star.shipments.count()
+    assert load_star(spark, base).sales.count() == star.sales.count()
+
+
+def test_hot_sale_is_not_bucketed(spark, scratch):
+    star = star_from_tpch(spark, SF)
+    hot = star.sales.first()["sales_id"]
+    ships = star.shipments.withColumn("sales_id", F.when(F.col("shipment_id") % 3 > 0, F.lit(hot)).otherwise(F.col("sales_id")))
+    base = os.path.join(scratch, "hot")
+    landed = land_star(spark, dataclasses.replace(star, shipments=ships), base, buckets=16)
+    assert not spark.catalog.tableExists(bucketed_table_name(base, "shipments"))
+    assert landed.shipments.count() == star.shipments.count()
+
+
+def test_partition_count_follows_the_source(spark):
+    assert partitions_for(1) == 1
+    assert partitions_for(100 << 40) == 100 * 4096
+    assert source_bytes(spark, SF) == sum(
+        os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(SF) for f in fs
+    )
 
 
 def test_tpch_fixture_counts_and_landing_roundtrip(spark, scratch):
     star = star_from_tpch(spark, SF)
     counts = {k: v.count() for k, v in star.tables().items()}
-    assert counts == {"customers": 150, "products": 200, "sales_invoices": 4599,
+    assert counts == {"customers": 150, "products": 205, "sales_invoices": 4599,
                       "shipments": 3010, "receipts": 1968}
     landed = land_star(spark, star, os.path.join(scratch, "star"))
     assert {k: v.count() for k, v in landed.tables().items()} == counts

@@ -29,52 +29,55 @@ def unprefixed(prefix: str) -> list[Column]:
     return [F.col(prefix + name).alias(name) for name in MOMENTS]
 
 
-POWER_SUMS = ("k", "x", "y", "xx", "yy", "xy")
+#: Parts of a centred moment set that merge over disjoint row sets (see :func:`centred_moments`).
+PARTS = (*MOMENTS, "_xlo", "_xhi")
 
-# Relative size below which a centred sum of squares counts as exactly zero (constant input).
-CONSTANT_TOL = 1e-12
 
+def centred_moments(y: Column, x: Column, prefix: str) -> list[Column]:
+    """Count, means and centred sums of the complete (x, y) pairs, and the range of x.
 
-def power_sums(y: Column, x: Column, prefix: str) -> list[Column]:
-    """Mergeable sums over complete (x, y) pairs: count, Σx, Σy, Σx², Σy², Σxy.
-
-    Unlike co-moments these can be summed across any partition of the rows (for example
-    per customer id first, then per customer name), so a fact table can be pre-aggregated on
-    its join key *before* the join. Re-centre with :func:`moments_from_power_sums`.
+    Two of them merge without power sums (:func:`merge_means`, :func:`merged_moments`), so a fact
+    table can be reduced on its join key before the join, and no sum of large squares is ever
+    subtracted from another.
     """
     both = y.isNotNull() & x.isNotNull()
-    xs, ys = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    xs = F.when(both, x.cast("double"))
     return [
-        F.count(xs).alias(prefix + "k"),
-        F.sum(xs).alias(prefix + "x"),
-        F.sum(ys).alias(prefix + "y"),
-        F.sum(xs * xs).alias(prefix + "xx"),
-        F.sum(ys * ys).alias(prefix + "yy"),
-        F.sum(xs * ys).alias(prefix + "xy"),
+        *ols_moments(y.cast("double"), x.cast("double"), prefix),
+        F.min(xs).alias(prefix + "_xlo"),
+        F.max(xs).alias(prefix + "_xhi"),
     ]
 
 
-def moments_from_power_sums(src: str, dst: str) -> list[Column]:
-    """Co-moment columns ``dst + (_n, _ax, _ay, _sxx, _syy, _sxy)`` from ``src`` power sums.
+def merge_means(prefix: str) -> list[Column]:
+    """Aggregates over moment rows: the merged count and means (``prefix + _m*``)."""
+    n, mean_x, mean_y = (F.col(prefix + c) for c in ("_n", "_ax", "_ay"))
+    total = F.sum(n)
+    return [
+        total.alias(prefix + "_mn"),
+        F.try_divide(F.sum(n * mean_x), total).alias(prefix + "_mx"),
+        F.try_divide(F.sum(n * mean_y), total).alias(prefix + "_my"),
+    ]
 
-    Centred sums of squares within ``CONSTANT_TOL`` of zero relative to the raw sum are set
-    to exactly 0, so a constant regressor gives a NULL slope as with ``regr_slope``.
-    """
-    k, x, y = src + "k", src + "x", src + "y"
-    n = F.when(F.col(k) > 0, F.col(k))
 
-    def sq(raw_name: str, a: str) -> Column:
-        raw = F.col(raw_name) - F.try_divide(F.col(a) * F.col(a), n)
-        tiny = raw <= F.lit(CONSTANT_TOL) * F.abs(F.col(raw_name))
-        return F.when(tiny, F.lit(0.0)).otherwise(raw)
+def merged_moments(prefix: str) -> list[Column]:
+    """Aggregates over moment rows that carry their group's :func:`merge_means`: the merged
+    moments under their own names. The spread within the parts and that of their means add up.
+    An x that never varies has a centred sum of exactly 0, whatever the rounding of the mean."""
+    n = F.col(prefix + "_n")
+    dx, dy = F.col(prefix + "_ax") - F.col(prefix + "_mx"), F.col(prefix + "_ay") - F.col(prefix + "_my")
+    constant = F.min(prefix + "_xlo") == F.max(prefix + "_xhi")
+
+    def spread(own: str, between: Column) -> Column:
+        return F.sum(F.col(prefix + own) + n * between)
 
     return [
-        F.col(k).alias(dst + "_n"),
-        F.try_divide(F.col(x), n).alias(dst + "_ax"),
-        F.try_divide(F.col(y), n).alias(dst + "_ay"),
-        sq(src + "xx", x).alias(dst + "_sxx"),
-        sq(src + "yy", y).alias(dst + "_syy"),
-        (F.col(src + "xy") - F.try_divide(F.col(x) * F.col(y), n)).alias(dst + "_sxy"),
+        F.max(prefix + "_mn").alias(prefix + "_n"),
+        F.max(prefix + "_mx").alias(prefix + "_ax"),
+        F.max(prefix + "_my").alias(prefix + "_ay"),
+        F.when(constant, F.lit(0.0)).otherwise(spread("_sxx", dx * dx)).alias(prefix + "_sxx"),
+        spread("_syy", dy * dy).alias(prefix + "_syy"),
+        F.when(constant, F.lit(0.0)).otherwise(spread("_sxy", dx * dy)).alias(prefix + "_sxy"),
     ]
 
 

@@ -9,26 +9,35 @@ from pyspark.sql import types as T
 _FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
 
 
+def _rounder(mode: str):
+    if mode == "half_up":
+        return F.round
+    if mode == "half_even":
+        return F.bround
+    raise ValueError(f"unknown rounding mode {mode!r}")
+
+
 def round_value(col, digits: int = 2, mode: str = "half_up"):
-    """Round a fractional column to ``digits`` places.
+    """Round a fractional column to ``digits`` places, from the value itself at any magnitude.
 
     ``half_up``: 0.125 -> 0.13 (SQL ROUND); ``half_even``: 0.125 -> 0.12 (banker's).
-    The value is first snapped to 10 decimal places (DECIMAL(38,10)), so binary noise from
-    summation order (e.g. 38633.274999999998 for an exact 38633.275) cannot flip the last
-    digit; magnitudes beyond DECIMAL(38,10) fall back to rounding the double directly.
     """
-    if mode == "half_up":
-        fn = F.round
-    elif mode == "half_even":
-        fn = F.bround
-    else:
-        raise ValueError(f"unknown rounding mode {mode!r}")
-    snapped = fn(col.try_cast(T.DecimalType(38, 10)), digits).cast(T.DoubleType())
-    return F.coalesce(snapped, fn(col, digits))
+    return _rounder(mode)(col, digits)
+
+
+def comparable_value(col, digits: int = 2):
+    """For comparing two engines only: values that differ in the order of summation (an exact
+    38633.275 against 38633.274999999998) must not fall on two sides of a tie, so the value is
+    put on 10 decimals before it is rounded. No sink uses it."""
+    snapped = F.round(col.try_cast(T.DecimalType(38, 10)), digits).cast(T.DoubleType())
+    return F.coalesce(snapped, F.round(col, digits))
 
 
-def round_numeric(df: DataFrame, digits: int = 2, mode: str = "half_up") -> DataFrame:
+def round_numeric(
+    df: DataFrame, digits: int = 2, mode: str = "half_up", comparable: bool = False
+) -> DataFrame:
     """Round all fractional columns to ``digits``; integers, strings and dates pass through.
+    ``comparable``: by :func:`comparable_value`.
 
     One projection, so it fuses into the producing stage's generated code.
     """
@@ -36,9 +45,9 @@ def round_numeric(df: DataFrame, digits: int = 2, mode: str = "half_up") -> Data
     for field in df.schema.fields:
         col = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DecimalType):
-            rounder = F.round if mode == "half_up" else F.bround
-            col = rounder(col, digits).alias(field.name)
+            col = _rounder(mode)(col, digits).alias(field.name)
         elif isinstance(field.dataType, _FRACTIONAL):
-            col = round_value(col, digits, mode).alias(field.name)
+            value = comparable_value(col, digits) if comparable else round_value(col, digits, mode)
+            col = value.alias(field.name)
         cols.append(col)
     return df.select(*cols)

@@ -7,10 +7,11 @@ all rows) reaches the shuffle as one row per map task instead of millions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.columns import full_name, line_value
+from shelfwise.functions import regression as ols
+from shelfwise.functions.columns import epoch_days, full_name, line_value
 from shelfwise.sources.star import Star
 
 CUSTOMER_KEYS = ("full_name", "customer_id")
@@ -44,26 +45,66 @@ def received_by_product(star: Star) -> DataFrame:
     )
 
 
-def shipped_by_product(star: Star, name: str = "total_sold") -> DataFrame:
-    shipped = star.shared(
-        "shipped_by_product",
-        lambda: star.shipments.groupBy("product_id").agg(F.sum("quantity_sold").alias("total_sold")),
+def _sales_aggregates() -> list[Column]:
+    """What the analyses need of a set of invoices: value, units and the moments of quantity,
+    line value ~ quantity (``_s``) and line value ~ invoice day (``_g``)."""
+    q = F.col("quantity").cast("double")
+    return [
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum(line_value()).alias("value"),
+        F.sum("quantity").alias("units"),
+        *ols.centred_moments(q, q, "_q"),
+        *ols.centred_moments(line_value(), q, "_s"),
+        *ols.centred_moments(line_value(), epoch_days("date"), "_g"),
+    ]
+
+
+def sales_totals(star: Star) -> DataFrame:
+    """:func:`_sales_aggregates` per customer id and per product id from one scan of the invoices
+    (``per`` says which); attach it as ``sales_totals`` and both lookups below read it."""
+    both = star.sales.groupingSets(
+        [[F.col("customer_id")], [F.col("product_id")]], F.col("customer_id"), F.col("product_id")
     )
-    return shipped if name == "total_sold" else shipped.withColumnRenamed("total_sold", name)
+    per = F.when(F.grouping("customer_id") == 0, "customer_id").otherwise("product_id")
+    return both.agg(per.alias("per"), *_sales_aggregates())
 
 
-def invoiced_by_product(star: Star) -> DataFrame:
+def _sales_by(star: Star, key: str) -> DataFrame:
+    if "sales_totals" in star.aggregates:
+        totals = star.aggregates["sales_totals"].filter(F.col("per") == key)
+        return totals.drop("per", "product_id" if key == "customer_id" else "customer_id")
+    return star.sales.groupBy(key).agg(*_sales_aggregates())
+
+
+def sales_by_customer(star: Star) -> DataFrame:
+    return _sales_by(star, "customer_id")
+
+
+def sales_by_product(star: Star) -> DataFrame:
+    return _sales_by(star, "product_id")
+
+
+def shipments_by_product(star: Star) -> DataFrame:
+    """Units shipped and the moments of the shipped quantity (``_t``) per product id."""
+    q = F.col("quantity_sold").cast("double")
     return star.shared(
-        "invoiced_by_product",
-        lambda: star.sales.groupBy("product_id").agg(F.sum("quantity").alias("total_sold")),
+        "shipments_by_product",
+        lambda: star.shipments.groupBy("product_id").agg(
+            F.sum("quantity_sold").alias("total_sold"), *ols.centred_moments(q, q, "_t")
+        ),
     )
 
 
+def shipped_by_product(star: Star, name: str = "total_sold") -> DataFrame:
+    return shipments_by_product(star).select("product_id", F.col("total_sold").alias(name))
+
+
+def invoiced_by_product(star: Star) -> DataFrame:
+    return sales_by_product(star).select("product_id", F.col("units").alias("total_sold"))
+
+
 def revenue_by_product(star: Star) -> DataFrame:
-    return star.shared(
-        "revenue_by_product",
-        lambda: star.sales.groupBy("product_id").agg(F.sum(line_value()).alias("total_revenue")),
-    )
+    return sales_by_product(star).select("product_id", F.col("value").alias("total_revenue"))
 
 
 def product_balance(star: Star, *per_product: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

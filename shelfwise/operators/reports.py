@@ -149,8 +149,8 @@ def region_customer_receipts(
     """Products bought by customers whose address matches ``address_pattern`` (SQL LIKE), with
     the product's total receipts -> (full_name, product_name, total_quantity_received).
 
-    The customer filter is applied before the fact join, so only the region's invoices are
-    aggregated. Receipts are pre-aggregated per product, so the left join cannot fan out.
+    Invoices are reduced to one row per (customer, product) before the customer join, so neither a
+    hot customer nor the invoices themselves cross it. Receipts are pre-aggregated per product, so the left join cannot fan out.
     """
     region = (
         customers_named(star, "address")
@@ -158,10 +158,11 @@ def region_customer_receipts(
         .select("customer_id", "full_name")
     )
     bought = (
-        star.sales.select("customer_id", "product_id", "quantity")
+        star.sales.groupBy("customer_id", "product_id")
+        .agg(F.sum("quantity").alias("q"))
         .join(region, "customer_id")
         .groupBy("product_id", "full_name")
-        .agg(F.sum("quantity").alias("total_quantity_purchased"))
+        .agg(F.sum("q").alias("total_quantity_purchased"))
     )
     out = (
         bought.join(products_named(star), "product_id")

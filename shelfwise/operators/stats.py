@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import regression as ols
-from shelfwise.functions.columns import epoch_days, line_value, pearson
+from shelfwise.functions.columns import line_value, pearson
 from shelfwise.functions.distributions import t_pvalue, t_quantile
 from shelfwise.functions.quantiles import exact_quantiles, quantiles as quantiles_of
 from shelfwise.operators.facts import (
@@ -30,6 +30,9 @@ from shelfwise.operators.facts import (
     products_named,
     received_by_product,
     revenue_by_product,
+    sales_by_customer,
+    sales_by_product,
+    shipments_by_product,
     shipped_by_product,
 )
 from shelfwise.sources.star import Star
@@ -54,45 +57,36 @@ def join_on_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def customer_profile(star: Star, customer_key: str = "full_name") -> DataFrame:
     """One aggregation per customer feeding analyses 1, 5 and 9.
 
-    Invoices are first reduced **per customer id** to mergeable power sums (row count, Σq,
-    Σq², and Σx, Σy, Σx², Σy², Σxy of two fits: line value ~ quantity, line value ~ invoice
-    day). Only those partials cross the shuffle into the customer join -- one row per
-    customer per task instead of every invoice, and a hot customer is combined map-side. The
-    partials are summed per name, then re-centred into mean / sd / co-moments.
+    Invoices are first reduced **per customer id** to centred moments (quantity; line value ~
+    quantity; line value ~ invoice day). Only those cross the shuffle into the customer join --
+    one row per customer per task instead of every invoice, and a hot customer is combined
+    map-side. Per name, the moments of its customers are merged about the name's means.
     """
     return star.shared(f"customer_profile_{customer_key}", lambda: _customer_profile(star, customer_key))
 
 
 def _customer_profile(star: Star, customer_key: str) -> DataFrame:
-    q = F.col("quantity").cast("double")
-    per_customer = star.sales.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.count(q).alias("_qk"),
-        F.sum(q).alias("_qs"),
-        F.sum(q * q).alias("_qss"),
-        *ols.power_sums(line_value(), q, "_sp"),
-        *ols.power_sums(line_value(), epoch_days("date"), "_gp"),
-    )
-    sums = [c for c in per_customer.columns if c != "customer_id"]
-    grouped = (
-        customers_named(star)
-        .join(per_customer, "customer_id")
-        .groupBy(*customer_grain(customer_key))
-        .agg(*[F.sum(c).alias(c) for c in sums])
-    )
-    qk = F.when(F.col("_qk") > 0, F.col("_qk"))
-    raw_ss = F.col("_qss") - F.try_divide(F.col("_qs") * F.col("_qs"), qk)
-    var_q = F.when(
-        F.col("_qk") >= 2,
-        F.greatest(raw_ss, F.lit(0.0)) / (F.col("_qk") - 1),
+    fits = ("_q", "_s", "_g")
+    per_customer = sales_by_customer(star).drop("value")
+    grain = customer_grain(customer_key)
+    named = customers_named(star).join(per_customer, "customer_id")
+    means = named.groupBy(*grain).agg(*[m for prefix in fits for m in ols.merge_means(prefix)])
+    merged = (
+        join_on_groups(named, means, grain, "inner")
+        .groupBy(*grain)
+        .agg(
+            F.sum("_rows").cast("bigint").alias("_rows"),
+            F.sum("units").alias("_units"),
+            *[m for prefix in fits for m in ols.merged_moments(prefix)],
+        )
     )
-    return grouped.select(
-        *customer_grain(customer_key),
-        F.col("_rows").cast("bigint").alias("_rows"),
-        F.try_divide(F.col("_qs"), qk).alias("average_quantity"),
-        F.sqrt(var_q).alias("std_dev_quantity"),
-        *ols.moments_from_power_sums("_sp", "_s"),
-        *ols.moments_from_power_sums("_gp", "_g"),
+    std_dev = F.sqrt(F.try_divide(F.col("_q_sxx"), F.when(F.col("_q_n") >= 2, F.col("_q_n") - 1)))
+    return merged.select(
+        *grain,
+        "_rows",
+        F.try_divide(F.col("_units"), F.col("_q_n")).alias("average_quantity"),
+        std_dev.alias("std_dev_quantity"),
+        *[F.col(prefix + m) for prefix in ("_s", "_g") for m in ols.MOMENTS],
     )
 
 
@@ -120,13 +114,11 @@ def product_profit_margins(star: Star) -> DataFrame:
     the join. Totals over no rows are 0 (R's ``sum(na.rm=TRUE)``); the margin of a zero
     revenue is NULL.
     """
-    per_product = star.sales.groupBy("product_id").agg(
-        F.sum(line_value()).alias("v"), F.sum("quantity").alias("q")
-    )
+    per_product = sales_by_product(star).select("product_id", "value", "units")
     joined = products_named(star, "cost").join(per_product, "product_id")
     out = joined.groupBy("product_name").agg(
-        F.coalesce(F.sum("v"), F.lit(0.0)).alias("total_revenue"),
-        F.coalesce(F.sum(F.col("cost") * F.col("q")), F.lit(0.0)).alias("total_cost"),
+        F.coalesce(F.sum("value"), F.lit(0.0)).alias("total_revenue"),
+        F.coalesce(F.sum(F.col("cost") * F.col("units")), F.lit(0.0)).alias("total_cost"),
     )
     margin = F.try_divide(F.col("total_revenue") - F.col("total_cost"), F.col("total_revenue"))
     return out.withColumn("profit_margin_pct", margin * 100)
@@ -229,30 +221,31 @@ def inventory_turnover_stats(star: Star) -> DataFrame:
     """Per product name: mean and sample variance of quantity_sold / inventory_amount per
     shipment -> (product_name, avg_turnover_rate, turnover_variance). Zero inventory -> NULL rate.
 
-    The inventory is constant per product, so shipments are reduced per product id to
-    (count, Σq, Σq²) before the product join; the rate sums follow by dividing by the
-    inventory (and its square), and are summed per name.
+    The inventory is constant per product, so shipments are reduced per product id to the count,
+    mean and centred sum of squares of the quantity, scaled by the product's inventory, and
+    merged about the name's mean.
     """
-    q = F.col("quantity_sold").cast("double")
-    per_product = star.shipments.groupBy("product_id").agg(
-        F.count(q).alias("k"), F.sum(q).alias("s"), F.sum(q * q).alias("ss")
-    )
+    per_product = shipments_by_product(star)
     inv = F.when(F.col("inventory_amount") != 0, F.col("inventory_amount").cast("double"))
-    rates = products_named(star, "inventory_amount").join(per_product, "product_id").select(
+    scaled = products_named(star, "inventory_amount").join(per_product, "product_id").select(
         "product_name",
-        F.when(inv.isNotNull(), F.col("k")).otherwise(F.lit(0)).alias("k"),
-        (F.col("s") / inv).alias("s"),
-        (F.col("ss") / (inv * inv)).alias("ss"),
+        F.when(inv.isNotNull(), F.col("_t_n")).otherwise(F.lit(0)).alias("_t_n"),
+        *[F.try_divide(F.col("_t" + c), inv).alias("_t" + c) for c in ("_ax", "_ay")],
+        # A negative inventory turns the range round.
+        F.least(F.col("_t_xlo") / inv, F.col("_t_xhi") / inv).alias("_t_xlo"),
+        F.greatest(F.col("_t_xlo") / inv, F.col("_t_xhi") / inv).alias("_t_xhi"),
+        *[F.try_divide(F.col("_t" + c), inv * inv).alias("_t" + c) for c in ("_sxx", "_syy", "_sxy")],
     )
-    g = rates.groupBy("product_name").agg(
-        F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("ss").alias("ss")
+    means = scaled.groupBy("product_name").agg(*ols.merge_means("_t"))
+    merged = (
+        join_on_groups(scaled, means, ["product_name"], "inner")
+        .groupBy("product_name")
+        .agg(*ols.merged_moments("_t"))
     )
-    k = F.when(F.col("k") > 0, F.col("k"))
-    raw = F.col("ss") - F.try_divide(F.col("s") * F.col("s"), k)
-    return g.select(
+    return merged.select(
         "product_name",
-        F.try_divide(F.col("s"), k).alias("avg_turnover_rate"),
-        F.when(F.col("k") >= 2, F.greatest(raw, F.lit(0.0)) / (F.col("k") - 1)).alias(
+        F.col("_t_ax").alias("avg_turnover_rate"),
+        F.try_divide(F.col("_t_sxx"), F.when(F.col("_t_n") >= 2, F.col("_t_n") - 1)).alias(
             "turnover_variance"
         ),
     )

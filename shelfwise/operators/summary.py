@@ -11,19 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import regression as ols
-from shelfwise.functions.columns import line_value, pearson
+from shelfwise.functions.columns import pearson
 from shelfwise.functions.quantiles import quantiles as quantiles_of
 from shelfwise.functions.rounding import round_value
 from shelfwise.operators import stats
 from shelfwise.functions.distributions import t_pvalue
 from shelfwise.operators.facts import (
     customer_grain,
-    invoiced_by_product,
     product_balance,
     received_by_product,
-    revenue_by_product,
+    sales_by_customer,
+    sales_by_product,
+    sales_totals,
+    shipments_by_product,
     shipped_by_product,
 )
+from shelfwise.session import pinned
 from shelfwise.sources.star import Star
 
 # Analysis labels of the consolidated table (fixed values).
@@ -82,11 +85,15 @@ GROUP_METRICS = [
 ]
 
 
-def _label(metric_col: str, pick: int) -> Column:
-    out = F.lit(None)
-    for entry in GROUP_METRICS:
-        out = F.when(F.col(metric_col) == entry[0], F.lit(entry[pick])).otherwise(out)
-    return out
+def with_totals(star: Star) -> Star:
+    """The star with the per-key tables the summary reads several times, each made once."""
+    builders = {
+        "sales_totals": sales_totals,
+        "shipments_by_product": shipments_by_product,
+        "received_by_product": received_by_product,
+    }
+    missing = {name: build for name, build in builders.items() if name not in star.aggregates}
+    return star.with_aggregates(**{name: pinned(build(star), name) for name, build in missing.items()})
 
 
 def _product_metrics(star: Star, min_received: int) -> DataFrame:
@@ -94,16 +101,11 @@ def _product_metrics(star: Star, min_received: int) -> DataFrame:
     ONE aggregation: the paired t-test (received vs invoiced units), the high-volume fit
     (shipped ~ received over products with more than ``min_received`` received, as masked
     co-moments) and the received/shipped correlation with revenue mean and variance."""
-    if "invoiced_by_product" in star.aggregates and "revenue_by_product" in star.aggregates:
-        sales_aggs = [invoiced_by_product(star), revenue_by_product(star)]
-    else:  # one pass over the invoices for both sums
-        sales_aggs = [
-            star.sales.groupBy("product_id").agg(
-                F.sum("quantity").alias("total_sold"), F.sum(line_value()).alias("total_revenue")
-            )
-        ]
+    sold = sales_by_product(star).select(
+        "product_id", F.col("units").alias("total_sold"), F.col("value").alias("total_revenue")
+    )
     totals = product_balance(
-        star, received_by_product(star), shipped_by_product(star, "total_shipped"), *sales_aggs
+        star, received_by_product(star), shipped_by_product(star, "total_shipped"), sold
     )
     received = F.col("total_received").cast("double")
     shipped = F.col("total_shipped").cast("double")
@@ -145,11 +147,16 @@ def statistical_summary(
     credit rating, in step order. ``digits`` rounds the value as it is recorded (4 in the
     reference); ``None`` keeps full precision.
 
+    The facts are read twice at most: invoices once for the per-customer and per-product table
+    and once for the delays, shipments likewise. The tables are written to the shared checkpoint
+    folder unless the star carries them already.
+
     Plan shape: the per-group results (customers, product names) are stacked into one long
     (metric, how, value) table; every mean is one grouped average over it and every median
     one pass of the distributed exact quantile -- instead of one pipeline per metric.
     """
     grain = customer_grain(customer_key)
+    star = with_totals(star)
     # One projection over one aggregate: every per-customer value comes from the same plan
     # node, so it is computed once however many metrics read it.
     enough = F.col("_rows") >= min_rows
@@ -207,21 +214,22 @@ def statistical_summary(
     medians = quantiles_of(
         long.filter(F.col("how") == "median"), "value", [0.5], by=["metric"], names=["value"], method=quantiles
     )
-    # A median over no values still reports a row (NULL), as R's median(numeric(0)) gives NA.
     group_metrics = means.unionByName(medians.select("metric", "value"))
-    group_rows = group_metrics.select(
-        _label("metric", 1).alias("analysis"), "metric", "value", _label("metric", 2).alias("_ord")
+    # A mean or median over no values still has its row (NULL): the metrics are a fixed list.
+    fixed = star.sales.sparkSession.createDataFrame(
+        [(analysis, metric, order) for metric, analysis, order in GROUP_METRICS],
+        "analysis string, metric string, _ord int",
     )
+    group_rows = fixed.join(group_metrics, "metric", "left").select("analysis", "metric", "value", "_ord")
 
     delay = stats.shipment_delay_stats(star)
     product_row = _product_metrics(star, min_received)
-    per_customer_value = star.sales.groupBy("customer_id").agg(
-        F.sum(line_value()).alias("v"), F.count(line_value()).alias("k")
-    )
+    # Line values per customer id: their count and mean are part of the fit's moments.
+    per_customer_value = sales_by_customer(star).select("customer_id", "value", F.col("_s_n").alias("k"))
     credit = (
         per_customer_value.join(star.customers.select("customer_id", "credit_rating"), "customer_id")
         .groupBy("credit_rating")
-        .agg(F.try_divide(F.sum("v"), F.sum("k")).alias("mean_revenue"))
+        .agg(F.try_divide(F.sum("value"), F.sum("k")).alias("mean_revenue"))
     )
     parts = [
         group_rows,

@@ -10,7 +10,6 @@ from __future__ import annotations
 FIXTURE: dict[str, dict] = {
     "recent_receipts": {"after": "2001-06-01"},
     "region_customer_receipts": {"address_pattern": "%NATION_1,%"},
-    "unsold_products": {"sold_since": "2001-01-01"},
     "high_volume_reg_data": {"min_received": 300},
     "high_volume_reg": {"min_received": 300},
     "high_volume_reg_coefficients": {"min_received": 300},

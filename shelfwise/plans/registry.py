@@ -1,8 +1,8 @@
 """Named plans: every operator bound to its fixture parameters, over a resolvable source path.
 
 ``plan(name)(spark, path)`` loads the star schema at ``path`` (landed Parquet, the CSV drop, or
-TPC-H tables), runs the operator and rounds fractional columns to 2 places, as the reference's
-sink does. The result is lazy.
+TPC-H tables), runs the operator and rounds fractional columns to 2 places, in the form that
+compares between engines. The result is lazy.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.functions.rounding import round_numeric
 from shelfwise.operators.reports import REPORTS
@@ -27,6 +28,9 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {
     "statistical_summary": statistical_summary,
 }
 
+#: Columns whose size says nothing at two places; registered plans add their logarithm.
+P_VALUES = ("p_value", "f_p_value")
+
 _STARS: dict[str, tuple[SparkSession, Star]] = {}
 
 
@@ -45,7 +49,11 @@ def star_for(spark: SparkSession, path: str) -> Star:
 def run(name: str, star: Star, digits: int | None = 2, **overrides) -> DataFrame:
     params = {**FIXTURE.get(name, {}), **overrides}
     df = OPERATORS[name](star, **params)
-    return df if digits is None else round_numeric(df, digits)
+    for column in P_VALUES:
+        if column in df.columns:
+            p = F.col(column)
+            df = df.withColumn(f"{column}_log10", F.when(p > 0, F.log10(p)))
+    return df if digits is None else round_numeric(df, digits, comparable=True)
 
 
 def plan(name: str) -> Callable[[SparkSession, str], DataFrame]:

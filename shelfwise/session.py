@@ -8,7 +8,11 @@ sort-merge join beyond them. Skewed join partitions are split by AQE.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults tuned for a large cluster; callers may override any of them.
 SCALE_DEFAULTS: dict[str, str] = {
@@ -67,3 +71,23 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         raise RuntimeError("spark.checkpoint.dir is not set; pass a shared folder as fallback")
     sc.setCheckpointDir(fallback)
     return sc.getCheckpointDir() or fallback
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """:func:`checkpoint_dir`; only a local master may fall back to a temporary folder."""
+    master = spark.conf.get("spark.master", "")
+    local = master == "local" or master.startswith("local[")
+    return checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="shelfwise-") if local else None)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared folder; two runs never write to the same place."""
+    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def pinned(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, lineage cut, re-readable
+    after the loss of any executor."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

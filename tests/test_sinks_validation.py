@@ -46,3 +46,23 @@ def test_validation_report_flags(spark):
     assert abs(q["value"] - 100 / 9) < 1e-9 and q["passed"] is False  # 11.1 % is not ~4 % (+-5)
     assert all(r["passed"] for (c, _), r in rows.items() if c == "orphans")
     assert rows[("row_counts", "Receipts")]["passed"] is False  # no receipts loaded
+
+
+def test_orphans_of_all_kinds_and_counts(spark):
+    from shelfwise.operators.validation import validate_orphans
+
+    customers, products = [(1, "A", "B", "x", "Good")], [(10, "w", 100, 1.0, 2.0)]
+    sales = [(1, 1.0, 2, d("2024-01-01"), 10, 1), (2, 1.0, 2, d("2024-01-01"), 10, 7),
+             (3, 1.0, 2, d("2024-01-01"), 77, None), (4, 1.0, 2, d("2024-01-01"), 10, 1)]
+    shipments = [(1, 1, d("2024-01-02"), 2, 10), (2, 1, d("2024-01-01"), 5, 10), (3, 99, d("2024-01-01"), 2, 10),
+                 (4, None, d("2024-01-01"), 2, 10), (5, 98, d("2024-01-01"), 2, 10)]
+    receipts = [(i, pid, d("2024-01-01"), 1) for i, pid in enumerate([10, 88, None, 88, 87])]
+    star = make_star(spark, customers, products, sales, shipments, receipts)
+    orphans = validate_orphans(star).first().asDict()
+    assert list(orphans.values()) == [2, 1, 3, 4]
+    report = {r["metric"]: r["value"] for r in validation_report(star).collect()}
+    assert len(report) == 15
+    assert {k: report[k] for k in orphans} == {k: float(v) for k, v in orphans.items()}
+    assert (report["unshipped_sales"], report["delayed_shipments"]) == (3.0, 1.0)
+    assert (report["matched_rows"], report["mismatched_rows"]) == (1.0, 1.0)
+    assert (report["Sales_Invoices"], report["Shipments"], report["Receipts"]) == (4.0, 5.0, 5.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
 
 import numpy as np
@@ -161,3 +162,36 @@ def test_customer_id_grain_keeps_namesakes_apart(spark):
     assert by_name == [("Sam Lee", 4)]
     summ = {r["metric"]: r["value"] for r in statistical_summary(star, customer_key="customer_id").collect()}
     assert summ["mean_purchases_per_customer"] == 2.0 and summ["median_slope"] == 1.5
+
+
+@pytest.mark.parametrize("n", [3000, 20000])
+@pytest.mark.parametrize("ids", [1, 2])
+def test_slope_of_a_hot_customer_with_one_other_day(spark, n, ids):
+    # n invoices of 10 on one day, one of 100 on the next: the slope is exactly 90.
+    from pyspark.sql import functions as F
+
+    customers = [(i + 1, "Sam", "Lee", "x, NY", "Good") for i in range(ids)]
+    star = make_star(spark, customers, P, [(0, 100.0, 1, d("2024-01-02"), 10, ids)])
+    many = spark.range(1, n + 1).select(
+        F.col("id").alias("sales_id"), F.lit(10.0).alias("unit_price"), F.lit(1).alias("quantity"),
+        F.lit(d("2024-01-01")).alias("date"), F.lit(10).cast("long").alias("product_id"),
+        F.lit(1).cast("long").alias("customer_id"),
+    )
+    star = dataclasses.replace(star, sales=star.sales.unionByName(many))
+    (name, rate), = rows(S.customer_sales_growth(star))
+    assert rate == pytest.approx(90.0, abs=1e-9)
+    (name, intercept, slope), = rows(S.customer_spending_reg(star))  # quantity never varies
+    assert slope is None and intercept == pytest.approx((10 * n + 100) / (n + 1))
+
+
+def test_summary_keeps_metrics_without_values(spark):
+    from shelfwise.operators.summary import statistical_summary
+
+    sales = [(1, 2.0, 3, d("2024-01-01"), 10, 1), (2, 4.0, 3, d("2024-01-01"), 10, 1)]
+    star = make_star(spark, [C[0]], [P[0]], sales)
+    out = {(r["analysis"], r["metric"]): r["value"] for r in statistical_summary(star).collect()}
+    assert len(out) == 22  # 21 fixed metrics and one rating
+    assert out["CustomerSpendingReg", "median_slope"] is None
+    assert out["CustomerSalesGrowth", "median_growth_rate"] is None
+    assert out["InventoryTurnoverStats", "mean_turnover_rate"] is None
+    assert out["CustomerPurchaseStats", "mean_avg_quantity"] == 3.0

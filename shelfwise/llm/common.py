@@ -6,51 +6,25 @@ name in its input cannot clash with what it computes.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.session import checkpoint_dir
+from shelfwise.session import pinned as written
+from shelfwise.session import shared_dir
 
 #: The characters that separate words in every contract: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only for a local master."""
-    master = spark.conf.get("spark.master", "")
-    local = master == "local" or master.startswith("local[")
-    return checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="shelfwise-") if local else None)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder; two runs never write to the same place."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, lineage cut, re-readable
-    after the loss of any executor."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (the context cleaner may delete it once it is unreachable)."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 class Recent(dict):
     """A worker's bounded cache: key -> ``make(key)``. Two generations of ``most`` keys each; what
     was not asked for during a whole generation is forgotten. Only speed depends on it."""

@@ -1,0 +1,77 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelfwise.llm import url_filters as U
+
+SCHEMA = "page_id long, url string, html string, host string, verdict int"
+URLS = [
+    None, "", "no scheme", "http://", "://org/x", "http://Example.ORG/es/1?a=/b#c", "https://www.example.org/en/123",
+    "https://example.org/en/2", "http://notexample.org/es/", "http://x.com/fr/", "http://com/de/#/fr/", "http://x.com/fr",
+    "http://a.b.c.example.org/en/1://z", "http://org", "http://org?/", "http://org/", "http://spam-farm.example.com/q",
+    "http://m.spam-farm.example.com", "http://spam-farm.example.com/fr/1", "http://x.example.net/\nline", "http://user@x.com:80/de/",
+    "http://ÀÉ.com/de/x", "http://..org/", "http://x.com//fr/", "http://x.com/fr/é?q",
+]
+
+
+def brute(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([i for i, c in enumerate(rest) if c in "/?#"], default=len(rest))
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = rest[cut:]
+        path = path[: min([i for i, c in enumerate(path) if c in "?#"], default=len(path))]
+    fits = []
+    for verdict, rules in U.RULES.items():
+        for rule in rules:
+            h, _, p = rule.partition("/")
+            if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
+                fits.append((len(rule), rule, verdict))
+    if fits:
+        _, rule, verdict = max(fits)
+        return host, path, rule, verdict
+    blocked = any(host == b or host.endswith("." + b) for b in U.BLOCKED_HOSTS)
+    return host, path, None, "block" if blocked else "allow"
+
+
+def test_matches_brute_force(spark):
+    rng = random.Random(12)
+    urls = URLS + [
+        f"http://{rng.choice(['', 'www.', 'm.'])}{rng.choice(['example.org', 'a.com', 'free-bets.example.com', 'q.net'])}"
+        f"/{rng.choice(['es', 'en', 'fr', 'de'])}/{rng.randrange(300)}" for _ in range(200)
+    ]
+    pages = spark.createDataFrame([(i if i != 3 else None, u, "", "h", 1) for i, u in enumerate(urls)], SCHEMA)
+    got = U.url_verdicts(pages, U.RULES, U.BLOCKED_HOSTS).collect()
+    want = [(i if i != 3 else None, *brute(u)) for i, u in enumerate(urls)]
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_empty_table_and_empty_lists(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert U.url_verdicts(empty, U.RULES, U.BLOCKED_HOSTS).count() == 0
+    one = spark.createDataFrame([(1, "http://x.org/", "", "h", 1)], SCHEMA)
+    assert [r["verdict"] for r in U.url_verdicts(one, {"allow": [], "block": []}, []).collect()] == ["allow"]
+
+
+@pytest.mark.parametrize("listed", [0, 1, 300])
+def test_cascade_is_exact_for_the_whole_universe(spark, monkeypatch, listed):
+    monkeypatch.setattr(U, "FIRST_BITS", 2)  # many false positives, so several levels
+    monkeypatch.setattr(U, "NEXT_BITS", 3)
+    universe = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
+    chosen = universe.filter(F.expr(f"cast(substr(key, 2) as int) % 16 = 3 and cast(substr(key, 2) as int) < {listed * 16}"))
+    cascade = U.build_cascade(chosen, universe)
+    found = {r["key"] for r in universe.filter(cascade.contains(F.col("key"))).collect()}
+    assert found == {r["key"] for r in chosen.collect()}
+    assert len(cascade.levels) > 1 or listed < 300
+
+
+def test_a_list_beyond_the_bound_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(U, "MAX_FILTER_BITS", 640)
+    keys = spark.range(100).select(F.col("id").cast("string").alias("key"))
+    with pytest.raises(ValueError, match="use a join"):
+        U.build_cascade(keys, keys)

@@ -28,12 +28,12 @@ BANDS = (
     (0, 0.0, 9.0),
     (64, 0.33, 9.0),
     (256, 0.32, 0.92),
-    (512, 0.30, 0.86),
-    (1024, 0.27, 0.80),
-    (2048, 0.25, 0.77),
-    (4096, 0.22, 0.75),
-    (16384, 0.18, 0.74),
-    (65536, 0.15, 0.74),
+    (512, 0.30, 0.84),
+    (1024, 0.27, 0.76),
+    (2048, 0.25, 0.72),
+    (4096, 0.22, 0.70),
+    (16384, 0.18, 0.68),
+    (65536, 0.15, 0.68),
 )
 CHUNK_BYTES = 4096
 LEVEL = 3

@@ -213,7 +213,8 @@ def word_weights(weights: np.ndarray) -> Recent:
 
 def score_text(text: str | None, weights: Recent, bias: float) -> float:
     found = {weights[w] for w in tokens_of(text)}
-    return float(_sigmoid(np.float64(sum(sorted(x for _, x in found if x)) + bias)))
+    total = sum(sorted(x for _, x in found if x)) + bias
+    return float(_sigmoid(np.float64(total))) if np.isfinite(total) else 0.0
 
 
 def score_documents(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:

@@ -2,21 +2,22 @@
 
 Spark's ``percentile`` keeps a map of every distinct value of a group in one aggregation
 buffer and merges it in a single task -- fine for small groups, fatal for a group holding a
-third of a 100 TB table. This operator computes the same numbers with bounded per-task state:
-
-1. ``hist``: distinct (group, value) pairs with their multiplicity (map-side combined).
-2. ``hist`` is range-partitioned on (group, value): each partition holds a contiguous slice
-   of every group's sorted values, and a hot group spreads over many partitions.
-3. Per (group, partition) totals -> a small table (at most #groups + #partitions rows) whose
-   running sum gives each slice's rank offset within its group.
-4. Within each slice, a running count gives every distinct value its rank interval; only the
-   values whose interval covers a requested rank survive (<= 2 per group and probability).
-5. Interpolate: ``q(p) = x[k] + (h - k) * (x[k+1] - x[k])`` with ``h = (n - 1) p``, ``k = floor(h)``.
-
-The slice id (``spark_partition_id()`` after the range exchange) is evaluated once, before the
-per-slice window's shuffle; steps 3 and 4 both read that shuffle output, so they agree on slice
-ids however AQE coalesces partitions. NULL values are ignored (as ``na.rm=TRUE``); a group with
-no non-NULL value yields no row.
+third of a 100 TB table. This operator brackets instead, in two passes:
+
+1. A bounded sketch per group (``percentile_approx``, rank error at most n / ``ACCURACY``) gives a
+   value safely below and one safely above each requested quantile, with the group's count.
+2. Each value falls below, into, or above each bracket. Below and above only a count and the
+   nearest value are kept; values inside keep their multiplicity. All of it is combined map-side,
+   so what is shuffled follows the brackets (about 4 n / ``ACCURACY`` values), not the table.
+
+Running counts over a bracket then give every value its rank interval, and the (at most two) values
+whose interval covers a requested rank are interpolated:
+``q(p) = x[k] + (h - k) * (x[k+1] - x[k])`` with ``h = (n - 1) p``, ``k = floor(h)``.
+
+The bracket of p reaches from the sketch's quantile at ``p - 2 / ACCURACY`` to that at
+``p + 2 / ACCURACY``: beyond the sketch's own error by one more, and with the nearest value on
+either side it holds both ranks around h for any n. NULL values are ignored (as ``na.rm=TRUE``);
+a group with no non-NULL value yields no row (ungrouped: a row of NULLs); a NULL group key is a group.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+ACCURACY = 100_000
+
 
 def quantile_column_name(p: float, prefix: str = "q") -> str:
     return f"{prefix}{round(p * 100, 6):g}".replace(".", "_")
@@ -37,102 +40,79 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
-    num_partitions: int | None = None,
-    weight: str | None = None,
+    mean_name: str | None = None,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """One row per group: ``by`` columns, ``n`` (non-NULL count) and one column per prob.
-
-    ``weight`` names an integer multiplicity column: a row then stands for that many copies
-    of its value, so callers can pre-aggregate duplicates (e.g. per customer) before a join.
-    """
-    by = list(by)
-    probs = [float(p) for p in probs]
+    """One row per group: ``by`` columns, ``n`` (non-NULL count) and one column per prob; with
+    ``mean_name`` also the mean, from the first pass."""
+    by, probs = list(by), [float(p) for p in probs]
     if any(p < 0 or p > 1 for p in probs):
         raise ValueError("probabilities must lie in [0, 1]")
     names = list(names) if names is not None else [quantile_column_name(p) for p in probs]
-    spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    mult = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    hist = (
-        df.select(*by, F.col(value).cast("double").alias("_v"), mult.alias("_w"))
-        .where(F.col("_v").isNotNull() & (F.col("_w") > 0))
-        .groupBy(*by, "_v")
-        .agg(F.sum("_w").alias("_c"))
+    keys = [f"_k{i}" for i in range(len(by))] or ["_k0"]
+    values = df.select(
+        *([F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(1).alias("_k0")]),
+        F.col(value).cast("double").alias("_v"),
+    ).where(F.col("_v").isNotNull())
+
+    edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-2 / accuracy, 2 / accuracy)]
+    bounds = values.groupBy(*[F.col(k).alias(f"{k}_b") for k in keys]).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.avg("_v").alias("_mean"),
+        F.percentile_approx("_v", edges, accuracy).alias("_edges"),
     )
-    ranged = hist.repartitionByRange(parts, *by, "_v").withColumn("_pid", F.spark_partition_id())
-    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        # Both branches below must see the same range partitioning. With exchange reuse off
-        # they would each sample their own range bounds, so pin the slices in the shared
-        # checkpoint folder instead (reliable checkpoint: survives executor loss).
-        ranged = ranged.checkpoint(eager=True)
-
-    # Rank interval of every distinct value inside its slice, and the slice's total. The slice
-    # id is evaluated once, in the map stage feeding this window's shuffle; everything below
-    # reads those shuffled rows, so every consumer sees the same slice ids.
-    slice_w = Window.partitionBy(*by, "_pid")
-    local = ranged.select(
-        *by,
-        "_v",
-        "_c",
-        "_pid",
-        F.sum("_c")
-        .over(slice_w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        .alias("_cum"),
-        F.sum("_c").over(slice_w).alias("_slice_n"),
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_b"))
+    v = F.col("_v")
+
+    def side(i: int):
+        low, high = F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]
+        return F.when(v < low, -1).when(v > high, 1).otherwise(0)
+
+    sides = F.array(*[F.struct(F.lit(i).alias("i"), side(i).alias("side")) for i in range(len(probs))])
+    placed = values.join(bounds, same).select(*keys, "_n", "_mean", "_v", F.explode(sides).alias("_s"))
+    counted = placed.groupBy(
+        *keys, "_n", "_mean", "_s.i", "_s.side", F.when(F.col("_s.side") == 0, v).alias("_inside")
+    ).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+
+    upto = (
+        Window.partitionBy(*keys, "i")
+        .orderBy("side", "_inside")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-
-    # Rank offset of each slice inside its group (small table: <= #groups + #partitions rows).
-    slices = local.groupBy(*by, "_pid").agg(F.max("_slice_n").alias("_slice_n"))
-    by_group = Window.partitionBy(*by) if by else Window.partitionBy()
-    before = by_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select(
-        *by,
-        "_pid",
-        F.coalesce(F.sum("_slice_n").over(before), F.lit(0)).alias("_off"),
-        F.sum("_slice_n").over(by_group).alias("_n"),
-    )
-
-    # Group keys match NULL-safely: a NULL group is a group (as GROUP BY and R's group_by).
-    offsets = offsets.select(
-        *[F.col(k).alias(f"_o_{k}") for k in by], F.col("_pid").alias("_o_pid"), "_off", "_n"
-    )
-    cond = F.col("_pid") == F.col("_o_pid")
-    for k in by:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
-    located = local.join(offsets, cond).select(
-        *by,
-        "_v",
+    ends = counted.withColumn("_end", F.sum("_c").over(upto))
+    # Of the values below a bracket the greatest is known, of those above it the least.
+    known = ends.select(
+        *keys,
         "_n",
-        (F.col("_off") + F.col("_cum") - F.col("_c")).alias("_start"),
-        (F.col("_off") + F.col("_cum")).alias("_end"),
+        "_mean",
+        "i",
+        F.when(F.col("side") == -1, F.col("_max")).otherwise(F.col("_min")).alias("_x"),
+        F.when(F.col("side") == -1, F.col("_end") - 1).otherwise(F.col("_end") - F.col("_c")).alias("_from"),
+        F.when(F.col("side") == 1, F.col("_end") - F.col("_c") + 1).otherwise(F.col("_end")).alias("_to"),
     )
 
-    def rank_lo(p: float):
-        return F.floor((F.col("_n") - 1) * F.lit(p))
-
-    def rank_hi(p: float):
-        return F.ceil((F.col("_n") - 1) * F.lit(p))
+    def at(i: int, rank):
+        hit = (F.col("i") == i) & (F.col("_from") <= rank) & (rank < F.col("_to"))
+        return F.max(F.when(hit, F.col("_x")))
 
-    def covers(rank):
-        return (F.col("_start") <= rank) & (rank < F.col("_end"))
-
-    keep = F.lit(False)
-    for p in probs:
-        keep = keep | covers(rank_lo(p)) | covers(rank_hi(p))
-    aggs = [F.max("_n").alias("n")]
+    aggs = []
     for i, p in enumerate(probs):
-        aggs.append(F.max(F.when(covers(rank_lo(p)), F.col("_v"))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(covers(rank_hi(p)), F.col("_v"))).alias(f"_hi{i}"))
-    picked = located.where(keep).groupBy(*by).agg(*aggs)
-
-    out = [*by, F.col("n")]
+        h = (F.col("_n") - 1) * F.lit(p)
+        aggs += [at(i, F.floor(h)).alias(f"_lo{i}"), at(i, F.ceil(h)).alias(f"_hi{i}")]
+    found = known.groupBy(*keys, "_n", "_mean").agg(*aggs)
+    out = [F.col(k).alias(c) for c, k in zip(by, keys)] + [F.col("_n").alias("n")]
+    if mean_name is not None:
+        out.append(F.col("_mean").alias(mean_name))
     for i, (p, name) in enumerate(zip(probs, names)):
-        h = (F.col("n") - 1) * F.lit(p)
-        frac = h - F.floor(h)
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        out.append((lo + frac * (hi - lo)).alias(name))
-    return picked.select(*out)
+        h = (F.col("_n") - 1) * F.lit(p)
+        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        out.append((low + (h - F.floor(h)) * (high - low)).alias(name))
+    result = found.select(*out)
+    if not by:  # one row in any case, as an ungrouped aggregate has
+        result = result.agg(*[F.max(c).alias(c) for c in result.columns])
+    return result
 
 
 def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median") -> DataFrame:

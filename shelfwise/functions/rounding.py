@@ -28,8 +28,10 @@ def round_value(col, digits: int = 2, mode: str = "half_up"):
 def comparable_value(col, digits: int = 2):
     """For comparing two engines only: values that differ in the order of summation (an exact
     38633.275 against 38633.274999999998) must not fall on two sides of a tie, so the value is
-    put on 10 decimals before it is rounded. No sink uses it."""
-    snapped = F.round(col.try_cast(T.DecimalType(38, 10)), digits).cast(T.DoubleType())
+    put on twelve significant digits before it is rounded. No sink uses it."""
+    steady = F.format_string("%.11e", col.cast(T.DoubleType())).cast(T.DoubleType())
+    value = F.when(col.isNotNull() & ~F.isnan(col.cast(T.DoubleType())), steady)
+    snapped = F.round(value.try_cast(T.DecimalType(38, 10)), digits).cast(T.DoubleType())
     return F.coalesce(snapped, F.round(col, digits))
 
 

@@ -259,32 +259,26 @@ def credit_rating_summaries(star: Star, quantiles: str = "exact", accuracy: int
     ``quantiles='exact'`` (default) is distributed and exact; ``'approx'`` uses
     ``percentile_approx`` with ``accuracy`` (one pass, bounded memory, rank error <= n/accuracy).
     """
-    # Invoices reduced per (customer, line value) to a multiplicity before the customer join:
-    # repeat purchases collapse map-side and the join carries distinct pairs, not invoices.
-    per_value = star.sales.groupBy("customer_id", line_value().alias("revenue")).agg(
-        F.count(F.lit(1)).alias("w")
-    )
-    lines = per_value.join(star.customers.select("customer_id", "credit_rating"), "customer_id")
-    present = F.when(F.col("revenue").isNotNull(), F.col("w"))
-    means = lines.groupBy("credit_rating").agg(
-        F.try_divide(F.sum(F.col("revenue") * F.col("w")), F.sum(present)).alias("mean_revenue")
+    lines = star.sales.select("customer_id", line_value().alias("revenue")).join(
+        star.customers.select("customer_id", "credit_rating"), "customer_id"
     )
+    names, probs = ["median_revenue", "q1", "q3"], [0.5, 0.25, 0.75]
     if quantiles == "exact":
-        qs = exact_quantiles(
-            lines, "revenue", [0.5, 0.25, 0.75], by=["credit_rating"],
-            names=["median_revenue", "q1", "q3"], weight="w",
-        ).drop("n")
+        found = exact_quantiles(lines, "revenue", probs, ["credit_rating"], names, mean_name="mean_revenue")
     elif quantiles == "approx":
-        raw = star.sales.select("customer_id", line_value().alias("revenue")).join(
-            star.customers.select("customer_id", "credit_rating"), "customer_id"
-        )
-        pa = F.percentile_approx("revenue", [0.5, 0.25, 0.75], accuracy)
-        qs = raw.groupBy("credit_rating").agg(pa.alias("_q")).select(
-            "credit_rating", *[F.col("_q")[i].alias(n) for i, n in enumerate(["median_revenue", "q1", "q3"])]
+        found = (
+            lines.groupBy("credit_rating")
+            .agg(
+                F.avg("revenue").alias("mean_revenue"),
+                F.percentile_approx("revenue", probs, accuracy).alias("_q"),
+            )
+            .select("*", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
         )
     else:
         raise ValueError(f"unknown quantiles method {quantiles!r}")
-    return join_on_groups(means, qs, ["credit_rating"]).select(
+    # A rating without any line value still has its row.
+    ratings = lines.select("credit_rating").distinct()
+    return join_on_groups(ratings, found, ["credit_rating"]).select(
         "credit_rating", "mean_revenue", "median_revenue", "q1", "q3"
     )
 

@@ -152,7 +152,7 @@ def statistical_summary(
     folder unless the star carries them already.
 
     Plan shape: the per-group results (customers, product names) are stacked into one long
-    (metric, how, value) table; every mean is one grouped average over it and every median
+    (metric, how, value) table, written once; every mean is one grouped average over it and every median
     one pass of the distributed exact quantile -- instead of one pipeline per metric.
     """
     grain = customer_grain(customer_key)
@@ -210,6 +210,7 @@ def statistical_summary(
             )
         )
     )
+    long = pinned(long, "summary-metrics")  # read by the means and twice by the medians
     means = long.filter(F.col("how") == "mean").groupBy("metric").agg(F.avg("value").alias("value"))
     medians = quantiles_of(
         long.filter(F.col("how") == "median"), "value", [0.5], by=["metric"], names=["value"], method=quantiles

@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from shelfwise.plans.oracle_sql import oracle_queries
+from shelfwise.plans.registry import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
@@ -30,7 +32,7 @@ def _canon(rows, cols):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
-KEYS = sorted(oracle_sql())
+KEYS = sorted(oracle_queries())
 
 
 @pytest.mark.parametrize("key", KEYS)
@@ -44,10 +46,30 @@ def test_plan_matches_oracle(spark, con, key):
     assert _canon(got, df.columns) == _canon(want, ocols)
 
 
-def test_every_plan_runs_and_entry_smoke(spark):
-    assert set(oracle_sql()) <= set(queries())
-    for key in set(queries()) - set(oracle_sql()):
-        assert queries()[key](spark, SF).count() >= 1
+# Result columns that an ordered report is sorted by, with the direction.
+ORDERED = {
+    "recent_receipts": [("receipt_date", True), ("product_name", False)],
+    "region_customer_receipts": [("full_name", False), ("product_name", False)],
+    "top_customer_spending": [("total_spent", True)],
+    "shipments_by_credit": [("credit_rating", False)],
+    "receipts_vs_shipments": [("product_name", False)],
+    "full_sales_summary": [("total_revenue", True)],
+}
+
+
+@pytest.mark.parametrize("key", sorted(ORDERED))
+def test_ordered_reports_come_in_order(spark, key):
+    got = queries()[key](spark, SF).collect()
+    want = list(got)
+    for column, descending in reversed(ORDERED[key]):
+        want.sort(key=lambda r: r[column], reverse=descending)
+    columns = [c for c, _ in ORDERED[key]]
+    assert [[r[c] for c in columns] for r in got] == [[r[c] for c in columns] for r in want]
+
+
+def test_every_plan_has_an_oracle_and_entry_smoke(spark):
+    assert set(plans()) == set(oracle_queries())
+    assert set(plans()) <= set(queries()) and set(oracle_queries()) <= set(oracle_sql())
     out = entry(spark)
     assert out.columns == ["full_name", "product_name", "total_quantity_sold", "total_revenue"]
     assert out.count() > 0

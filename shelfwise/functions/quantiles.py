@@ -56,14 +56,20 @@ def exact_quantiles(
     ).where(F.col("_v").isNotNull())
 
     edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-2 / accuracy, 2 / accuracy)]
-    bounds = values.groupBy(*[F.col(k).alias(f"{k}_b") for k in keys]).agg(
+    sketch = [
         F.count(F.lit(1)).alias("_n"),
         F.avg("_v").alias("_mean"),
         F.percentile_approx("_v", edges, accuracy).alias("_edges"),
-    )
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"{k}_b"))
+    ]
+    if by:
+        bounds = values.groupBy(*[F.col(k).alias(f"{k}_b") for k in keys]).agg(*sketch)
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}_b"))
+        bounded = values.join(bounds, same)
+    else:
+        only = values.agg(F.struct(*sketch).alias("b")).scalar()
+        bounded = values.select("*", *[only.getField(c).alias(c) for c in ("_n", "_mean", "_edges")])
     v = F.col("_v")
 
     def side(i: int):
@@ -71,7 +77,7 @@ def exact_quantiles(
         return F.when(v < low, -1).when(v > high, 1).otherwise(0)
 
     sides = F.array(*[F.struct(F.lit(i).alias("i"), side(i).alias("side")) for i in range(len(probs))])
-    placed = values.join(bounds, same).select(*keys, "_n", "_mean", "_v", F.explode(sides).alias("_s"))
+    placed = bounded.select(*keys, "_n", "_mean", "_v", F.explode(sides).alias("_s"))
     counted = placed.groupBy(
         *keys, "_n", "_mean", "_s.i", "_s.side", F.when(F.col("_s.side") == 0, v).alias("_inside")
     ).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))

@@ -97,8 +97,7 @@ def _positions(key: Column, seed: int, bits: int) -> list[Column]:
     ]
 
 
-def _level(keys: DataFrame, seed: int, bits_per_key: int) -> Level:
-    n = keys.count()
+def _level(keys: DataFrame, n: int, seed: int, bits_per_key: int) -> Level:
     size = max(1, -(-n * bits_per_key // 64))
     if size * 64 > MAX_FILTER_BITS:
         raise ValueError(f"{n} keys need {size * 64} bits; the bound is {MAX_FILTER_BITS}: use a join")
@@ -134,15 +133,16 @@ class Cascade:
 
 def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 0) -> Cascade:
     """``listed`` and ``universe``: one column ``key``, distinct; the universe is the corpus's."""
-    inside = listed
+    inside, n = listed, listed.count()
     outside = universe.join(listed, "key", "left_anti")
     levels: list[Level] = []
     while True:
         encoded, other = (inside, outside) if len(levels) % 2 == 0 else (outside, inside)
-        level = _level(encoded, seed * 1000 + len(levels), NEXT_BITS if levels else FIRST_BITS)
+        level = _level(encoded, n, seed * 1000 + len(levels), NEXT_BITS if levels else FIRST_BITS)
         levels.append(level)
         wrong = written(other.filter(level.passes(F.col("key"))), "cascade-level")
-        if wrong.isEmpty():
+        n = wrong.count()
+        if not n:
             return Cascade(tuple(levels))
         if len(levels) % 2:
             outside = wrong
@@ -150,6 +150,11 @@ def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 0) -> Casc
             inside = wrong
 
 
+def _tagged(tag: str, key: Column) -> Column:
+    """Keys of several lists in one universe."""
+    return F.concat(F.lit(f"{tag}|"), key)
+
+
 def url_verdicts(
     pages: DataFrame,
     rules: dict[str, Sequence[str]],
@@ -168,23 +173,25 @@ def url_verdicts(
     host, path = F.col("host"), F.col("path")
     rule_keys = candidate_keys(host, path, every_rule)
     host_keys = candidate_keys(host, path, blocked_hosts)
-    universe = written(
-        parts.select(F.explode(F.array_union(rule_keys, host_keys)).alias("key")).distinct(), "url-keys"
+    asked = F.concat(
+        *[F.transform(rule_keys, lambda k, tag=tag: _tagged(tag, k)) for tag in rules],
+        F.transform(host_keys, lambda k: _tagged("host", k)),
     )
+    universe = written(parts.select(F.explode(asked).alias("key")).distinct(), "url-keys")
+    named = [*rules.items(), ("host", blocked_hosts)]
+    listed = sorted({f"{tag}|{key}" for tag, keys in named for key in keys})
+    cascade = build_cascade(spark.createDataFrame([(k,) for k in listed], "key string"), universe)
 
-    def cascade(keys: Sequence[str], seed: int) -> Cascade:
-        listed = spark.createDataFrame([(k,) for k in sorted(set(keys))], "key string")
-        return build_cascade(listed, universe, seed)
+    def on(tag: str, key: Column) -> Column:
+        return cascade.contains(_tagged(tag, key))
 
-    allow, block = cascade(rules["allow"], 1), cascade(rules["block"], 2)
-    blocked = cascade(blocked_hosts, 3)
-    fits = F.filter(rule_keys, lambda k: allow.contains(k) | block.contains(k))
+    fits = F.filter(rule_keys, lambda k: on("allow", k) | on("block", k))
     longest = F.array_max(F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"))))
     judged = parts.withColumn("rule", longest["rule"])
-    otherwise = F.when(F.exists(host_keys, blocked.contains), "block").otherwise("allow")
+    otherwise = F.when(F.exists(host_keys, lambda k: on("host", k)), "block").otherwise("allow")
     verdict = (
         F.when(F.col("rule").isNull(), otherwise)
-        .when(allow.contains(F.col("rule")), "allow")
+        .when(on("allow", F.col("rule")), "allow")
         .otherwise("block")
     )
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))

@@ -196,7 +196,8 @@ def fit_toxicity(
         )
 
     toxic = known.filter("toxic = 1").filter(share(max_positive, n_positive)).select("doc_id")
-    positive = _feature_rows(texts.join(toxic, "doc_id", "left_semi"))
+    # About max_positive ids whatever the corpus: they go to the texts, which are not shuffled.
+    positive = _feature_rows(texts.join(F.broadcast(toxic), "doc_id", "left_semi"))
     unlabelled = _feature_rows(texts.filter(share(max_unlabelled, n_texts)))
     return train(positive, unlabelled, n_positive / n)
 

@@ -162,8 +162,9 @@ def _feature_rows(documents: DataFrame) -> list[np.ndarray]:
             )
 
     rows = documents.mapInArrow(extract, "doc_id long, features array<int>").toArrow()
-    rows = rows.sort_by("doc_id")
-    return [np.array(r, dtype=np.int64) for r in rows.column("features").to_pylist()]
+    lists = rows.sort_by("doc_id").column("features").combine_chunks()
+    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
 def fit_toxicity(

@@ -14,13 +14,20 @@ import unicodedata
 from shelfwise.llm.common import Recent
 
 #: Chunks held per worker and generation (about 200 bytes each).
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 400_000
 
 ID_BYTES = 4
-_PUNCTUATION = ".,!?;:"
-#: A space before other white space may join it in one byte-level token: such texts go whole.
-_SPACE_PAIRS = tuple(" " + x for x in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-_SPACE_WIDE = re.compile(r" [\x85\xa0  -     　]")
+#: A full stop or comma after a letter or digit is a pre-token of its own in both vocabularies,
+#: so it is cut off and a word is learnt once, however it ends. After anything else it may belong
+#: to a longer run: then nothing is cut off in the text.
+_ENDS = (". ", ", ", ".\n", ",\n")
+_NO_CUT = re.compile(r"(?:^|[\W_])[.,][ \n]")
+#: Begins a chunk that had no space before it.
+_MARK = b"\x00"
+#: White space that may join its neighbours in one byte-level token, or the mark: such texts go
+#: whole.
+_WHOLE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x00")
+_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -46,10 +53,7 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.kind = kind
-        lead = "" if kind == "word" else " "
-        self.chunks = Recent(lambda chunk: self.learn(lead + chunk.decode()), cache_chunks)
-        self.cores = Recent(self._letters, cache_chunks // 2)
-        self.punctuation = Recent(self.whole, cache_chunks // 8)
+        self.chunks = Recent(self._learn, cache_chunks)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.packed = [i.to_bytes(ID_BYTES, "little") for i in range(size)]
 
@@ -57,28 +61,24 @@ class ChunkEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join([self.packed[i] for i in ids])
 
-    def learn(self, chunk: str) -> bytes:
-        """Ids of a chunk. A run of letters with punctuation after it is two pre-tokens in both
-        vocabularies, so the letters (and the punctuation) are learnt once for all their uses."""
-        core = chunk.rstrip(_PUNCTUATION)
-        letters = core[1:] if core[:1] == " " else core
-        if not letters.isalpha():
-            return self.whole(chunk)
+    def _learn(self, chunk: bytes) -> bytes:
+        """Ids of a chunk. A run of letters is one pre-token, which the model takes as it is."""
+        text = chunk.decode()
+        lead = ""
+        if self.kind == "byte":
+            lead = "" if text[:1] == "\x00" else " "
+            text = text.removeprefix("\x00")
+        elif not text.isascii() and (
+            set("Σİ") & set(text) or not unicodedata.is_normalized("NFC", text)
+        ):
+            return self.whole(text)
+        if not text.isalpha():
+            return self.whole(lead + text)
         if self.kind == "word":
-            if not letters.isascii() and (
-                set("Σİ") & set(letters) or not unicodedata.is_normalized("NFC", letters)
-            ):
-                return self.whole(chunk)
-            core = core.lower()
-        found = self.cores[core]
-        if len(core) == len(chunk):
-            return found
-        return found + self.punctuation[chunk[len(core) :]]
-
-    def _letters(self, core: str) -> bytes:
-        shown = core
-        if core[:1] == " " or not core.isascii():
-            shown = "".join(map(_ALPHABET.__getitem__, core.encode()))
+            text = text.lower()
+        shown = lead + text
+        if lead or not text.isascii():
+            shown = "".join(map(_ALPHABET.__getitem__, shown.encode()))
         return b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
 
     def encode(self, text: str | None) -> bytes:
@@ -86,15 +86,23 @@ class ChunkEncoder:
         if not text:
             return b""
         if self.kind == "word":
-            return b"".join(map(self.chunks.__getitem__, text.encode().split()))
+            cut = self._ends_cut(text, " ")
+            return b"".join(map(self.chunks.__getitem__, cut.encode().lower().split()))
         if (
-            text[-1] == " "
-            or any(x in text for x in _SPACE_PAIRS)
-            or (not text.isascii() and _SPACE_WIDE.search(text))
+            text[0] in " \n"
+            or text[-1] in " \n"
+            or any(x in text for x in _WHOLE)
+            or (not text.isascii() and _WIDE_SPACE.search(text))
         ):
             return self.whole(text)
-        first, *rest = text.encode().split(b" ")
-        return self.learn(first.decode()) + b"".join(map(self.chunks.__getitem__, rest))
+        cut = self._ends_cut(text, " \x00").replace("\n", " \x00\n \x00")
+        return b"".join(map(self.chunks.__getitem__, (_MARK + cut.encode()).split(b" ")))
+
+    def _ends_cut(self, text: str, by: str) -> str:
+        if not _NO_CUT.search(text):
+            for end in _ENDS:
+                text = text.replace(end, by + end)
+        return text
 
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}

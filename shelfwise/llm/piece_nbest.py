@@ -35,9 +35,12 @@ from shelfwise.llm.common import Recent
 
 N_BEST = 3
 CACHE_CHUNKS = 200_000
+#: Bytes of ids that a worker gathers before it hands them on.
+FLUSH_BYTES = 4 << 20
 ID_BYTES = 4
 PENALTY = 10.0
 _UNUSED = -1e8  # pieces scored below it are never a reason to lower the unknown score
+_NONE = float("-inf")
 _CHUNK = re.compile(" *[^ \n]+|\n| +")
 
 
@@ -64,9 +67,9 @@ class Pieces:
             else:
                 self.ids[piece] = (i, model.get_score(i))
                 self.texts.append(piece.encode())
-        #: Every beginning of a piece -> the piece's arc if it is one itself, else None.
-        self.trie = dict.fromkeys((p[:k] for p in self.ids for k in range(1, len(p))), None)
-        self.trie |= {p: (score, (i,)) for p, (i, score) in self.ids.items()}
+        #: The vocabulary as a tree of (arc or None, children by character).
+        self.root = self._tree()
+        self.longest = max(map(len, self.ids), default=1)
         #: Neighbours that some piece holds; a lattice falls apart between any other two.
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         scores = [s for _, s in self.ids.values() if s > _UNUSED]
@@ -75,21 +78,37 @@ class Pieces:
         self.chunks = Recent(self._summary, cache_chunks)
         self.parts = Recent(self._search, cache_chunks // 2)
 
+    def _tree(self) -> list:
+        root: list = [None, {}]
+        for piece, (i, score) in self.ids.items():
+            node = root
+            for character in piece:
+                node = node[1].setdefault(character, [None, {}])
+            node[0] = (score, (i,))
+        return root
+
+    def _from(self, text: str, start: int):
+        """The arcs that start at a position: end, score, ids."""
+        node, end, found = self.root, start, []
+        for character in text[start : start + self.longest]:
+            node = node[1].get(character)
+            if node is None:
+                break
+            end += 1
+            if node[0] is not None:
+                found.append((end, *node[0]))
+        if not found or found[0][0] != start + 1:
+            octets = text[start].encode()
+            found.append((start + 1, self.unknown, tuple([self.bytes[b] for b in octets])))
+        return found
+
     def arcs(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """Per end position, the arcs that end there: start, score, ids."""
-        found: list[list] = [[] for _ in range(len(text) + 1)]
-        trie, n = self.trie, len(text)
-        for start in range(n):
-            for end in range(start + 1, n + 1):
-                arc = trie.get(text[start:end], False)
-                if arc:
-                    found[end].append((start, *arc))
-                elif arc is False:
-                    break
-            if text[start] not in self.ids:
-                octets = text[start].encode()
-                found[start + 1].append((start, self.unknown, tuple([self.bytes[b] for b in octets])))
-        return found
+        into: list[list] = [[] for _ in range(len(text) + 1)]
+        for start in range(len(text)):
+            for end, score, ids in self._from(text, start):
+                into[end].append((start, score, ids))
+        return into
 
     def nbest(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of one lattice, best first."""
@@ -114,10 +133,37 @@ class Pieces:
         return b"".join([self.packed[i] for i in ids])
 
     def _search(self, part: str) -> tuple[bytes, float, float]:
-        """Best ids and score of a lattice, and what its second path costs."""
-        found = self.nbest(part, 2 if self.n_best > 1 else 1)
-        cost = found[0][0] - found[1][0] if len(found) > 1 else float("inf")
-        return self._pack(found[0][1]), found[0][0], cost
+        """Best ids and score of a lattice, and what its second path costs, without a queue: the
+        second path is the best one that uses some arc off the best path, and the best path
+        through an arc is its score between the forward and the backward Viterbi scores."""
+        n = len(part)
+        best, into = [0.0] + [_NONE] * n, [[] for _ in range(n + 1)]
+        for start in range(n):
+            before = best[start]
+            for end, score, ids in self._from(part, start):
+                total = before + score
+                into[end].append((total, start, score, ids))
+                if total > best[end]:
+                    best[end] = total
+        chosen, at, packed = {}, n, []
+        while at:
+            arcs = [arc for arc in into[at] if arc[0] == best[at]]
+            # Of equally good arcs the one A* takes first.
+            arc = arcs[0] if len(arcs) == 1 else min(arcs, key=lambda a: a[3][::-1])
+            chosen[at] = arc
+            packed.append(self._pack(arc[3]))
+            at = arc[1]
+        rest, second = [_NONE] * n + [0.0], _NONE
+        for end in range(n, 0, -1):
+            after, own = rest[end], chosen.get(end)
+            for arc in into[end]:
+                total, start, score, _ = arc
+                if after + score > rest[start]:
+                    rest[start] = after + score
+                if arc is not own and total + after > second:
+                    second = total + after
+        cost = best[n] - second if second > _NONE and self.n_best > 1 else float("inf")
+        return b"".join(packed[::-1]), best[n], cost
 
     def _summary(self, chunk: str) -> tuple[bytes, float, float]:
         """The same of a chunk, from the parts it falls into."""
@@ -188,6 +234,10 @@ def pieces(path: str, n_best: int = N_BEST) -> Pieces:
     return _PIECES[path, n_best]
 
 
+_FIELDS = [("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("ids", pa.binary())]
+_SCHEMA = "doc_id long, rank int, score double, ids binary"
+
+
 def _record(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [[]] * len(fields)
     return pa.RecordBatch.from_arrays(
@@ -201,9 +251,11 @@ def encode_nbest(
     n_best: int = N_BEST,
     id_col: str = "doc_id",
     text_col: str = "text",
+    decoded: bool = False,
 ) -> DataFrame:
-    """doc_id, rank (1 is best), score, ids (little-endian unsigned 32-bit integers)."""
-    fields = [("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("ids", pa.binary())]
+    """doc_id, rank (1 is best), score, ids (little-endian unsigned 32-bit integers); with
+    ``decoded`` also what the ids decode to, made where they are (see :func:`decode_ids`)."""
+    fields = [*_FIELDS, ("decoded", pa.string())] if decoded else _FIELDS
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path, n_best)
@@ -211,36 +263,31 @@ def encode_nbest(
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for rank, (score, ids) in enumerate(model.encode(text.as_py()), 1):
-                    rows.append((doc_id, rank, score, ids))
+                    row = (doc_id, rank, score, ids)
+                    rows.append((*row, model.decode(ids)) if decoded else row)
                     held += len(ids)
-                if held > 8 << 20:
+                if held > FLUSH_BYTES:
                     yield _record(rows, fields)
                     rows, held = [], 0
             yield _record(rows, fields)
 
     chosen = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("full_text"))
-    return chosen.mapInArrow(encode, "doc_id long, rank int, score double, ids binary")
+    return chosen.mapInArrow(encode, _SCHEMA + (", decoded string" if decoded else ""))
 
 
 def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:
     """The columns of ``encode_nbest`` and the decoded text."""
-    fields = [
-        ("doc_id", pa.int64()),
-        ("rank", pa.int32()),
-        ("score", pa.float64()),
-        ("ids", pa.binary()),
-        ("decoded", pa.string()),
-    ]
+    names = [name for name, _ in _FIELDS] + ["decoded"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
         for batch in batches:
             decoded = [model.decode(x.as_py()) for x in batch.column(3)]
             arrays = [*batch.columns, pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     chosen = encoded.select("doc_id", "rank", "score", "ids")
-    return chosen.mapInArrow(decode, "doc_id long, rank int, score double, ids binary, decoded string")
+    return chosen.mapInArrow(decode, _SCHEMA + ", decoded string")
 
 
 def op6_piece_nbest(spark, sf_dir: str) -> DataFrame:
@@ -248,8 +295,8 @@ def op6_piece_nbest(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode_nbest(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return decode_ids(encoded, path).select(
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return encode_nbest(documents, path, decoded=True).select(
         "doc_id",
         "rank",
         "score",

@@ -65,6 +65,8 @@ def test_round_trip_of_odd_texts(spark):
     for i, t in rows:
         want.setdefault(i, set()).add(t or "")
     assert texts == want
+    both = encode_nbest(documents(spark, rows), PATH, decoded=True).collect()
+    assert sorted(map(tuple, both), key=repr) == sorted(map(tuple, decoded), key=repr)
     ranks = [r["rank"] for r in decoded if r["doc_id"] == 8]
     assert sorted(ranks) == [1, 2, 3]
     assert [(r["score"], len(r["ids"])) for r in decoded if r["doc_id"] == 2] == [(0.0, 0)]
@@ -82,3 +84,13 @@ def test_decoding_ids_that_are_no_text(model):
 def test_cache_size_changes_nothing(model):
     text = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(60))
     assert model.encode(text) == Pieces(PATH, 4).encode(text)
+
+
+def test_chunk_summary_is_what_the_search_finds(model):
+    rng = random.Random(10)
+    for _ in range(300):
+        text = " " + "".join(rng.choice("theandiongé☃.") for _ in range(rng.randrange(1, 14)))
+        found = model.nbest(text, 2)
+        ids, score, cost = model._search(text)
+        assert (ids, score) == (model._pack(found[0][1]), found[0][0])
+        assert cost == (found[0][0] - found[1][0] if len(found) > 1 else float("inf"))

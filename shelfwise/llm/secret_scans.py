@@ -185,18 +185,27 @@ def clearing_limits(texts: DataFrame, q: float = Q) -> dict[tuple[str, int], flo
 
 
 def _random_spans(text: Column, limits: dict[tuple[str, int], float], base: Column) -> Column:
-    found = _found(text, TOKEN, "random")
+    # Encoding and band are named once per token; the plan stays small.
+    named = F.transform(
+        _found(text, TOKEN, "random"),
+        lambda x: F.struct(
+            x.alias("span"),
+            encoding_of(x["value"]).alias("encoding"),
+            _band(F.length(x["value"])).alias("band"),
+        ),
+    )
+    known = [F.lit(x) for (e, b), limit in sorted(limits.items()) for x in (f"{e}:{b}", float(limit))]
 
-    def kept(x: Column) -> Column:
-        encoding = encoding_of(x["value"])
-        band = _band(F.length(x["value"]))
+    def kept(y: Column) -> Column:
+        x = y["span"]
         limit = F.lit(0.0)
-        for (e, b), value in limits.items():
-            limit = F.when((encoding == e) & (band == b), F.lit(float(value))).otherwise(limit)
-        free = ~F.exists(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-        return encoding.isNotNull() & free & (battery(x["value"], encoding) > limit)
+        if known:
+            key = F.concat_ws(":", y["encoding"], y["band"].cast("string"))
+            limit = F.coalesce(F.try_element_at(F.create_map(*known), key), limit)
+        free = ~F.exists(base, lambda z: (z["start"] < x["end"]) & (x["start"] < z["end"]))
+        return y["encoding"].isNotNull() & free & (battery(x["value"], y["encoding"]) > limit)
 
-    return F.filter(found, kept)
+    return F.transform(F.filter(named, kept), lambda y: y["span"])
 
 
 def _shown(spans: Column) -> Column:

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import written
@@ -40,7 +40,7 @@ from shelfwise.llm.windows import covered, window_names
 
 WIDTH = 35
 PREFIX = 8
-GROUP_SEGMENTS = 8192
+GROUP_SEGMENTS = 32_768
 SLICE_BYTES = 2 << 20
 TREE_SEGMENTS = 30_000
 
@@ -156,9 +156,9 @@ def _anchors(keyed: DataFrame, width: int, prefix: int) -> DataFrame:
 _SEGMENT = "gram long, d1 long, d2 long, doc_id long, rid long, first long, words binary"
 
 
-def _segments(hits: DataFrame, width: int) -> DataFrame:
-    """Of each document with places: a row per segment, or per window where the prefix is heavy
-    (``words`` null, d1 and d2 its digest)."""
+def _segments(hits: DataFrame, width: int, heavy: bool) -> DataFrame:
+    """Of each document with places: a row per segment whose prefix is not heavy, or (``heavy``) a
+    row per window of those whose prefix is (``words`` null, d1 and d2 its digest)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,12 +169,14 @@ def _segments(hits: DataFrame, width: int) -> DataFrame:
             ):
                 words = (text.as_py() or "").encode().split()
                 for place in places.as_py():
+                    if place["heavy"] != heavy:
+                        continue
                     code = place["place"]
                     first = (code >> 16) - (code >> 8 & 0xFF)
                     n = (code & 0xFF) + 1
                     if first < 0 or first + n + width - 1 > len(words):
                         continue  # another text with the same rid
-                    if not place["heavy"]:
+                    if not heavy:
                         segment = b" ".join(words[first : first + n + width - 1])
                         out.append((place["gram"], None, None, doc_id, rid, first, segment))
                         held += len(segment)
@@ -265,10 +267,6 @@ def _tree_spans(segments: DataFrame, width: int) -> DataFrame:
     return ordered.mapInArrow(build, "doc_id long, rid long, first long, last long")
 
 
-def _same_row(left: DataFrame, right: DataFrame) -> Column:
-    return (left["rid"] == right["rid"]) & left["doc_id"].eqNullSafe(right["doc_id"])
-
-
 def dedup_substrings(
     documents: DataFrame,
     width: int = WIDTH,
@@ -283,27 +281,35 @@ def dedup_substrings(
     keyed = _keyed(documents, id_col, text_col)
     anchors = _anchors(keyed, width, prefix)
     repeated = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    places = (
+    is_heavy = F.col("n") > group_segments
+    places = written(
         anchors.join(repeated, "gram")
         .groupBy("rid")
-        .agg(F.collect_set(F.struct("gram", "place", (F.col("n") > group_segments).alias("heavy"))).alias("places"))
-    )
-    segments = written(
-        _segments(keyed.join(places, "rid").select("rid", "doc_id", "full_text", "places"), width), "segments"
-    )
-    light = _tree_spans(segments.filter("words is not null"), width)
-    windows = segments.filter("words is null").select("d1", "d2", "doc_id", "rid", "first")
-    nodes = windows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    heavy = windows.join(nodes, ["d1", "d2"]).select(
-        "doc_id", "rid", "first", (F.col("first") + width).alias("last")
-    )
-    spans = light.unionByName(heavy).groupBy("rid", "doc_id").agg(
-        F.collect_set(F.struct("first", "last")).alias("spans")
-    )
-    marked = keyed.join(spans, _same_row(keyed, spans), "left").select(
-        keyed["doc_id"], keyed["full_text"], spans["spans"]
+        .agg(
+            F.collect_set(F.struct("gram", "place", is_heavy.alias("heavy"))).alias("places"),
+            F.max(is_heavy).alias("any_heavy"),
+        ),
+        "places",
     )
 
+    def cut(heavy: bool) -> DataFrame:
+        some = places.filter("any_heavy") if heavy else places
+        hits = keyed.join(some, "rid").select("rid", "doc_id", "full_text", "places")
+        return _segments(hits, width, heavy)
+
+    found = _tree_spans(cut(heavy=False), width)
+    if not places.filter("any_heavy").isEmpty():
+        windows = cut(heavy=True).select("d1", "d2", "doc_id", "rid", "first")
+        nodes = windows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        found = found.unionByName(
+            windows.join(nodes, ["d1", "d2"]).select(
+                "doc_id", "rid", "first", (F.col("first") + width).alias("last")
+            )
+        )
+    # Joined on rid alone, as the places were, so the texts dealt out for them serve again.
+    spans = found.groupBy("rid").agg(F.collect_set(F.struct("doc_id", "first", "last")).alias("spans"))
+    marked = keyed.join(spans, "rid", "left").select("doc_id", "full_text", "spans")
+
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -311,8 +317,9 @@ def dedup_substrings(
                 words = (text.as_py() or "").encode().split()
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 for span in spans_of.as_py() or ():
-                    gone[span["first"]] += 1
-                    gone[span["last"]] -= 1
+                    if span["doc_id"] == doc_id:
+                        gone[span["first"]] += 1
+                        gone[span["last"]] -= 1
                 stays = np.cumsum(gone[:-1]) == 0
                 kept = list(itertools.compress(words, stays.tolist()))
                 out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode()))

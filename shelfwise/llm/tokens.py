@@ -43,14 +43,21 @@ _ALPHABET = _byte_alphabet()
 
 class ChunkEncoder:
     """``kind``: "word" (white space is dropped, so any ASCII white space is a cut) or "byte"
-    (a space belongs to the chunk after it)."""
+    (a space belongs to the chunk after it). ``added_tokens``: the file's added tokens in a text
+    get their own ids, as by the library's default (such a text goes whole); else they are
+    ordinary text."""
 
-    def __init__(self, path: str, kind: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(
+        self, path: str, kind: str, cache_chunks: int = CACHE_CHUNKS, added_tokens: bool = False
+    ):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        # Chunks are ordinary text: lower-casing may make an added token of what was none.
+        self.tokenizer.encode_special_tokens = True
+        tokens = self.tokenizer.get_added_tokens_decoder().values() if added_tokens else ()
+        self.added = tuple(t.content for t in tokens)
         self.model = self.tokenizer.model
         self.kind = kind
         self.chunks = Recent(self._learn, cache_chunks)
@@ -61,6 +68,13 @@ class ChunkEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return b"".join([self.packed[i] for i in ids])
 
+    def _with_added(self, text: str) -> bytes:
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self.whole(text)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _learn(self, chunk: bytes) -> bytes:
         """Ids of a chunk. A run of letters is one pre-token, which the model takes as it is."""
         text = chunk.decode()
@@ -85,6 +99,8 @@ class ChunkEncoder:
         """The ids of a text (null: none) as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if any(x in text for x in self.added):
+            return self._with_added(text)
         if self.kind == "word":
             cut = self._ends_cut(text, " ")
             return b"".join(map(self.chunks.__getitem__, cut.encode().lower().split()))
@@ -112,5 +128,5 @@ def encoder(path: str, kind: str) -> ChunkEncoder:
     """The worker's encoder for a file; kept between the tasks that one Python worker runs."""
     key = (path, kind)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, kind)
+        _ENCODERS[key] = ChunkEncoder(path, kind, added_tokens=True)
     return _ENCODERS[key]

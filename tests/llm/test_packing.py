@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfwise.llm.packing import END_ID, fill_window, pack, packed_digests, plan_windows, token_pieces
-from shelfwise.llm.tokens import ChunkEncoder
+from shelfwise.llm.tokens import ChunkEncoder, encoder
 from tests.llm.helpers import ODD, documents, words
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,25 @@ def test_chunked_ids_are_the_tokenizers(path, kind):
     assert encoder.encode(None) == b""
 
 
+@pytest.mark.parametrize("path,kind", [(WORD, "word"), (BYTE, "byte")])
+def test_added_tokens_in_a_text_are_the_unmodified_tokenizers(path, kind):
+    rng = random.Random(17)
+    plain, ids_of = Tokenizer.from_file(path), encoder(path, kind).encode
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "a", "É.", " ", "\n", "b, "]
+    texts = ["a <|endoftext|> b", "<|ENDOFTEXT|>", *TEXTS]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(500)]
+    for text in texts:
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids_of(text), "<u4").tolist() == want, repr(text)
+    assert ids_of("a <|endoftext|> b") != ChunkEncoder(path, kind).encode("a <|endoftext|> b")
+
+
+def test_added_tokens_reach_the_packed_digests(spark):
+    ids = Tokenizer.from_file(WORD).encode("a <|endoftext|> b", add_special_tokens=False).ids + [END_ID]
+    (row,) = packed_digests(documents(spark, [(1, "a <|endoftext|> b")]), WORD).collect()
+    assert (row["length"], row["ids_crc32"]) == (4, zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+
+
 def best_sum(counts, capacity):
     longest = max(counts)
     left = list(itertools.chain.from_iterable([x] * (n - (x == longest)) for x, n in counts.items()))

@@ -4,7 +4,9 @@ zstandard ratios (compressed bytes by bytes) of the whole document, and of each
 must lie in a band that depends on the length: below it the text repeats itself, above it there
 is no language in it. Short texts compress badly whatever they say, so the limits widen towards
 short lengths and the shortest texts are not judged. A document is kept when it passes the base
-rules, its whole ratio is in its band, and at most half of its chunks are outside theirs.
+rules, its whole ratio is in its band, and at most ``MAX_BAD_PERCENT`` of its chunks are outside
+theirs (of fewer than 20 chunks, none). Every byte is in a chunk: a tail is
+judged by the band of its own length, or shorter than ``MIN_CHUNK_BYTES`` with the chunk before it.
 
 One row at a time on the executors: no shuffle, memory bounded by one batch of documents.
 
@@ -26,9 +28,15 @@ from shelfwise.llm.windows import repeated_in_text
 #: (bytes from, lowest ratio, highest ratio); 9.0: no upper limit.
 BANDS = (
     (0, 0.0, 9.0),
-    (64, 0.33, 9.0),
-    (256, 0.32, 0.92),
-    (512, 0.30, 0.84),
+    (64, 0.33, 9.0),  # up to 127 bytes prose and noise compress alike
+    (128, 0.33, 0.98),
+    (160, 0.33, 0.93),
+    (192, 0.33, 0.90),
+    (256, 0.32, 0.85),
+    (320, 0.32, 0.82),
+    (384, 0.31, 0.80),
+    (512, 0.30, 0.77),
+    (768, 0.30, 0.76),
     (1024, 0.27, 0.76),
     (2048, 0.25, 0.72),
     (4096, 0.22, 0.70),
@@ -36,6 +44,8 @@ BANDS = (
     (65536, 0.15, 0.68),
 )
 CHUNK_BYTES = 4096
+MIN_CHUNK_BYTES = 512  # a shorter tail would say little by itself
+MAX_BAD_PERCENT = 5  # of a document's chunks
 LEVEL = 3
 SYMBOLS = "#*$%&|<>"
 REPEAT_WIDTH = 8
@@ -76,15 +86,19 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def compression(text: str, compress) -> tuple[float | None, int, int]:
-    """Whole ratio, chunks and chunks out of band. A tail shorter than half a chunk has no say."""
+    """Whole ratio, chunks and chunks out of band."""
     data = text.encode()
     if not data:
         return None, 0, 0
-    chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
-    if len(chunks[-1]) < CHUNK_BYTES // 2:
-        chunks.pop()
+    ratio = len(compress(data)) / len(data)
+    starts = [*range(0, len(data), CHUNK_BYTES)]
+    if len(starts) > 1 and len(data) - starts[-1] < MIN_CHUNK_BYTES:
+        starts.pop()
+    if len(starts) == 1:
+        return ratio, 1, int(not in_band(ratio, len(data)))
+    chunks = [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])]
     bad = sum(not in_band(len(compress(c)) / len(c), len(c)) for c in chunks)
-    return len(compress(data)) / len(data), len(chunks), bad
+    return ratio, len(chunks), bad
 
 
 def judge(doc_id: int | None, text: str | None, compress) -> tuple:
@@ -93,7 +107,7 @@ def judge(doc_id: int | None, text: str | None, compress) -> tuple:
     n_words, n_repeat = counts[0], counts[4]
     failed = n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
     ratio, n_chunks, bad = compression(text, compress)
-    kept = not failed and in_band(ratio, len(text.encode())) and 2 * bad <= n_chunks
+    kept = not failed and in_band(ratio, len(text.encode())) and 100 * bad <= MAX_BAD_PERCENT * n_chunks
     return (doc_id, *counts, failed, kept, ratio, n_chunks, bad)
 
 

@@ -49,6 +49,21 @@ def test_bands_keep_language_and_reject_the_rest(spark):
     assert kept == {300, 700, 1500, 3000, 9000, 30000}
 
 
+def test_a_part_without_language_rejects_a_long_text(spark):
+    rng = random.Random(5)
+    noise = lambda n: "\n".join(base64.b64encode(rng.randbytes(57)).decode() for _ in range(n // 77))
+    prose = lambda n: " ".join(words(rng, n // 5))[:n]
+    few = " ".join(base64.b64encode(rng.randbytes(9)).decode()[:11] for _ in range(50))
+    rows = [
+        (1, prose(60_000)), (2, prose(60_000) + "\n" + noise(46_000)), (3, prose(20_000) + "\n" + noise(8_000)),
+        (4, few), (5, prose(8192) + noise(1900)), (6, prose(200_000) + "\n" + noise(6_000)), (7, prose(8192 + 300)),
+    ]
+    got = {i: (k, n, bad) for i, k, n, bad in by_id(quality_rules(documents(spark, rows)), "kept", "n_chunks", "n_bad_chunks")}
+    assert [i for i in got if got[i][0]] == [1, 6, 7]
+    assert [got[i][1] for i in (4, 5, 7)] == [1, 3, 2]  # a tail is a chunk, or in the last one
+    assert 0 < 20 * got[6][2] <= got[6][1] and got[2][2] * 2 <= got[2][1]
+
+
 def test_bands_are_ordered():
     lows = [b[0] for b in BANDS]
     assert lows == sorted(lows) and all(x[1] >= y[1] for x, y in zip(BANDS[1:], BANDS[2:]))

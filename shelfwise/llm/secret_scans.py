@@ -1,7 +1,10 @@
 """Secret scans with a randomness test battery (DataFrame functions only).
 
 Base patterns find assignments, access keys and long hex runs. The method adds long tokens that
-look like random bytes in an encoding inferred from their characters (hex, base32, base64):
+look like random bytes in an encoding inferred from their characters (hex, base32 and base36 in
+either case, base62, base64, dashed UUIDs as hex). The parts of a token between slashes, and its
+runs of letters and digits, are tokens too: a path or prefix does not hide a key behind it.
+The tests, on the symbols of the encoding:
 
 * chi-squared test of the alphabet's uniformity,
 * runs test of symbols in the upper and lower half of the alphabet,
@@ -37,14 +40,24 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the runs of 24 and more
 ASSIGN_VALUE, ACCESS_LENGTH = 6, 20
 
-MIN_TOKEN = 24
+MIN_TOKEN = 16
+MIN_SYMBOLS = 3  # distinct; a repeated pair says nothing of an alphabet
 TOKEN = rf"[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}"
+#: A token, its parts between slashes, and its runs of letters and digits are all candidates.
+PARTS = (TOKEN, rf"[A-Za-z0-9+_-]{{{MIN_TOKEN},}}", rf"[A-Za-z0-9]{{{MIN_TOKEN},}}")
 Q = 0.01
 BINS, BINS_PER_DECADE = 1000, 50
-LENGTH_BANDS = (24, 32, 48, 96)
+LENGTH_BANDS = (16, 24, 32, 48, 96)
+UUID = "^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 _BASE64 = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
 _BASE32 = string.ascii_uppercase + "234567"
-ENCODINGS = {"hex": string.digits + "abcdef", "base32": _BASE32, "base64": _BASE64}
+ENCODINGS = {
+    "hex": string.digits + "abcdef",
+    "base32": _BASE32,
+    "base36": string.digits + string.ascii_uppercase,
+    "base62": string.ascii_uppercase + string.ascii_lowercase + string.digits,
+    "base64": _BASE64,
+}
 #: Columns that find_secrets adds (TEXT only on the way).
 TEXT, BASE, RANDOM = "__secret_text", "__secret_base", "__secret_random"
 KINDS = ("assign", "access", "hex", "random")
@@ -82,12 +95,19 @@ def _found(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
 
 
 def encoding_of(token: Column) -> Column:
-    """The narrowest encoding whose alphabet a token uses with the mixture random bytes give."""
+    """The narrowest encoding whose alphabet holds a token. Letters of one case alone, and digits
+    alone, count as base36, where what they lack tells words and numbers from keys. Other signs
+    are base64 only beside both cases: else they join words or paths (see ``PARTS``)."""
     digit, lower, upper = (token.rlike(c) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+    symbols = F.size(F.array_distinct(F.filter(F.split(token, ""), lambda c: c != "")))
+    mixed, varied = digit & (lower | upper), symbols >= MIN_SYMBOLS
     return (
-        F.when(digit & (lower | upper) & token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
-        .when(digit & upper & token.rlike("^[A-Z2-7]+$"), "base32")
-        .when(digit & lower & upper & token.rlike("^(?:[A-Za-z0-9+/]+|[A-Za-z0-9_-]+)$"), "base64")
+        F.when(mixed & token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
+        .when(varied & token.rlike(UUID), "hex")  # of its 32 digits
+        .when(mixed & token.rlike("^(?:[A-Z2-7]+|[a-z2-7]+)$"), "base32")
+        .when(varied & token.rlike("^(?:[A-Z0-9]+|[a-z0-9]+)$"), "base36")
+        .when(varied & token.rlike("^[A-Za-z0-9]+$"), "base62")
+        .when(varied & lower & upper & token.rlike("^(?:[A-Za-z0-9+/]+|[A-Za-z0-9_-]+)$"), "base64")
     )
 
 
@@ -104,7 +124,11 @@ def _upper_tail(z: Column) -> Column:
 
 def battery(token: Column, encoding: Column) -> Column:
     """Combined p-value of a token under a uniform random source of its encoding."""
-    plain = F.translate(F.when(encoding == "hex", F.lower(token)).otherwise(token), "-_", "+/")
+    plain = (
+        F.when(encoding == "hex", F.translate(F.lower(token), "-", ""))
+        .when(encoding.isin("base32", "base36"), F.upper(token))
+        .otherwise(F.translate(token, "-_", "+/"))
+    )
     alphabet = functools.reduce(
         lambda acc, e: F.when(encoding == e, F.lit(ENCODINGS[e])).otherwise(acc), ENCODINGS, F.lit("")
     )
@@ -153,7 +177,9 @@ def clearing_limits(texts: DataFrame, q: float = Q) -> dict[tuple[str, int], flo
     """Per (encoding, length band) the largest p-value that clears a token. ``texts``: one column
     ``full_text``. At most one number per band comes to the driver."""
     tokens = texts.filter(F.col("full_text").rlike(TOKEN)).select(
-        F.explode(F.regexp_extract_all("full_text", F.lit(TOKEN), F.lit(0))).alias("token")
+        F.explode(
+            F.concat(*[F.regexp_extract_all("full_text", F.lit(p), F.lit(0)) for p in PARTS])
+        ).alias("token")
     )
     distinct = tokens.distinct().withColumn("encoding", encoding_of(F.col("token")))
     judged = distinct.filter(F.col("encoding").isNotNull()).select(
@@ -187,7 +213,7 @@ def clearing_limits(texts: DataFrame, q: float = Q) -> dict[tuple[str, int], flo
 def _random_spans(text: Column, limits: dict[tuple[str, int], float], base: Column) -> Column:
     # Encoding and band are named once per token; the plan stays small.
     named = F.transform(
-        _found(text, TOKEN, "random"),
+        F.array_distinct(F.concat(*[_found(text, p, "random") for p in PARTS])),
         lambda x: F.struct(
             x.alias("span"),
             encoding_of(x["value"]).alias("encoding"),
@@ -205,7 +231,20 @@ def _random_spans(text: Column, limits: dict[tuple[str, int], float], base: Colu
         free = ~F.exists(base, lambda z: (z["start"] < x["end"]) & (x["start"] < z["end"]))
         return y["encoding"].isNotNull() & free & (battery(x["value"], y["encoding"]) > limit)
 
-    return F.transform(F.filter(named, kept), lambda y: y["span"])
+    spans = F.array(F.transform(F.filter(named, kept), lambda y: y["span"]))
+
+    def outermost(found: Column) -> Column:
+        return F.filter(
+            found,
+            lambda x: ~F.exists(
+                found,
+                lambda z: (z["start"] <= x["start"])
+                & (x["end"] <= z["end"])
+                & (z["end"] - z["start"] > x["end"] - x["start"]),
+            ),
+        )
+
+    return F.element_at(F.transform(spans, outermost), 1)
 
 
 def _shown(spans: Column) -> Column:

@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import string
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +92,36 @@ def test_encoding_is_inferred(spark):
     assert {r["t"]: r["e"] for r in rows.collect()} == cases
 
 
+def key(alphabet, n):
+    return "".join(RNG.choice(alphabet) for _ in range(n))
+
+
+LOWER, UPPER, DIGITS = string.ascii_lowercase, string.ascii_uppercase, string.digits
+KEYS = {
+    "base36": [key(LOWER + DIGITS, 32) for _ in range(20)] + [key(UPPER + DIGITS, 32) for _ in range(20)],
+    "base32": [key(LOWER + "234567", 32) for _ in range(20)], "base62": [key(LOWER + UPPER, 20) for _ in range(20)],
+    "base64": [key(LOWER + UPPER + DIGITS + "+/", 20) for _ in range(20)], "hex": [str(uuid.UUID(bytes=RNG.randbytes(16), version=4)) for _ in range(20)],
+}
+HOOK, URL_SAFE = "com/services/T01/B02/", str.maketrans("+/", "-_")
+
+
+@pytest.mark.parametrize("encoding", sorted(KEYS))
+def test_keys_of_every_alphabet_are_found_also_behind_a_path(spark, encoding):
+    keys = KEYS[encoding] if encoding != "hex" else KEYS["hex"] + [RNG.randbytes(9).hex() for _ in range(20)]
+    rows = [(i, f"see {k} end") for i, k in enumerate(keys)] + [(100 + i, f"{HOOK}{k.translate(URL_SAFE)} end") for i, k in enumerate(keys)]
+    spans = dict(by_id(secret_digests(documents(spark, rows)), "spans"))
+    assert sum(spans[i] == f"random:4:{4 + len(k)}" for i, k in enumerate(keys)) >= 0.9 * len(keys)
+    end = [f":{len(HOOK) + len(k)}" for k in keys]
+    assert sum(spans[100 + i].endswith(e) for i, e in enumerate(end)) >= 0.9 * len(keys)
+
+
+def test_battery_folds_case_and_dashes(spark):
+    rows = spark.createDataFrame([(t, e) for e in ("base36", "base32", "hex") for t in KEYS[e]], "token string, e string")
+    for r in rows.withColumn("p", battery(F.col("token"), F.col("e"))).collect():
+        plain = r["token"].replace("-", "") if r["e"] == "hex" else r["token"].upper()
+        assert r["p"] == pytest.approx(brute_p(plain, r["e"]), abs=2e-6), r
+
+
 def test_masking_leaves_no_base_span_and_all_rows(spark):
     docs = documents(spark, ROWS)
     masked = redact_secrets(docs)

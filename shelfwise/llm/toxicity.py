@@ -41,7 +41,7 @@ EPOCHS = 150
 L2 = 2e-4
 RATE = 0.15
 MIN_EXCESS = 4.0  # standard deviations
-MIN_SHARE = 0.02  # of the P documents
+MIN_SEEN = 3  # P documents
 FOLDS = 5
 CACHE_WORDS = 400_000
 
@@ -121,7 +121,7 @@ def _telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.nda
     n = len(positive)
     rate = (usual + 1) / (len(unlabelled) + 2)
     excess = (seen - n * rate) / np.sqrt(n * rate * (1 - rate))
-    return np.flatnonzero((excess >= MIN_EXCESS) & (seen >= max(3, MIN_SHARE * n)))
+    return np.flatnonzero((excess >= MIN_EXCESS) & (seen >= MIN_SEEN))
 
 
 def train(

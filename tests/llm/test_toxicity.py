@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
+
 from shelfwise.llm.toxicity import drop_toxic, features_of, fit_toxicity, toxicity, train
 from tests.llm.helpers import ODD, by_id, documents, words
 
@@ -40,6 +42,14 @@ def test_held_out_accuracy(spark):
     assert len(got) == len({i for i, _ in rows if i})
 
 
+def test_a_rare_but_telling_word_gets_weight():
+    rng = np.random.default_rng(8)
+    row = lambda *more: np.unique([*rng.integers(0, 500, 30), *more]).astype(np.int32)
+    positive = [row(1000) if i >= 15 else row(2000) for i in range(1000)]  # 2000: 1.5% of them
+    weights, _ = train(positive, [row() for _ in range(2000)], 0.1, members=1)
+    assert weights[2000] > 1 and weights[1000] > 1
+
+
 def test_rejected_rows_go_and_the_rest_keep_their_columns(spark):
     rows, labels = corpus()
     docs = documents(spark, rows)

@@ -4,8 +4,9 @@ A fingerprint has eight positional bytes. Two fingerprints that differ in at mos
 least 8 - d of them at their positions, so that is the guaranteed number of matches. The index is
 keyed by every choice of that many positional bytes (56 for d = 3): exactly the pairs that reach
 the guaranteed number meet in a posting list, and no list can hold more fingerprints than its free
-bytes have values. In a list the shared positional bytes of each pair are tallied, pairs below the
-minimum are dropped, and the rest are verified by their bit distance. Only a spanning forest of
+bytes have values. This replaces an index of single bytes, whose lists would hold nearly all pairs:
+the count filter is met by construction (``near`` still tallies, but drops no pair of a list), and
+pairs are verified by their bit distance. Only a spanning forest of
 the links found leaves a list, never all pairs.
 
 Postings are of distinct fingerprints, so copies of a document cost nothing, and lists stream

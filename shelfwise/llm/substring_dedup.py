@@ -1,8 +1,9 @@
-"""Substring dedup with prefix-partitioned suffix trees over words.
+"""Substring dedup by prefix-partitioned windows of words, in place of suffix trees.
 
 A word sequence of ``WIDTH`` words that starts at two or more places is a repeat; every word that
 a repeat covers goes. Repeats are the nodes at depth ``WIDTH`` of the corpus's suffix tree that
-have two or more leaves (maximal repeats are their unions). The tree is never built whole:
+have two or more leaves (maximal repeats are their unions). No tree is built, only
+its nodes at that depth are found, as windows that occur twice:
 
 1. Suffixes are put into groups by an anchor prefix: of the ``PREFIX``-word prefixes inside a
    window, the one with the smallest hash. Equal windows have the same anchor at the same place,
@@ -10,10 +11,10 @@ have two or more leaves (maximal repeats are their unions). The tree is never bu
    serves about a dozen of them.
 2. Anchor prefixes are counted over all documents. A prefix that occurs once heads no repeat, and
    its suffixes go no further; that leaves the repeated share of the corpus.
-3. A prefix whose group is larger than ``GROUP_SEGMENTS`` is lengthened until the group is small:
+3. A prefix whose group is larger than ``GROUP_SEGMENTS`` is lengthened in one step
    to the full window, where each group is one node of the tree and only its count is needed
    (combined before the shuffle, so no hot passage gathers in a task).
-4. The other groups are small. Their subtrees are built in the task that receives them, level by
+4. The other groups are small. Their windows are named in the task that receives them, level by
    level (depths 1, 2, 4, ... ``WIDTH``): two suffixes share a node when their halves do, compared
    by content. Nodes at full depth with two leaves give the repeats.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from shelfwise.llm import (
     exact_dedup,
     packing,
+    periodic_runs,
     piece_nbest,
     quality_rules,
     secret_scans,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_packing": packing.op9_packing,
     "op10_token_output": token_output.op10_token_output,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 
 ORACLE_SQL = {

@@ -8,6 +8,7 @@ from shelfwise.llm import (
     periodic_runs,
     piece_nbest,
     quality_rules,
+    ranked_search,
     secret_scans,
     simhash_dedup,
     substring_dedup,
@@ -28,10 +29,12 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_token_output": token_output.op10_token_output,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_url_filters": url_filters.ORACLE_SQL,
+    "op12_ranked_search": ranked_search.ORACLE_SQL,
 }

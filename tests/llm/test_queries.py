@@ -22,7 +22,7 @@ def test_all_are_registered():
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(ORACLE_SQL[name]).df()
     got = QUERIES[name](spark, SF).toPandas()
@@ -32,8 +32,8 @@ def test_oracle(spark, name):
     assert key(got) == key(want)
 
 
-@pytest.mark.parametrize("name", ["op3_quality_rules", "op5_toxicity", "op8_url_filters"])
+@pytest.mark.parametrize("name", ["op3_quality_rules", "op5_toxicity", "op8_url_filters", "op11_periodic_runs", "op12_ranked_search"])
 def test_empty_tables(spark, scratch, name):
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(os.path.join(scratch, f"{t}.parquet"))
     assert QUERIES[name](spark, scratch).count() == 0

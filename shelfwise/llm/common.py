@@ -19,6 +19,20 @@ SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's limit on the bytes of an Arrow batch, so that rows with long texts or lists
+    do not fill a worker ten thousand at a time. Only batch sizes depend on it."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = conf.get(key).lower().removesuffix("b")
+    if not limit.isdigit() or not 0 < int(limit) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (the context cleaner may delete it once it is unreachable)."""
     shared_dir(df.sparkSession)

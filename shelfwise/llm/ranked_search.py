@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import written
+from shelfwise.llm.common import in_small_batches, written
 
 TOP = 10
 #: Documents and words of a shard. Only speed and memory depend on them.
@@ -56,25 +56,32 @@ BLOCK_TERMS = 200_000
 #: Documents scored in full to raise a shard's threshold.
 LEADERS = 32
 
+#: Stands for a missing id; such a document has no impacts, so it is never listed.
+NO_ID = -(1 << 63)
+
 #: Fixed values of the score: weights in thousandths, saturation and length normalisation in percent.
 WEIGHT_SCALE, IMPACT_SCALE, TF_SCALE, SATURATION, LENGTH_SHARE = 1000, 1_000_000_000, 1000, 8, 90
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
 
-_INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
+#: Flat arrays are stored as bytes: 16-bit places (a shard's documents), 32-bit term and pair numbers,
+#: 64-bit ids, counts and impacts.
+_TYPES = {
+    "doc_ids": "<i8", "lengths": "<i8", "terms": "<i4", "ends": "<i8", "places": "<u2", "tfs": "<i8", "impacts": "<i8",
+    "maxima": "<i8", "pairs": "<i4", "pair_ends": "<i8", "pair_places": "<u2", "pair_impacts": "<i8", "pair_maxima": "<i8",
+}
+_BYTES = pa.binary()
 COUNTS = pa.schema(
-    [("doc_ids", _LONGS), ("lengths", _LONGS), ("terms", _INTS), ("ends", _LONGS), ("places", _INTS), ("tfs", _LONGS)]
+    [("n_docs", pa.int64()), ("n_terms", pa.int64()), ("df", pa.map_(pa.int32(), pa.int64()))]
+    + [(c, _BYTES) for c in ("doc_ids", "lengths", "terms", "ends", "places", "tfs")]
 )
-IMPACTS = pa.schema(
-    [("doc_ids", _LONGS), ("terms", _INTS), ("ends", _LONGS), ("places", _INTS), ("impacts", _LONGS), ("maxima", _LONGS),
-     ("pairs", _INTS), ("pair_ends", _LONGS), ("pair_places", _INTS), ("pair_impacts", _LONGS), ("pair_maxima", _LONGS)]
-)
+IMPACTS = pa.schema([(c, _BYTES) for c in _TYPES if c not in ("lengths", "tfs")])
 BEST = pa.schema([("item", pa.int32()), ("doc_id", pa.int64()), ("score", pa.int64())])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    kinds = {_INTS: "array<int>", _LONGS: "array<long>", pa.int32(): "int", pa.int64(): "long"}
+    kinds = {_BYTES: "binary", pa.map_(pa.int32(), pa.int64()): "map<int, long>", pa.int32(): "int", pa.int64(): "long"}
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
@@ -118,19 +125,27 @@ class _Shard:
 
     def row(self) -> pa.RecordBatch:
         codes = np.array(self.codes, dtype=np.int32)
-        places = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.held)
+        places = np.repeat(np.arange(len(self.ids)), self.held)
         order = np.argsort(codes, kind="stable")
         terms, counts = np.unique(codes, return_counts=True)
-        columns = [self.ids, self.lengths, terms, np.cumsum(counts), places[order], np.array(self.tfs, dtype=np.int64)[order]]
-        return _one_row(columns, COUNTS)
+        # A document without an id keeps its place under NO_ID.
+        ids = [NO_ID if x is None else x for x in self.ids]
+        tfs = np.array(self.tfs, dtype=np.int64)
+        arrays = [ids, self.lengths, terms, np.cumsum(counts), places[order], tfs[order]]
+        totals = [sum(map(bool, self.lengths)), sum(self.lengths), list(zip(terms.tolist(), counts.tolist()))]
+        return _one_row([*totals, *arrays], COUNTS)
+
+
+def _one_row(values: list, schema: pa.Schema) -> pa.RecordBatch:
+    flat = [
+        np.asarray(x, dtype=_TYPES[f.name]).tobytes() if f.type == _BYTES else x for x, f in zip(values, schema)
+    ]
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(flat, schema)], schema=schema)
 
 
-def _one_row(columns: list, schema: pa.Schema) -> pa.RecordBatch:
-    arrays = []
-    for values, field in zip(columns, schema):
-        flat = pa.array(values, field.type.value_type)
-        arrays.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+def _arrays(batch: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
+    names = [x for x in batch.schema.names if x in _TYPES]
+    return {x: np.frombuffer(batch.column(x)[i].as_buffer(), dtype=_TYPES[x]) for x in names}
 
 
 def _slices(keys: np.ndarray, ends: np.ndarray) -> dict[int, slice]:
@@ -155,7 +170,7 @@ def count_postings(
             yield shard.row()
 
     chosen = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("full_text"))
-    return chosen.mapInArrow(index, _ddl(COUNTS))
+    return in_small_batches(chosen).mapInArrow(index, _ddl(COUNTS))
 
 
 def term_weight(n_docs: int, df: int) -> int:
@@ -177,20 +192,17 @@ def with_impacts(counts: DataFrame, n_docs: int, n_terms: int, weights: dict[int
         known_weights, known_pairs = sent.value
         for batch in batches:
             for i in range(batch.num_rows):
-                row = [batch.column(k)[i].values for k in range(len(COUNTS))]
-                yield _weighed(row, n_docs, n_terms, known_weights, known_pairs)
+                yield _weighed(_arrays(batch, i), n_docs, n_terms, known_weights, known_pairs)
 
     return counts.mapInArrow(weigh, _ddl(IMPACTS))
 
 
-def _weighed(row: list[pa.Array], n_docs: int, n_terms: int, weights: dict[int, int], pairs: list) -> pa.RecordBatch:
-    lengths, terms, ends, places, tfs = (x.to_numpy(zero_copy_only=False) for x in row[1:])
-    base = 100 - LENGTH_SHARE + (LENGTH_SHARE * lengths * n_docs) // max(n_terms, 1)
+def _weighed(row: dict[str, np.ndarray], n_docs: int, n_terms: int, weights: dict[int, int], pairs: list) -> pa.RecordBatch:
+    terms, ends, places, tfs = row["terms"], row["ends"], row["places"], row["tfs"]
+    base = 100 - LENGTH_SHARE + (LENGTH_SHARE * row["lengths"] * n_docs) // max(n_terms, 1)
     weight = np.repeat(np.array([weights[int(t)] for t in terms], dtype=np.int64), np.diff(ends, prepend=0))
     impacts = weight * ((IMPACT_SCALE * tfs) // (TF_SCALE * tfs + SATURATION * base[places]))
-    unnamed = np.array([x is None for x in row[0].to_pylist()], dtype=bool)
-    if unnamed.any():
-        impacts[unnamed[places]] = 0
+    impacts[(row["doc_ids"] == NO_ID)[places]] = 0
     own = _slices(terms, ends)
     maxima = [int(impacts[own[int(t)]].max()) for t in terms]
     here, pair_places, pair_impacts = [], [], []
@@ -202,11 +214,9 @@ def _weighed(row: list[pa.Array], n_docs: int, n_terms: int, weights: dict[int,
                 pair_places.append(found)
                 pair_impacts.append(joint)
     none = [np.empty(0, dtype=np.int64)]
-    columns = [
-        row[0].fill_null(-1), terms, ends, places, impacts, maxima, here, np.cumsum([len(x) for x in pair_places], dtype=np.int64),
-        np.concatenate(pair_places or none), np.concatenate(pair_impacts or none), [int(x.max()) for x in pair_impacts],
-    ]
-    return _one_row(columns, IMPACTS)
+    pair_ends, pair_maxima = np.cumsum([len(x) for x in pair_places]), [int(x.max()) for x in pair_impacts]
+    joined = np.concatenate(pair_places or none), np.concatenate(pair_impacts or none)
+    return _one_row([row["doc_ids"], terms, ends, places, impacts, maxima, here, pair_ends, *joined, pair_maxima], IMPACTS)
 
 
 def _lookup(places: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,13 +237,12 @@ def _intersection(places_a, impacts_a, places_b, impacts_b) -> tuple[np.ndarray,
 class _Lists:
     """One shard's impact table."""
 
-    def __init__(self, row: list[pa.Array]):
-        self.ids, terms, ends, self.places, self.impacts, maxima, pairs, pair_ends, self.pair_places, self.pair_impacts, pair_maxima = (
-            x.to_numpy(zero_copy_only=False) for x in row
-        )
-        self.own, self.joint = _slices(terms, ends), _slices(pairs, pair_ends)
-        self.maxima = dict(zip(terms.tolist(), maxima.tolist()))
-        self.pair_maxima = dict(zip(pairs.tolist(), pair_maxima.tolist()))
+    def __init__(self, row: dict[str, np.ndarray]):
+        self.ids, self.places, self.impacts = row["doc_ids"], row["places"], row["impacts"]
+        self.pair_places, self.pair_impacts = row["pair_places"], row["pair_impacts"]
+        self.own, self.joint = _slices(row["terms"], row["ends"]), _slices(row["pairs"], row["pair_ends"])
+        self.maxima = dict(zip(row["terms"].tolist(), row["maxima"].tolist()))
+        self.pair_maxima = dict(zip(row["pairs"].tolist(), row["pair_maxima"].tolist()))
         self.score = np.zeros(len(self.ids), dtype=np.int64)
 
     def term(self, t: int) -> tuple[np.ndarray, np.ndarray]:
@@ -354,7 +363,7 @@ def best_in_tasks(index: DataFrame, queries: list, top: int) -> DataFrame:
         best: list[list] = [[] for _ in asked]
         for batch in batches:
             for i in range(batch.num_rows):
-                lists = _Lists([batch.column(k)[i].values for k in range(len(IMPACTS))])
+                lists = _Lists(_arrays(batch, i))
                 for query, heap in zip(asked, best):
                     search_shard(lists, query, heap, top)
         rows = [(item, -negative, score) for item, heap in enumerate(best) for score, negative in heap]
@@ -374,13 +383,9 @@ def _block_best(
     for row in block:
         asked.setdefault(row.item_id, []).append(vocabulary[row.term.encode()])
     counts = written(count_postings(documents, vocabulary, id_col, text_col, shard_docs), "postings")
-    totals = counts.agg(
-        F.sum(F.size(F.filter("lengths", lambda n: n > 0)).cast("long")).alias("n"),
-        F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, n: s + n)).alias("l"),
-    ).first()
-    sizes = F.transform("ends", lambda e, i: e - F.when(i > 0, F.get("ends", i - 1)).otherwise(0))
-    held = counts.select(F.explode(F.arrays_zip(F.col("terms").alias("term"), sizes.alias("held"))).alias("x"))
-    df = {r.term: r.df for r in held.groupBy("x.term").agg(F.sum("x.held").alias("df")).collect()}
+    totals = counts.agg(F.sum("n_docs").alias("n"), F.sum("n_terms").alias("l")).first()
+    held = counts.select(F.explode("df").alias("term", "held")).groupBy("term").agg(F.sum("held").alias("df"))
+    df = {r.term: r.df for r in held.collect()}
     n_docs, n_terms = totals.n or 0, totals.l or 0
     units = [query_units(terms, df) for terms in asked.values()]
     pairs = sorted({u for query in units for u in query if len(u) == 2})

@@ -106,9 +106,8 @@ def test_pair_bounds_hold_and_skip_more_than_single_maxima():
     pairs = sorted({u for q in units for u in q if len(u) == 2})
     number = {u: i for i, u in enumerate(pairs)}
     weights = {t: rs.term_weight(n, c) for t, c in df.items()}
-    batch = gathered.row()
-    weighed = rs._weighed([batch.column(k)[0].values for k in range(len(rs.COUNTS))], n, total, weights, pairs)
-    lists = rs._Lists([weighed.column(k)[0].values for k in range(len(rs.IMPACTS))])
+    weighed = rs._weighed(rs._arrays(gathered.row(), 0), n, total, weights, pairs)
+    lists = rs._Lists(rs._arrays(weighed, 0))
     paired = single = 0
     for query in units:
         for unit in query:

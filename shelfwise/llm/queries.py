@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from shelfwise.llm import (
     exact_dedup,
+    nearest_vectors,
     packing,
     periodic_runs,
     piece_nbest,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_token_output": token_output.op10_token_output,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_ranked_search": ranked_search.op12_ranked_search,
+    "op13_nearest_vectors": nearest_vectors.op13_nearest_vectors,
 }
 
 ORACLE_SQL = {

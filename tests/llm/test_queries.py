@@ -32,8 +32,8 @@ def test_oracle(spark, name):
     assert key(got) == key(want)
 
 
-@pytest.mark.parametrize("name", ["op3_quality_rules", "op5_toxicity", "op8_url_filters", "op11_periodic_runs", "op12_ranked_search"])
+@pytest.mark.parametrize("name", ["op3_quality_rules", "op5_toxicity", "op8_url_filters", "op11_periodic_runs", "op12_ranked_search", "op13_nearest_vectors"])
 def test_empty_tables(spark, scratch, name):
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "embeddings"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(os.path.join(scratch, f"{t}.parquet"))
     assert QUERIES[name](spark, scratch).count() == 0

@@ -8,7 +8,9 @@ what ``lm``'s default ``na.omit`` does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,9 +38,8 @@ PARTS = (*MOMENTS, "_xlo", "_xhi")
 def centred_moments(y: Column, x: Column, prefix: str) -> list[Column]:
     """Count, means and centred sums of the complete (x, y) pairs, and the range of x.
 
-    Two of them merge without power sums (:func:`merge_means`, :func:`merged_moments`), so a fact
-    table can be reduced on its join key before the join, and no sum of large squares is ever
-    subtracted from another.
+    They merge without power sums (:func:`fold_moments`), so a fact table can be reduced on its join
+    key before the join, and no sum of large squares is ever subtracted from another.
     """
     both = y.isNotNull() & x.isNotNull()
     xs = F.when(both, x.cast("double"))
@@ -49,36 +50,87 @@ def centred_moments(y: Column, x: Column, prefix: str) -> list[Column]:
     ]
 
 
-def merge_means(prefix: str) -> list[Column]:
-    """Aggregates over moment rows: the merged count and means (``prefix + _m*``)."""
-    n, mean_x, mean_y = (F.col(prefix + c) for c in ("_n", "_ax", "_ay"))
-    total = F.sum(n)
+#: Salted lists a group's moment sets are folded through. The second fold of a group never sees more
+#: than this many, the first one a share of the group's parts.
+SALTS = 4096
+
+
+def _states(prefix: str) -> list[Column]:
+    """The :data:`PARTS` of one moment set as list entries: an empty set has zeros, not NULLs."""
+    zero = {"_n": F.lit(0).cast("bigint")}
     return [
-        total.alias(prefix + "_mn"),
-        F.try_divide(F.sum(n * mean_x), total).alias(prefix + "_mx"),
-        F.try_divide(F.sum(n * mean_y), total).alias(prefix + "_my"),
+        (F.col(prefix + c) if c in ("_xlo", "_xhi") else F.coalesce(F.col(prefix + c), zero.get(c, F.lit(0.0)))).alias(prefix + c)
+        for c in PARTS
     ]
 
 
-def merged_moments(prefix: str) -> list[Column]:
-    """Aggregates over moment rows that carry their group's :func:`merge_means`: the merged
-    moments under their own names. The spread within the parts and that of their means add up.
-    An x that never varies has a centred sum of exactly 0, whatever the rounding of the mean."""
-    n = F.col(prefix + "_n")
-    dx, dy = F.col(prefix + "_ax") - F.col(prefix + "_mx"), F.col(prefix + "_ay") - F.col(prefix + "_my")
-    constant = F.min(prefix + "_xlo") == F.max(prefix + "_xhi")
-
-    def spread(own: str, between: Column) -> Column:
-        return F.sum(F.col(prefix + own) + n * between)
+def _empty(prefixes: Sequence[str]) -> Column:
+    def part(c: str) -> Column:
+        if c in ("_xlo", "_xhi"):
+            return F.lit(None).cast("double")
+        return F.lit(0).cast("bigint") if c == "_n" else F.lit(0.0)
+
+    return F.struct(*[part(c).alias(prefix + c) for prefix in prefixes for c in PARTS])
+
+
+def _merged(a: Column, b: Column, prefixes: Sequence[str]) -> Column:
+    """Two disjoint row sets' moments as those of their union: counts add up, means move by the second
+    set's share, centred sums add up plus the spread between the two means."""
+    fields = []
+    for prefix in prefixes:
+        get = lambda x, c, prefix=prefix: x.getField(prefix + c)
+        n = get(a, "_n") + get(b, "_n")
+        share = F.coalesce(F.try_divide(get(b, "_n").cast("double"), n), F.lit(0.0))
+        dx, dy = get(b, "_ax") - get(a, "_ax"), get(b, "_ay") - get(a, "_ay")
+        weight = get(a, "_n").cast("double") * share
+        fields += [
+            n.alias(prefix + "_n"),
+            (get(a, "_ax") + dx * share).alias(prefix + "_ax"),
+            (get(a, "_ay") + dy * share).alias(prefix + "_ay"),
+            (get(a, "_sxx") + get(b, "_sxx") + dx * dx * weight).alias(prefix + "_sxx"),
+            (get(a, "_syy") + get(b, "_syy") + dy * dy * weight).alias(prefix + "_syy"),
+            (get(a, "_sxy") + get(b, "_sxy") + dx * dy * weight).alias(prefix + "_sxy"),
+            F.least(get(a, "_xlo"), get(b, "_xlo")).alias(prefix + "_xlo"),
+            F.greatest(get(a, "_xhi"), get(b, "_xhi")).alias(prefix + "_xhi"),
+        ]
+    return F.struct(*fields)
+
+
+def fold_moments(
+    parts: DataFrame, by: Sequence[str], key: str, prefixes: Sequence[str], sums: Sequence[str] = (), salts: int = SALTS
+) -> DataFrame:
+    """The moment sets of a group's rows merged into one row per ``by``: ``by``, the ``sums`` added up, and
+    :data:`PARTS` of each prefix.
+
+    ``parts`` holds one row per ``key``. It is read once: lists of moment sets, salted by the key, are
+    folded pairwise in the JVM, then the at most ``salts`` folds of a group are folded again, so no
+    list grows with a hot group beyond its share. The order within a list is that of the keys, so
+    results do not depend on how tasks finish. A regressor that never varies has centred sums of
+    exactly 0; an empty set has a count of 0 and NULL means.
+    """
 
-    return [
-        F.max(prefix + "_mn").alias(prefix + "_n"),
-        F.max(prefix + "_mx").alias(prefix + "_ax"),
-        F.max(prefix + "_my").alias(prefix + "_ay"),
-        F.when(constant, F.lit(0.0)).otherwise(spread("_sxx", dx * dx)).alias(prefix + "_sxx"),
-        spread("_syy", dy * dy).alias(prefix + "_syy"),
-        F.when(constant, F.lit(0.0)).otherwise(spread("_sxy", dx * dy)).alias(prefix + "_sxy"),
-    ]
+    def fold(df: DataFrame, groups: list, order: str) -> DataFrame:
+        entry = F.struct(F.col(order).alias("_key"), *[c for prefix in prefixes for c in _states(prefix)])
+        folded = F.aggregate(
+            F.array_sort(F.collect_list(entry)), _empty(prefixes), lambda a, b: _merged(a, b, prefixes)
+        )
+        totals = [F.sum(c).alias(c) for c in sums]
+        return df.groupBy(*groups).agg(*totals, folded.alias("_fold")).select("*", "_fold.*").drop("_fold")
+
+    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+    merged = fold(fold(salted, [*by, "_salt"], key), [*by], "_salt")
+    out = [*by, *sums]
+    for prefix in prefixes:
+        some = F.col(prefix + "_n") > 0
+        constant = F.col(prefix + "_xlo") == F.col(prefix + "_xhi")
+        for c in PARTS:
+            value = F.col(prefix + c)
+            if c in ("_sxx", "_sxy"):
+                value = F.when(some, F.when(constant, F.lit(0.0)).otherwise(value))
+            elif c != "_n":
+                value = F.when(some, value)
+            out.append(value.alias(prefix + c))
+    return merged.select(*out)
 
 
 def slope() -> Column:

@@ -13,8 +13,6 @@ Where R returns NA/NaN/Inf (zero divisor, constant regressor, one observation) t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,53 +36,28 @@ from shelfwise.operators.facts import (
 from shelfwise.sources.star import Star
 
 
-def join_on_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join two per-group results on their group keys, NULL keys matching NULL keys.
-
-    The right side's keys are renamed first, so two results derived from one DataFrame
-    cannot resolve to the same key attribute.
-    """
-    renamed = right.select(
-        *[F.col(k).alias(f"_rk_{k}") for k in keys], *[c for c in right.columns if c not in keys]
-    )
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_rk_{k}"))
-        cond = c if cond is None else cond & c
-    return left.join(renamed, cond, how).drop(*[f"_rk_{k}" for k in keys])
-
-
 def customer_profile(star: Star, customer_key: str = "full_name") -> DataFrame:
     """One aggregation per customer feeding analyses 1, 5 and 9.
 
     Invoices are first reduced **per customer id** to centred moments (quantity; line value ~
     quantity; line value ~ invoice day). Only those cross the shuffle into the customer join --
     one row per customer per task instead of every invoice, and a hot customer is combined
-    map-side. Per name, the moments of its customers are merged about the name's means.
+    map-side. Per name, the moments of its customers are folded (:func:`ols.fold_moments`); the
+    invoices are read once.
     """
     return star.shared(f"customer_profile_{customer_key}", lambda: _customer_profile(star, customer_key))
 
 
 def _customer_profile(star: Star, customer_key: str) -> DataFrame:
-    fits = ("_q", "_s", "_g")
     per_customer = sales_by_customer(star).drop("value")
     grain = customer_grain(customer_key)
-    named = customers_named(star).join(per_customer, "customer_id")
-    means = named.groupBy(*grain).agg(*[m for prefix in fits for m in ols.merge_means(prefix)])
-    merged = (
-        join_on_groups(named, means, grain, "inner")
-        .groupBy(*grain)
-        .agg(
-            F.sum("_rows").cast("bigint").alias("_rows"),
-            F.sum("units").alias("_units"),
-            *[m for prefix in fits for m in ols.merged_moments(prefix)],
-        )
-    )
+    named = customers_named(star).join(per_customer, "customer_id").withColumn("_id", F.col("customer_id"))
+    merged = ols.fold_moments(named, grain, "_id", ("_q", "_s", "_g"), sums=("_rows", "units"))
     std_dev = F.sqrt(F.try_divide(F.col("_q_sxx"), F.when(F.col("_q_n") >= 2, F.col("_q_n") - 1)))
     return merged.select(
         *grain,
         "_rows",
-        F.try_divide(F.col("_units"), F.col("_q_n")).alias("average_quantity"),
+        F.try_divide(F.col("units"), F.col("_q_n")).alias("average_quantity"),
         std_dev.alias("std_dev_quantity"),
         *[F.col(prefix + m) for prefix in ("_s", "_g") for m in ols.MOMENTS],
     )
@@ -223,11 +196,12 @@ def inventory_turnover_stats(star: Star) -> DataFrame:
 
     The inventory is constant per product, so shipments are reduced per product id to the count,
     mean and centred sum of squares of the quantity, scaled by the product's inventory, and
-    merged about the name's mean.
+    folded per name; the shipments are read once.
     """
     per_product = shipments_by_product(star)
     inv = F.when(F.col("inventory_amount") != 0, F.col("inventory_amount").cast("double"))
     scaled = products_named(star, "inventory_amount").join(per_product, "product_id").select(
+        "product_id",
         "product_name",
         F.when(inv.isNotNull(), F.col("_t_n")).otherwise(F.lit(0)).alias("_t_n"),
         *[F.try_divide(F.col("_t" + c), inv).alias("_t" + c) for c in ("_ax", "_ay")],
@@ -236,12 +210,7 @@ def inventory_turnover_stats(star: Star) -> DataFrame:
         F.greatest(F.col("_t_xlo") / inv, F.col("_t_xhi") / inv).alias("_t_xhi"),
         *[F.try_divide(F.col("_t" + c), inv * inv).alias("_t" + c) for c in ("_sxx", "_syy", "_sxy")],
     )
-    means = scaled.groupBy("product_name").agg(*ols.merge_means("_t"))
-    merged = (
-        join_on_groups(scaled, means, ["product_name"], "inner")
-        .groupBy("product_name")
-        .agg(*ols.merged_moments("_t"))
-    )
+    merged = ols.fold_moments(scaled, ["product_name"], "product_id", ("_t",))
     return merged.select(
         "product_name",
         F.col("_t_ax").alias("avg_turnover_rate"),
@@ -264,7 +233,10 @@ def credit_rating_summaries(star: Star, quantiles: str = "exact", accuracy: int
     )
     names, probs = ["median_revenue", "q1", "q3"], [0.5, 0.25, 0.75]
     if quantiles == "exact":
-        found = exact_quantiles(lines, "revenue", probs, ["credit_rating"], names, mean_name="mean_revenue")
+        # A rating without any line value still has its row.
+        found = exact_quantiles(
+            lines, "revenue", probs, ["credit_rating"], names, mean_name="mean_revenue", keep_empty=True
+        )
     elif quantiles == "approx":
         found = (
             lines.groupBy("credit_rating")
@@ -276,11 +248,7 @@ def credit_rating_summaries(star: Star, quantiles: str = "exact", accuracy: int
         )
     else:
         raise ValueError(f"unknown quantiles method {quantiles!r}")
-    # A rating without any line value still has its row.
-    ratings = lines.select("credit_rating").distinct()
-    return join_on_groups(ratings, found, ["credit_rating"]).select(
-        "credit_rating", "mean_revenue", "median_revenue", "q1", "q3"
-    )
+    return found.select("credit_rating", "mean_revenue", "median_revenue", "q1", "q3")
 
 
 # 8a

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import io
 import os
+import re
 
 import pytest
 
@@ -76,6 +77,40 @@ def test_fact_join_preaggregated(landed):
     assert "partial_count(1)" in text and "partial_sum(quantity_sold" in text
 
 
+@pytest.fixture()
+def no_broadcast(spark):
+    """Imitates data-sized dimensions: nothing fits a broadcast, and the plan is the one that runs."""
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    saved = {k: spark.conf.get(k) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in saved.items():
+        spark.conf.set(k, v)
+
+
+def counts(df, *nodes) -> dict[str, int]:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="simple")
+    return {n: len(re.findall(rf"\b{n}\b", buf.getvalue())) for n in nodes}
+
+
+FOLDED = ["customer_purchase_stats", "customer_spending_reg", "customer_sales_growth", "inventory_turnover_stats"]
+
+
+@pytest.mark.parametrize("name", FOLDED)
+def test_moments_per_name_read_their_fact_once(landed, no_broadcast, name):
+    got = counts(run(name, landed), "FileScan", "Exchange", "SortMergeJoin")
+    assert got["FileScan"] == 2  # the fact and the dimension
+    assert got["Exchange"] <= 4 and got["SortMergeJoin"] == 1
+
+
+def test_quartiles_read_the_joined_lines_once(landed, no_broadcast):
+    got = counts(run("credit_rating_summaries", landed), "FileScan")
+    assert got["FileScan"] == 2  # both passes read the same shuffled lines
+
+
 def test_bucketed_landing_removes_fact_shuffles(spark, tmp_path_factory):
     base = str(tmp_path_factory.mktemp("bucketed"))
     src = star_from_tpch(spark, SF)

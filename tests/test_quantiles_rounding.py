@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shelfwise.functions.quantiles import exact_quantiles
+from shelfwise.functions.quantiles import _binned, _bracketed, _known_ranks, exact_quantiles
 from shelfwise.functions.rounding import round_numeric
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
@@ -87,6 +87,37 @@ def test_brackets_hold_whatever_the_sketch(spark, accuracy):
     assert got["n"] == len(values) and got["m"] == pytest.approx(values.mean())
 
 
+@pytest.mark.parametrize("splits", [2, 7, 64])
+def test_bins_hold_whatever_the_second_sketch(spark, splits):
+    rng = np.random.default_rng(splits)
+    groups = {"a": rng.normal(size=4000), "b": rng.integers(0, 3, 900).astype(float), "c": np.array([4.0])}
+    data = [(g, float(v)) for g, vals in groups.items() for v in vals]
+    frame = spark.createDataFrame(data, "g string, v double").repartition(5)
+    out = {r["g"]: r for r in exact_quantiles(frame, "v", PROBS, by=["g"], accuracy=10, splits=splits).collect()}
+    for g, vals in groups.items():
+        want = np.percentile(vals, [p * 100 for p in PROBS], method="linear")
+        assert [out[g][c] for c in out[g].asDict() if c.startswith("q")] == pytest.approx(list(want), abs=1e-12)
+
+
+def test_sorted_partitions_are_bounded_however_wide_the_bracket(spark):
+    # A coarse first sketch leaves most of 30,000 values in the bracket; the windows still see shares of it.
+    rows = [(1, float(v)) for v in np.random.default_rng(1).normal(size=30_000)]
+    values = spark.createDataFrame(rows, "_k0 int, _v double").repartition(6)
+    binned = _binned(_bracketed(values, ["_k0"], [0.5], 10, True), ["_k0"], 100).cache()
+    sizes = {r["_bin"]: r["count"] for r in binned.groupBy("_bin").count().collect()}
+    inside = sum(n for b, n in sizes.items() if 0 <= b < 100)
+    assert inside > 10_000 and max(sizes.values()) < 2 * inside / 100
+    assert sizes[-1] == sizes[100] == 1
+    known = _known_ranks(binned, ["_k0"], [0.5])
+    assert known.count() < 5 * inside / 100
+
+
+def test_groups_without_values_can_be_kept(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None), (None, None)], "g string, v double")
+    got = {r["g"]: (r["n"], r["m"], r["q"]) for r in exact_quantiles(df, "v", [0.5], ["g"], ["q"], "m", keep_empty=True).collect()}
+    assert got == {"a": (1, 1.0, 1.0), "b": (0, None, None), None: (0, None, None)}
+
+
 def test_null_group_is_a_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", 7.0), ("a", None)], "g string, v double")
     out = {r["g"]: (r["n"], r["med"]) for r in exact_quantiles(df, "v", [0.5], by=["g"], names=["med"]).collect()}

@@ -8,7 +8,9 @@ import math
 import numpy as np
 import pytest
 from conftest import d, make_star, rows
+from pyspark.sql import functions as F
 
+from shelfwise.functions import regression as ols
 from shelfwise.functions.distributions import t_critical, t_two_sided_p
 from shelfwise.operators import stats as S
 
@@ -195,3 +197,28 @@ def test_summary_keeps_metrics_without_values(spark):
     assert out["CustomerSalesGrowth", "median_growth_rate"] is None
     assert out["InventoryTurnoverStats", "mean_turnover_rate"] is None
     assert out["CustomerPurchaseStats", "mean_avg_quantity"] == 3.0
+
+
+@pytest.mark.parametrize("salts", [1, 3, 4096])
+def test_folded_moments_match_those_of_all_rows(spark, salts):
+    rng = np.random.default_rng(salts)
+    raw = [
+        (name, int(key), float(1e9 + 1e-3 * rng.normal()) if name == "far" else 5.0 if name == "flat" else float(rng.normal()),
+         None if rng.random() < 0.1 else float(rng.normal(3)))
+        for name, keys in (("far", 40), ("flat", 7), ("many", 300), (None, 2))
+        for key in range(keys) for _ in range(int(rng.integers(1, 9)))
+    ] + [("none", 1, 1.0, None)]
+    frame = spark.createDataFrame(raw, "name string, key int, x double, y double").repartition(5)
+    parts = frame.groupBy("name", "key").agg(F.count(F.lit(1)).alias("rows"), *ols.centred_moments(F.col("y"), F.col("x"), "_p"))
+    got = {r["name"]: r for r in ols.fold_moments(parts, ["name"], "key", ("_p",), ("rows",), salts).collect()}
+    for name in ("far", "flat", "many", None):
+        x, y = np.array([(x, y) for n, _, x, y in raw if n == name and y is not None]).T
+        r = got[name]
+        assert r["rows"] == sum(n == name for n, *_ in raw) and r["_p_n"] == len(x)
+        assert r["_p_ax"] == pytest.approx(x.mean()) and r["_p_ay"] == pytest.approx(y.mean())
+        assert r["_p_syy"] == pytest.approx(((y - y.mean()) ** 2).sum())
+        dx = x - x[0]  # of values near 1e9 only differences keep their digits
+        assert r["_p_sxx"] == pytest.approx(((dx - dx.mean()) ** 2).sum(), rel=1e-3)
+        assert r["_p_sxy"] == pytest.approx(((dx - dx.mean()) * (y - y.mean())).sum(), rel=1e-3, abs=1e-9)
+    assert got["flat"]["_p_sxx"] == 0.0 and got["flat"]["_p_sxy"] == 0.0
+    assert got["none"]["_p_n"] == 0 and got["none"]["_p_ax"] is None and got["none"]["_p_sxx"] is None

@@ -119,7 +119,7 @@ def build_index(
     total = usable(vectors, id_col, vector_col).count()
     shards = max(1, math.ceil(total / shard_vectors))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
-    graphs = dealt.repartition(shards, "shard", "dim").groupBy("shard", "dim").applyInArrow(_graph_of, GRAPH_DDL)
+    graphs = dealt.repartitionByRange(shards, "shard").groupBy("shard", "dim").applyInArrow(_graph_of, GRAPH_DDL)
     return written(graphs, "graphs")
 
 

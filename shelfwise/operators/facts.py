@@ -7,6 +7,8 @@ all rows) reaches the shuffle as one row per map task instead of millions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,20 +127,40 @@ def product_balance(star: Star, *per_product: DataFrame, extra: tuple[str, ...]
     )
 
 
-def shipments_per_sale(star: Star, *keys: str) -> DataFrame:
+def per_sale(shipments: DataFrame, *keys: str) -> DataFrame:
     """Shipments collapsed to one row per (sales_id, *keys) with their count and quantity.
 
     Joining invoices to this instead of to raw shipments gives the same sums and counts as the
     row-level join, while a sale with millions of shipments arrives as a handful of rows.
     """
+    ship = shipments.select("sales_id", "quantity_sold", F.col("date").alias("shipment_date"))
+    return ship.groupBy("sales_id", *keys).agg(
+        F.count(F.lit(1)).alias("n_shipments"),
+        F.sum("quantity_sold").alias("quantity_shipped"),
+    )
 
-    def build() -> DataFrame:
-        ship = star.shipments.select(
-            "sales_id", "quantity_sold", F.col("date").alias("shipment_date")
-        )
-        return ship.groupBy("sales_id", *keys).agg(
-            F.count(F.lit(1)).alias("n_shipments"),
-            F.sum("quantity_sold").alias("quantity_shipped"),
+
+def shipments_per_sale(star: Star) -> DataFrame:
+    return star.shared(
+        "shipments_per_sale", lambda: star.by_sale(lambda _, shipments: per_sale(shipments))
+    )
+
+
+def with_shipped(star: Star, invoices: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``invoices(sales)`` (which keeps ``sales_id``) joined to the shipments of each sale."""
+    if "shipments_per_sale" in star.aggregates:
+        return invoices(star.sales).join(star.aggregates["shipments_per_sale"], "sales_id")
+    return star.by_sale(lambda sales, shipments: invoices(sales).join(per_sale(shipments), "sales_id"))
+
+
+def late_shipments(star: Star) -> DataFrame:
+    """(sales_id, shipment_date, sales_date, n): shipments dated after their invoice, counted per day."""
+
+    def late(sales: DataFrame, shipments: DataFrame) -> DataFrame:
+        per_day = shipments.groupBy("sales_id", F.col("date").alias("shipment_date")).agg(
+            F.count(F.lit(1)).alias("n")
         )
+        invoiced = sales.select("sales_id", F.col("date").alias("sales_date"))
+        return per_day.join(invoiced, "sales_id").filter(F.col("shipment_date") > F.col("sales_date"))
 
-    return build() if keys else star.shared("shipments_per_sale", build)
+    return star.by_sale(late)

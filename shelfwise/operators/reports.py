@@ -23,8 +23,8 @@ from shelfwise.operators.facts import (
     product_balance,
     products_named,
     received_by_product,
-    shipments_per_sale,
     shipped_by_product,
+    with_shipped,
 )
 from shelfwise.sources.star import Star
 
@@ -64,16 +64,18 @@ def matched_sales_shipments(star: Star) -> DataFrame:
     The quantity equality is part of the equi-join key, so a sale with many shipments is
     spread over several hash partitions instead of one.
     """
-    sales = star.sales.select("sales_id", F.col("date").alias("sales_date"), "quantity")
-    ships = star.shipments.select(
-        "sales_id",
-        "shipment_id",
-        F.col("date").alias("shipment_date"),
-        F.col("quantity_sold").alias("quantity"),
-    )
-    return sales.join(ships, ["sales_id", "quantity"]).select(
-        "sales_id", "sales_date", "shipment_id", "shipment_date"
-    )
+
+    def matched(sales: DataFrame, shipments: DataFrame) -> DataFrame:
+        invoiced = sales.select("sales_id", F.col("date").alias("sales_date"), "quantity")
+        shipped = shipments.select(
+            "sales_id",
+            "shipment_id",
+            F.col("date").alias("shipment_date"),
+            F.col("quantity_sold").alias("quantity"),
+        )
+        return invoiced.join(shipped, ["sales_id", "quantity"])
+
+    return star.by_sale(matched).select("sales_id", "sales_date", "shipment_id", "shipment_date")
 
 
 # 4
@@ -110,11 +112,12 @@ def recent_receipts(star: Star, after: str = "2024-09-01", ordered: bool = True)
 # 6
 def customer_shipments(star: Star, ordered: bool = True) -> DataFrame:
     """Every shipment with its customer, by last name -> (full_name, shipment_date, quantity_sold)."""
-    ships = star.shipments.select(
-        "sales_id", F.col("date").alias("shipment_date"), "quantity_sold"
-    )
-    sales = star.sales.select("sales_id", "customer_id")
-    out = ships.join(sales, "sales_id").join(customers_named(star, "last_name"), "customer_id")
+
+    def shipped(sales: DataFrame, shipments: DataFrame) -> DataFrame:
+        rows = shipments.select("sales_id", F.col("date").alias("shipment_date"), "quantity_sold")
+        return rows.join(sales.select("sales_id", "customer_id"), "sales_id")
+
+    out = star.by_sale(shipped).join(customers_named(star, "last_name"), "customer_id")
     if ordered:
         out = out.orderBy("last_name", "full_name", "shipment_date", "quantity_sold")
     return out.select("full_name", "shipment_date", "quantity_sold")
@@ -189,8 +192,11 @@ def unshipped_sales(star: Star) -> DataFrame:
     so a sale with millions of shipments costs one row in the shuffle. A NULL sales_id never
     matches and is reported as unshipped, as with LEFT JOIN ... IS NULL.
     """
-    shipped = star.shipments.select("sales_id").distinct()
-    return star.sales.join(shipped, "sales_id", "left_anti").select("sales_id", "date", "quantity")
+
+    def unshipped(sales: DataFrame, shipments: DataFrame) -> DataFrame:
+        return sales.join(shipments.select("sales_id").distinct(), "sales_id", "left_anti")
+
+    return star.by_sale(unshipped).select("sales_id", "date", "quantity")
 
 
 # 10
@@ -282,13 +288,8 @@ def shipments_by_credit(star: Star, ordered: bool = True) -> DataFrame:
     Shipments -> per sale, then per customer, then per rating: three map-side-combined
     aggregates, so neither a hot sale nor a hot customer skews a join.
     """
-    per_sale = star.shipments.groupBy("sales_id").agg(F.sum("quantity_sold").alias("q"))
-    per_customer = (
-        star.sales.select("sales_id", "customer_id")
-        .join(per_sale, "sales_id")
-        .groupBy("customer_id")
-        .agg(F.sum("q").alias("q"))
-    )
+    shipped = with_shipped(star, lambda sales: sales.select("sales_id", "customer_id"))
+    per_customer = shipped.groupBy("customer_id").agg(F.sum("quantity_shipped").alias("q"))
     out = (
         per_customer.join(star.customers.select("customer_id", "credit_rating"), "customer_id")
         .groupBy("credit_rating")
@@ -318,11 +319,14 @@ def unsold_products(star: Star, sold_since: str | None = None) -> DataFrame:
 def shipment_delays(star: Star) -> DataFrame:
     """Shipments later than their invoice
     -> (full_name, sales_date, shipment_date, delay_days BIGINT)."""
-    ships = star.shipments.select("sales_id", F.col("date").alias("shipment_date"))
-    sales = star.sales.select("sales_id", "customer_id", F.col("date").alias("sales_date"))
+
+    def late(sales: DataFrame, shipments: DataFrame) -> DataFrame:
+        shipped = shipments.select("sales_id", F.col("date").alias("shipment_date"))
+        invoiced = sales.select("sales_id", "customer_id", F.col("date").alias("sales_date"))
+        return shipped.join(invoiced, "sales_id").filter(F.col("shipment_date") > F.col("sales_date"))
+
     return (
-        ships.join(sales, "sales_id")
-        .filter(F.col("shipment_date") > F.col("sales_date"))
+        star.by_sale(late)
         .join(customers_named(star), "customer_id")
         .select(
             "full_name",
@@ -378,10 +382,9 @@ def full_sales_summary(star: Star, ordered: bool = True) -> DataFrame:
     Shipments are first collapsed per sale (count and quantity), so the fact-fact join is
     one-to-one on sales_id and the value is weighted by the shipment count.
     """
-    per_sale = shipments_per_sale(star)
-    lines = star.sales.select("sales_id", "customer_id", "product_id", line_value().alias("v"))
+    lines = lambda sales: sales.select("sales_id", "customer_id", "product_id", line_value().alias("v"))
     per_pair = (
-        lines.join(per_sale, "sales_id")
+        with_shipped(star, lines)
         .groupBy("customer_id", "product_id")
         .agg(
             F.sum("quantity_shipped").alias("total_quantity_sold"),

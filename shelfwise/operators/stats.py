@@ -24,6 +24,7 @@ from shelfwise.operators.facts import (
     customer_grain,
     customers_named,
     invoiced_by_product,
+    late_shipments,
     product_balance,
     products_named,
     received_by_product,
@@ -101,14 +102,7 @@ def product_profit_margins(star: Star) -> DataFrame:
 def shipment_delay_stats(star: Star) -> DataFrame:
     """One row: number of late shipments and their mean delay in days
     -> (total_delays, average_delay_days)."""
-    per_day = star.shipments.groupBy("sales_id", F.col("date").alias("shipment_date")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    late = (
-        per_day.join(star.sales.select("sales_id", F.col("date").alias("sales_date")), "sales_id")
-        .filter(F.col("shipment_date") > F.col("sales_date"))
-        .select("n", F.datediff("shipment_date", "sales_date").alias("d"))
-    )
+    late = late_shipments(star).select("n", F.datediff("shipment_date", "sales_date").alias("d"))
     return late.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_delays"),
         F.try_divide(F.sum(F.col("n") * F.col("d")), F.sum("n")).alias("average_delay_days"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwise.operators.facts import late_shipments
 from shelfwise.operators.reports import unshipped_sales
 from shelfwise.sources.contracts import CONTRACTS, schema_matches
 from shelfwise.sources.star import Star
@@ -77,15 +78,8 @@ def validate_delayed(star: Star) -> DataFrame:
     Shipments are first counted per (sale, ship date), so a sale with many shipments joins
     as a few rows; the count is the sum of those multiplicities.
     """
-    per_day = star.shipments.groupBy("sales_id", F.col("date").alias("shipment_date")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    sales = star.sales.select("sales_id", F.col("date").alias("sales_date"))
-    return (
-        per_day.join(sales, "sales_id")
-        .filter(F.col("shipment_date") > F.col("sales_date"))
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("delayed_shipments"))
-    )
+    late = late_shipments(star)
+    return late.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("delayed_shipments"))
 
 
 def validate_qty_match(star: Star) -> DataFrame:
@@ -94,10 +88,12 @@ def validate_qty_match(star: Star) -> DataFrame:
     A NULL quantity on either side counts as neither; with no joined rows both are NULL
     (SUM over nothing), as in SQL.
     """
-    per_qty = star.shipments.groupBy("sales_id", "quantity_sold").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    joined = per_qty.join(star.sales.select("sales_id", "quantity"), "sales_id")
+
+    def quantities(sales: DataFrame, shipments: DataFrame) -> DataFrame:
+        per_qty = shipments.groupBy("sales_id", "quantity_sold").agg(F.count(F.lit(1)).alias("n"))
+        return per_qty.join(sales.select("sales_id", "quantity"), "sales_id")
+
+    joined = star.by_sale(quantities)
     return joined.agg(
         F.sum(F.when(F.col("quantity_sold") == F.col("quantity"), F.col("n")).otherwise(0)).alias(
             "matched_rows"
@@ -108,31 +104,59 @@ def validate_qty_match(star: Star) -> DataFrame:
     )
 
 
-def _orphans(child: DataFrame, parent: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows of ``child`` whose ``key`` has no parent row (a NULL key counts as orphan)."""
-    parents = parent.select(key).distinct()
-    return _count(child.select(key).join(parents, key, "left_anti"), name)
+def _referenced(star: Star) -> DataFrame:
+    """One row per customer or product id that a fact or dimension holds: (kind, key, sales, receipts,
+    known), the fact rows that carry it and whether the dimension does.
 
+    Child and parent keys are tagged, stacked and aggregated together. Each table is read once, the
+    counts are combined before the shuffle, and no key meets another table's rows in a join.
+    """
 
-def _orphan_checks(star: Star) -> list[tuple[DataFrame, DataFrame, str, str]]:
-    return [
-        (star.sales, star.customers, "customer_id", "sales_missing_customer"),
-        (star.sales, star.products, "product_id", "sales_missing_product"),
-        (star.shipments, star.sales, "sales_id", "shipments_missing_sale"),
-        (star.receipts, star.products, "product_id", "receipts_missing_product"),
-    ]
+    def tagged(df: DataFrame, kinds: dict[str, str], sales: int = 0, receipts: int = 0, known: bool = False) -> DataFrame:
+        entries = [F.struct(F.lit(kind).alias("kind"), F.col(column).alias("key")) for column, kind in kinds.items()]
+        marks = [F.lit(sales).alias("sales"), F.lit(receipts).alias("receipts"), F.lit(known).alias("known")]
+        return df.select(F.explode(F.array(*entries)).alias("k"), *marks).select("k.*", *marks)
+
+    both = {"customer_id": "customer", "product_id": "product"}
+    rows = (
+        tagged(star.sales, both, sales=1)
+        .union(tagged(star.receipts, {"product_id": "product"}, receipts=1))
+        .union(tagged(star.customers, {"customer_id": "customer"}, known=True))
+        .union(tagged(star.products, {"product_id": "product"}, known=True))
+    )
+    return rows.groupBy("kind", "key").agg(
+        F.sum("sales").alias("sales"), F.sum("receipts").alias("receipts"), F.max("known").alias("known")
+    )
 
 
 def validate_orphans(star: Star) -> DataFrame:
     """One row: sales_missing_customer, sales_missing_product, shipments_missing_sale,
-    receipts_missing_product (all expected 0).
+    receipts_missing_product (all expected 0). A NULL key counts as an orphan.
 
-    The last three counts enter as scalar subqueries, the DataFrame form of the reference's
-    scalar subqueries in SELECT.
+    Invoices are read twice (customer and product ids in one pass, sale ids against the shipments), the
+    other tables once. The shipments' count enters as a scalar subquery.
     """
-    counts = [_orphans(child, parent, key, name) for child, parent, key, name in _orphan_checks(star)]
-    first, others = counts[0], counts[1:]
-    return first.select(first.columns[0], *[o.scalar().alias(o.columns[0]) for o in others])
+
+    def unknown_sale(sales: DataFrame, shipments: DataFrame) -> DataFrame:
+        known = sales.select("sales_id").distinct()
+        return shipments.select("sales_id").join(known, "sales_id", "left_anti")
+
+    lost = _count(star.by_sale(unknown_sale), "shipments_missing_sale").scalar()
+    orphan = F.col("key").isNull() | ~F.col("known")
+
+    def total(kind: str, rows: str) -> Column:
+        return F.coalesce(F.sum(F.when(orphan & (F.col("kind") == kind), F.col(rows))), F.lit(0))
+
+    return _referenced(star).agg(
+        total("customer", "sales").alias("sales_missing_customer"),
+        total("product", "sales").alias("sales_missing_product"),
+        total("product", "receipts").alias("receipts_missing_product"),
+    ).select(
+        "sales_missing_customer",
+        "sales_missing_product",
+        lost.alias("shipments_missing_sale"),
+        "receipts_missing_product",
+    )
 
 
 # Expectations stated by the reference's check titles (fixed values).
@@ -171,12 +195,15 @@ def validation_report(star: Star, tolerance_pct: float = 5.0) -> DataFrame:
         .join(products, F.col("product_id") == F.col("_product"), "left")
         .agg(_total(F.lit(True)).alias("rows"), _total(F.col("_product").isNull()).alias("no_product"))
     )
-    collapsed = ships.groupBy(
-        F.col("sales_id").alias("_sale"), "quantity_sold", F.col("date").alias("shipment_date")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    pairs = sales.select("sales_id", "quantity", "date", F.lit(True).alias("_invoice")).join(
-        collapsed, F.col("sales_id") == F.col("_sale"), "full"
-    )
+
+    def against(invoices: DataFrame, shipments: DataFrame) -> DataFrame:
+        collapsed = shipments.groupBy(
+            F.col("sales_id").alias("_sale"), "quantity_sold", F.col("date").alias("shipment_date")
+        ).agg(F.count(F.lit(1)).alias("n"))
+        invoiced = invoices.select("sales_id", "quantity", "date", F.lit(True).alias("_invoice"))
+        return invoiced.join(collapsed, F.col("sales_id") == F.col("_sale"), "full")
+
+    pairs = star.by_sale(against)
     paired = pairs.agg(
         F.count_if(F.col("_invoice") & F.col("n").isNull()).alias("unshipped"),
         _total(F.col("_invoice").isNull()).alias("no_sale"),

@@ -12,8 +12,13 @@ Layout
   bucketed and sorted by ``sales_id`` into the same N buckets, one file per bucket. Every
   invoice-shipment join and every per-sale aggregate then reads co-partitioned data: no shuffle of
   either fact table. N should give bucket files of a few hundred MB at the target size.
-* A bucket is read by one task and cannot be split, so a source in which one sale holds more than
-  ``HOT_SHARE`` of a bucket's fair share stays in the plain layout, where AQE splits it.
+* A bucket is read by one task and cannot be split, so sales that hold more than ``HOT_SHARE`` times
+  a bucket's fair share of the shipments are kept out of the buckets. A heavy-hitter sketch over the
+  shipments names the candidates, a count confirms them (there are fewer than ``buckets`` / ``HOT_SHARE``),
+  and their invoices and shipments are landed beside the buckets in the plain layout. Operators match
+  invoices to shipments part by part (``Star.by_sale``): the few invoices of hot sales are replicated to
+  every file of their shipments (by broadcast, behind a check of their size), so no task gets a hot
+  sale whole.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.sources.readers import read_landed_star
+from shelfwise.sources.readers import HOT, read_landed_star, source_bytes  # noqa: F401
 from shelfwise.sources.star import Star
 
 FACT_IDS = {"sales_invoices": "sales_id", "shipments": "shipment_id", "receipts": "receipt_id"}
@@ -69,22 +74,30 @@ FILE_BYTES = 256 << 20
 HOT_SHARE = 4.0
 
 
-def source_bytes(spark: SparkSession, path: str) -> int:
-    """Bytes of all files under ``path``, from the file system's own summary."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(jvm_path).getLength()) if fs.exists(jvm_path) else 0
-
-
 def partitions_for(n_bytes: int) -> int:
     return max(1, -(-n_bytes // FILE_BYTES))
 
 
-def has_hot_sale(star: Star, buckets: int) -> bool:
-    """Whether one sale outgrows its bucket: more than ``HOT_SHARE`` times the mean bucket."""
-    per_sale = star.shipments.groupBy("sales_id").agg(F.count(F.lit(1)).alias("n"))
-    most, total = per_sale.agg(F.max("n"), F.sum("n")).first()
-    return bool(total) and most > max(1, HOT_SHARE * total / buckets)
+def hot_sales(shipments: DataFrame, buckets: int) -> list[int]:
+    """Ids of the sales with more than ``HOT_SHARE`` times the mean bucket's shipments.
+
+    The sketch's error is a few parts in its size, an eighth of the limit at most; what it names is counted
+    exactly. Both passes read one column and shuffle one row per task and candidate.
+    """
+    size = min(max(1000, 32 * buckets), 1_000_000)
+    ids = shipments.select("sales_id")
+    total, top = ids.agg(F.count("sales_id"), F.expr(f"approx_top_k(sales_id, {min(buckets, size)}, {size})")).first()
+    limit = max(1, HOT_SHARE * total / buckets)
+    likely = [x["item"] for x in top or () if x["item"] is not None and x["count"] > limit]
+    if not likely:
+        return []
+    counted = ids.filter(F.col("sales_id").isin(likely)).groupBy("sales_id").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r["sales_id"] for r in counted.filter(F.col("n") > limit).collect())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def land_star(
@@ -99,17 +112,20 @@ def land_star(
 
     ``fact_partitions``: files per fact; else from ``n_bytes`` (size of the source), else left to
     AQE. ``buckets`` turns on the co-bucketed layout of Sales_Invoices and Shipments (needs a
-    session catalog) unless a sale is too hot for it. Catalog entries of an earlier bucketed
-    landing at ``base`` are dropped first.
+    session catalog); hot sales lie beside it. What an earlier bucketed landing left at ``base`` is
+    dropped first.
     """
     n = fact_partitions or (partitions_for(n_bytes) if n_bytes is not None else None)
-    if buckets and has_hot_sale(star, buckets):
-        buckets = None
+    hot = hot_sales(star.shipments, buckets) if buckets else []
+    is_hot = F.coalesce(F.col("sales_id").isin(hot), F.lit(False))
     for name in CO_BUCKETED:
         spark.sql(f"DROP TABLE IF EXISTS {bucketed_table_name(base, name)}")
+        _remove(spark, os.path.join(base, HOT + name))
     for name, df in star.tables().items():
         if buckets and name in CO_BUCKETED:
-            land_bucketed(df, base, name, buckets)
+            land_bucketed(df.filter(~is_hot) if hot else df, base, name, buckets)
+            if hot:
+                land_table(df.filter(is_hot), os.path.join(base, HOT + name), n)
         else:
             land_table(df, os.path.join(base, name), n, cluster=name in FACT_IDS)
     return read_landed_star(spark, base)

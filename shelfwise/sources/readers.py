@@ -14,6 +14,7 @@ import os
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.sources.contracts import CONTRACTS, conform, quarantine
@@ -30,6 +31,12 @@ CSV_FILES = {
 }
 
 
+#: Prefix of the folders that hold the hot sales of a co-bucketed landing.
+HOT = "hot_"
+#: Hot sales' invoices up to this size on disk are broadcast to their shipments; beyond it Spark joins
+#: them as any other table.
+HOT_INVOICE_BYTES = 8 << 20
+
 #: Holds the raw line of a row whose number of fields is not the header's.
 CORRUPT = "_corrupt_record"
 
@@ -83,7 +90,8 @@ def read_csv_star(
 
 def read_landed_star(spark: SparkSession, base: str) -> Star:
     """Landed Parquet folders; a fact registered in the catalog as a bucketed table for this
-    location is read through the catalog, so its bucketing is visible to the planner."""
+    location is read through the catalog, so its bucketing is visible to the planner. Hot sales landed
+    beside the buckets become a part of their own (``Star.sale_parts``)."""
     from shelfwise.sources.landing import bucketed_table_name  # landing imports this module
 
     tables = {}
@@ -93,13 +101,15 @@ def read_landed_star(spark: SparkSession, base: str) -> Star:
             tables[name] = conform(spark.table(table), CONTRACTS[name])
         else:
             tables[name] = read_parquet_table(spark, os.path.join(base, name), CONTRACTS[name])
-    return Star(
-        tables["customers"],
-        tables["products"],
-        tables["sales_invoices"],
-        tables["shipments"],
-        tables["receipts"],
-    )
+    parts = ()
+    hot = {name: os.path.join(base, HOT + name) for name in ("sales_invoices", "shipments")}
+    if all(_exists(spark, "parquet", path) for path in hot.values()):
+        cold = tables["sales_invoices"], tables["shipments"]
+        apart = tuple(read_parquet_table(spark, path, CONTRACTS[name]) for name, path in hot.items())
+        few = source_bytes(spark, hot["sales_invoices"]) <= HOT_INVOICE_BYTES
+        parts = (cold, (F.broadcast(apart[0]) if few else apart[0], apart[1]))
+        tables["sales_invoices"], tables["shipments"] = (c.unionByName(h) for c, h in zip(cold, apart))
+    return Star(*(tables[name] for name in CONTRACTS), sale_parts=parts)
 
 
 def _exists(spark: SparkSession, reader: str, path: str) -> bool:
@@ -114,6 +124,13 @@ def _exists(spark: SparkSession, reader: str, path: str) -> bool:
     return True
 
 
+def source_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under ``path``, from the file system's own summary."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(jvm_path).getLength()) if fs.exists(jvm_path) else 0
+
+
 LAYOUTS = ("landed", "csv", "tpch")
 
 

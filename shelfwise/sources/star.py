@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
@@ -19,6 +21,10 @@ class Star:
     ``aggregates`` optionally carries materialised shared aggregates (per-product totals,
     per-sale shipment counts, per-customer profiles) by name; operators use one when present
     instead of re-reading the facts (see :func:`shelfwise.plans.pipeline.materialize_shared`).
+
+    ``sale_parts`` optionally splits invoices and shipments by sale: pairs (invoices, shipments) that
+    share no ``sales_id`` and together are ``sales`` and ``shipments``. A co-bucketed landing keeps its
+    hot sales apart in this way (see :mod:`shelfwise.sources.landing`).
     """
 
     customers: DataFrame
@@ -27,6 +33,13 @@ class Star:
     shipments: DataFrame
     receipts: DataFrame
     aggregates: dict[str, DataFrame] = field(default_factory=dict, compare=False)
+    sale_parts: tuple[tuple[DataFrame, DataFrame], ...] = field(default=(), compare=False)
+
+    def by_sale(self, build: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        """``build(invoices, shipments)`` for whatever matches the two by ``sales_id``: part by part, so a
+        bucketed part stays free of shuffles and a hot one is dealt out, and the results stacked."""
+        parts = self.sale_parts or ((self.sales, self.shipments),)
+        return reduce(DataFrame.unionByName, [build(sales, ships) for sales, ships in parts])
 
     def tables(self) -> dict[str, DataFrame]:
         """Contract name -> DataFrame, in the contract's order."""

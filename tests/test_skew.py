@@ -10,10 +10,12 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import make_star
+from pyspark.sql import functions as F
 
 from shelfwise.operators import reports as R
 from shelfwise.operators import stats as S
 from shelfwise.operators import validation as V
+from shelfwise.sources.landing import land_star
 
 SKEW_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -127,3 +129,45 @@ def test_aqe_splits_the_hot_join(skewed):
     with contextlib.redirect_stdout(buf):
         df.explain()
     assert "SortMergeJoin(skew=true)" in buf.getvalue()
+
+
+@pytest.fixture(scope="module")
+def both_layouts(spark, skewed, tmp_path_factory):
+    """The skewed star landed plain, and co-bucketed with the hot sale beside the buckets."""
+    star, base = skewed[0], str(tmp_path_factory.mktemp("layouts"))
+    plain = land_star(spark, star, f"{base}/plain", fact_partitions=6)
+    bucketed = land_star(spark, star, f"{base}/bucketed", fact_partitions=6, buckets=16)
+    assert len(bucketed.sale_parts) == 2 and not plain.sale_parts
+    return {"plain": plain, "bucketed": bucketed}
+
+
+MATCHING = {
+    "matched_sales_shipments": R.matched_sales_shipments, "customer_shipments": R.customer_shipments,
+    "unshipped_sales": R.unshipped_sales, "shipments_by_credit": R.shipments_by_credit,
+    "shipment_delays": R.shipment_delays, "full_sales_summary": R.full_sales_summary,
+    "shipment_delay_stats": S.shipment_delay_stats, "validate_delayed": V.validate_delayed,
+    "validate_qty_match": V.validate_qty_match, "validate_orphans": V.validate_orphans,
+    "validation_report": V.validation_report, "validate_unshipped": V.validate_unshipped,
+}
+
+
+@pytest.mark.parametrize("layout", ["plain", "bucketed"])
+@pytest.mark.parametrize("name", sorted(MATCHING))
+def test_layouts_give_the_same_rows(skewed, both_layouts, layout, name):
+    want = sorted(map(tuple, MATCHING[name](skewed[0]).collect()), key=repr)
+    assert sorted(map(tuple, MATCHING[name](both_layouts[layout]).collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("layout", ["plain", "bucketed"])
+def test_no_task_of_the_hot_join_stands_out(spark, both_layouts, layout):
+    def joined(sales, shipments):
+        return shipments.select("sales_id").join(sales.select("sales_id", "quantity"), "sales_id")
+
+    # Files are as small as the table here: a task reads one of them.
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    rows = both_layouts[layout].by_sale(joined).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+    sizes = sorted(r["count"] for r in rows)
+    assert sum(sizes) == both_layouts[layout].shipments.count()
+    assert sizes[-1] <= 4 * np.median(sizes)

@@ -11,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from shelfwise.sources.contracts import PRODUCTS, SALES_INVOICES, ContractError
-from shelfwise.sources.landing import bucketed_table_name, land_star, partitions_for, source_bytes
+from shelfwise.sources.landing import bucketed_table_name, hot_sales, land_star, partitions_for, source_bytes
 from shelfwise.sources.readers import load_star, read_csv_table
 from shelfwise.sources.tpch_fixture import star_from_tpch
 
@@ -83,14 +83,35 @@ def test_relanding_without_buckets_replaces_the_bucketed_tables(spark, scratch):
     assert load_star(spark, base).sales.count() == star.sales.count()
 
 
-def test_hot_sale_is_not_bucketed(spark, scratch):
-    star = star_from_tpch(spark, SF)
+def _with_hot_sale(star):
     hot = star.sales.first()["sales_id"]
-    ships = star.shipments.withColumn("sales_id", F.when(F.col("shipment_id") % 3 > 0, F.lit(hot)).otherwise(F.col("sales_id")))
+    ids = F.when(F.col("shipment_id") % 3 > 0, F.lit(hot)).when(F.col("shipment_id") % 50 == 0, F.lit(None)).otherwise(F.col("sales_id"))
+    return hot, dataclasses.replace(star, shipments=star.shipments.withColumn("sales_id", ids))
+
+
+def test_hot_sales_are_found_by_sketch_and_count(spark):
+    hot, star = _with_hot_sale(star_from_tpch(spark, SF))
+    assert hot_sales(star.shipments, 16) == [hot]
+    assert hot_sales(star_from_tpch(spark, SF).shipments, 16) == []
+    few = spark.createDataFrame([(k,) for k in (1, 1, 1, 1, 1, 2, 3, None, None)], "sales_id long")
+    assert hot_sales(few, 7) == [1] and hot_sales(few.limit(0), 7) == []
+
+
+def test_hot_sale_lies_beside_the_buckets(spark, scratch):
+    hot, star = _with_hot_sale(star_from_tpch(spark, SF))
     base = os.path.join(scratch, "hot")
-    landed = land_star(spark, dataclasses.replace(star, shipments=ships), base, buckets=16)
-    assert not spark.catalog.tableExists(bucketed_table_name(base, "shipments"))
-    assert landed.shipments.count() == star.shipments.count()
+    landed = land_star(spark, star, base, buckets=16)
+    (cold_sales, cold_ships), (hot_invoices, hot_ships) = landed.sale_parts
+    assert spark.catalog.tableExists(bucketed_table_name(base, "shipments"))
+    assert {r[0] for r in hot_ships.select("sales_id").distinct().collect()} == {hot}
+    assert hot_invoices.count() == 1 and cold_ships.filter(F.col("sales_id") == hot).count() == 0
+    assert cold_ships.filter(F.col("sales_id").isNull()).count() > 0
+    for got, want in ((landed.sales, star.sales), (landed.shipments, star.shipments)):
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.select(got.columns).collect()), key=repr)
+    assert len(load_star(spark, base).sale_parts) == 2
+    # Landed again without hot sales, nothing of them stays behind.
+    again = land_star(spark, star_from_tpch(spark, SF), base, buckets=4)
+    assert again.sale_parts == () and again.shipments.count() == star.shipments.count()
 
 
 def test_partition_count_follows_the_source(spark):

@@ -3,8 +3,8 @@
 1. Locally: rows of one task with equal content collapse in the partial aggregate.
 2. Salted groups: ``(digest, salt, content)`` is merged after the first shuffle, so a group that
    holds a third of all rows is spread over ``salts`` tasks.
-3. Globally: at most ``salts`` winners (per original length) of a digest meet, the winner and the
-   group size are found, and go back to the documents by ``(digest, salt)``, again spread.
+3. Globally: at most ``salts`` winners of a content meet, whatever white space its copies have; the
+   winner and the group size are found, and go back to the documents by ``(digest, salt)``, again spread.
 
 The full normalised content is a grouping key at both shuffles, so two texts are equal only when
 their content is. Should a digest be shared by different contents, the way back to the documents
@@ -48,28 +48,24 @@ def _digested(
 
 
 def _combined(rows: DataFrame) -> DataFrame:
-    """Per (digest, salt): the group's winner and size; ``variant`` numbers a digest's contents."""
-    local = rows.groupBy("digest", "salt", "n_chars", "content").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")
-    )
+    """Per (digest, salt): the group's winner and size; ``variant`` numbers a digest's contents. Copies of
+    different original lengths combine too, so a group has at most as many rows as there are salts."""
+    # The least of these is the longest, then the smallest id; a null id comes last.
+    order = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"))
+    local = rows.groupBy("digest", "salt", "content").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
     group = W.partitionBy("digest", "content")
-    best = group.orderBy(F.desc("n_chars"), F.asc_nulls_last("doc_id")).rowsBetween(
-        W.unboundedPreceding, W.unboundedFollowing
-    )
-    winners = local.repartition("digest").select(
-        "digest",
-        "salt",
-        "content",
-        F.first("doc_id").over(best).alias("keep_id"),
-        F.first("n_chars").over(best).alias("keep_chars"),
-        F.sum("n").over(group).alias("group_size"),
-        F.dense_rank().over(W.partitionBy("digest").orderBy("content")).alias("variant"),
-    )
-    return winners.groupBy("digest", "salt", "variant").agg(
-        F.first("keep_id").alias("keep_id"),
-        F.first("keep_chars").alias("keep_chars"),
-        F.first("group_size").alias("group_size"),
-        F.first("content").alias("content"),
+    return (
+        local.repartition("digest")
+        .select(
+            "digest",
+            "salt",
+            "content",
+            F.min("best").over(group).alias("best"),
+            F.sum("n").over(group).alias("group_size"),
+            F.dense_rank().over(W.partitionBy("digest").orderBy("content")).alias("variant"),
+        )
+        .select("*", F.col("best.doc_id").alias("keep_id"), (-F.col("best.col1")).alias("keep_chars"))
+        .drop("best")
     )
 
 
@@ -113,14 +109,16 @@ def exact_dedup(
 
 
 def keep_first_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that exact_dedup keeps, one row each, with all their columns."""
+    """The rows that exact_dedup keeps, one row each, with all their columns. Null, empty and long texts
+    and ties are as there; of repeated rows one stays; an empty table stays empty."""
     key, digest = "__copy_key", "__copy_digest"
     content = F.regexp_replace(text_or_empty(text_col), f"{SPACE_CLASS}+", "")
-    keyed = documents.withColumns({key: F.xxhash64(F.col(id_col).cast("long")), digest: sha256(content)})
+    keyed = documents.withColumns({key: F.col(id_col).cast("long"), digest: sha256(content)})
     stay = exact_dedup(documents, id_col=id_col, text_col=text_col).filter("kept")
-    stay = stay.select(F.xxhash64("doc_id").alias(key), F.col("text_sha256").alias(digest))
-    # The join leaves rows dealt by (key, digest), so rows that repeat meet without a shuffle.
-    return keyed.join(stay, [key, digest], "left_semi").dropDuplicates([key, digest]).drop(key, digest)
+    stay = stay.select(F.col("doc_id").alias("__stay_key"), F.col("text_sha256").alias("__stay_digest"))
+    same = (F.col(digest) == F.col("__stay_digest")) & F.col(key).eqNullSafe(F.col("__stay_key"))
+    # The join leaves rows dealt by (digest, key), so rows that repeat meet in one task.
+    return keyed.join(stay, same, "left_semi").dropDuplicates([digest, key]).drop(key, digest)
 
 
 ORACLE_SQL = r"""

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.llm.exact_dedup import exact_dedup, keep_first_copies, sha256
+from shelfwise.llm.exact_dedup import _combined, _digested, exact_dedup, keep_first_copies, sha256
 from tests.llm.helpers import ODD, by_id, documents
 
 
@@ -47,3 +47,12 @@ def test_kept_rows_keep_their_columns(spark):
     want = {(r[0], r[4]) for r in brute(ROWS) if r[3]}
     got = [(r["doc_id"], hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "").encode()).hexdigest()) for r in kept.collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)  # a repeated row stays once
+
+
+def test_copies_of_many_lengths_meet_in_as_many_rows_as_there_are_salts(spark):
+    rows = [(i, "a" + " " * (i % 400) + "b") for i in range(2000)] + [(5000, "other")]
+    digested = _digested(documents(spark, rows), 4, sha256, "doc_id", "text")
+    groups = _combined(digested).collect()
+    assert sorted(r["group_size"] for r in groups) == [1] + [2000] * 4
+    assert {(r["keep_id"], r["keep_chars"]) for r in groups} == {(399, 401), (5000, 5)}
+    assert by_id(exact_dedup(documents(spark, rows), salts=4), *COLUMNS) == brute(rows)

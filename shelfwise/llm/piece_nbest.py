@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import Recent
+from shelfwise.llm.common import Recent, in_small_batches
 
 N_BEST = 3
 CACHE_CHUNKS = 200_000
@@ -44,6 +44,46 @@ _NONE = float("-inf")
 _CHUNK = re.compile(" *[^ \n]+|\n| +")
 
 
+class _Path:
+    """The ids of a path from the end of a text backwards, as a chain of arcs; paths share their tails.
+
+    Two paths of the same score are compared where they part. ``jump`` leads far back, at distances that
+    double, so that place is found in a logarithmic number of steps however long the text is."""
+
+    __slots__ = ("arc", "after", "depth", "jump")
+
+    def __init__(self, arc: tuple[int, ...], after: _Path | None):
+        self.arc, self.after = arc, after
+        if after is None:
+            self.depth, self.jump = 0, self
+        else:
+            self.depth = after.depth + 1
+            far = after.jump
+            self.jump = far.jump if after.depth - far.depth == far.depth - far.jump.depth else after
+
+    def ids(self) -> tuple[int, ...]:
+        arcs, path = [], self
+        while path is not None:
+            arcs.append(path.arc)
+            path = path.after
+        return tuple([i for arc in reversed(arcs) for i in arc])
+
+    def _up(self, depth: int) -> _Path:
+        path = self
+        while path.depth > depth:
+            path = path.jump if path.jump.depth >= depth else path.after
+        return path
+
+    def __lt__(self, other: _Path) -> bool:
+        depth = min(self.depth, other.depth)
+        a, b = self._up(depth), other._up(depth)
+        if a is b:
+            return self.depth < other.depth
+        while a.after is not b.after:
+            a, b = (a.jump, b.jump) if a.jump is not b.jump else (a.after, b.after)
+        return a.arc < b.arc
+
+
 class Pieces:
     """Vocabulary of a model file: piece text (with plain spaces) -> id and score."""
 
@@ -67,39 +107,46 @@ class Pieces:
             else:
                 self.ids[piece] = (i, model.get_score(i))
                 self.texts.append(piece.encode())
-        #: The vocabulary as a tree of (arc or None, children by character).
+        self.packed = [i.to_bytes(ID_BYTES, "little") for i in range(size)]
         self.root = self._tree()
         self.longest = max(map(len, self.ids), default=1)
         #: Neighbours that some piece holds; a lattice falls apart between any other two.
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         scores = [s for _, s in self.ids.values() if s > _UNUSED]
         self.unknown = min(scores, default=0.0) - PENALTY
-        self.packed = [i.to_bytes(ID_BYTES, "little") for i in range(size)]
+        self.single = Recent(self._bytes_arc, 10_000)
         self.chunks = Recent(self._summary, cache_chunks)
         self.parts = Recent(self._search, cache_chunks // 2)
+        self.lists = Recent(lambda chunk: self.nbest(chunk, n_best), cache_chunks // 10)
 
-    def _tree(self) -> list:
-        root: list = [None, {}]
+    def _tree(self) -> dict:
+        """Children by character; under "" the arc (score, ids, packed ids) of the piece that ends here."""
+        root: dict = {}
         for piece, (i, score) in self.ids.items():
             node = root
             for character in piece:
-                node = node[1].setdefault(character, [None, {}])
-            node[0] = (score, (i,))
+                node = node.setdefault(character, {})
+            node[""] = (score, (i,), self.packed[i])
         return root
 
+    def _bytes_arc(self, character: str) -> tuple[float, tuple[int, ...], bytes]:
+        """The arc of a character without a piece."""
+        ids = tuple([self.bytes[b] for b in character.encode()])
+        return self.unknown, ids, self._pack(ids)
+
     def _from(self, text: str, start: int):
         """The arcs that start at a position: end, score, ids."""
         node, end, found = self.root, start, []
         for character in text[start : start + self.longest]:
-            node = node[1].get(character)
+            node = node.get(character)
             if node is None:
                 break
             end += 1
-            if node[0] is not None:
-                found.append((end, *node[0]))
+            arc = node.get("")
+            if arc is not None:
+                found.append((end, *arc[:2]))
         if not found or found[0][0] != start + 1:
-            octets = text[start].encode()
-            found.append((start + 1, self.unknown, tuple([self.bytes[b] for b in octets])))
+            found.append((start + 1, *self.single[text[start]][:2]))
         return found
 
     def arcs(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
@@ -116,53 +163,64 @@ class Pieces:
         best = [0.0]
         for end in range(1, len(text) + 1):
             best.append(max([best[start] + score for start, score, _ in arcs[end]]))
-        # Entries: minus the total score, ids from the last backwards, position, score after it.
-        queue: list[tuple[float, tuple[int, ...], int, float]] = [(-best[-1], (), len(text), 0.0)]
+        # Entries: minus the total score, the path, position, score after it.
+        queue: list[tuple[float, _Path, int, float]] = [(-best[-1], _Path((), None), len(text), 0.0)]
         out: list[tuple[float, tuple[int, ...]]] = []
         while queue and len(out) < n:
-            _, tail, at, after = heapq.heappop(queue)
+            _, path, at, after = heapq.heappop(queue)
             if not at:
-                out.append((after, tail[::-1]))
+                out.append((after, path.ids()[::-1]))
                 continue
             for start, score, ids in arcs[at]:
                 total = after + score
-                heapq.heappush(queue, (-(best[start] + total), tail + ids[::-1], start, total))
+                heapq.heappush(queue, (-(best[start] + total), _Path(ids[::-1], path), start, total))
         return out
 
     def _pack(self, ids: tuple[int, ...]) -> bytes:
         return b"".join([self.packed[i] for i in ids])
 
     def _search(self, part: str) -> tuple[bytes, float, float]:
-        """Best ids and score of a lattice, and what its second path costs, without a queue: the
-        second path is the best one that uses some arc off the best path, and the best path
-        through an arc is its score between the forward and the backward Viterbi scores."""
-        n = len(part)
-        best, into = [0.0] + [_NONE] * n, [[] for _ in range(n + 1)]
+        """Best ids and score of a lattice, and what its second path costs, without a queue: forward
+        Viterbi that keeps the two best scores of each position."""
+        n, root, longest, single = len(part), self.root, self.longest, self.single
+        best, second, last = [0.0] + [_NONE] * n, [_NONE] * (n + 1), [None] * (n + 1)
         for start in range(n):
-            before = best[start]
-            for end, score, ids in self._from(part, start):
-                total = before + score
-                into[end].append((total, start, score, ids))
-                if total > best[end]:
-                    best[end] = total
-        chosen, at, packed = {}, n, []
+            first, other = best[start], second[start]
+            node, end, alone = root, start, False
+            for character in part[start : start + longest]:
+                node = node.get(character)
+                if node is None:
+                    break
+                end += 1
+                if "" not in node:
+                    continue
+                arc = node[""]
+                if end == start + 1:
+                    alone = True
+                score = first + arc[0]
+                if score > best[end]:
+                    second[end] = max(best[end], other + arc[0])
+                    best[end], last[end] = score, (start, arc)
+                elif score >= second[end]:
+                    # Of equally good arcs the one A* takes first.
+                    if score == best[end] and arc[1][::-1] < last[end][1][1][::-1]:
+                        last[end] = (start, arc)
+                    second[end] = score
+            if not alone:
+                arc, end = single[part[start]], start + 1
+                score = first + arc[0]
+                if score > best[end]:
+                    second[end] = max(best[end], other + arc[0])
+                    best[end], last[end] = score, (start, arc)
+                elif score >= second[end]:
+                    if score == best[end] and arc[1][::-1] < last[end][1][1][::-1]:
+                        last[end] = (start, arc)
+                    second[end] = score
+        at, packed = n, []
         while at:
-            arcs = [arc for arc in into[at] if arc[0] == best[at]]
-            # Of equally good arcs the one A* takes first.
-            arc = arcs[0] if len(arcs) == 1 else min(arcs, key=lambda a: a[3][::-1])
-            chosen[at] = arc
-            packed.append(self._pack(arc[3]))
-            at = arc[1]
-        rest, second = [_NONE] * n + [0.0], _NONE
-        for end in range(n, 0, -1):
-            after, own = rest[end], chosen.get(end)
-            for arc in into[end]:
-                total, start, score, _ = arc
-                if after + score > rest[start]:
-                    rest[start] = after + score
-                if arc is not own and total + after > second:
-                    second = total + after
-        cost = best[n] - second if second > _NONE and self.n_best > 1 else float("inf")
+            at, arc = last[at]
+            packed.append(arc[2])
+        cost = best[n] - second[n] if second[n] > _NONE and self.n_best > 1 else float("inf")
         return b"".join(packed[::-1]), best[n], cost
 
     def _summary(self, chunk: str) -> tuple[bytes, float, float]:
@@ -193,7 +251,7 @@ class Pieces:
         costs = [e[2] for e in entries]
         cheap = heapq.nsmallest(self.n_best - 1, range(len(costs)), key=costs.__getitem__)
         cheap = sorted(i for i in cheap if costs[i] < float("inf"))
-        lists = {i: self.nbest(chunks[i], self.n_best) for i in cheap}
+        lists = {i: self.lists[chunks[i]] for i in cheap}
         for lost, choice in self._combined([lists[i] for i in cheap]):
             changed = list(ids)
             for i, nth in zip(cheap, choice):
@@ -272,7 +330,7 @@ def encode_nbest(
             yield _record(rows, fields)
 
     chosen = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("full_text"))
-    return chosen.mapInArrow(encode, _SCHEMA + (", decoded string" if decoded else ""))
+    return in_small_batches(chosen).mapInArrow(encode, _SCHEMA + (", decoded string" if decoded else ""))
 
 
 def decode_ids(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from shelfwise.llm.piece_nbest import Pieces, decode_ids, encode_nbest
+from shelfwise.llm.piece_nbest import Pieces, _Path, decode_ids, encode_nbest
 from tests.llm.helpers import ODD, documents
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -94,3 +95,33 @@ def test_chunk_summary_is_what_the_search_finds(model):
         ids, score, cost = model._search(text)
         assert (ids, score) == (model._pack(found[0][1]), found[0][0])
         assert cost == (found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
+
+
+def test_long_texts_without_spaces_take_seconds(model):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40_000))
+    began = time.time()
+    found = model.encode(text)
+    assert time.time() - began < 20
+    assert len(found) == 4 and all(model.decode(ids) == text for _, ids in found)
+    assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+
+
+def test_equal_paths_are_ordered_by_their_ids_from_the_end():
+    rng = random.Random(6)
+    root = _Path((), None)
+    paths, children = [root], set()
+    while len(paths) < 400:
+        after, arc = rng.choice(paths[-40:]), rng.randrange(3)
+        if (id(after), arc) not in children:  # a search takes an arc once from a path
+            children.add((id(after), arc))
+            paths.append(_Path((arc,), after))
+    for a, b in zip(rng.choices(paths, k=3000), rng.choices(paths, k=3000)):
+        assert (a < b) == (a.ids() < b.ids())
+    long = root
+    for k in range(5000):
+        long = _Path((k % 7,), long)
+    left, right = _Path((1,), long), _Path((2,), long)
+    for k in range(3000):
+        left, right = _Path((9,), left), _Path((0,), right)
+    assert left < right and not right < left and long < left and not left < long

@@ -51,11 +51,14 @@ class Recent(dict):
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
+        self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        self[key] = found
-        return found
+        self[key] = value
 
 
 def salt(key: Column, salts: int) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfwise.llm.common import in_small_batches
 from shelfwise.llm.tokens import encoder
 from shelfwise.session import fresh_path
 
@@ -94,7 +95,7 @@ def write_tokens(
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id")
     )
-    encoded = ordered.mapInArrow(encode, "row long, doc_id long, n_tokens long, ids array<int>")
+    encoded = in_small_batches(ordered).mapInArrow(encode, "row long, doc_id long, n_tokens long, ids array<int>")
     options = ENCODINGS[encoding] | {
         "parquet.block.size": str(row_group_bytes),
         "parquet.page.size": str(page_bytes),
@@ -127,8 +128,8 @@ def file_digests(files: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column("ids")
             offsets = lists.offsets.to_numpy()
-            values = lists.values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
+            values = lists.values.to_numpy().astype("<u4", copy=False)
+            crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("part"),

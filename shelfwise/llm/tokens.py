@@ -13,15 +13,16 @@ import unicodedata
 
 from shelfwise.llm.common import Recent
 
-#: Chunks held per worker and generation (about 200 bytes each).
-CACHE_CHUNKS = 400_000
+#: Chunks held per worker and generation (about 200 bytes each; two generations).
+CACHE_CHUNKS = 300_000
 
 ID_BYTES = 4
 #: A full stop or comma after a letter or digit is a pre-token of its own in both vocabularies,
 #: so it is cut off and a word is learnt once, however it ends. After anything else it may belong
 #: to a longer run: then nothing is cut off in the text.
 _ENDS = (". ", ", ", ".\n", ",\n")
-_NO_CUT = re.compile(r"(?:^|[\W_])[.,][ \n]")
+#: (The mark comes first in the pattern, so a text is scanned for it alone.)
+_NO_CUT = re.compile(r"[.,](?<![^\W_].)[ \n]")
 #: Begins a chunk that had no space before it.
 _MARK = b"\x00"
 #: White space that may join its neighbours in one byte-level token, or the mark: such texts go
@@ -39,6 +40,7 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 _ALPHABET = _byte_alphabet()
+_SPACE = _ALPHABET[0x20]
 
 
 class ChunkEncoder:
@@ -63,6 +65,9 @@ class ChunkEncoder:
         self.chunks = Recent(self._learn, cache_chunks)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.packed = [i.to_bytes(ID_BYTES, "little") for i in range(size)]
+        #: Ids of the tokens that begin with a space.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.begins = {i for token, i in vocabulary.items() if token.startswith(_SPACE)}
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -90,10 +95,10 @@ class ChunkEncoder:
             return self.whole(lead + text)
         if self.kind == "word":
             text = text.lower()
-        shown = lead + text
-        if lead or not text.isascii():
-            shown = "".join(map(_ALPHABET.__getitem__, shown.encode()))
-        return b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
+        # ASCII letters stand for themselves; a space in front and other letters are byte by byte.
+        shown = text if text.isascii() else "".join(map(_ALPHABET.__getitem__, text.encode()))
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(_SPACE + shown if lead else shown)])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text (null: none) as little-endian unsigned 32-bit integers."""
@@ -112,7 +117,40 @@ class ChunkEncoder:
         ):
             return self.whole(text)
         cut = self._ends_cut(text, " \x00").replace("\n", " \x00\n \x00")
-        return b"".join(map(self.chunks.__getitem__, (_MARK + cut.encode()).split(b" ")))
+        chunks = (_MARK + cut.encode()).split(b" ")
+        found = list(map(self.chunks.get, chunks))
+        if None in found:
+            new = self._learn_together({c for c, ids in zip(chunks, found) if ids is None})
+            found = [new[c] if ids is None else ids for c, ids in zip(chunks, found)]
+        return b"".join(found)
+
+    def _learn_together(self, unseen: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of a text's unseen chunks. Those with a space before them go through the tokenizer as one
+        text: no token crosses from one to the next, and each begins with the only token that begins
+        with a space, so the ids fall apart again."""
+        older, known = self.chunks.older, {}
+        spaced = []
+        for chunk in unseen:
+            if chunk in older:
+                known[chunk] = older[chunk]
+            elif chunk.startswith(_MARK):
+                known[chunk] = self._learn(chunk)
+            else:
+                spaced.append(chunk)
+        if spaced:
+            text = (b" " + b" ".join(spaced)).decode()
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            packed, begins = self.packed, self.begins
+            starts = [k for k, i in enumerate(ids) if i in begins]
+            parts = [packed[i] for i in ids]
+            if len(starts) == len(spaced):
+                for chunk, a, b in zip(spaced, starts, [*starts[1:], len(ids)]):
+                    known[chunk] = b"".join(parts[a:b])
+            else:
+                known |= {chunk: self._learn(chunk) for chunk in spaced}
+        for chunk, ids in known.items():
+            self.chunks.put(chunk, ids)
+        return known
 
     def _ends_cut(self, text: str, by: str) -> str:
         if not _NO_CUT.search(text):

@@ -21,6 +21,7 @@ unless all are null; repeated rows are documents of their own; an empty table gi
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import written
+from shelfwise.llm.common import in_small_batches, written
 from shelfwise.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -36,6 +37,8 @@ MAX_DISTANCE = 3
 SEED = 42
 BYTES = 8
 PAIR_LIST = 1024
+#: Postings that one task makes.
+TASK_POSTINGS = 2_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -74,7 +77,7 @@ def fingerprints(documents: DataFrame, size: int, id_col: str, text_col: str) ->
             )
 
     chosen = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("full_text"))
-    return chosen.mapInArrow(compute, "doc_id long, fingerprint long")
+    return in_small_batches(chosen).mapInArrow(compute, "doc_id long, fingerprint long")
 
 
 def _posting_keys(print_: Column, matches: int) -> list[Column]:
@@ -177,8 +180,11 @@ def simhash_components(
     matches = BYTES - max_distance
     rows = written(fingerprints(documents, shingle_words, id_col, text_col), "fingerprints")
     classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
+    # Each fingerprint becomes a posting per choice of bytes: dealt out first, by their number.
+    n_postings = rows.count() * math.comb(BYTES, matches)
     postings = (
-        classes.select("fingerprint", F.explode(F.array(*_posting_keys(F.col("fingerprint"), matches))).alias("key"))
+        classes.repartition(max(1, -(-n_postings // TASK_POSTINGS)))
+        .select("fingerprint", F.explode(F.array(*_posting_keys(F.col("fingerprint"), matches))).alias("key"))
         .select("key.choice", "key.octets", "fingerprint")
         .repartition("choice", "octets")
         .sortWithinPartitions("choice", "octets")

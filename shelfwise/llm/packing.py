@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import written
+from shelfwise.llm.common import in_small_batches, written
 from shelfwise.llm.tokens import ID_BYTES, encoder
 
 CAPACITY = 2048
@@ -74,7 +74,7 @@ def token_pieces(
     chosen = documents.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("full_text")
     )
-    return chosen.mapInArrow(cut, schema)
+    return in_small_batches(chosen).mapInArrow(cut, schema)
 
 
 def fill_window(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -134,6 +134,13 @@ def _places(plan: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, int]:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5), sequence
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, start, length and any more columns) with sequence_id and offset.
 
@@ -145,20 +152,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     full = counts.pop(capacity, 0)
     places, sequences = _places(plan_windows(counts, capacity))
     buckets = max(16, -(-total // BUCKET_PIECES))
-    bucketed = pieces.withColumn(
-        "_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int")
-    )
-    sizes = bucketed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    bases = sizes.select(
-        "length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
-    )
-    in_bucket = W.partitionBy("length", "_bucket").orderBy("doc_id", "start")
+    bucket, rank_, base, count = (_free(pieces, x) for x in ("bucket", "rank", "base", "count"))
+    bucketed = pieces.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    sizes = bucketed.groupBy("length", bucket).agg(F.count(F.lit(1)).alias(count))
+    before = W.partitionBy("length").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    bases = sizes.select("length", bucket, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(base))
+    in_bucket = W.partitionBy("length", bucket).orderBy("doc_id", "start")
     ranked = (
-        bucketed.withColumn("_rank", F.row_number().over(in_bucket) - 1)
-        .join(bases, ["length", "_bucket"])
-        .withColumn("_rank", F.col("_rank") + F.col("_base"))
-        .select(*pieces.columns, "_rank")
+        bucketed.withColumn(rank_, F.row_number().over(in_bucket) - 1)
+        .join(bases, ["length", bucket])
+        .withColumn(rank_, F.col(rank_) + F.col(base))
+        .select(*pieces.columns, rank_)
     )
     names = [*pieces.columns, "sequence_id", "offset"]
     shift = 1 << 44  # ranks are below it; lengths stay below 2^19
@@ -167,7 +171,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column("length").to_numpy()
-            rank = batch.column("_rank").to_numpy()
+            rank = batch.column(rank_).to_numpy()
             sequence, offset = sequences + rank, np.zeros(len(rank), dtype=np.int64)
             rest = length < capacity
             if rest.any():
@@ -176,7 +180,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 nth = rank[rest] - first
                 sequence[rest] = start + nth // copies
                 offset[rest] = base + nth % copies * length[rest]
-            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_rank"]
+            kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != rank_]
             kept += [pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
             yield pa.RecordBatch.from_arrays(kept, names)
 

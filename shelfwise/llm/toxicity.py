@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import Recent
+from shelfwise.llm.common import in_small_batches
 
 MAX_POSITIVE = 5_000
 MAX_UNLABELLED = 20_000
@@ -43,7 +43,6 @@ RATE = 0.15
 MIN_EXCESS = 4.0  # standard deviations
 MIN_SEEN = 3  # P documents
 FOLDS = 5
-CACHE_WORDS = 400_000
 
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _TO_SPACE = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
@@ -161,7 +160,7 @@ def _feature_rows(documents: DataFrame) -> list[np.ndarray]:
                 [batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "features"]
             )
 
-    rows = documents.mapInArrow(extract, "doc_id long, features array<int>").toArrow()
+    rows = in_small_batches(documents).mapInArrow(extract, "doc_id long, features array<int>").toArrow()
     lists = rows.sort_by("doc_id").column("features").combine_chunks()
     values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
@@ -203,56 +202,39 @@ def fit_toxicity(
     return train(positive, unlabelled, n_positive / n)
 
 
-def word_weights(weights: np.ndarray) -> Recent:
-    """word -> (bucket, weight), kept per worker."""
-
-    def weight(word: bytes) -> tuple[int, float]:
-        bucket = zlib.crc32(word) % BUCKETS
-        return bucket, float(weights[bucket])
-
-    return Recent(weight, CACHE_WORDS)
-
-
-def score_text(text: str | None, weights: Recent, bias: float) -> float:
-    found = {weights[w] for w in tokens_of(text)}
-    total = sum(sorted(x for _, x in found if x)) + bias
+def score_text(text: str | None, weights: list[float], bias: float) -> float:
+    """``weights``: one per bucket. A bucket counts once, however many words share it."""
+    buckets = {zlib.crc32(w) % BUCKETS for w in tokens_of(text)}
+    total = sum(sorted(filter(None, map(weights.__getitem__, buckets)))) + bias
     return float(_sigmoid(np.float64(total))) if np.isfinite(total) else 0.0
 
 
-def score_documents(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
-    """doc_id, score of every row."""
+def score_texts(texts: Column, weights: np.ndarray, bias: float) -> Column:
+    """The scores of a text column. Only the texts go to the Python workers, a number comes back."""
     at = np.flatnonzero(weights)
     values = weights[at]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         full = np.zeros(BUCKETS)
         full[at] = values
-        table = word_weights(full)
+        table = full.tolist()
         for batch in batches:
-            scores = [score_text(t.as_py(), table, bias) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"]
-            )
+            yield pa.array([score_text(t.as_py(), table, bias) for t in batch], pa.float64())
+
+    return score(texts)
+
 
+def score_documents(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
+    """doc_id, score of every row."""
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("full_text"))
-    return chosen.mapInArrow(score, "doc_id long, score double")
+    return in_small_batches(chosen).select("doc_id", score_texts(F.col("full_text"), weights, bias).alias("score"))
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` that score below 0.5, with all their columns."""
     weights, bias = fit_toxicity(documents, labels)
-    at = np.flatnonzero(weights)
-    values = weights[at]
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = np.zeros(BUCKETS)
-        full[at] = values
-        table = word_weights(full)
-        for batch in batches:
-            texts = batch.column(batch.schema.names.index(text_col))
-            yield batch.filter(pa.array([score_text(t.as_py(), table, bias) < 0.5 for t in texts], pa.bool_()))
-
-    return documents.mapInArrow(keep, documents.schema)
+    return in_small_batches(documents).filter(score_texts(F.col(text_col), weights, bias) < 0.5)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,10 +6,23 @@ aggregates and anti joins against *distinct* keys, so no check materialises fact
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwise.operators.checks import (
+    POSITIVE,
+    ZERO,
+    Check,
+    about,
+    frame_check,
+    measure,
+    references,
+    run_checks,
+    sql_check,
+)
 from shelfwise.operators.facts import late_shipments
 from shelfwise.operators.reports import unshipped_sales
 from shelfwise.sources.contracts import CONTRACTS, schema_matches
@@ -104,31 +117,6 @@ def validate_qty_match(star: Star) -> DataFrame:
     )
 
 
-def _referenced(star: Star) -> DataFrame:
-    """One row per customer or product id that a fact or dimension holds: (kind, key, sales, receipts,
-    known), the fact rows that carry it and whether the dimension does.
-
-    Child and parent keys are tagged, stacked and aggregated together. Each table is read once, the
-    counts are combined before the shuffle, and no key meets another table's rows in a join.
-    """
-
-    def tagged(df: DataFrame, kinds: dict[str, str], sales: int = 0, receipts: int = 0, known: bool = False) -> DataFrame:
-        entries = [F.struct(F.lit(kind).alias("kind"), F.col(column).alias("key")) for column, kind in kinds.items()]
-        marks = [F.lit(sales).alias("sales"), F.lit(receipts).alias("receipts"), F.lit(known).alias("known")]
-        return df.select(F.explode(F.array(*entries)).alias("k"), *marks).select("k.*", *marks)
-
-    both = {"customer_id": "customer", "product_id": "product"}
-    rows = (
-        tagged(star.sales, both, sales=1)
-        .union(tagged(star.receipts, {"product_id": "product"}, receipts=1))
-        .union(tagged(star.customers, {"customer_id": "customer"}, known=True))
-        .union(tagged(star.products, {"product_id": "product"}, known=True))
-    )
-    return rows.groupBy("kind", "key").agg(
-        F.sum("sales").alias("sales"), F.sum("receipts").alias("receipts"), F.max("known").alias("known")
-    )
-
-
 def validate_orphans(star: Star) -> DataFrame:
     """One row: sales_missing_customer, sales_missing_product, shipments_missing_sale,
     receipts_missing_product (all expected 0). A NULL key counts as an orphan.
@@ -142,15 +130,10 @@ def validate_orphans(star: Star) -> DataFrame:
         return shipments.select("sales_id").join(known, "sales_id", "left_anti")
 
     lost = _count(star.by_sale(unknown_sale), "shipments_missing_sale").scalar()
-    orphan = F.col("key").isNull() | ~F.col("known")
-
-    def total(kind: str, rows: str) -> Column:
-        return F.coalesce(F.sum(F.when(orphan & (F.col("kind") == kind), F.col(rows))), F.lit(0))
-
-    return _referenced(star).agg(
-        total("customer", "sales").alias("sales_missing_customer"),
-        total("product", "sales").alias("sales_missing_product"),
-        total("product", "receipts").alias("receipts_missing_product"),
+    return references(star).agg(
+        _unknown("customer", "sales").alias("sales_missing_customer"),
+        _unknown("product", "sales").alias("sales_missing_product"),
+        _unknown("product", "receipts").alias("receipts_missing_product"),
     ).select(
         "sales_missing_customer",
         "sales_missing_product",
@@ -159,132 +142,84 @@ def validate_orphans(star: Star) -> DataFrame:
     )
 
 
-# Expectations stated by the reference's check titles (fixed values).
-EXPECTED_UNSHIPPED_PCT = 10.0
-EXPECTED_MISMATCH_PCT = 4.0
+def _of(kind: str, rows: str, condition: Column | None = None) -> Column:
+    """Rows of the :func:`references` of a kind that carry a key for which ``condition`` holds."""
+    wanted = F.col("kind") == kind
+    return F.coalesce(F.sum(F.when(wanted if condition is None else wanted & condition, F.col(rows))), F.lit(0))
 
 
-def validation_report(star: Star, tolerance_pct: float = 5.0) -> DataFrame:
-    """(check, metric, value, expectation, passed) -- the checks as one long table.
+def _unknown(kind: str, rows: str) -> Column:
+    return _of(kind, rows, F.col("key").isNull() | (F.col("dimension") == 0))
 
-    ``passed`` compares each figure with the expectation in the reference's check titles
-    (about 10 % unshipped, more than 0 delayed, about 4 % mismatched, 0 orphans) within
-    ``tolerance_pct`` percentage points where a share is expected; plain counts only have to be there.
 
-    Scans: invoices twice (once per customer and product id, once against the shipments), shipments
-    twice (their count, and collapsed to one row per sale, quantity and day), receipts once.
-    """
-    sales, ships = star.sales, star.shipments
-    keys = sales.groupingSets(
-        [[F.col("customer_id")], [F.col("product_id")]], F.col("customer_id"), F.col("product_id")
-    ).agg(F.grouping("customer_id").alias("_by_product"), F.count(F.lit(1)).alias("n"))
-    customers = star.customers.select(F.col("customer_id").alias("_customer")).distinct()
-    products = star.products.select(F.col("product_id").alias("_product")).distinct()
-    known = keys.join(
-        customers, (F.col("_by_product") == 0) & (F.col("customer_id") == F.col("_customer")), "left"
-    ).join(products, (F.col("_by_product") == 1) & (F.col("product_id") == F.col("_product")), "left")
-    by_customer, by_product = F.col("_by_product") == 0, F.col("_by_product") == 1
-    sales_row = known.agg(
-        _total(by_customer).alias("rows"),
-        _total(by_customer & F.col("_customer").isNull()).alias("no_customer"),
-        _total(by_product & F.col("_product").isNull()).alias("no_product"),
-    )
-    receipts = (
-        star.receipts.groupBy("product_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(products, F.col("product_id") == F.col("_product"), "left")
-        .agg(_total(F.lit(True)).alias("rows"), _total(F.col("_product").isNull()).alias("no_product"))
-    )
+# Expectations stated by the reference's check titles (fixed values).
+EXPECTED_UNSHIPPED_PCT = 10.0
+EXPECTED_MISMATCH_PCT = 4.0
 
-    def against(invoices: DataFrame, shipments: DataFrame) -> DataFrame:
-        collapsed = shipments.groupBy(
-            F.col("sales_id").alias("_sale"), "quantity_sold", F.col("date").alias("shipment_date")
-        ).agg(F.count(F.lit(1)).alias("n"))
-        invoiced = invoices.select("sales_id", "quantity", "date", F.lit(True).alias("_invoice"))
-        return invoiced.join(collapsed, F.col("sales_id") == F.col("_sale"), "full")
-
-    pairs = star.by_sale(against)
-    paired = pairs.agg(
-        F.count_if(F.col("_invoice") & F.col("n").isNull()).alias("unshipped"),
-        _total(F.col("_invoice").isNull()).alias("no_sale"),
-        _total(F.col("shipment_date") > F.col("date")).alias("delayed"),
-        _total(F.col("quantity_sold") == F.col("quantity")).alias("matched"),
-        _total(F.col("quantity_sold") != F.col("quantity")).alias("mismatched"),
-    )
-    n_ships = _count(ships, "rows")
-    n_sales = sales_row.select("rows").scalar()
-
-    def rows(frame: DataFrame, entries: list[tuple[str, str, Column, str, Column | None]]) -> DataFrame:
-        structs = []
-        for check, metric, value, expectation, passed in entries:
-            value = value.cast("double")
-            structs.append(
-                F.struct(
-                    F.lit(check).alias("check"),
-                    F.lit(metric).alias("metric"),
-                    value.alias("value"),
-                    F.lit(expectation).alias("expectation"),
-                    F.coalesce(value.isNotNull() if passed is None else passed, F.lit(False)).alias("passed"),
-                )
-            )
-        return frame.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
-
-    def count_row(table: str, value: Column) -> tuple:
-        return ("row_counts", TABLE_LABELS[table], value, ">0", value > 0)
-
-    def orphan_row(metric: str, value: Column) -> tuple:
-        return ("orphans", metric, value, "0", value == 0)
-
-    unshipped_pct = F.try_divide(F.col("unshipped"), n_sales) * 100
-    mismatch_pct = F.try_divide(F.col("mismatched"), F.col("matched") + F.col("mismatched")) * 100
-    parts = [
-        rows(_count(star.customers, "rows"), [count_row("customers", F.col("rows"))]),
-        rows(_count(star.products, "rows"), [count_row("products", F.col("rows"))]),
-        rows(
-            sales_row,
-            [
-                count_row("sales_invoices", F.col("rows")),
-                orphan_row("sales_missing_customer", F.col("no_customer")),
-                orphan_row("sales_missing_product", F.col("no_product")),
-            ],
+
+def reference_checks(star: Star, tolerance_pct: float = 5.0) -> list[Check]:
+    """The checks that follow a load, with the expectations of the reference's check titles: rows in every
+    table, about 10 % unshipped, more than 0 delayed, about 4 % mismatched, no orphans."""
+    n_sales = star.sales.agg(F.count(F.lit(1)).alias("n")).scalar()
+    unshipped = F.count_if(F.col("invoiced") & F.col("n").isNull())
+    matched = _total(F.col("quantity_sold") == F.col("quantity"))
+    mismatched = _total(F.col("quantity_sold") != F.col("quantity"))
+    counted = {
+        "customers": _of("customer", "dimension"),
+        "products": _of("product", "dimension"),
+        "sales_invoices": _of("customer", "sales"),
+        "receipts": _of("product", "receipts"),
+    }
+    return [
+        Check("row_counts", {TABLE_LABELS[t]: c for t, c in counted.items()}, "references", expected=POSITIVE),
+        Check("row_counts", {TABLE_LABELS["shipments"]: F.count(F.lit(1))}, "shipments", expected=POSITIVE),
+        measure(
+            "unshipped_sales",
+            "sale_matches",
+            {"unshipped_pct": about(EXPECTED_UNSHIPPED_PCT, tolerance_pct, "%")},
+            unshipped_sales=unshipped,
+            unshipped_pct=F.try_divide(unshipped, F.max(n_sales)) * 100,
         ),
-        rows(n_ships, [count_row("shipments", F.col("rows"))]),
-        rows(
-            receipts,
-            [
-                count_row("receipts", F.col("rows")),
-                orphan_row("receipts_missing_product", F.col("no_product")),
-            ],
+        measure(
+            "delayed_shipments",
+            "sale_matches",
+            POSITIVE,
+            delayed_shipments=_total(F.col("shipment_date") > F.col("sale_date")),
         ),
-        rows(
-            paired,
-            [
-                ("unshipped_sales", "unshipped_sales", F.col("unshipped"), "reported", None),
-                (
-                    "unshipped_sales",
-                    "unshipped_pct",
-                    unshipped_pct,
-                    f"~{EXPECTED_UNSHIPPED_PCT:g}%",
-                    F.abs(unshipped_pct - EXPECTED_UNSHIPPED_PCT) <= tolerance_pct,
-                ),
-                ("delayed_shipments", "delayed_shipments", F.col("delayed"), ">0", F.col("delayed") > 0),
-                ("quantity_match", "matched_rows", F.col("matched"), "reported", None),
-                ("quantity_match", "mismatched_rows", F.col("mismatched"), "reported", None),
-                (
-                    "quantity_match",
-                    "mismatch_pct",
-                    mismatch_pct,
-                    f"~{EXPECTED_MISMATCH_PCT:g}%",
-                    F.abs(mismatch_pct - EXPECTED_MISMATCH_PCT) <= tolerance_pct,
-                ),
-                orphan_row("shipments_missing_sale", F.col("no_sale")),
-            ],
+        measure(
+            "quantity_match",
+            "sale_matches",
+            {"mismatch_pct": about(EXPECTED_MISMATCH_PCT, tolerance_pct, "%")},
+            matched_rows=matched,
+            mismatched_rows=mismatched,
+            mismatch_pct=F.try_divide(mismatched, matched + mismatched) * 100,
         ),
+        measure(
+            "orphans",
+            "references",
+            ZERO,
+            sales_missing_customer=_unknown("customer", "sales"),
+            sales_missing_product=_unknown("product", "sales"),
+            receipts_missing_product=_unknown("product", "receipts"),
+        ),
+        measure("orphans", "sale_matches", ZERO, shipments_missing_sale=_total(F.col("invoiced").isNull())),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+
+
+def validation_report(star: Star, tolerance_pct: float = 5.0, extra: Sequence[Check] = ()) -> DataFrame:
+    """(check, metric, value, expectation, passed): :func:`reference_checks` and the caller's ``extra``
+    ones as one long table.
+
+    Shares are held against the expectation within ``tolerance_pct`` percentage points. Scans: invoices
+    three times at most (customer and product ids, the match with shipments, their count from the file
+    footers), shipments twice, the others once; ``extra`` checks on these relations add none.
+    """
+    return run_checks(star, [*reference_checks(star, tolerance_pct), *extra])
+
+
+def extra_checks(star: Star) -> DataFrame:
+    """:data:`FURTHER_CHECKS` alone, as a report."""
+    return run_checks(star, FURTHER_CHECKS)
 
 
 def _total(condition: Column) -> Column:
@@ -292,6 +227,34 @@ def _total(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
 
+#: Checks beyond the reference's, one of each kind: on a table, on a prepared relation, SQL, DataFrame.
+FURTHER_CHECKS = [
+    measure(
+        "invoice_values",
+        "sales_invoices",
+        {"bad_quantity": ZERO, "bad_price": ZERO, "missing_date": ZERO},
+        bad_quantity="count_if(quantity <= 0 OR quantity IS NULL)",
+        bad_price="count_if(unit_price < 0 OR unit_price IS NULL)",
+        missing_date="count_if(date IS NULL)",
+        mean_quantity="avg(quantity)",
+    ),
+    measure("invoice_days", "sales_invoices", POSITIVE, days="count(DISTINCT date)"),
+    measure("split_shipments", "sale_matches", largest="max(n)", days="count_if(n IS NOT NULL)"),
+    measure("idle_customers", "references", idle_pct=(
+        "100.0 * try_divide(count_if(kind = 'customer' AND sales = 0), count_if(kind = 'customer'))"
+    )),
+    sql_check(
+        "receipts_by_year",
+        "SELECT CAST(year(date) AS STRING) AS year, sum(quantity_received) AS units FROM {receipts} GROUP BY 1",
+        POSITIVE,
+    ),
+    frame_check(
+        "priced_below_cost",
+        lambda star: star.products.agg(F.count_if(F.col("selling_price") < F.col("cost")).alias("products")),
+        ZERO,
+    ),
+]
+
 CHECKS = {
     "validate_row_counts": validate_row_counts,
     "validate_unshipped": validate_unshipped,
@@ -299,4 +262,5 @@ CHECKS = {
     "validate_qty_match": validate_qty_match,
     "validate_orphans": validate_orphans,
     "validation_report": validation_report,
+    "extra_checks": extra_checks,
 }

@@ -11,9 +11,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwise.files import remove
+
 # Defaults tuned for a large cluster; callers may override any of them.
 SCALE_DEFAULTS: dict[str, str] = {
     "spark.sql.adaptive.enabled": "true",
@@ -73,21 +77,51 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return sc.getCheckpointDir() or fallback
 
 
+#: The fallback folder of a local master, made once per process, and only if it is needed.
+_LOCAL_FALLBACK: list[str] = []
+
+#: Paths handed out by :func:`fresh_path` while :func:`intermediates` watches, innermost last.
+_WATCHED: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """:func:`checkpoint_dir`; only a local master may fall back to a temporary folder."""
-    master = spark.conf.get("spark.master", "")
-    local = master == "local" or master.startswith("local[")
-    return checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="shelfwise-") if local else None)
+    try:
+        return checkpoint_dir(spark)
+    except RuntimeError:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise
+    if not _LOCAL_FALLBACK:
+        _LOCAL_FALLBACK.append(tempfile.mkdtemp(prefix="shelfwise-"))
+    return checkpoint_dir(spark, fallback=_LOCAL_FALLBACK[0])
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder; two runs never write to the same place."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    for paths in _WATCHED:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, on leaving, every table that was pinned in the shared folder inside. Results that read one
+    must have been written by then."""
+    paths: list[str] = []
+    _WATCHED.append(paths)
+    try:
+        yield paths
+    finally:
+        _WATCHED.remove(paths)
+        for path in paths:
+            remove(spark, path)
 
 
 def pinned(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, lineage cut, re-readable
-    after the loss of any executor."""
+    after the loss of any executor. It stays until :func:`intermediates` or the owner deletes it."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -29,7 +29,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.sources.readers import HOT, read_landed_star, source_bytes  # noqa: F401
+from shelfwise.files import remove, total_bytes
+from shelfwise.sources.readers import HOT, read_landed_star
 from shelfwise.sources.star import Star
 
 FACT_IDS = {"sales_invoices": "sales_id", "shipments": "shipment_id", "receipts": "receipt_id"}
@@ -74,6 +75,10 @@ FILE_BYTES = 256 << 20
 HOT_SHARE = 4.0
 
 
+def source_bytes(spark: SparkSession, path: str) -> int:
+    return total_bytes(spark, path)
+
+
 def partitions_for(n_bytes: int) -> int:
     return max(1, -(-n_bytes // FILE_BYTES))
 
@@ -95,11 +100,6 @@ def hot_sales(shipments: DataFrame, buckets: int) -> list[int]:
     return sorted(r["sales_id"] for r in counted.filter(F.col("n") > limit).collect())
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
 def land_star(
     spark: SparkSession,
     star: Star,
@@ -120,7 +120,7 @@ def land_star(
     is_hot = F.coalesce(F.col("sales_id").isin(hot), F.lit(False))
     for name in CO_BUCKETED:
         spark.sql(f"DROP TABLE IF EXISTS {bucketed_table_name(base, name)}")
-        _remove(spark, os.path.join(base, HOT + name))
+        remove(spark, os.path.join(base, HOT + name))
     for name, df in star.tables().items():
         if buckets and name in CO_BUCKETED:
             land_bucketed(df.filter(~is_hot) if hot else df, base, name, buckets)

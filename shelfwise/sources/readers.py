@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwise.files import total_bytes
 from shelfwise.sources.contracts import CONTRACTS, conform, quarantine
 from shelfwise.sources.star import Star
 from shelfwise.sources.tpch_fixture import star_from_tpch
@@ -106,7 +107,7 @@ def read_landed_star(spark: SparkSession, base: str) -> Star:
     if all(_exists(spark, "parquet", path) for path in hot.values()):
         cold = tables["sales_invoices"], tables["shipments"]
         apart = tuple(read_parquet_table(spark, path, CONTRACTS[name]) for name, path in hot.items())
-        few = source_bytes(spark, hot["sales_invoices"]) <= HOT_INVOICE_BYTES
+        few = total_bytes(spark, hot["sales_invoices"]) <= HOT_INVOICE_BYTES
         parts = (cold, (F.broadcast(apart[0]) if few else apart[0], apart[1]))
         tables["sales_invoices"], tables["shipments"] = (c.unionByName(h) for c, h in zip(cold, apart))
     return Star(*(tables[name] for name in CONTRACTS), sale_parts=parts)
@@ -124,13 +125,6 @@ def _exists(spark: SparkSession, reader: str, path: str) -> bool:
     return True
 
 
-def source_bytes(spark: SparkSession, path: str) -> int:
-    """Bytes of all files under ``path``, from the file system's own summary."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(jvm_path).getLength()) if fs.exists(jvm_path) else 0
-
-
 LAYOUTS = ("landed", "csv", "tpch")
 
 

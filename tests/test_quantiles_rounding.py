@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shelfwise.functions.quantiles import _binned, _bracketed, _known_ranks, exact_quantiles
-from shelfwise.functions.rounding import round_numeric
+from shelfwise.functions.rounding import round_numeric, round_value
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
@@ -76,6 +79,49 @@ def test_rounding_modes(spark):
     assert [r["v"] for r in round_numeric(noisy, 2, comparable=True).collect()] == [38633.28, 2.68, None, 3e10]
 
 
+def nearest_by_fractions(x: float, digits: int) -> float:
+    """The nearer double of the two decimal neighbours, in exact arithmetic; ties to the even digit."""
+    unit = Fraction(1, 10**digits)
+    low = abs(Fraction(x)) // unit
+    below, above = float(low * unit), float((low + 1) * unit)
+    if Fraction(below) == abs(Fraction(x)):
+        return x
+    down, up = abs(Fraction(x)) - Fraction(below), Fraction(above) - abs(Fraction(x))
+    size = below if down < up or (down == up and low % 2 == 0) else above
+    return -size if x < 0 and size else size
+
+
+@pytest.mark.parametrize(
+    "value, digits, want",
+    [
+        (0.15, 1, 0.1), (2.675, 2, 2.67), (1.005, 2, 1.0), (0.285, 2, 0.28), (0.125, 2, 0.12), (0.375, 2, 0.38),
+        (-2.675, 2, -2.67), (-0.001, 2, 0.0), (2.5, 0, 2.0), (3.5, 0, 4.0), (-0.5, 0, 0.0), (1250.0, -2, 1200.0),
+        (1350.0, -2, 1400.0), (1e300, 2, 1e300), (123456789012345.67, 2, 123456789012345.67), (1e15 + 0.5, 0, 1e15 + 0.5),
+        (0.0, 2, 0.0), (7.0, 2, 7.0), (9.995, 2, 9.99), (float("inf"), 2, float("inf")),
+    ],
+)
+def test_nearest_rounds_the_stored_double(spark, value, digits, want):
+    df = spark.createDataFrame([(value, None)], "v double, n double")
+    got = round_numeric(df, digits, "nearest").first()
+    assert got["v"] == want and np.signbit(got["v"]) == (want < 0) and got["n"] is None
+
+
+def test_nearest_matches_exact_arithmetic(spark):
+    rng = np.random.default_rng(8)
+    values = [*(rng.integers(-200_000, 200_000, 600) / 1000), *rng.normal(scale=50, size=600), *(rng.integers(0, 4000, 300) / 200)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = {r["v"]: r["r"] for r in df.select("v", round_value(F.col("v"), 2, "nearest").alias("r")).collect()}
+    assert got == {v: nearest_by_fractions(v, 2) for v in got}
+
+
+def test_nearest_leaves_nan_floats_and_decimals_as_they_should_be(spark):
+    df = spark.sql("SELECT double('NaN') AS a, CAST(1.235 AS DECIMAL(10,3)) AS d, CAST(2.25 AS FLOAT) AS f, 3 AS i")
+    row = round_numeric(df, 1, "nearest").first()
+    assert np.isnan(row["a"]) and float(row["d"]) == 1.2 and row["f"] == 2.2 and row["i"] == 3
+    with pytest.raises(ValueError):
+        round_numeric(df, 1, "up")
+
+
 @pytest.mark.parametrize("accuracy", [10, 100, 100_000])
 def test_brackets_hold_whatever_the_sketch(spark, accuracy):
     rng = np.random.default_rng(3)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import glob
 import os
 
+import pytest
 from conftest import d, make_star
+from pyspark.sql import functions as F
 
+from shelfwise import files, session
 from shelfwise.functions.rounding import round_numeric
 from shelfwise.operators.validation import validation_report
 from shelfwise.sinks import write_result
@@ -23,6 +27,62 @@ def test_write_result_csv_rounds_and_writes_na(spark, scratch):
     assert sorted(r["v"] for r in spark.read.parquet(pq).collect()) == [1.01, 2.0]
 
 
+def test_one_csv_file_in_row_order(spark, scratch):
+    df = spark.range(0, 5000, numPartitions=7).selectExpr("id", "cast(id AS double) / 8 AS v", "nullif(id % 3, 0) AS n", "concat('a,', id) AS s")
+    path = write_result(df.orderBy(F.desc("id")), scratch, "Ordered", fmt="csv_file", mode="nearest")
+    assert path == os.path.join(scratch, "Ordered.csv") and os.path.isfile(path)
+    with open(path) as fh:
+        rows = list(csv.reader(fh))
+    assert rows[0] == ["id", "v", "n", "s"] and [int(r[0]) for r in rows[1:]] == list(range(4999, -1, -1))
+    assert rows[1] == ["4999", "624.88", "1", "a,4999"] and rows[2][2] == "NA"
+    assert [f for f in os.listdir(scratch) if not f.startswith(".")] == ["Ordered.csv"]  # no parts, nothing staged
+
+
+def test_one_csv_file_of_no_rows_and_replaced_results(spark, scratch):
+    empty = spark.createDataFrame([], "a long, `b c` string")
+    path = write_result(empty, scratch, "out", fmt="csv_file")
+    assert open(path).read() == "a,b c\n"
+    write_result(spark.createDataFrame([(1, "x")], "a long, `b c` string"), scratch, "out", fmt="csv_file")
+    assert open(path).read() == "a,b c\n1,x\n"
+
+
+@pytest.mark.parametrize("fmt", ["csv", "csv_file", "parquet"])
+def test_a_failed_write_leaves_what_was_there(spark, scratch, fmt):
+    good = spark.createDataFrame([(1,)], "a long")
+    path = write_result(good, scratch, "out", fmt=fmt)
+    before = {f: os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(scratch) for f in fs}
+    with pytest.raises(Exception):
+        write_result(good.selectExpr("raise_error('broken') AS a"), scratch, "out", fmt=fmt)
+    assert before == {f: os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(scratch) for f in fs}
+    assert os.path.exists(path)
+
+
+def test_files_of_a_store(spark, scratch):
+    base = os.path.join(scratch, "store")
+    assert not files.exists(spark, base) and files.listing(spark, base) == [] and files.total_bytes(spark, base) == 0
+    for name in ("b.txt", "a.txt"):
+        files.write_text(spark, f"{base}/{name}", f"text of {name}\n")
+    files.write_text(spark, f"{base}/_hidden", "x")
+    assert files.read_text(spark, f"{base}/a.txt") == "text of a.txt\n" and files.read_text(spark, f"{base}/no") is None
+    assert [os.path.basename(f.path) for f in files.listing(spark, base)] == ["a.txt", "b.txt"]
+    files.join_files(spark, [f.path for f in files.listing(spark, base)], f"{base}/all.txt")
+    assert files.read_text(spark, f"{base}/all.txt") == "text of a.txt\ntext of b.txt\n"
+    files.publish(spark, f"{base}/a.txt", f"{base}/all.txt")
+    assert files.read_text(spark, f"{base}/all.txt") == "text of a.txt\n"
+    files.remove(spark, base)
+    assert not files.exists(spark, base)
+
+
+def test_intermediates_are_removed_and_no_folder_is_left(spark):
+    before = set(glob.glob("/tmp/shelfwise-*"))
+    with session.intermediates(spark) as paths:
+        assert session.pinned(spark.range(3), "probe").count() == 3
+        assert len(paths) == 1 and files.exists(spark, paths[0])
+        [session.shared_dir(spark) for _ in range(5)]
+    assert not files.exists(spark, paths[0])
+    assert set(glob.glob("/tmp/shelfwise-*")) == before
+
+
 def test_round_numeric_keeps_decimal_type(spark):
     df = spark.createDataFrame([(1,)], "x int").selectExpr("CAST(1.235 AS DECIMAL(10,3)) AS m")
     out = round_numeric(df, 2)

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import glob
 import os
+import shutil
 
+import pytest
+
+from shelfwise import session
+from shelfwise.plans import pipeline
 from shelfwise.plans.pipeline import run_pipeline
+from shelfwise.plans.registry import OPERATORS
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,3 +88,94 @@ def test_quarantined_rows_are_written(spark, scratch):
     assert all(s.ok for s in statuses)
     counts = {n: spark.read.parquet(os.path.join(out, "quarantine", n)).count() for n in ("products", "sales_invoices", "receipts")}
     assert counts == {"products": 1, "sales_invoices": 1, "receipts": 0}
+
+
+STEPS = ["validate_row_counts", "customer_sales_summary", "top_customer_spending", "shipment_delay_stats"]
+
+
+@pytest.fixture()
+def source(scratch):
+    """A copy of the small tables whose files the tests may change."""
+    path = os.path.join(scratch, "source")
+    shutil.copytree(SF, path, ignore=shutil.ignore_patterns("doc*", "emb*", "pages*", "conv*", "bench*", "labels*"))
+    return path
+
+
+def _state(folder):
+    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs}
+
+
+def _runs(spark):
+    return {f for f in os.listdir(session.shared_dir(spark).removeprefix("file:")) if f.startswith("run-")}
+
+
+def test_a_killed_run_goes_on_where_it_stopped(spark, scratch, source, monkeypatch):
+    out, before = os.path.join(scratch, "out"), _runs(spark)
+
+    def killed(star):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setitem(OPERATORS, "top_customer_spending", killed)
+        with pytest.raises(KeyboardInterrupt):
+            run_pipeline(spark, source, out, steps=STEPS)
+    (run_dir,) = _runs(spark) - before  # the landed star waits for the next run
+    landed = os.path.join(session.shared_dir(spark).removeprefix("file:"), run_dir, "landed_star")
+    first = _state(os.path.join(out, "customer_sales_summary"))
+    landed_before = _state(landed)
+    seen = {}
+    monkeypatch.setattr(pipeline, "_prepared", lambda *a, f=pipeline._prepared: seen.setdefault("star", f(*a)))
+    monkeypatch.setattr(pipeline.Manifest, "record", lambda self, *a, f=pipeline.Manifest.record: (seen.setdefault("landed", _state(landed)), f(self, *a)))
+    statuses = {s.step: s for s in run_pipeline(spark, source, out, steps=STEPS)}
+    assert seen["landed"] == landed_before  # nothing was landed again
+    assert all(s.ok for s in statuses.values())
+    assert [statuses[s].resumed for s in STEPS] == [True, True, False, False]
+    assert _state(os.path.join(out, "customer_sales_summary")) == first
+    assert _runs(spark) == before  # done: the intermediates are gone
+    again = run_pipeline(spark, source, out, steps=STEPS)
+    assert all(s.ok and s.resumed for s in again)
+    assert not any(s.resumed for s in run_pipeline(spark, source, out, steps=STEPS[:1], resume=False))
+
+
+def test_a_failed_step_leaves_no_stale_output(spark, scratch, source, monkeypatch):
+    out, before = os.path.join(scratch, "out"), _runs(spark)
+    assert all(s.ok for s in run_pipeline(spark, source, out, steps=STEPS, share=False))
+    shutil.copy(os.path.join(source, "nation.parquet"), os.path.join(source, "more.parquet"))  # another input
+
+    def broken(star):
+        return star.sales.selectExpr("raise_error('no result') AS x")
+
+    with monkeypatch.context() as m:
+        m.setitem(OPERATORS, "top_customer_spending", broken)
+        by = {s.step: s for s in run_pipeline(spark, source, out, steps=STEPS, share=False)}
+    assert [by[s].ok for s in STEPS] == [True, True, False, True] and not any(s.resumed for s in by.values())
+    assert not os.path.exists(os.path.join(out, "top_customer_spending"))
+    assert not [f for f in os.listdir(out) if f.startswith("_staged")]
+    status = spark.read.option("header", True).csv(os.path.join(out, "step_status")).collect()
+    assert [r["step"] for r in status if r["ok"] == "false"] == ["top_customer_spending"]
+    repaired = {s.step: s for s in run_pipeline(spark, source, out, steps=STEPS, share=False)}
+    assert [repaired[s].resumed for s in STEPS] == [True, True, False, True] and repaired[STEPS[2]].ok
+    assert _runs(spark) == before
+
+
+def test_a_run_removes_results_of_another_input_before_it_starts(spark, scratch, source, monkeypatch):
+    out = os.path.join(scratch, "out")
+    run_pipeline(spark, source, out, steps=STEPS[:2], share=False, fmt="csv_file")
+    assert os.path.isfile(os.path.join(out, "customer_sales_summary.csv"))
+    shutil.copy(os.path.join(source, "nation.parquet"), os.path.join(source, "more.parquet"))
+    monkeypatch.setattr(pipeline, "_prepared", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        run_pipeline(spark, source, out, steps=STEPS[:2], share=False, fmt="csv_file")
+    assert not [f for f in os.listdir(out) if f.startswith(("customer", "validate"))]
+
+
+def test_other_parameters_or_formats_are_other_results(spark, scratch, source):
+    out = os.path.join(scratch, "out")
+    step = ["top_customer_spending"]
+    run_pipeline(spark, source, out, steps=step, share=False)
+    for change in ({"params": {step[0]: {"k": 2}}}, {"fmt": "csv_file"}, {"rounding": "nearest"}):
+        (status,) = run_pipeline(spark, source, out, steps=step, share=False, **change)
+        assert status.ok and not status.resumed
+    (status,) = run_pipeline(spark, source, out, steps=step, share=False, fmt="csv_file", output_names="reference")
+    with open(os.path.join(out, "TopCustomerSpending.csv")) as fh:
+        assert len(fh.read().splitlines()) == 6

@@ -6,8 +6,12 @@ name in its input cannot clash with what it computes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,27 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def _release() -> None:
+    """Hands memory that Arrow and the C library keep for later back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over a task's batches, after which the worker keeps no freed memory. A worker outlives its
+    tasks, and shares its machine with others."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _release()
+
+    return run
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (the context cleaner may delete it once it is unreachable)."""
     shared_dir(df.sparkSession)
@@ -55,10 +80,17 @@ class Recent(dict):
         return found
 
     def put(self, key, value) -> None:
+        self._turn()
+        self[key] = value
+
+    def put_all(self, found: dict) -> None:
+        self._turn()
+        self.update(found)
+
+    def _turn(self) -> None:
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        self[key] = value
 
 
 def salt(key: Column, salts: int) -> Column:

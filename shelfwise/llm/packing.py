@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import in_small_batches, written
+from shelfwise.llm.common import in_small_batches, tidied, written
 from shelfwise.llm.tokens import ID_BYTES, encoder
 
 CAPACITY = 2048
@@ -47,6 +47,7 @@ def token_pieces(
     ``ids`` as little-endian unsigned 32-bit integers."""
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
+    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, kind).encode
         end = end_id.to_bytes(ID_BYTES, "little")
@@ -168,6 +169,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shift = 1 << 44  # ranks are below it; lengths stay below 2^19
     keys = places[:, 0] * shift + places[:, 1]
 
+    @tidied
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column("length").to_numpy()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import SPACE_CLASS
+from shelfwise.llm.common import SPACE_CLASS, in_small_batches, tidied
 from shelfwise.llm.windows import word_ids
 
 MIN_LENGTH = 6
@@ -151,6 +151,7 @@ def periodic_runs(
     """Per row: doc_id, n_words, runs (start, length, period in words) and the text with every run cut
     to its first period, words joined by one space."""
 
+    @tidied
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, ends, found, texts = [], [0], [], []
@@ -176,7 +177,7 @@ def periodic_runs(
             )
 
     chosen = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("full_text"))
-    return chosen.mapInArrow(search, DDL)
+    return in_small_batches(chosen).mapInArrow(search, DDL)
 
 
 def with_planted_period(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import Recent, in_small_batches
+from shelfwise.llm.common import Recent, in_small_batches, tidied
 
 N_BEST = 3
 CACHE_CHUNKS = 200_000
@@ -315,6 +315,7 @@ def encode_nbest(
     ``decoded`` also what the ids decode to, made where they are (see :func:`decode_ids`)."""
     fields = [*_FIELDS, ("decoded", pa.string())] if decoded else _FIELDS
 
+    @tidied
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path, n_best)
         for batch in batches:

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import in_small_batches, written
+from shelfwise.llm.common import in_small_batches, tidied, written
 
 TOP = 10
 #: Documents and words of a shard. Only speed and memory depend on them.
@@ -158,6 +158,7 @@ def count_postings(
 ) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
+    @tidied
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, shard = sent.value, _Shard()
         for batch in batches:
@@ -188,6 +189,7 @@ def with_impacts(counts: DataFrame, n_docs: int, n_terms: int, weights: dict[int
     """The counts table with impacts, maxima and the lists of the numbered ``pairs``."""
     sent = counts.sparkSession.sparkContext.broadcast((weights, pairs))
 
+    @tidied
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_weights, known_pairs = sent.value
         for batch in batches:
@@ -358,6 +360,7 @@ def best_in_tasks(index: DataFrame, queries: list, top: int) -> DataFrame:
     """(item, doc_id, score): per task and query the best ``top`` of its shards."""
     sent = index.sparkSession.sparkContext.broadcast(queries)
 
+    @tidied
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = sent.value
         best: list[list] = [[] for _ in asked]

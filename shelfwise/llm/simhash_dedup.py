@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import in_small_batches, written
+from shelfwise.llm.common import in_small_batches, tidied, written
 from shelfwise.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -69,6 +69,7 @@ def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
 def fingerprints(documents: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, fingerprint (as a signed long)."""
 
+    @tidied
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], dtype=np.uint64)
@@ -132,6 +133,7 @@ def forest(members: np.ndarray, matches: int, distance: int, pair_list: int = PA
 def _links(postings: DataFrame, matches: int, distance: int) -> DataFrame:
     """u, v of the forests of all posting lists; ``postings`` come sorted by key."""
 
+    @tidied
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, dtype=np.int64)] * 3
         for batch in itertools.chain(batches, [None]):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import in_small_batches
+from shelfwise.llm.common import in_small_batches, tidied
 from shelfwise.llm.tokens import encoder
 from shelfwise.session import fresh_path
 
@@ -55,6 +55,7 @@ def write_tokens(
     """Range-partitions the documents by id (before encoding, so texts are encoded once), encodes
     them in order and writes one file per partition."""
 
+    @tidied
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer_path, kind).encode
         end = np.array([end_id], dtype="<u4").tobytes()
@@ -124,6 +125,7 @@ def document_starts(files: DataFrame) -> DataFrame:
 def file_digests(files: DataFrame) -> DataFrame:
     """part, row, doc_id, n_tokens and ids_crc32, from the ids as they were read."""
 
+    @tidied
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("ids")

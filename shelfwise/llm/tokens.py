@@ -11,10 +11,12 @@ import os
 import re
 import unicodedata
 
+import numpy as np
+
 from shelfwise.llm.common import Recent
 
-#: Chunks held per worker and generation (about 200 bytes each; two generations).
-CACHE_CHUNKS = 300_000
+#: Chunks held per worker and generation (about 140 bytes each; two generations).
+CACHE_CHUNKS = 250_000
 
 ID_BYTES = 4
 #: A full stop or comma after a letter or digit is a pre-token of its own in both vocabularies,
@@ -65,9 +67,10 @@ class ChunkEncoder:
         self.chunks = Recent(self._learn, cache_chunks)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.packed = [i.to_bytes(ID_BYTES, "little") for i in range(size)]
-        #: Ids of the tokens that begin with a space.
+        #: Whether the token of an id begins with a space.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.begins = {i for token, i in vocabulary.items() if token.startswith(_SPACE)}
+        self.begins = np.zeros(size, dtype=bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -119,9 +122,11 @@ class ChunkEncoder:
         cut = self._ends_cut(text, " \x00").replace("\n", " \x00\n \x00")
         chunks = (_MARK + cut.encode()).split(b" ")
         found = list(map(self.chunks.get, chunks))
-        if None in found:
-            new = self._learn_together({c for c, ids in zip(chunks, found) if ids is None})
-            found = [new[c] if ids is None else ids for c, ids in zip(chunks, found)]
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if missing:
+            learnt = self._learn_together({chunks[k] for k in missing})
+            for k in missing:
+                found[k] = learnt[chunks[k]]
         return b"".join(found)
 
     def _learn_together(self, unseen: set[bytes]) -> dict[bytes, bytes]:
@@ -139,17 +144,14 @@ class ChunkEncoder:
                 spaced.append(chunk)
         if spaced:
             text = (b" " + b" ".join(spaced)).decode()
-            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            packed, begins = self.packed, self.begins
-            starts = [k for k, i in enumerate(ids) if i in begins]
-            parts = [packed[i] for i in ids]
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            starts = (np.flatnonzero(self.begins[ids]) * ID_BYTES).tolist()
             if len(starts) == len(spaced):
-                for chunk, a, b in zip(spaced, starts, [*starts[1:], len(ids)]):
-                    known[chunk] = b"".join(parts[a:b])
+                data = ids.tobytes()
+                known.update(zip(spaced, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)]))))
             else:
                 known |= {chunk: self._learn(chunk) for chunk in spaced}
-        for chunk, ids in known.items():
-            self.chunks.put(chunk, ids)
+        self.chunks.put_all(known)
         return known
 
     def _ends_cut(self, text: str, by: str) -> str:

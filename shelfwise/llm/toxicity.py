@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import in_small_batches
+from shelfwise.llm.common import in_small_batches, tidied
 
 MAX_POSITIVE = 5_000
 MAX_UNLABELLED = 20_000
@@ -153,6 +153,7 @@ def train(
 def _feature_rows(documents: DataFrame) -> list[np.ndarray]:
     """Feature ids of a bounded sample, computed on the executors."""
 
+    @tidied
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features_of(t.as_py()) for t in batch.column(1)]
@@ -216,6 +217,9 @@ def score_texts(texts: Column, weights: np.ndarray, bias: float) -> Column:
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(score_batches)(batches)
+
+    def score_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         full = np.zeros(BUCKETS)
         full[at] = values
         table = full.tolist()

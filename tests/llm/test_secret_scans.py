@@ -1,18 +1,21 @@
 from __future__ import annotations
 
+import argparse
 import base64
 import hashlib
 import math
 import random
 import re
 import string
+import time
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.llm.secret_scans import (
-    ENCODINGS, battery, encoding_of, find_secrets, redact_secrets, secret_digests,
+    ENCODINGS, PARTS, PLAIN, SYMBOLS, UUID, battery, encoding_of, find_secrets, redact_secrets, secret_digests, text_model,
 )
 from tests.llm.helpers import ODD, by_id, documents, words
 
@@ -137,3 +140,132 @@ def test_masking_leaves_no_base_span_and_all_rows(spark):
 
 def test_empty_table(spark):
     assert find_secrets(documents(spark, [])).count() == 0
+
+
+def brute_log_ratio(token, encoding, counts):
+    """Uniform source against the chain of letters and digits, written out symbol by symbol."""
+    size, mixed = len(ENCODINGS[encoding]), encoding in ("base62", "base64")
+    plain = token.replace("-", "") if encoding == "hex" else token
+    logs, before, case = text_model(counts), SYMBOLS - 1, 0
+    total = 0.0
+    for c in plain:
+        code = PLAIN.find(c.lower()) if c.lower() in PLAIN else SYMBOLS - 1
+        now = 1 if c.islower() else 2 if c.isupper() else 0
+        chance = {(1, 1): 0.8, (1, 2): 0.2, (2, 1): 0.75, (2, 2): 0.25, (0, 1): 0.5, (0, 2): 0.5}.get((case, now), 1.0)
+        total += math.log(1 / size) - logs[before * SYMBOLS + code] - (math.log(chance) if mixed else 0.0)
+        before, case = code, now
+    return total
+
+
+def brute_encoding(t):
+    if re.search("[0-9]", t) and re.search("[A-Za-z]", t):
+        if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t):
+            return "hex"
+    varied = len(set(t)) >= 3
+    if varied and re.fullmatch(UUID, t):
+        return "hex"
+    if re.search("[0-9]", t) and re.search("[A-Za-z]", t) and re.fullmatch("[A-Z2-7]+|[a-z2-7]+", t):
+        return "base32"
+    if varied and re.fullmatch("[A-Z0-9]+|[a-z0-9]+", t):
+        return "base36"
+    if varied and re.fullmatch("[A-Za-z0-9]+", t):
+        return "base62"
+    both = re.search("[a-z]", t) and re.search("[A-Z]", t)
+    return "base64" if varied and both and re.fullmatch("[A-Za-z0-9+/]+|[A-Za-z0-9_-]+", t) else None
+
+
+def brute_step_up(ps, q):
+    """Benjamini-Hochberg on p-values rounded up to the grid."""
+    up = sorted(10 ** (-min(math.floor(-math.log10(max(p, 1e-19)) * 50), 999) / 50) for p in ps)
+    return max([p for i, p in enumerate(up, 1) if p <= q * max(j for j, x in enumerate(up, 1) if x == p) / len(up)], default=0.0)
+
+
+def brute_random(rows):
+    """Spans of the method per row, from the definition."""
+    texts = [t or "" for _, t in rows]
+    counts = Counter()
+    for t in texts:
+        short = [w for w in re.split("[^a-z0-9+/_-]+", t.lower()) if len(w) < 16]
+        for w in re.split("[^a-z0-9]+", " ".join(short)):
+            if w:
+                counts[w[0]] += 1
+                counts.update(w[i : i + 2] for i in range(len(w) - 1))
+    found = [[(m.start(), m.end(), m[0]) for p in PARTS for m in re.finditer(p, t)] for t in texts]
+    tokens = {x[2]: brute_encoding(x[2]) for spans in found for x in spans}
+    band = lambda t: max(b for b in (16, 24, 32, 48, 96) if len(t) >= b)
+    fold = lambda t, e: t.lower() if e == "hex" else t.upper() if e in ("base32", "base36") else t
+    text = {t: math.exp(-max(brute_log_ratio(t, e, counts), 0.0)) for t, e in tokens.items() if e}
+    noise = {t: brute_p(fold(t, e).replace("-", "") if e == "hex" else fold(t, e), e) for t, e in tokens.items() if e}
+    groups = {}
+    for t, e in tokens.items():
+        if e:
+            groups.setdefault((e, band(t)), []).append(t)
+    limits = {g: (brute_step_up([text[t] for t in ts], 0.01), brute_step_up([noise[t] for t in ts], 0.01)) for g, ts in groups.items()}
+    out = []
+    for (_, t), spans in zip(rows, found):
+        kept = []
+        for a, b, token in spans:
+            e = tokens[token]
+            if e and text[token] <= limits[e, band(token)][0] and noise[token] > limits[e, band(token)][1]:
+                kept.append((a, b))
+        outer = [x for x in set(kept) if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in kept)]
+        own = base(t)
+        out.append(sorted(x for x in outer if not any(s < x[1] and x[0] < e for s, _, e, _ in own)))
+    return out
+
+
+#: English of some length: what the standard library says of itself.
+PROSE = [w for m in (argparse, random, re, string, uuid) for x in [m, *vars(m).values()] for w in re.findall("[A-Za-z]+", getattr(x, "__doc__", None) or "")]
+LONG_WORDS = ["Handelsgesellschaften", "internationalization", "einbereinachaukeit", "beberschlichkeitge", "getElementsByClassName", "snake_case_identifier_name",
+              "docs/reference/configuration/index", "AbstractSingletonProxyFactoryBean", "2024-01-15-release-notes", "ACKNOWLEDGEMENTS", "user12345678901234567"]
+
+
+def mixed_corpus():
+    rng = random.Random(21)
+    alphabets = [LOWER + DIGITS, UPPER + DIGITS, LOWER + UPPER + DIGITS, LOWER + UPPER + DIGITS + "+/", "0123456789abcdef", LOWER + UPPER]
+    rows = list(ODD)
+    for i in range(160):
+        w = [rng.choice(PROSE) for _ in range(60)] + rng.sample(LONG_WORDS, 2)
+        if i % 4 == 0:
+            w.append("".join(rng.choice(alphabets[i // 4 % 6]) for _ in range(rng.choice([16, 20, 26, 40, 100]))))
+        if i % 12 == 0:
+            w.append("https://x.org/a/" + "".join(rng.choice(LOWER + UPPER + DIGITS + "_-") for _ in range(30)))
+        if i % 16 == 0:
+            w.append("token=" + "".join(rng.choice(LOWER + DIGITS) for _ in range(30)))
+        rng.shuffle(w)
+        rows.append((1000 + i, " ".join(w)))
+    return rows
+
+
+def test_method_spans_match_brute_force(spark):
+    rows = mixed_corpus()
+    got = by_id(secret_digests(documents(spark, rows)), "spans")
+    random_of = lambda s: [tuple(map(int, x.split(":")[1:])) for x in s.split(",") if x.startswith("random")]
+    want = sorted(((i, tuple(x)) for (i, _), x in zip(rows, brute_random(rows))), key=repr)
+    assert sorted(((i, tuple(random_of(s))) for i, s in got), key=repr) == want
+    assert sum(bool(x) for _, x in want) > 30
+
+
+def test_prose_is_no_secret_and_planted_keys_are(spark):
+    rows = mixed_corpus()
+    texts = dict(rows)
+    found = set()
+    for i, s in by_id(secret_digests(documents(spark, rows)), "spans"):
+        for x in s.split(","):
+            if x.startswith("random"):
+                a, b = map(int, x.split(":")[1:])
+                found.add(texts[i][a:b])
+    assert not {w for w in LONG_WORDS if any(w in x for x in found)}
+    keys = {w for t in texts.values() if t for w in t.split() if len(w) >= 20 and w not in LONG_WORDS and not w.startswith(("token", "http", "x"))}
+    keys = {k for k in keys if re.fullmatch("[A-Za-z0-9+/]{20,}", k)}
+    assert len(keys) > 20 and len(keys & found) >= 0.9 * len(keys)
+
+
+def test_a_long_text_of_tokens_takes_seconds(spark):
+    rng = random.Random(3)
+    text = " ".join(rng.randbytes(16).hex() for _ in range(15_000))
+    began = time.time()
+    row = secret_digests(documents(spark, [(1, text)])).first()
+    assert row["n_hex"] == 15_000 and time.time() - began < 60
+    masked = redact_secrets(documents(spark, [(1, text)])).first()["text"]
+    assert masked == " ".join(["[SECRET]"] * 15_000)

@@ -24,6 +24,7 @@ doc_id is carried along; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import operator
 import re
 from collections.abc import Iterator
 
@@ -226,7 +227,7 @@ class Pieces:
     def _summary(self, chunk: str) -> tuple[bytes, float, float]:
         """The same of a chunk, from the parts it falls into."""
         pairs = self.pairs
-        cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in pairs]
+        cuts = [k for k, pair in enumerate(map(operator.add, chunk, chunk[1:]), 1) if pair not in pairs]
         if not cuts:
             return self._search(chunk)
         found = [self.parts[chunk[a:b]] for a, b in zip([0, *cuts], [*cuts, len(chunk)])]
@@ -242,14 +243,12 @@ class Pieces:
             chunks = _CHUNK.findall(text)
         else:
             chunks = [" " + x for x in text[1:].split(" ")]
-        entries = list(map(self.chunks.__getitem__, chunks))
-        ids = [e[0] for e in entries]
-        score = sum([e[1] for e in entries])
+        ids, scores, costs = zip(*map(self.chunks.__getitem__, chunks))
+        score = sum(scores)
         out = [(score, b"".join(ids))]
         if self.n_best == 1:
             return out
-        costs = [e[2] for e in entries]
-        cheap = heapq.nsmallest(self.n_best - 1, range(len(costs)), key=costs.__getitem__)
+        cheap = sorted(range(len(costs)), key=costs.__getitem__)[: self.n_best - 1]
         cheap = sorted(i for i in cheap if costs[i] < float("inf"))
         lists = {i: self.lists[chunks[i]] for i in cheap}
         for lost, choice in self._combined([lists[i] for i in cheap]):
@@ -278,7 +277,7 @@ class Pieces:
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
         numbers = memoryview(ids).cast("I").tolist()
-        data = b"".join([self.texts[i] for i in numbers])
+        data = b"".join(map(self.texts.__getitem__, numbers))
         return data.removeprefix(b" ").decode(errors="replace")
 
 

@@ -6,6 +6,7 @@ a path with the machine's own file functions, so a shared store behaves like a l
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -84,6 +85,32 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+#: A header line is looked for in this many bytes.
+HEADER_BYTES = 1 << 20
+#: File systems answer several requests at a time.
+THREADS = 16
+
+
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    jvm_path, fs = _open(spark, path)
+    java = spark._jvm
+    codec = java.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(jvm_path)
+    stream = fs.open(jvm_path)
+    try:
+        data = stream if codec is None else codec.createInputStream(stream)
+        bounded = java.org.apache.commons.io.input.BoundedInputStream(data, HEADER_BYTES)
+        return java.java.io.BufferedReader(java.java.io.InputStreamReader(bounded, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
+def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str | None]:
+    """The first line of each file (None if it is empty), packed files unpacked. Only the beginning of a file is
+    read, as a listing reads its metadata."""
+    with ThreadPoolExecutor(THREADS) as pool:
+        return dict(zip(paths, pool.map(lambda p: _first_line(spark, p), paths)))
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text file, complete or absent: it is written aside and moved in place."""
     aside = f"{path}.new"

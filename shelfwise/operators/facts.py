@@ -154,7 +154,8 @@ def with_shipped(star: Star, invoices: Callable[[DataFrame], DataFrame]) -> Data
 
 
 def late_shipments(star: Star) -> DataFrame:
-    """(sales_id, shipment_date, sales_date, n): shipments dated after their invoice, counted per day."""
+    """(shipment_date, sales_date, n): shipments dated after their invoice, counted per sale and day. A
+    stored state (see :mod:`shelfwise.plans.incremental`) may have them summed up."""
 
     def late(sales: DataFrame, shipments: DataFrame) -> DataFrame:
         per_day = shipments.groupBy("sales_id", F.col("date").alias("shipment_date")).agg(
@@ -163,4 +164,6 @@ def late_shipments(star: Star) -> DataFrame:
         invoiced = sales.select("sales_id", F.col("date").alias("sales_date"))
         return per_day.join(invoiced, "sales_id").filter(F.col("shipment_date") > F.col("sales_date"))
 
-    return star.by_sale(late)
+    return star.shared(
+        "late_shipments", lambda: star.by_sale(late).select("shipment_date", "sales_date", "n")
+    )

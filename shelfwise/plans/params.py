@@ -15,4 +15,5 @@ FIXTURE: dict[str, dict] = {
     "high_volume_reg_coefficients": {"min_received": 300},
     "high_volume_reg_residuals": {"min_received": 300},
     "statistical_summary": {"min_received": 300},
+    "statistical_summary_batches": {"min_received": 300, "cuts": ["1995-06-17"]},
 }

@@ -17,6 +17,7 @@ from shelfwise.operators.reports import REPORTS
 from shelfwise.operators.stats import STATS
 from shelfwise.operators.summary import statistical_summary
 from shelfwise.operators.validation import CHECKS
+from shelfwise.plans.incremental import statistical_summary_batches
 from shelfwise.plans.params import FIXTURE
 from shelfwise.sources.readers import load_star
 from shelfwise.sources.star import Star
@@ -26,6 +27,7 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {
     **REPORTS,
     **STATS,
     "statistical_summary": statistical_summary,
+    "statistical_summary_batches": statistical_summary_batches,
 }
 
 #: Columns whose size says nothing at two places; registered plans add their logarithm.

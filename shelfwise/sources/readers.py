@@ -10,15 +10,17 @@
 
 from __future__ import annotations
 
+import csv
 import os
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.files import total_bytes
-from shelfwise.sources.contracts import CONTRACTS, conform, quarantine
+from shelfwise.files import exists, first_lines, listing, total_bytes
+from shelfwise.sources.contracts import CONTRACTS, ContractError, conform, quarantine
 from shelfwise.sources.star import Star
 from shelfwise.sources.tpch_fixture import star_from_tpch
 
@@ -42,6 +44,23 @@ HOT_INVOICE_BYTES = 8 << 20
 CORRUPT = "_corrupt_record"
 
 
+def header_census(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a CSV file or folder by their header. Empty files have none and are left out."""
+    lines = first_lines(spark, [f.path for f in listing(spark, path)])
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, line in lines.items():
+        if line is not None:
+            names = tuple(name.strip() for name in next(csv.reader([line.removeprefix("\ufeff")]), []))
+            groups.setdefault(names, []).append(file)
+    return groups
+
+
+def _missing(names: tuple[str, ...], contract: T.StructType) -> list[str]:
+    """Contract columns that a header lacks or names more than once."""
+    have = [n.lower() for n in names]
+    return [f.name for f in contract.fields if have.count(f.name.lower()) != 1]
+
+
 def read_csv_table(
     spark: SparkSession,
     path: str,
@@ -50,24 +69,49 @@ def read_csv_table(
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Read a header CSV (file or folder) and map its columns to ``contract`` **by header name**.
 
-    Every field is read as a string (no inference pass over the data), then cast by name. The
-    header of *every* file is held against the first one: a part file with other or swapped columns
-    is an error, never a shift of values.
+    Part files may have their columns in different orders and may have more columns than the contract:
+    the files are grouped by header, each group is read by its own, and the groups are united by name.
+    Every field is read as a string (no inference pass over the data), then cast.
 
-    ``mode='strict'``: a row with too few or too many fields, or a value that does not parse,
-    aborts the job. ``mode='quarantine'``: returns ``(good_rows, bad_rows)``; bad rows keep their
-    raw strings, and the whole line in ``_corrupt_record`` where the field count is wrong.
+    ``mode='strict'``: a file without a contract column, a row with too few or too many fields, or a
+    value that does not parse, aborts the job. ``mode='quarantine'``: returns ``(good_rows, bad_rows)``;
+    bad rows keep their raw strings, and the whole line in ``_corrupt_record`` where the field count is
+    wrong. All rows of a file without a contract column are bad.
     """
     if mode not in ("strict", "quarantine"):
         raise ValueError(f"unknown mode {mode!r}")
+    groups = header_census(spark, path)
+    if not groups:
+        if not exists(spark, path):
+            spark.read.csv(path)  # Spark's own error names the path
+        groups = {tuple(contract.names): []}
+    lacking = {names: files for names, files in groups.items() if _missing(names, contract)}
+    if mode == "strict" and lacking:
+        names, files = next(iter(lacking.items()))
+        raise ContractError(f"missing columns {_missing(names, contract)} in {files[0]}; its header is {list(names)}")
     reader = spark.read.option("header", True).option("enforceSchema", False).option("columnPruning", False)
-    names = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    good, bad = [], []
+    for names, files in groups.items():
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+        if not files:
+            good.append(conform(spark.createDataFrame([], schema), contract))
+        elif mode == "strict":
+            good.append(conform(reader.schema(schema).option("mode", "FAILFAST").csv(files), contract, strict=True))
+        elif names in lacking:
+            # Named by place: a header may repeat a name.
+            places = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+            raw = spark.read.option("header", True).schema(places.add(CORRUPT, T.StringType()))
+            bad.append(raw.option("columnNameOfCorruptRecord", CORRUPT).csv(files))
+        else:
+            raw = reader.schema(schema.add(CORRUPT, T.StringType())).option("mode", "PERMISSIVE")
+            rows = quarantine(raw.option("columnNameOfCorruptRecord", CORRUPT).csv(files), contract, corrupt=CORRUPT)
+            good.append(rows[0])
+            bad.append(rows[1])
+    union = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     if mode == "strict":
-        return conform(reader.schema(schema).option("mode", "FAILFAST").csv(path), contract, strict=True)
-    schema = schema.add(CORRUPT, T.StringType())
-    raw = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    return quarantine(raw.csv(path), contract, corrupt=CORRUPT)
+        return union(good)
+    empty = spark.createDataFrame([], contract)
+    return union(good or [empty]), union(bad or [empty])
 
 
 def read_parquet_table(spark: SparkSession, path: str, contract: T.StructType) -> DataFrame:

@@ -38,7 +38,7 @@ def test_no_cartesian_or_nested_loop(landed, name):
 
 # Python may only touch aggregated rows: the t-distribution plans.
 PYTHON_OK = {"receipt_sales_ttest", "receipt_sales_ttest_ci", "high_volume_reg",
-             "high_volume_reg_coefficients", "statistical_summary"}
+             "high_volume_reg_coefficients", "statistical_summary", "statistical_summary_batches"}
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import dataclasses
+import gzip
 import os
 
 import pytest
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from shelfwise.sources.contracts import PRODUCTS, SALES_INVOICES, ContractError
 from shelfwise.sources.landing import bucketed_table_name, hot_sales, land_star, partitions_for, source_bytes
-from shelfwise.sources.readers import load_star, read_csv_table
+from shelfwise.sources.readers import header_census, load_star, read_csv_table
 from shelfwise.sources.tpch_fixture import star_from_tpch
 
 SF = "/root/testdata/sf0.001"
@@ -63,14 +64,50 @@ def test_wrong_field_count_is_malformed(spark, scratch, line):
     assert [r["_corrupt_record"] for r in bad.collect()] == [line]
 
 
-@pytest.mark.parametrize("mode", ["strict", "quarantine"])
-def test_swapped_header_in_a_part_file_is_an_error(spark, scratch, mode):
-    _write(os.path.join(scratch, "a.csv"), "product_id,product_name,cost,selling_price,inventory_amount\n1,widget,4.5,9.5,250\n")
-    _write(os.path.join(scratch, "b.csv"), "product_id,product_name,inventory_amount,cost,selling_price\n2,gizmo,300,5.0,11\n")
-    with pytest.raises(Py4JJavaError) as e:
-        found = read_csv_table(spark, scratch, PRODUCTS, mode=mode)
-        (found if mode == "strict" else found[0]).collect()
-    assert e.value.java_exception.getCondition() == "FAILED_READ_FILE.NO_HINT"
+def _mixed_folder(scratch):
+    """Products in three files: columns in two orders, and one file with a column more, packed."""
+    folder = os.path.join(scratch, "Products.csv")
+    os.makedirs(folder)
+    _write(os.path.join(folder, "a.csv"), "product_id,product_name,cost,selling_price,inventory_amount\n1,widget,4.5,9.5,250\n")
+    _write(os.path.join(folder, "b.csv"), "\ufeffproduct_id,product_name,inventory_amount,cost,selling_price\n2,\"gizmo, big\",300,5.0,11\n")
+    with gzip.open(os.path.join(folder, "c.csv.gz"), "wt") as fh:
+        fh.write("Selling_Price,colour,cost,inventory_amount,product_name,product_id\n12,red,6,7,gadget,3\n")
+    _write(os.path.join(folder, "empty.csv"), "")
+    _write(os.path.join(folder, "only_header.csv"), "cost,product_id,product_name,inventory_amount,selling_price\n")
+    return folder
+
+
+PRODUCT_ROWS = [(1, "widget", 250, 4.5, 9.5), (2, "gizmo, big", 300, 5.0, 11.0), (3, "gadget", 7, 6.0, 12.0)]
+
+
+def test_part_files_with_other_column_orders_load_by_name(spark, scratch):
+    folder = _mixed_folder(scratch)
+    assert len(header_census(spark, folder)) == 4
+    assert sorted(map(tuple, read_csv_table(spark, folder, PRODUCTS).collect())) == PRODUCT_ROWS
+    good, bad = read_csv_table(spark, folder, PRODUCTS, mode="quarantine")
+    assert sorted(map(tuple, good.collect())) == PRODUCT_ROWS and bad.count() == 0
+
+
+def test_a_file_without_a_column_is_quarantined_whole(spark, scratch):
+    folder = _mixed_folder(scratch)
+    _write(os.path.join(folder, "d.csv"), "product_id,product_name,cost\n4,lamp,1.0\n5,desk,2.0\n")
+    _write(os.path.join(folder, "e.csv"), "product_id,product_id,product_name,inventory_amount,cost,selling_price\n6,7,pen,1,2.0,3.0\n")
+    _write(os.path.join(folder, "f.csv"), "product_id,product_name,cost,selling_price,inventory_amount\n8,cup,x,9.5,250\n")
+    with pytest.raises(ContractError, match="d.csv|e.csv"):
+        read_csv_table(spark, folder, PRODUCTS)
+    good, bad = read_csv_table(spark, folder, PRODUCTS, mode="quarantine")
+    assert sorted(map(tuple, good.collect())) == PRODUCT_ROWS
+    rows = bad.collect()
+    assert sorted(r["_c1"] for r in rows if r["_c1"]) == ["7", "desk", "lamp"]
+    assert [r["product_name"] for r in rows if r["product_name"]] == ["cup"]
+
+
+def test_a_folder_without_files_is_an_empty_table_and_none_an_error(spark, scratch):
+    folder = os.path.join(scratch, "none.csv")
+    os.makedirs(folder)
+    assert read_csv_table(spark, folder, PRODUCTS).count() == 0
+    with pytest.raises(AnalysisException):
+        read_csv_table(spark, os.path.join(scratch, "missing.csv"), PRODUCTS)
 
 
 def test_relanding_without_buckets_replaces_the_bucketed_tables(spark, scratch):

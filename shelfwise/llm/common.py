@@ -97,5 +97,11 @@ def salt(key: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("salt")), F.lit(salts)).cast("int")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: it is bound as the only entry of an array. An expression
+    that is merely named in Python is computed, and stands in the plan, at each place where it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))

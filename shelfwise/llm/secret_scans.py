@@ -40,7 +40,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import text_or_empty
+from shelfwise.llm.common import let, text_or_empty
 
 # Fixed patterns of the base kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -98,12 +98,6 @@ KINDS = ("assign", "access", "hex", "random")
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once: it is bound as the only entry of an array. An expression
-    that is merely named in Python is computed at each place where it is used."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _running(values: Column, combine: Callable[[Column, Column], Column], zero: Column) -> Column:
     """Running result over an int array: entry i combines the first i + 1 values. An aggregate that appends
     copies its list at each step, so it runs over blocks of about the square root of the length."""
@@ -124,14 +118,14 @@ def _running(values: Column, combine: Callable[[Column, Column], Column], zero:
 
     def joined(blocks: Column) -> Column:
         ends = walked(F.transform(blocks, lambda x: F.aggregate(x, zero, lambda a, b: combine(a, b))), zero)
-        return _let(
+        return let(
             ends,
             lambda ends: F.flatten(
                 F.transform(blocks, lambda x, i: walked(x, F.when(i > 0, F.get(ends, i - 1)).otherwise(zero)))
             ),
         )
 
-    some = _let(values, lambda v: F.when(F.size(v) > 0, _let(cut(v), joined)))
+    some = let(values, lambda v: F.when(F.size(v) > 0, let(cut(v), joined)))
     return F.coalesce(some, F.array().cast("array<int>"))
 
 
@@ -162,7 +156,7 @@ def _found(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
             ).cast(SPAN),
         )
 
-    spans = _let(pieces, placed)
+    spans = let(pieces, placed)
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -208,9 +202,9 @@ def battery(token: Column, encoding: Column) -> Column:
     def coded(alphabet: Column) -> Column:
         symbols = F.filter(F.split(plain, ""), lambda c: c != "")
         codes = F.transform(symbols, lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-        return _let(codes, lambda x: _tests(x, F.length(alphabet).cast("double")))
+        return let(codes, lambda x: _tests(x, F.length(alphabet).cast("double")))
 
-    return _let(alphabet, coded)
+    return let(alphabet, coded)
 
 
 def _tests(codes: Column, k: Column) -> Column:
@@ -306,7 +300,7 @@ def log_ratio(token: Column, encoding: Column, model: list[float]) -> Column:
         steps = F.zip_with(first, rows, lambda a, b: F.get(F.lit(logs), a * row + b))
         return F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x)
 
-    return _let(
+    return let(
         symbols,
         lambda x: -F.size(x) * size
         - summed(x, model, SYMBOLS, "code")
@@ -401,11 +395,11 @@ def _outermost(spans: Column) -> Column:
 
     def kept(ordered: Column) -> Column:
         reach = _running(F.transform(ordered, lambda x: x["end"]), F.greatest, F.lit(0))
-        return _let(reach, lambda r: F.filter(ordered, lambda x, i: (i == 0) | (x["end"] > F.get(r, i - 1))))
+        return let(reach, lambda r: F.filter(ordered, lambda x, i: (i == 0) | (x["end"] > F.get(r, i - 1))))
 
     by_start = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("wide"), x.alias("x")))
     ordered = F.transform(F.array_sort(by_start), lambda y: y["x"])
-    return _let(ordered, kept)
+    return let(ordered, kept)
 
 
 def _free(spans: Column, base: Column) -> Column:
@@ -425,11 +419,11 @@ def _free(spans: Column, base: Column) -> Column:
                 & (-F.get(r["ahead"], i) >= y["x"]["end"]),
             )
 
-        free = _let(F.struct(reach.alias("reach"), ahead.alias("ahead")), clear)
+        free = let(F.struct(reach.alias("reach"), ahead.alias("ahead")), clear)
         return F.transform(free, lambda y: y["x"])
 
     marked = F.transform(F.concat(spans, base), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x.alias("x")))
-    merged = _let(F.array_sort(marked), kept)
+    merged = let(F.array_sort(marked), kept)
     return F.when((F.size(spans) > 0) & (F.size(base) > 0), merged).otherwise(spans)
 
 
@@ -450,7 +444,7 @@ def find_secrets(documents: DataFrame, text_col: str = "text", q: float = Q) ->
     access = F.filter(_found(text, ACCESS, "access"), lambda x: F.length(x["value"]) >= ACCESS_LENGTH)
     base = F.array_sort(F.concat(assign, access, _found(text, HEX, "hex")))
     found = documents.withColumn(BASE, base)
-    random = _let(_outermost(_candidates(text, limits, model)), lambda spans: _free(spans, F.col(BASE)))
+    random = let(_outermost(_candidates(text, limits, model)), lambda spans: _free(spans, F.col(BASE)))
     random = F.when(text.rlike(TOKEN), random)
     none = F.array().cast(f"array<{SPAN}>")
     return found.withColumn(RANDOM, F.coalesce(random, none)).drop(TEXT)
@@ -461,7 +455,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
     def masked(ordered: Column) -> Column:
         reach = _running(F.transform(ordered, lambda x: x["end"]), F.greatest, F.lit(0))
-        return _let(reach, lambda reach: joined(ordered, reach))
+        return let(reach, lambda reach: joined(ordered, reach))
 
     def joined(ordered: Column, reach: Column) -> Column:
         def piece(x: Column, i: Column) -> Column:
@@ -472,7 +466,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         end = F.coalesce(F.try_element_at(reach, F.lit(-1)), F.lit(0))
         return F.concat(F.array_join(F.transform(ordered, piece), ""), F.substring(text, end + 1, F.length(text)))
 
-    return _let(F.array_sort(spans), masked)
+    return let(F.array_sort(spans), masked)
 
 
 def redact_secrets(documents: DataFrame, text_col: str = "text") -> DataFrame:

@@ -4,13 +4,17 @@ A cascade answers "is this key on the list?" exactly for every key of the corpus
 Bloom filter of the listed keys, level 2 one of the corpus keys that pass level 1 without being
 listed, level 3 one of the listed keys that pass level 2, and so on until no key passes wrongly.
 The corpus keys come from the whole table, so no key can be asked for that was not seen when the
-cascade was built. Asking is a few hashes against literal bit arrays: no join, no shuffle.
+cascade was built. Asking is a few hashes against bit arrays in the plan: no join, no shuffle.
 
 A key is a host suffix followed by a path prefix. From a URL only those keys are made that a list
 could hold: suffixes of up to the most labels, prefixes of the path lengths, that occur in it.
 
-The bits of a level are bounded by ``MAX_FILTER_BITS``; a longer list raises ``ValueError`` and
-belongs in a join.
+Listed are the rules' keys and the hosts to block where no rule fits. The latter come from a rule that is
+fixed beforehand and knows no host: those with a label that has one of ``BLOCKED_WORDS`` between its
+dashes, whatever domain it belongs to. They are found in all pages and written as a table.
+
+The bits of a level are bounded by ``MAX_FILTER_BITS``. A longer list of hosts is matched by joins instead,
+on distinct hosts, with the same result.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and gets the verdict of
 no match; an empty path starts with no rule path but the empty one; of several rules that fit, the
@@ -28,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import written
+from shelfwise.llm.common import let, written
 
 MAX_FILTER_BITS = 64 << 20
 FIRST_BITS, NEXT_BITS = 12, 6  # bits per key of the first level and of the others
@@ -38,15 +42,13 @@ RULES = {
     "allow": ["org/", "com/fr/"],
     "block": ["example.org/es/", "example.org/en/1", "com/de/"],
 }
-#: Hosts whose pages are blocked where no rule fits (a parameter; any list of keys will do).
-BLOCKED_HOSTS = [
-    "adult-x.example.net",
-    "ads-track.example.com",
-    "casino-win.example.com",
-    "cheap-pills.example.com",
-    "free-bets.example.com",
-    "spam-farm.example.com",
-]
+#: What a host's label tells of its pages, by the usual categories of block lists (fixed values).
+BLOCKED_WORDS = [
+    "ads", "adult", "bet", "bets", "casino", "gambling", "malware", "phishing", "pills", "poker", "porn", "spam", "viagra",
+    "warez", "xxx",
+]
+#: The host from the first label on that has such a word.
+BLOCKED_HOST = rf"(?s)(?:^|\.)((?:[^.]*-)?(?:{'|'.join(BLOCKED_WORDS)})(?:-[^.]*)?(?:\..*)?)$"
 
 
 def url_host(url: Column) -> Column:
@@ -58,16 +60,21 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def _suffixes(host: Column, labels: int) -> Column:
+    """The host's suffixes of up to so many labels."""
+    parts = F.slice(F.reverse(F.split(host, r"\.")), 1, labels)
+    return F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda i: F.array_join(F.reverse(F.slice(parts, F.lit(1), i)), "."),
+    )
+
+
 def candidate_keys(host: Column, path: Column, listed: Sequence[str]) -> Column:
     """All keys of a URL that could be in ``listed``."""
     split = [key.partition("/") for key in listed]
     labels = max((h.count(".") + 1 for h, _, _ in split), default=1)
     lengths = sorted({len(slash + rest) for _, slash, rest in split}) or [0]
-    parts = F.slice(F.reverse(F.split(host, r"\.")), 1, labels)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.array_join(F.reverse(F.slice(parts, F.lit(1), i)), "."),
-    )
+    suffixes = _suffixes(host, labels)
     prefixes = F.array_distinct(
         F.filter(
             F.array(*[F.substring(path, 1, n) if n else F.lit("") for n in lengths]),
@@ -83,11 +90,14 @@ class Level:
     seed: int
 
     def passes(self, key: Column) -> Column:
-        words, found = F.lit(self.words), F.lit(True)
-        for position in _positions(key, self.seed, len(self.words) * 64):
-            word = F.get(words, F.floor(position / 64).cast("int"))
-            found = found & (F.getbit(word, (position % 64).cast("int")) == 1)
-        return found
+        def asked(words: Column) -> Column:
+            found = F.lit(True)
+            for position in _positions(key, self.seed, len(self.words) * 64):
+                word = F.get(words, F.floor(position / 64).cast("int"))
+                found = found & (F.getbit(word, (position % 64).cast("int")) == 1)
+            return found
+
+        return let(F.lit(self.words), asked)  # the bits stand in the plan once
 
 
 def _positions(key: Column, seed: int, bits: int) -> list[Column]:
@@ -150,6 +160,19 @@ def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 0) -> Casc
             inside = wrong
 
 
+def blocked_hosts(hosts: DataFrame) -> DataFrame:
+    """(key): the hosts to block among those in the column ``host``, from the telling label on."""
+    keys = hosts.select(F.regexp_extract("host", BLOCKED_HOST, 1).alias("key"))
+    return keys.filter("key <> ''").distinct()
+
+
+def _hosts_in(parts: DataFrame, listed: DataFrame, labels: int) -> DataFrame:
+    """(host): the distinct hosts of ``parts`` that have a listed suffix."""
+    hosts = parts.select("host").distinct()
+    keys = hosts.select("host", F.explode(_suffixes(F.col("host"), labels)).alias("key"))
+    return keys.join(listed, "key", "left_semi").select("host").distinct()
+
+
 def _tagged(tag: str, key: Column) -> Column:
     """Keys of several lists in one universe."""
     return F.concat(F.lit(f"{tag}|"), key)
@@ -158,11 +181,13 @@ def _tagged(tag: str, key: Column) -> Column:
 def url_verdicts(
     pages: DataFrame,
     rules: dict[str, Sequence[str]],
-    blocked_hosts: Sequence[str],
+    blocked: DataFrame | None = None,
     id_col: str = "page_id",
     url_col: str = "url",
+    max_bits: int = MAX_FILTER_BITS,
 ) -> DataFrame:
-    """page_id, host, path, rule (the longest that fits, else null) and verdict."""
+    """page_id, host, path, rule (the longest that fits, else null) and verdict. ``blocked``: hosts to block
+    where no rule fits (column ``key``); by default :func:`blocked_hosts` of the pages."""
     spark = pages.sparkSession
     every_rule = [r for keys in rules.values() for r in keys]
     parts = pages.select(
@@ -171,16 +196,22 @@ def url_verdicts(
         url_path(F.col(url_col)).alias("path"),
     )
     host, path = F.col("host"), F.col("path")
+    chosen = blocked_hosts(parts) if blocked is None else blocked.select("key").filter("key is not null").distinct()
+    hosts = written(chosen, "blocked-hosts")
+    n_hosts, labels = hosts.agg(F.count("key"), F.max(F.size(F.split("key", r"\.")))).first()
+    by_join = n_hosts * FIRST_BITS > max_bits
     rule_keys = candidate_keys(host, path, every_rule)
-    host_keys = candidate_keys(host, path, blocked_hosts)
-    asked = F.concat(
-        *[F.transform(rule_keys, lambda k, tag=tag: _tagged(tag, k)) for tag in rules],
-        F.transform(host_keys, lambda k: _tagged("host", k)),
-    )
-    universe = written(parts.select(F.explode(asked).alias("key")).distinct(), "url-keys")
-    named = [*rules.items(), ("host", blocked_hosts)]
-    listed = sorted({f"{tag}|{key}" for tag, keys in named for key in keys})
-    cascade = build_cascade(spark.createDataFrame([(k,) for k in listed], "key string"), universe)
+    host_keys = _suffixes(host, labels or 1)
+    # One parameter each: a second one would be taken for the position in the array.
+    tagger = lambda tag: lambda k: _tagged(tag, k)
+    asked = [F.transform(rule_keys, tagger(tag)) for tag in rules]
+    if not by_join:
+        asked.append(F.transform(host_keys, tagger("host")))
+    universe = written(parts.select(F.explode(F.concat(*asked)).alias("key")).distinct(), "url-keys")
+    listed = spark.createDataFrame(sorted({(f"{tag}|{key}",) for tag, keys in rules.items() for key in keys}), "key string")
+    if not by_join:
+        listed = listed.union(hosts.select(_tagged("host", F.col("key"))))
+    cascade = build_cascade(listed, universe)
 
     def on(tag: str, key: Column) -> Column:
         return cascade.contains(_tagged(tag, key))
@@ -188,9 +219,14 @@ def url_verdicts(
     fits = F.filter(rule_keys, lambda k: on("allow", k) | on("block", k))
     longest = F.array_max(F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"))))
     judged = parts.withColumn("rule", longest["rule"])
-    otherwise = F.when(F.exists(host_keys, lambda k: on("host", k)), "block").otherwise("allow")
+    if by_join:
+        found = _hosts_in(parts, hosts, labels).withColumnRenamed("host", "listed_host")
+        judged = judged.join(found, judged["host"] == found["listed_host"], "left")
+        is_blocked = F.col("listed_host").isNotNull()
+    else:
+        is_blocked = F.exists(host_keys, lambda k: on("host", k))
     verdict = (
-        F.when(F.col("rule").isNull(), otherwise)
+        F.when(F.col("rule").isNull(), F.when(is_blocked, "block").otherwise("allow"))
         .when(on("allow", F.col("rule")), "allow")
         .otherwise("block")
     )
@@ -207,20 +243,17 @@ WITH parts AS (
 ), rules(rule_host, rule_path, says) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
          ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
-), blocked(blocked_host) AS (
-  VALUES ('adult-x.example.net'), ('ads-track.example.com'), ('casino-win.example.com'),
-         ('cheap-pills.example.com'), ('free-bets.example.com'), ('spam-farm.example.com')
 )
 SELECT page_id, host, path,
        (SELECT arg_max(rule_host || rule_path, length(rule_host || rule_path)) FROM rules
         WHERE ends_with('.' || host, '.' || rule_host) AND starts_with(path, rule_path)) AS rule,
        coalesce((SELECT arg_max(says, length(rule_host || rule_path)) FROM rules
                  WHERE ends_with('.' || host, '.' || rule_host) AND starts_with(path, rule_path)),
-                CASE WHEN EXISTS (SELECT 1 FROM blocked WHERE ends_with('.' || host, '.' || blocked_host))
+                CASE WHEN regexp_matches(host, '(^|[.-])(ads|adult|bet|bets|casino|gambling|malware|phishing|pills|poker|porn|spam|viagra|warez|xxx)([.-]|$)')
                      THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts
 """
 
 
 def op8_url_filters(spark, sf_dir: str) -> DataFrame:
-    return url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, BLOCKED_HOSTS)
+    return url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)

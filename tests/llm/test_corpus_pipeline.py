@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -30,6 +31,25 @@ def steps(spark):
     return out
 
 
+def test_empty_and_odd_documents_go_through(spark, scratch):
+    """Null and blank texts, repeated rows, a long text, rows without an id; and no documents at all."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    texts = [(None, None), (1, None), (2, ""), (3, " \n"), (4, "same text here"), (4, "same text here"), (5, "same  text here"),
+             (6, "token=abcdef123456 " * 9000), (7, "ordinary words in a row")]
+    odd = [(i, t, "en", "src", None if t is None else len(t)) for i, t in texts]
+    for name, documents in (("odd", odd), ("empty", [])):
+        folder = os.path.join(scratch, name)
+        spark.createDataFrame(documents, schema).repartition(2).write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+        pieces = corpus_pipeline.run(spark, folder).collect()
+        ids = {r["doc_id"] for r in pieces}
+        if name == "empty":
+            assert not pieces
+        else:
+            # Of the equal texts the longest original stays, which is that of 5; 1 stands for the texts without words.
+            assert {1, 5, 6, 7} <= ids and not ids & {2, 3, 4}
+
+
 def rows(df):
     return {r["doc_id"]: r["text"] for r in df.collect()}
 

@@ -13,7 +13,7 @@ third of a 100 TB table. This operator narrows brackets instead. The rows are re
 What is left of a group can still be much (4e7 values of 1e12 rows), so each bracket is narrowed once
 more, on what the second pass has shuffled already: a second sketch cuts it into ``SPLITS`` bins of about
 equally many values, the bins' counts are summed up, and only the at most two bins that hold the wanted
-ranks are sorted. A window partition holds ``SPLITS`` bins or one bin (8e4 values of 1e12 rows).
+ranks are sorted. A window partition holds ``SPLITS`` bins or one bin (3e5 values of 1e12 rows).
 
 Running counts over a bin then give every value its rank interval, and the (at most two) values
 whose interval covers a requested rank are interpolated:
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 100_000
-SPLITS = 512
+SPLITS = 128
 
 
 def quantile_column_name(p: float, prefix: str = "q") -> str:

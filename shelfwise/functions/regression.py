@@ -55,45 +55,34 @@ def centred_moments(y: Column, x: Column, prefix: str) -> list[Column]:
 SALTS = 4096
 
 
-def _states(prefix: str) -> list[Column]:
-    """The :data:`PARTS` of one moment set as list entries: an empty set has zeros, not NULLs."""
-    zero = {"_n": F.lit(0).cast("bigint")}
-    return [
-        (F.col(prefix + c) if c in ("_xlo", "_xhi") else F.coalesce(F.col(prefix + c), zero.get(c, F.lit(0.0)))).alias(prefix + c)
-        for c in PARTS
-    ]
-
-
-def _empty(prefixes: Sequence[str]) -> Column:
-    def part(c: str) -> Column:
-        if c in ("_xlo", "_xhi"):
-            return F.lit(None).cast("double")
-        return F.lit(0).cast("bigint") if c == "_n" else F.lit(0.0)
-
-    return F.struct(*[part(c).alias(prefix + c) for prefix in prefixes for c in PARTS])
-
-
-def _merged(a: Column, b: Column, prefixes: Sequence[str]) -> Column:
-    """Two disjoint row sets' moments as those of their union: counts add up, means move by the second
-    set's share, centred sums add up plus the spread between the two means."""
-    fields = []
-    for prefix in prefixes:
-        get = lambda x, c, prefix=prefix: x.getField(prefix + c)
-        n = get(a, "_n") + get(b, "_n")
-        share = F.coalesce(F.try_divide(get(b, "_n").cast("double"), n), F.lit(0.0))
-        dx, dy = get(b, "_ax") - get(a, "_ax"), get(b, "_ay") - get(a, "_ay")
-        weight = get(a, "_n").cast("double") * share
-        fields += [
-            n.alias(prefix + "_n"),
-            (get(a, "_ax") + dx * share).alias(prefix + "_ax"),
-            (get(a, "_ay") + dy * share).alias(prefix + "_ay"),
-            (get(a, "_sxx") + get(b, "_sxx") + dx * dx * weight).alias(prefix + "_sxx"),
-            (get(a, "_syy") + get(b, "_syy") + dy * dy * weight).alias(prefix + "_syy"),
-            (get(a, "_sxy") + get(b, "_sxy") + dx * dy * weight).alias(prefix + "_sxy"),
-            F.least(get(a, "_xlo"), get(b, "_xlo")).alias(prefix + "_xlo"),
-            F.greatest(get(a, "_xhi"), get(b, "_xhi")).alias(prefix + "_xhi"),
-        ]
-    return F.struct(*fields)
+#: An empty set's parts, as SQL.
+_EMPTY = {c: "0L" if c == "_n" else "cast(null AS double)" if c in ("_xlo", "_xhi") else "0D" for c in PARTS}
+
+
+def _states(prefix: str) -> list[str]:
+    """The :data:`PARTS` of one moment set as struct entries: an empty set has zeros, not NULLs."""
+    return [f"'{prefix}{c}', coalesce({prefix}{c}, {_EMPTY[c]})" for c in PARTS]
+
+
+def _merged(prefix: str) -> list[str]:
+    """Entries of the struct that merges the moment sets of two disjoint row sets ``a`` and ``b``: counts add
+    up, means move by the second set's share, centred sums add up plus the spread between the means."""
+    a, b = f"a.{prefix}", f"b.{prefix}"
+    n = f"({a}_n + {b}_n)"
+    share = f"coalesce(try_divide(cast({b}_n AS double), {n}), 0D)"
+    dx, dy = f"({b}_ax - {a}_ax)", f"({b}_ay - {a}_ay)"
+    weight = f"cast({a}_n AS double) * {share}"
+    values = {
+        "_n": n,
+        "_ax": f"{a}_ax + {dx} * {share}",
+        "_ay": f"{a}_ay + {dy} * {share}",
+        "_sxx": f"{a}_sxx + {b}_sxx + {dx} * {dx} * {weight}",
+        "_syy": f"{a}_syy + {b}_syy + {dy} * {dy} * {weight}",
+        "_sxy": f"{a}_sxy + {b}_sxy + {dx} * {dy} * {weight}",
+        "_xlo": f"least({a}_xlo, {b}_xlo)",
+        "_xhi": f"greatest({a}_xhi, {b}_xhi)",
+    }
+    return [f"'{prefix}{c}', {values[c]}" for c in PARTS]
 
 
 def fold_moments(
@@ -109,11 +98,14 @@ def fold_moments(
     exactly 0; an empty set has a count of 0 and NULL means.
     """
 
-    def fold(df: DataFrame, groups: list, order: str) -> DataFrame:
-        entry = F.struct(F.col(order).alias("_key"), *[c for prefix in prefixes for c in _states(prefix)])
-        folded = F.aggregate(
-            F.array_sort(F.collect_list(entry)), _empty(prefixes), lambda a, b: _merged(a, b, prefixes)
-        )
+    # As SQL text: one expression to parse instead of hundreds of calls.
+    zero = ", ".join(f"'{prefix}{c}', {_EMPTY[c]}" for prefix in prefixes for c in PARTS)
+    merge = ", ".join(entry for prefix in prefixes for entry in _merged(prefix))
+    states = ", ".join(entry for prefix in prefixes for entry in _states(prefix))
+
+    def fold(df: DataFrame, groups: list[str], order: str) -> DataFrame:
+        entries = f"array_sort(collect_list(named_struct('_key', `{order}`, {states})))"
+        folded = F.expr(f"aggregate({entries}, named_struct({zero}), (a, b) -> named_struct({merge}))")
         totals = [F.sum(c).alias(c) for c in sums]
         return df.groupBy(*groups).agg(*totals, folded.alias("_fold")).select("*", "_fold.*").drop("_fold")
 

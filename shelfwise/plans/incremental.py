@@ -103,7 +103,10 @@ class SummaryState:
 
     def _keyed(self, star: Star, start: dt.date | None, end: dt.date | None) -> dict[str, DataFrame]:
         date = F.col("date")
-        within = date.isNull() if start is None else (date >= F.lit(start)) & (date < F.lit(end))
+        within = date.isNull()
+        if start is not None:
+            low, high = (F.lit(x.isoformat()).cast("date") for x in (start, end))
+            within = (date >= low) & (date < high)
         sales, shipments, receipts = (df.filter(within) for df in (star.sales, star.shipments, star.receipts))
         part = Star(star.customers, star.products, sales, shipments, receipts)
         days = lambda df, *extra: df.filter(F.col("sales_id").isNotNull() & date.isNotNull()).select("sales_id", "date", *extra)

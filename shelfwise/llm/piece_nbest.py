@@ -32,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import Recent, in_small_batches, tidied
+from shelfwise.llm.common import Recent, in_small_batches, tidied, uncollected
 
 N_BEST = 3
-CACHE_CHUNKS = 200_000
+#: Chunks held per worker and generation (about 300 bytes each; two generations).
+CACHE_CHUNKS = 400_000
 #: Bytes of ids that a worker gathers before it hands them on.
 FLUSH_BYTES = 4 << 20
 ID_BYTES = 4
@@ -315,6 +316,7 @@ def encode_nbest(
     fields = [*_FIELDS, ("decoded", pa.string())] if decoded else _FIELDS
 
     @tidied
+    @uncollected
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path, n_best)
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import in_small_batches, tidied
+from shelfwise.llm.common import in_small_batches, tidied, uncollected
 from shelfwise.llm.tokens import encoder
 from shelfwise.session import fresh_path
 
@@ -56,6 +56,7 @@ def write_tokens(
     them in order and writes one file per partition."""
 
     @tidied
+    @uncollected
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer_path, kind).encode
         end = np.array([end_id], dtype="<u4").tobytes()

@@ -9,7 +9,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -59,21 +58,6 @@ def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return run
 
 
-def uncollected(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``work`` without Python's search for reference cycles while it runs: it makes none, and the search
-    would walk through the worker's caches again and again."""
-
-    @functools.wraps(work)
-    def run(batches):
-        gc.disable()
-        try:
-            yield from work(batches)
-        finally:
-            gc.enable()
-
-    return run
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (the context cleaner may delete it once it is unreachable)."""
     shared_dir(df.sparkSession)

@@ -8,7 +8,9 @@ Plan notes (target: a lineitem of hundreds of billions of rows)
 * Sales_Invoices needs one row per (l_orderkey, l_linenumber). The join with ``orders`` is on
   ``l_orderkey``; grouping on (l_orderkey, l_linenumber) reuses that hash partitioning, so the
   aggregate adds no shuffle after the sort-merge join. ``sales_id = l_orderkey*10+l_linenumber``
-  is one-to-one with the pair because line numbers are 1..7.
+  is one-to-one with the pair because line numbers are 1..7. The join sorts both sides, and the
+  aggregate sorts once more, so its partitions are numbered by the size of the lines
+  (:func:`line_partitions`): a task's sorts stay the same however large the table is.
 * ``part`` is joined without a hint: Spark broadcasts it only below the size thresholds.
 """
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.files import total_bytes
 from shelfwise.sources.contracts import (
     CUSTOMERS,
     PRODUCTS,
@@ -32,6 +35,19 @@ SEGMENT_RATING = {"BUILDING": "Excellent", "AUTOMOBILE": "Fair", "MACHINERY": "P
 DEFAULT_RATING = "Good"
 UNSOLD_EVERY = 40
 
+#: Bytes of the lines' files (compressed): tables below the first are left to AQE, else a partition of the
+#: invoice join takes the second; at most so many partitions, beyond which a task's sorts grow and spill.
+SMALL_BYTES = 64 << 20
+PARTITION_BYTES = 16 << 20
+MOST_PARTITIONS = 20_000
+
+
+def line_partitions(n_bytes: int, least: int) -> int | None:
+    """Partitions of the invoice join. With fewer than ``least`` (the session's) Spark would shuffle again."""
+    if n_bytes < SMALL_BYTES:
+        return None
+    return max(least, min(-(-n_bytes // PARTITION_BYTES), MOST_PARTITIONS))
+
 
 def _line_key() -> F.Column:
     return F.col("l_orderkey") * 10 + F.col("l_linenumber")
@@ -72,15 +88,18 @@ def products_from_tpch(part: DataFrame) -> DataFrame:
     return conform(out, PRODUCTS)
 
 
-def sales_from_tpch(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
-    """One invoice per (order, line number): of several lines the first by part, quantity and price."""
+def sales_from_tpch(
+    lineitem: DataFrame, orders: DataFrame, part: DataFrame, partitions: int | None = None
+) -> DataFrame:
+    """One invoice per (order, line number): of several lines the first by part, quantity and price.
+    ``partitions``: of the join with the orders; else as many as Spark makes."""
     lines = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(
         part.select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey")
     )
-    joined = lines.join(
-        orders.select("o_orderkey", "o_custkey", "o_orderdate"),
-        F.col("l_orderkey") == F.col("o_orderkey"),
-    )
+    orders = orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    if partitions:
+        lines, orders = lines.repartition(partitions, "l_orderkey"), orders.repartition(partitions, "o_orderkey")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     line = F.struct("l_partkey", "l_quantity", "p_retailprice", "o_orderdate", "o_custkey")
     out = joined.groupBy("l_orderkey", "l_linenumber").agg(F.min(line).alias("line"))
     out = out.select(
@@ -127,10 +146,12 @@ def star_from_tpch(spark: SparkSession, sf_dir: str) -> Star:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     lineitem, part = read("lineitem"), read("part")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = line_partitions(total_bytes(spark, f"{sf_dir}/lineitem.parquet"), least)
     return Star(
         customers=customers_from_tpch(read("customer"), read("nation"), read("region")),
         products=products_from_tpch(part),
-        sales=sales_from_tpch(lineitem, read("orders"), part),
+        sales=sales_from_tpch(lineitem, read("orders"), part, partitions),
         shipments=shipments_from_tpch(lineitem),
         receipts=receipts_from_tpch(lineitem),
     )

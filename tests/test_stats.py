@@ -222,3 +222,36 @@ def test_folded_moments_match_those_of_all_rows(spark, salts):
         assert r["_p_sxy"] == pytest.approx(((dx - dx.mean()) * (y - y.mean())).sum(), rel=1e-3, abs=1e-9)
     assert got["flat"]["_p_sxx"] == 0.0 and got["flat"]["_p_sxy"] == 0.0
     assert got["none"]["_p_n"] == 0 and got["none"]["_p_ax"] is None and got["none"]["_p_sxx"] is None
+
+
+def test_totals_combine_after_the_keys_are_brought_together(spark):
+    """Wide rows of moments are made per key, not per key and task of the scan; a key's rows split among
+    tasks are one row in the end."""
+    import contextlib
+    import io
+
+    from shelfwise.operators.facts import sales_by_customer, sales_by_product, sales_totals
+
+    sales = [(i, 1.0 + i % 7, i % 5, d("2024-01-01"), None if i % 50 == 0 else i % 9, 0 if i % 3 else i % 40) for i in range(600)]
+    star = make_star(spark, sales=sales)
+    totals = sales_totals(star)
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        totals.explain(mode="simple")
+    lines = out.getvalue().splitlines()
+    first = next(i for i, line in enumerate(lines) if "partial_regr" in line or "partial_count" in line)
+    assert any("REBALANCE_PARTITIONS_BY_COL" in line for line in lines[first:])
+    with_totals = star.with_aggregates(sales_totals=totals)
+    for by in (sales_by_customer, sales_by_product):
+        got, want = ({r[0]: r for r in by(s).collect()} for s in (with_totals, star))
+        assert got.keys() == want.keys() and by(with_totals).columns == by(star).columns
+        for key, row in want.items():
+            assert list(got[key]) == [pytest.approx(x, rel=1e-12) if isinstance(x, float) else x for x in row]
+
+
+def test_invoice_join_takes_equal_shares_of_large_tables():
+    from shelfwise.sources.tpch_fixture import MOST_PARTITIONS, line_partitions
+
+    assert line_partitions(10 << 20, 200) is None
+    assert line_partitions(1 << 30, 200) == 200 and line_partitions(8 << 30, 200) == 512
+    assert line_partitions(1 << 50, 200) == MOST_PARTITIONS and line_partitions(1 << 50, 30_000) == 30_000

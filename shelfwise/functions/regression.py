@@ -86,14 +86,15 @@ def _merged(prefix: str) -> list[str]:
 
 
 def fold_moments(
-    parts: DataFrame, by: Sequence[str], key: str, prefixes: Sequence[str], sums: Sequence[str] = (), salts: int = SALTS
+    parts: DataFrame, by: Sequence[str], key: str, prefixes: Sequence[str], sums: Sequence[str] = (), salts: int | None = SALTS
 ) -> DataFrame:
     """The moment sets of a group's rows merged into one row per ``by``: ``by``, the ``sums`` added up, and
     :data:`PARTS` of each prefix.
 
     ``parts`` holds one row per ``key``. It is read once: lists of moment sets, salted by the key, are
     folded pairwise in the JVM, then the at most ``salts`` folds of a group are folded again, so no
-    list grows with a hot group beyond its share. The order within a list is that of the keys, so
+    list grows with a hot group beyond its share. ``salts=None``, for groups known to have few parts (at
+    most :data:`SALTS`): one fold, so one shuffle. The order within a list is that of the keys, so
     results do not depend on how tasks finish. A regressor that never varies has centred sums of
     exactly 0; an empty set has a count of 0 and NULL means.
     """
@@ -109,8 +110,11 @@ def fold_moments(
         totals = [F.sum(c).alias(c) for c in sums]
         return df.groupBy(*groups).agg(*totals, folded.alias("_fold")).select("*", "_fold.*").drop("_fold")
 
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-    merged = fold(fold(salted, [*by, "_salt"], key), [*by], "_salt")
+    if salts is None:
+        merged = fold(parts, [*by], key)
+    else:
+        salted = parts.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+        merged = fold(fold(salted, [*by, "_salt"], key), [*by], "_salt")
     out = [*by, *sums]
     for prefix in prefixes:
         some = F.col(prefix + "_n") > 0

@@ -3,7 +3,7 @@
 Facts are added batch by batch; a batch is a range of dates, usually one day. For each batch the state
 holds counts, sums and centred moments per (batch, key):
 
-* ``sales_customer``, ``sales_product``: invoices per customer and per product id, as
+* ``sales``: invoices per customer and per product id, as
   :func:`shelfwise.operators.facts.sales_totals` makes them;
 * ``shipped``: shipments per product id; ``received``: receipts per product id;
 * ``sale_days``, ``ship_days``: the ids and days that late shipments are found by;
@@ -25,6 +25,7 @@ import json
 import os
 import uuid
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from shelfwise.session import fresh_path, pinned
 from shelfwise.sources.star import Star
 
 UNDATED = "undated"
-KEYED = ("sales_customer", "sales_product", "shipped", "received", "sale_days", "ship_days")
+KEYED = ("sales", "shipped", "received", "sale_days", "ship_days")
 #: Moment sets of the invoices (see :func:`shelfwise.operators.facts.sales_totals`).
 SALES_FITS = ("_q", "_s", "_g")
 
@@ -87,8 +88,8 @@ class SummaryState:
         kept = self._late_rows(known)
         if kept is not None:
             late = kept.filter((F.col("sale_batch") != name) & (F.col("ship_batch") != name)).unionByName(late)
-        # One row per pair of days: a small table, written whole.
-        late.coalesce(1).write.parquet(late_path)
+        # One row per pair of days: a small table, written whole (but summed up by many tasks).
+        late.repartition(1).write.parquet(late_path)
         # From here on the batch counts, and the late pairs are those of the last entry.
         files.write_text(self.spark, os.path.join(self.base, "batches", f"{name}.json"), json.dumps(entry))
         self._tidy(name, known.get(name), late_path)
@@ -111,8 +112,7 @@ class SummaryState:
         part = Star(star.customers, star.products, sales, shipments, receipts)
         days = lambda df, *extra: df.filter(F.col("sales_id").isNotNull() & date.isNotNull()).select("sales_id", "date", *extra)
         return {
-            "sales_customer": facts.sales_by_customer(part),
-            "sales_product": facts.sales_by_product(part),
+            "sales": facts.sales_totals(part),
             "shipped": facts.shipments_by_product(part),
             "received": facts.received_by_product(part),
             "sale_days": days(sales),
@@ -167,22 +167,19 @@ class SummaryState:
         if not batches:
             raise ValueError(f"no batches under {self.base}")
 
-        def folded(table: str, key: str, prefixes: tuple[str, ...], sums: tuple[str, ...]) -> DataFrame:
-            return ols.fold_moments(self._read(table, batches), [key], "batch", prefixes, sums)
+        # A key has a row per batch at most.
+        salts = None if len(batches) <= ols.SALTS else ols.SALTS
 
-        def per(table: str, key: str, other: str) -> DataFrame:
-            rows = folded(table, key, SALES_FITS, ("_rows", "value", "units"))
-            return rows.withColumns({"per": F.lit(key), other: F.lit(None).cast("long")})
+        def folded(table: str, by: list[str], prefixes: tuple[str, ...], sums: tuple[str, ...]) -> DataFrame:
+            return ols.fold_moments(self._read(table, batches), by, "batch", prefixes, sums, salts)
 
-        totals = per("sales_customer", "customer_id", "product_id").unionByName(
-            per("sales_product", "product_id", "customer_id")
-        )
+        totals = folded("sales", ["per", "customer_id", "product_id"], SALES_FITS, ("_rows", "value", "units"))
         late = self._late_rows(batches).groupBy("sales_date", "shipment_date").agg(F.sum("n").alias("n"))
         received = self._read("received", batches).groupBy("product_id").agg(F.sum("total_received").alias("total_received"))
         star = Star(customers, products, empty.sales, empty.shipments, empty.receipts)
         return star.with_aggregates(
             sales_totals=totals,
-            shipments_by_product=folded("shipped", "product_id", ("_t",), ("total_sold",)),
+            shipments_by_product=folded("shipped", ["product_id"], ("_t",), ("total_sold",)),
             received_by_product=received,
             late_shipments=late,
         )
@@ -196,8 +193,12 @@ class SummaryState:
 
 def statistical_summary_batches(star: Star, cuts: Sequence[str] = (), **params) -> DataFrame:
     """The summary by way of a new state in the shared folder, filled in batches between the ``cuts`` (and
-    before the first, after the last, and of rows without a date)."""
+    before the first, after the last, and of rows without a date).
+
+    The invoices are written first: every batch reads them twice, and whatever makes them (a join of the
+    lines with their orders, say) runs once, not for each read."""
     spark = star.sales.sparkSession
+    star = replace(star, sales=pinned(star.sales, "invoices"))
     state = SummaryState(spark, fresh_path(spark, "summary-state"))
     edges = [dt.date(1, 1, 1), *sorted(map(dt.date.fromisoformat, cuts)), dt.date(9999, 12, 31)]
     for start, end in zip(edges, edges[1:]):

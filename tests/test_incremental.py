@@ -11,7 +11,7 @@ from conftest import d, make_star
 
 from shelfwise import files
 from shelfwise.operators.summary import statistical_summary
-from shelfwise.plans.incremental import SummaryState
+from shelfwise.plans.incremental import SummaryState, statistical_summary_batches
 from shelfwise.sources.star import Star
 
 DAYS = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(4)]
@@ -113,3 +113,27 @@ def test_wrong_batches_are_refused(spark, scratch):
     for start, end in ((DAYS[1], DAYS[3]), (DAYS[3], DAYS[3]), (DAYS[3], None)):
         with pytest.raises(ValueError):
             state.add(star, start, end)
+
+
+def test_batches_make_the_invoices_once(spark, monkeypatch):
+    star, seen, add = build(spark), [], SummaryState.add
+
+    def watched(state, part, *days):
+        seen.append(part.sales)
+        add(state, part, *days)
+
+    monkeypatch.setattr(SummaryState, "add", watched)
+    got = metrics(statistical_summary_batches(star, cuts=["2024-01-03"], **PARAMS))
+    same(got, metrics(statistical_summary(star, **PARAMS)))
+    assert len(seen) == 3 and all("/invoices-" in f for sales in seen for f in sales.inputFiles())
+    assert all(sales.inputFiles() for sales in seen)
+
+
+def test_few_parts_are_folded_in_one_step(spark, scratch):
+    star = build(spark)
+    state = SummaryState(spark, os.path.join(scratch, "state"))
+    for start, end in ((DAYS[0], DAYS[2]), (DAYS[2], d("2024-02-01"))):
+        state.add(star, start, end)
+    totals = state.star(star.customers, star.products, star).aggregates["sales_totals"]
+    plan = totals._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1

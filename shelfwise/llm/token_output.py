@@ -37,6 +37,8 @@ ENCODINGS = {
     "dictionary": {"parquet.enable.dictionary": "true", "parquet.writer.version": "PARQUET_1_0"},
     "delta": {"parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0"},
 }
+#: Texts are encoded together until they have so many characters.
+GROUP_CHARS = 2 << 20
 FILE_SCHEMA = "part int, row long, doc_id long, n_tokens long, ids array<int>"
 
 
@@ -57,23 +59,19 @@ def write_tokens(
 
     @tidied
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer_path, kind).encode
+        encode_all = encoder(tokenizer_path, kind).encode_all
         end = np.array([end_id], dtype="<u4").tobytes()
         row = 0
         for batch in batches:
-            held: list[bytes] = []
-            doc_ids: list[int | None] = []
-            size = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.append(ids_of(text.as_py()) + end)
-                doc_ids.append(doc_id)
-                size += len(held[-1])
-                if size > 8 << 20:
-                    yield _rows(row, doc_ids, held)
-                    row, held, doc_ids, size = row + len(held), [], [], 0
-            if held:
-                yield _rows(row, doc_ids, held)
-                row += len(held)
+            doc_ids = batch.column(0).to_pylist()
+            texts: list[str | None] = []
+            size = at = 0
+            for k, text in enumerate(batch.column(1), 1):
+                texts.append(text.as_py())
+                size += len(texts[-1] or "")
+                if size > GROUP_CHARS or k == len(batch):
+                    yield _rows(row, doc_ids[at:k], [ids + end for ids in encode_all(texts)])
+                    row, texts, size, at = row + k - at, [], 0, k
 
     def _rows(row: int, doc_ids: list, held: list[bytes]) -> pa.RecordBatch:
         sizes = np.array([len(x) // 4 for x in held], dtype=np.int64)

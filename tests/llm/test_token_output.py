@@ -3,6 +3,8 @@ from __future__ import annotations
 import glob
 import os
 import random
+import string
+import sys
 import zlib
 
 import numpy as np
@@ -12,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from shelfwise.llm.token_output import END_ID, document_starts, file_digests, read_tokens, write_tokens
+from shelfwise.llm.tokens import ChunkEncoder
 from tests.llm.helpers import ODD, documents, words
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,3 +69,42 @@ def test_empty_table(spark, scratch):
     path = os.path.join(scratch, "none")
     write_tokens(documents(spark, []), path, BYTE)
     assert file_digests(read_tokens(spark, path)).count() == 0
+
+
+def lists_of(encoder, texts):
+    return [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode_all(texts)]
+
+
+def test_unseen_words_of_a_group_reach_the_library_together(monkeypatch):
+    encoder, asked = ChunkEncoder(BYTE, "byte"), []
+    plain = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda tokenizer, texts: asked.append(texts) or plain(tokenizer, texts))
+    texts = [f"Groups of words, {'abcdefghij'[k % 10]}neword and klm{'nopq'[k % 4]}!! once." for k in range(200)]
+    got, tokenizer = lists_of(encoder, texts), Tokenizer.from_file(BYTE)
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == 1 and sum(map(len, asked)) == 1
+    assert lists_of(encoder, texts[::-1]) == got[::-1] and len(asked) == 1
+
+
+@pytest.mark.parametrize("cache_chunks", [3, 1000])
+def test_ids_of_groups_are_the_tokenizers(cache_chunks):
+    encoder = ChunkEncoder(BYTE, "byte", cache_chunks=cache_chunks, added_tokens=True)
+    texts = [
+        *(t for _, t in ODD), "It's the dogs' day; they'll don't 'em, we've.", "a.\nb, c. d,\ne", "x-y_z 1,234.5 $$$ ab$$$ 9a a9",
+        "ÿ ÿÿ þÿ.\nÿ", "(word). \"so\", he said", "a <|endoftext|> b", "a\u00a0b", "Élan élan!! été\u0301 ǅ ª", "", None, "one", "ab' ab's' ab'.",
+    ]
+    tokenizer = Tokenizer.from_file(BYTE)
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert lists_of(encoder, texts) == want
+    assert [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in texts] == want
+
+
+def test_runs_of_letters_and_marks_are_the_librarys_pretokens():
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha()]
+    marks = [a + b for a in string.punctuation for b in string.punctuation]
+    chunks = [f"a{c}a" for c in letters] + [f"ab{m}" for m in marks] + [f"é{m}" for m in marks]
+    texts = [" ".join(["b", *chunks[k : k + 2000]]) for k in range(0, len(chunks), 2000)]
+    tokenizer = Tokenizer.from_file(BYTE)
+    for text, ids in zip(texts, lists_of(ChunkEncoder(BYTE, "byte"), texts)):
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids
